@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import chat, decontaminate, fingerprint, mixing, neardup, sharding
+from plinth.llm import chat, decontaminate, fingerprint, mixing, neardup, quality, sharding
 from plinth.llm.common import table
 
 
@@ -40,6 +40,18 @@ def op6_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, shards=24)
 
 
+def held_out(folds: int, fold: int) -> Column:
+    """crc32(doc_id as text) mod folds is fold."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out(5, 0))
+    scored = quality.score(docs, quality.fit(docs, labels), least=0.3)
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
