@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import chat, decontaminate, fingerprint, mixing, neardup, quality, sharding
+from plinth.llm import chat, decontaminate, fingerprint, langid, mixing, neardup, quality, sharding
 from plinth.llm.common import table
 
 
@@ -45,6 +45,12 @@ def held_out(folds: int, fold: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~held_out(4, 2)))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(~held_out(5, 0))
