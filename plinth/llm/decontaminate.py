@@ -81,7 +81,8 @@ def _hashes(words: Column) -> Column:
 
 
 def _windows(rows: DataFrame, key: str, words: Column) -> DataFrame:
-    return rows.select(key, F.posexplode(_hashes(words)).alias("pos", "hash")).where("hash is not null")
+    # The outer form: for the inner one Spark adds a filter that computes the array a second time.
+    return rows.select(key, F.posexplode_outer(_hashes(words)).alias("pos", "hash")).where("hash is not null")
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -112,10 +113,9 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, broa
 
     # Slots of the covered pairs only: their texts are read again.
     wanted = pairs.join(covered, ["doc_id", "item_id"], "left_semi").select("doc_id", "item_id", "pos", "item_pos")
-    doc_words = texts.join(covered.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", _words(canonical(F.col("_text"))).alias("_w"))
-    doc_slots = doc_words.select("doc_id", F.posexplode("_w").alias("at", "doc_value")).where(F.col("doc_value").startswith(_OPEN)).distinct()
-    item_words = items.select("item_id", _words(canonical(F.col("text"))).alias("_w"))
-    item_slots = item_words.select("item_id", F.posexplode("_w").alias("item_at", "item_value")).where(F.col("item_value").startswith(_OPEN)).distinct()
+    held = cut(texts.join(covered.select("doc_id").distinct(), "doc_id", "left_semi"))
+    doc_slots = held.select("doc_id", F.posexplode_outer(_words(canonical(F.col("_text")))).alias("at", "doc_value")).where(F.col("doc_value").startswith(_OPEN)).distinct()
+    item_slots = items.select("item_id", F.posexplode_outer(_words(canonical(F.col("text")))).alias("item_at", "item_value")).where(F.col("item_value").startswith(_OPEN)).distinct()
     at = wanted.select("doc_id", "item_id", F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1))).alias("_j"), "pos", "item_pos")
     at = at.select("doc_id", "item_id", (F.col("pos") + F.col("_j")).alias("at"), (F.col("item_pos") + F.col("_j")).alias("item_at")).distinct()
     slots = at.join(doc_slots, ["doc_id", "at"]).join(item_slots, ["item_id", "item_at"])
