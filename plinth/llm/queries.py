@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import chat, decontaminate, fingerprint, langid, mixing, neardup, quality, sharding, suffixes
+from plinth.llm import chat, decontaminate, fingerprint, htmltext, langid, mixing, neardup, quality, sharding, suffixes
 from plinth.llm.common import table
 
 
@@ -45,6 +45,10 @@ def held_out(folds: int, fold: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.where(~held_out(4, 2)))
