@@ -61,28 +61,22 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_id, n_shingles, set key (16 bytes) of each row."""
-    for batch in batches:
-        keys, sizes = [], []
-        for s in shingle_sets(batch.column(1)):
-            sizes.append(len(s))
-            keys.append(np.array([mix(s).sum(), mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()], np.uint64).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], names=["_id", "n_shingles", "set_key"])
-
-
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_id, n, 32-bit signature, band keys of each row."""
+    """_id, n_shingles, set key (16 bytes), 32-bit signature and band keys of each row, in one pass over the texts."""
     for batch in batches:
-        sizes, signed, keys = [], [], []
+        sizes, sets, signed, keys = [], [], [], []
         for s in shingle_sets(batch.column(1)):
-            least = minima(s)
             sizes.append(len(s))
+            if not len(s):
+                sets.append(None)
+                signed.append(None)
+                keys.append(None)
+                continue
+            least = minima(s)
+            sets.append(np.array([mix(s).sum(), mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()], np.uint64).tobytes())
             signed.append((least >> np.uint64(32)).astype(np.uint32).tobytes())
             keys.append(band_keys(least))
-        flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), flat)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(signed, pa.binary()), lists], names=["_id", "n", "signature", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(signed, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["_id", "n_shingles", "set_key", "signature", "keys"])
 
 
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -92,21 +86,24 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return (a == b).mean(axis=-1) >= cut_at
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 128) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 128, broadcast_ids: int = 500_000) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row; linked at 100 * shared >= percent * union."""
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    sets = cut(texts.mapInArrow(_sets, "_id long, n_shingles long, set_key binary"))
-    classes = sets.where("n_shingles > 0").groupBy("set_key").agg(F.min("_id").alias("rep"))
-    members = cut(sets.where("n_shingles > 0").join(classes, "set_key").select("_id", "rep"))
-    reps = members.where("_id = rep").select("_id").distinct()
-    rep_texts = texts.join(reps, "_id", "left_semi")
-    signed = cut(rep_texts.mapInArrow(_signatures, "_id long, n long, signature binary, keys array<long>"))
-    in_buckets = signed.select(F.explode("keys").alias("key"), F.col("_id").alias("rep")).distinct()
+    sets = cut(texts.mapInArrow(_signatures, "_id long, n_shingles long, set_key binary, signature binary, keys array<long>"))
+    classes = sets.where("n_shingles > 0").groupBy("set_key").agg(F.min_by(F.struct("_id", "n_shingles", "signature", "keys"), "_id").alias("_of"))
+    classes = cut(classes.select("set_key", "_of.*").withColumnRenamed("_id", "rep"))
+    short = classes.select(F.col("rep"), F.col("n_shingles").alias("n"), "signature")
+    in_buckets = classes.select(F.explode_outer("keys").alias("key"), "rep")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        """Pairs (u, v) that the full sets confirm."""
-        left = pairs.join(rep_texts.select(F.col("_id").alias("u"), F.col("_text").alias("left")), "u")
-        return left.join(rep_texts.select(F.col("_id").alias("v"), F.col("_text").alias("right")), "v").select("u", "v", "left", "right").mapInArrow(confirm, "u long, v long")
+        """Pairs (u, v) that the full sets confirm; only the texts they name are moved."""
+        pairs = cut(pairs)
+        named = cut(pairs.select(F.explode(F.array("u", "v")).alias("_id")).distinct())
+        if named.count() <= broadcast_ids:
+            named = F.broadcast(named)
+        held = cut(texts.join(named, "_id", "left_semi"))
+        left = pairs.join(held.select(F.col("_id").alias("u"), F.col("_text").alias("left")), "u")
+        return left.join(held.select(F.col("_id").alias("v"), F.col("_text").alias("right")), "v").select("u", "v", "left", "right").mapInArrow(confirm, "u long, v long")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,10 +121,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
 
     # One comparison for each bucket member, with the bucket's least class.
-    centres = in_buckets.groupBy("key").agg(F.min("rep").alias("u"), F.count("*").alias("_size")).where("_size > 1")
-    in_buckets = in_buckets.join(centres.select("key"), "key", "left_semi")
-    starred = in_buckets.join(centres, "key").where("rep <> u").select("u", F.col("rep").alias("v")).distinct()
-    short = signed.select(F.col("_id"), "n", "signature")
+    centres = in_buckets.groupBy("key").agg(F.min("rep").alias("u"), F.count("*").alias("size")).where("size > 1")
+    shared = cut(in_buckets.join(centres, "key"))
+    starred = cut(shared.where("rep <> u").select("u", F.col("rep").alias("v")).distinct())
     sized = starred.join(short.toDF("u", "n_u", "s_u"), "u").join(short.toDF("v", "n_v", "s_v"), "v")
     fits = F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent
     likely = sized.where(fits).select("u", "v", "s_u", "s_v").mapInArrow(by_signature, "u long, v long")
@@ -135,9 +131,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     found = components(links)
 
     # Buckets that hold several components beyond their centre's comparisons.
-    labelled = in_buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_keys = labelled.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("_a"), F.max("component").alias("_b")).where("size > 2 and _a <> _b")
-    rest = cut(labelled.join(open_keys.select("key", "size"), "key").join(short.withColumnRenamed("_id", "rep"), "rep"))
+    labelled = shared.where("size > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    open_keys = labelled.where("rep <> u").groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b")
+    rest = cut(labelled.where("rep <> u").join(open_keys.select("key"), "key").join(short, "rep"))
     blocks = F.ceil(F.col("size") / block).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     dealt = rest.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -160,21 +156,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     if rest.isEmpty():
         joined = found
     else:
-        more = dealt.groupBy("key", "_i", "_j").applyInPandas(cross, "u long, v long").distinct().join(likely_done(starred), ["u", "v"], "left_anti")
+        more = dealt.groupBy("key", "_i", "_j").applyInPandas(cross, "u long, v long").distinct().join(starred, ["u", "v"], "left_anti")
         late = cut(checked(more))
         joined = components(links.unionByName(late)) if not late.isEmpty() else found
 
-    of_class = members.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    of_doc = of_class.select("_id", F.coalesce("component", "rep").alias("component")).distinct()
-    out = sets.join(of_doc, "_id", "left").select(F.col("_id").alias("doc_id"), "n_shingles", F.coalesce("component", "_id").alias("component_id"))
+    of_class = classes.select("set_key", "rep").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    of_class = of_class.select("set_key", F.coalesce("component", "rep").alias("component"))
+    out = sets.select("_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
+    out = out.select(F.col("_id").alias("doc_id"), "n_shingles", F.coalesce("component", "_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def likely_done(starred: DataFrame) -> DataFrame:
-    """Pairs compared with a centre, in (least, greatest) order."""
-    return starred.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-
-
 def distinct_documents(docs: DataFrame, **options: int) -> DataFrame:
     """The rows of `docs` that are kept, with their columns."""
     kept = near_duplicates(docs, **options).where("kept").select("doc_id").distinct()
