@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import chunks, cut, text_bytes
+from plinth.llm.common import chunks, cut, text_bytes, write_and_read
 from plinth.llm.shingles import _CODE, mix, powers
 
 LENGTH, SEED = 400, 50
@@ -246,14 +246,17 @@ def repeats(data: np.ndarray, start: np.ndarray, at: np.ndarray, end: np.ndarray
     return first, last
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = 4096) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = 4096, broadcast_rows: int = 500_000) -> DataFrame:
     """_id, begin, stop (bytes): every repeated stretch is covered; spans may overlap."""
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     long_texts = texts.where(F.octet_length("_text") >= length)
-    places = cut(long_texts.mapInArrow(_places(length), "_id long, seed long, c1 long, c2 long, first int, at int, end int"))
-    # Counts first: seeds found once, most of them, go before anything is shuffled by place.
+    kinds = "_id long, seed long, c1 long, c2 long, first int, at int, end int"
+    places = write_and_read(long_texts.mapInArrow(_places(length), kinds), "places")
+    # Seeds found once, most of them, go first, by a count alone.
+    again = places.groupBy("seed").agg(F.count("*").alias("_n")).where("_n > 1").select("seed")
+    places = cut(places.join(again, "seed"))
     contexts = places.groupBy("seed", "c1", "c2").agg(F.count("*").alias("copies"), F.min(F.struct("_id", "at", "first", "end")).alias("one"))
-    per_seed = contexts.groupBy("seed").agg(F.count("*").alias("contexts"), F.sum("copies").alias("places")).where("places > 1")
+    per_seed = contexts.groupBy("seed").agg(F.count("*").alias("contexts"))
     contexts = cut(contexts.join(per_seed, "seed"))
     copied = contexts.where("copies > 1").select("seed", "c1", "c2")
     whole = places.join(copied, ["seed", "c1", "c2"]).select("_id", F.col("first").alias("begin"), F.col("end").alias("stop"))
@@ -262,7 +265,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     mixed = contexts.join(open_seeds.select("seed"), "seed", "left_semi").select("seed", F.col("one._id").alias("_id"), "one.at", "one.first", "one.end", "contexts")
     mixed = cut(mixed)
     wanted = mixed.groupBy("_id").agg(F.collect_list(F.struct("seed", "first", "at", "end", "contexts")).alias("places"))
-    carried = texts.join(wanted, "_id").select("_id", "_text", "places")
+    named = cut(mixed.select("_id").distinct())
+    named = F.broadcast(named) if named.count() <= broadcast_rows else named
+    carried = texts.join(named, "_id", "left_semi").join(wanted, "_id").select("_id", "_text", "places")
 
     def excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,11 +338,22 @@ def _by_seed(batches: Iterator[pa.RecordBatch], most: int = 1 << 23) -> Iterator
         yield from table.to_batches()[:1]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = 4096) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = 4096, broadcast_rows: int = 500_000) -> DataFrame:
     """`id_col`, n_bytes, n_removed, n_spans, kept (the remaining bytes) and spans of each row."""
-    spans = repeated_spans(docs, length, id_col, text_col, most_contexts)
-    # Spans of a document merge in the JVM by partial sets, then in order per row.
-    of_doc = spans.groupBy("_id").agg(F.collect_set(F.struct("begin", "stop")).alias("spans"))
+    spans = repeated_spans(docs, length, id_col, text_col, most_contexts, broadcast_rows)
+    # Runs of a document merge in the JVM; a text's own length bounds them.
+    run_kind = "array<struct<begin:int,stop:int>>"
+
+    def join_runs(acc, x):
+        last = F.try_element_at(acc, F.lit(-1))
+        longer = F.array(F.struct(last["begin"].alias("begin"), F.greatest(last["stop"], x["stop"]).alias("stop")))
+        meets = (F.size(acc) > 0) & (x["begin"] <= last["stop"])
+        return F.when(meets, F.concat(F.slice(acc, 1, F.size(acc) - 1), longer)).otherwise(F.concat(acc, F.array(x)))
+
+    sorted_spans = spans.groupBy("_id").agg(F.array_sort(F.collect_set(F.struct("begin", "stop"))).alias("_s"))
+    of_doc = cut(sorted_spans.select("_id", F.aggregate("_s", F.array().cast(run_kind), join_runs).alias("spans")))
+    if (of_doc.agg(F.sum(F.size("spans"))).first()[0] or 0) <= broadcast_rows:
+        of_doc = F.broadcast(of_doc)  # at most broadcast_rows runs
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     joined = texts.join(of_doc, "_id", "left")
 
@@ -347,12 +363,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             n_removed, merged, kept = [], [], []
             for i, found in enumerate(batch.column(2).to_pylist()):
                 own = data[offsets[i] : offsets[i + 1]]
-                runs: list[list[int]] = []
-                for begin, stop in sorted((s["begin"], s["stop"]) for s in found or []):
-                    if runs and begin <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], stop)
-                    else:
-                        runs.append([begin, stop])
+                runs = [[s["begin"], s["stop"]] for s in found or []]
                 cuts = [0, *[x for r in runs for x in r], len(own)]
                 kept.append(b"".join(own[a:b].tobytes() for a, b in zip(cuts[::2], cuts[1::2])))
                 merged.append(runs)
