@@ -10,10 +10,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-@F.pandas_udf("string")
-def unescape_html(values: pd.Series) -> pd.Series:
+def unescape_html(c: Column) -> Column:
     """Character references; Spark has no function for the full table."""
-    return values.map(lambda x: html.unescape(x) if x is not None else None)
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: html.unescape(x) if x is not None else None)
+
+    return run(c)
 
 
 def strip_tags(c: Column, unescape: bool = False) -> Column:

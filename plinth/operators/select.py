@@ -89,7 +89,7 @@ def blinded_slots(df: DataFrame, pair: str, arm: str, seed: int = 0, max_tries:
     """
     arms = sorted(r[0] for r in df.select(arm).distinct().limit(3).collect())
     sizes = df.groupBy(pair).agg(F.count("*").alias("n"), F.count_distinct(arm).alias("a"))
-    n_pairs, bad = sizes.agg(F.count("*"), F.count_if("n <> 2 or a <> 2")).first()
+    n_pairs, bad = sizes.agg(F.count("*"), F.count_if(F.expr("n <> 2 or a <> 2"))).first()
     if len(arms) != 2 or bad or n_pairs % 2 or n_pairs < 4:
         raise ContractError("slots need two arms, one row each in an even number of at least four pairs")
     from plinth.operators.reshape import sequential_id

@@ -1 +1,3 @@
 """Imports every plan module, so that its queries are registered."""
+
+from plinth.plans import q_keys, q_relational, q_stats  # noqa: F401

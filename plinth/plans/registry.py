@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FLAGSHIP = "agg_grouped_summary"
+FLAGSHIP = "matched_balance"
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
