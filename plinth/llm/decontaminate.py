@@ -10,8 +10,8 @@ stands for one value of the document, for at least `threshold` of the slots.
 That catches items whose numbers or names were changed throughout.
 
 Because an item's first word may stand in mid-sentence in a document, windows
-with the first word are tried with it as a word and as a name. Windows of
-placeholders alone say nothing and are left out on both sides. A text of fewer
+with the first word are tried with it as a word and as a name. Item windows of
+placeholders alone say nothing and are left out. A text of fewer
 than five words is one window. Null or empty texts and items match nothing;
 repeated rows, ties and null ids are kept as they are. Item windows are
 broadcast only if there are at most `broadcast_windows` of them; beyond that
@@ -30,67 +30,59 @@ WIDTH = 5
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 UNITS = "mm cm km kg mg ml lb lbs oz mph kph kilometers kilometres meters metres centimeters centimetres miles mile inches inch feet foot yards yard kilograms kilogram grams gram pounds pound ounces liters litres liter litre gallons gallon hours hour minutes minute seconds days day weeks week months month years year dollars dollar cents cent euros euro percent degrees degree".split()
 
-_NUMBER = r"(?<![^\s(\[\"'$€£+\-#])[$€£#+\-]*\d[\d.,:/]*(?:st|nd|rd|th)?%?(?![\p{L}\p{N}_])"
-_NUMBER_WORD = r"(?i)(?<![^\s(\[\"'])(?:" + "|".join(NUMBER_WORDS) + r")(?![\p{L}\p{N}_])"
-_UNIT = r"(?i)(?<![^\s(\[\"'\d])(?:" + "|".join(UNITS) + r")(?![\p{L}\p{N}_])"
-_NAME = r"(?<=[^\s.!?:][ \t])\p{Lu}\p{Ll}[\p{L}'’\-]*"
-#: Brackets that mark a placeholder; texts lose these characters first.
+# Each pattern starts with the character class that fails fastest; what stands before it is looked at after.
+_JOINED_UNIT = r"(\d)(?=(?:mm|cm|km|kg|mg|ml|lb|lbs|oz)(?![\p{L}\p{N}]))"
+_NUMBER = r"\d(?<![\p{L}\p{N}_]\d)[\d.,:/]*(?:st|nd|rd|th)?%?(?![\p{L}\p{N}_])"
+_NAME = r"\p{Lu}(?<=[^\s.!?:][ \t]\p{Lu})\p{Ll}[\p{L}'’\-]*"
+#: Brackets that mark a slot's type; texts lose these characters first.
 _OPEN, _CLOSE = "\ue000", "\ue001"
 
 
-def canonical(text: Column) -> Column:
-    """The text with each slot as OPEN type CLOSE value, words as letters and digits, one space between."""
+def tokens(text: Column) -> Column:
+    """Lower-cased words of letters and digits; a slot is OPEN type CLOSE value."""
     out = F.translate(text, _OPEN + _CLOSE, "")
-    # A number that is written together with its unit becomes two words.
-    out = F.regexp_replace(out, r"(?<=\d)(?=(?:mm|cm|km|kg|mg|ml|lb|lbs|oz)(?![\p{L}\p{N}]))", " ")
-    for pattern, kind in ((_NAME, "name"), (_NUMBER, "num"), (_NUMBER_WORD, "num"), (_UNIT, "unit")):
+    out = F.regexp_replace(out, _JOINED_UNIT, "$1 ")  # a number written together with its unit is two words
+    for pattern, kind in ((_NAME, "name"), (_NUMBER, "num")):
         out = F.regexp_replace(out, pattern, f"{_OPEN}{kind}{_CLOSE}$0")
-    # A slot's value may hold a slot of another kind ("One" as a name): the outer one stays.
-    out = F.regexp_replace(out, f"({_OPEN}[a-z]+{_CLOSE})(?:{_OPEN}[a-z]+{_CLOSE})+", "$1")
     out = F.regexp_replace(F.lower(out), rf"[^\p{{L}}\p{{M}}\p{{N}}{_OPEN}{_CLOSE}\s]+", "")
-    return F.btrim(F.regexp_replace(out, r"\s+", " "))
+    words = F.filter(F.split(out, r"\s+"), lambda w: w != "")
+    slot = lambda kind, w: F.concat(F.lit(f"{_OPEN}{kind}{_CLOSE}"), w)
+    return F.transform(words, lambda w: F.when(w.isin(*NUMBER_WORDS), slot("num", w)).when(w.isin(*UNITS), slot("unit", w)).otherwise(w))
 
 
-def template(canon: Column) -> Column:
-    """Slots without their values."""
-    return F.regexp_replace(canon, f"({_OPEN}[a-z]+{_CLOSE})[^ ]*", "$1")
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once: inlined, it would be computed again at each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(text, " "), lambda x: x != "")
+def _hashes(words: Column, need_word: bool = False) -> Column:
+    """xxhash64 of each window's templates; with `need_word`, null for a window of slots alone."""
+    template = lambda w: F.xxhash64(F.substring_index(w, _CLOSE, 1))  # noqa: E731  a slot without its value
 
-
-def _hashes(words: Column) -> Column:
-    """xxhash64 of each window; null for a window of placeholders alone.
-
-    The one-element transform binds the words to a variable: inlined, they
-    would be computed again for each window.
-    """
-
-    def windows(w: Column) -> Column:
+    def windows(w: Column, h: Column) -> Column:
         def window(i: Column) -> Column:
-            parts = [F.get(w, i + j) for j in range(WIDTH)]
-            has_word = F.lit(False)
-            for p in parts:
-                has_word = has_word | ~F.coalesce(p.startswith(_OPEN), F.lit(True))
-            return F.when(has_word, F.xxhash64(*parts))
+            hashed = F.xxhash64(*[F.get(h, i + j) for j in range(WIDTH)])
+            if not need_word:
+                return hashed
+            has_word = F.exists(F.slice(w, i + 1, WIDTH), lambda x: ~x.startswith(_OPEN))
+            return F.when(has_word, hashed)
 
-        return F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - WIDTH, F.lit(0))), window))
+        return F.when(F.size(h) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - WIDTH, F.lit(0))), window))
 
-    return F.get(F.transform(F.array(words), windows), F.lit(0))
+    return _let(words, lambda w: _let(F.transform(w, template), lambda h: windows(w, h)))
 
 
-def _windows(rows: DataFrame, key: str, words: Column) -> DataFrame:
+def _windows(rows: DataFrame, key: str, words: Column, need_word: bool = False) -> DataFrame:
     # The outer form: for the inner one Spark adds a filter that computes the array a second time.
-    return rows.select(key, F.posexplode_outer(_hashes(words)).alias("pos", "hash")).where("hash is not null")
+    return rows.select(key, F.posexplode_outer(_hashes(words, need_word)).alias("pos", "hash")).where("hash is not null")
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """item_id, item_pos, hash; the first word also as a name."""
-    rows = items.select(F.col(id_col).alias("item_id"), template(canonical(F.col(text_col))).alias("_t"))
-    named = rows.withColumn("_t", F.regexp_replace("_t", "^[^ ]+", f"{_OPEN}name{_CLOSE}"))
-    plain = _windows(rows, "item_id", _words(F.col("_t")))
-    both = plain.unionByName(_windows(named, "item_id", _words(F.col("_t"))).where("pos = 0"))
+    rows = items.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("_t"))
+    words = tokens(F.col("_t"))
+    named = F.transform(words, lambda w, i: F.when(i == 0, F.concat(F.lit(f"{_OPEN}name{_CLOSE}"), w)).otherwise(w))
+    both = _windows(rows, "item_id", words, True).unionByName(_windows(rows, "item_id", named, True).where("pos = 0"))
     return both.withColumnRenamed("pos", "item_pos").distinct()
 
 
@@ -104,7 +96,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, broa
     if small:
         known = F.broadcast(known)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).where("_text is not null")
-    hits = cut(_windows(texts, "doc_id", _words(template(canonical(F.col("_text"))))).join(known, "hash"))
+    hits = cut(_windows(texts, "doc_id", tokens(F.col("_text"))).join(known, "hash"))
     pairs = hits.join(F.broadcast(bench) if small else bench, "hash")
     covered = pairs.groupBy("doc_id", "item_id").agg(F.countDistinct("item_pos").alias("hit_windows"))
     covered = covered.join(F.broadcast(sizes) if small else sizes, "item_id")
@@ -114,8 +106,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, broa
     # Slots of the covered pairs only: their texts are read again.
     wanted = pairs.join(covered, ["doc_id", "item_id"], "left_semi").select("doc_id", "item_id", "pos", "item_pos")
     held = cut(texts.join(covered.select("doc_id").distinct(), "doc_id", "left_semi"))
-    doc_slots = held.select("doc_id", F.posexplode_outer(_words(canonical(F.col("_text")))).alias("at", "doc_value")).where(F.col("doc_value").startswith(_OPEN)).distinct()
-    item_slots = items.select("item_id", F.posexplode_outer(_words(canonical(F.col("text")))).alias("item_at", "item_value")).where(F.col("item_value").startswith(_OPEN)).distinct()
+    doc_slots = held.select("doc_id", F.posexplode_outer(tokens(F.col("_text"))).alias("at", "doc_value")).where(F.col("doc_value").startswith(_OPEN)).distinct()
+    item_slots = items.select("item_id", F.posexplode_outer(tokens(F.col("text"))).alias("item_at", "item_value")).where(F.col("item_value").startswith(_OPEN)).distinct()
     at = wanted.select("doc_id", "item_id", F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1))).alias("_j"), "pos", "item_pos")
     at = at.select("doc_id", "item_id", (F.col("pos") + F.col("_j")).alias("at"), (F.col("item_pos") + F.col("_j")).alias("item_at")).distinct()
     slots = at.join(doc_slots, ["doc_id", "at"]).join(item_slots, ["item_id", "item_at"])
