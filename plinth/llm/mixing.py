@@ -9,7 +9,8 @@ sources last.
 Weights are rounded to c/period with integers c >= 1 (largest remainder), so
 the schedule repeats after `period` slots: it is computed once over a bounded
 number of slots and every row finds its slot by arithmetic. The period is at
-least four slots for each source.
+least four slots for each source. Deviations are measured against the rounded
+weights, which differ from the targets by less than one slot of a period.
 
 Every row is placed exactly once. When a source is used up, its later slots
 stay empty and the others go on in schedule order; `in_mix` marks the slots
@@ -78,7 +79,7 @@ def _name(source: str | None) -> str:
     return "\x00null" if source is None else str(source)
 
 
-def mix(docs: DataFrame, weights: dict[str, float], block: int = 16, period: int = 1000, seed: int = 0, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float], block: int = 16, period: int = 10_000, seed: int = 0, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """`docs` plus mix_block, mix_slot, mix_position (order of the mixture) and in_mix."""
     spark = docs.sparkSession
     if any(w <= 0 for w in weights.values()):

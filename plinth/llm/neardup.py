@@ -9,9 +9,9 @@
    signature and then by the full sets of their texts. Linked members merge
    into components by alternating large-star and small-star. Buckets that then
    still hold several components are gone through in blocks of bounded size,
-   comparing only members of different components, and what these signatures
-   let through is confirmed on full sets too. So every link found by banding
-   counts, but no bucket's pairs are all written out.
+   comparing only members of different components, by signature and 32-bit
+   shingle hashes inside the task; what is left is confirmed on full sets. So
+   every link found by banding counts, but no bucket's pairs are written out.
 
 Empty or null texts have no shingles and no links. Ids may not be null; the
 rows of a repeated id are one document each, with the same component. An empty
@@ -79,6 +79,13 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(signed, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["_id", "n_shingles", "set_key", "signature", "keys"])
 
 
+def _short_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rep, its shingles as 32-bit hashes (a collision counts as shared)."""
+    for batch in batches:
+        made = [(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in shingle_sets(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["rep", "shingles"])
+
+
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """For rows of signatures: whether the estimate leaves the threshold possible."""
     t = percent / 100
@@ -133,32 +140,47 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     # Buckets that hold several components beyond their centre's comparisons.
     labelled = shared.where("size > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_keys = labelled.where("rep <> u").groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b")
-    rest = cut(labelled.where("rep <> u").join(open_keys.select("key"), "key").join(short, "rep"))
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    dealt = rest.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "rep", "component", "n", "signature")
-
-    def cross(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Likely pairs of different components between two blocks of a bucket."""
-        sig = np.frombuffer(b"".join(pdf["signature"]), np.uint32).reshape(len(pdf), -1)
-        ids, comp, n, own = (pdf[c].to_numpy() for c in ("rep", "component", "n", "_own"))
-        i, j = pdf["_i"].iat[0], pdf["_j"].iat[0]
-        rows, cols = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out = []
-        for a in rows:
-            near = cols[(comp[cols] != comp[a]) & (ids[cols] > ids[a] if i == j else True)]
-            near = near[np.minimum(n[near], n[a]) * 100 >= np.maximum(n[near], n[a]) * percent]
-            near = near[alike(sig[near], sig[a][None, :], percent)] if len(near) else near
-            out += [(min(ids[a], ids[b]), max(ids[a], ids[b])) for b in near]
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
-
-    if rest.isEmpty():
-        joined = found
-    else:
-        more = dealt.groupBy("key", "_i", "_j").applyInPandas(cross, "u long, v long").distinct().join(starred, ["u", "v"], "left_anti")
-        late = cut(checked(more))
-        joined = components(links.unionByName(late)) if not late.isEmpty() else found
+    rest = cut(labelled.where("rep <> u").join(open_keys.select("key"), "key").select("key", "rep", "component", "size"))
+    joined = found
+    if not rest.isEmpty():
+        named = cut(rest.select(F.col("rep").alias("_id")).distinct())
+        named = F.broadcast(named) if named.count() <= broadcast_ids else named
+        hashed = texts.join(named, "_id", "left_semi").mapInArrow(_short_hashes, "rep long, shingles binary")
+        payload = short.join(hashed, "rep").join(classes.select("rep", "keys"), "rep")
+        blocks = F.ceil(F.col("size") / block).cast("int")
+        dealt = rest.withColumn("_own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        dealt = dealt.select("key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "rep", "component").join(payload, "rep")
+
+        def cross(pdf: pd.DataFrame) -> pd.DataFrame:
+            """Pairs of different components between two blocks of a bucket that their short hashes link.
+
+            A pair is looked at in the first band that it shares. Short hashes can
+            only make sets more alike, so no link is lost; the full sets decide.
+            """
+            sig = np.frombuffer(b"".join(pdf["signature"]), np.uint32).reshape(len(pdf), -1)
+            bands = np.stack(pdf["keys"].to_numpy())
+            ids, comp, n, own = (pdf[c].to_numpy() for c in ("rep", "component", "n", "_own"))
+            sets = [np.frombuffer(x, np.uint32) for x in pdf["shingles"]]
+            key, i, j = pdf["key"].iat[0], pdf["_i"].iat[0], pdf["_j"].iat[0]
+            rows, cols = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            out = []
+            for a in rows:
+                near = cols[(comp[cols] != comp[a]) & (ids[cols] > ids[a] if i == j else True)]
+                near = near[np.minimum(n[near], n[a]) * 100 >= np.maximum(n[near], n[a]) * percent]
+                if len(near):
+                    same = bands[near] == bands[a]
+                    near = near[bands[a][same.argmax(axis=1)] == key]
+                if len(near):
+                    near = near[alike(sig[near], sig[a][None, :], percent)]
+                for b in near:
+                    shared = np.isin(sets[a], sets[b]).sum()
+                    if 100 * shared >= percent * (n[a] + n[b] - shared):
+                        out.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
+            return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+        late = cut(checked(dealt.groupBy("key", "_i", "_j").applyInPandas(cross, "u long, v long").distinct()))
+        if not late.isEmpty():
+            joined = components(links.unionByName(late))
 
     of_class = classes.select("set_key", "rep").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
     of_class = of_class.select("set_key", F.coalesce("component", "rep").alias("component"))

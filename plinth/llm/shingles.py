@@ -75,7 +75,7 @@ def shingle_hashes(words: np.ndarray, by_row: np.ndarray, width: int = 5) -> tup
     step = np.uint64(0xD6E8FEB86659FD93)
     rolled = words.copy()
     factor = step
-    for j in range(1, width):
+    for j in range(1, min(width, len(words))):
         rolled[: len(words) - j] += words[j:] * factor
         factor = factor * step
     at = np.repeat(by_row[:-1] - offsets[:-1], made) + np.arange(offsets[-1])

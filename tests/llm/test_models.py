@@ -1,0 +1,90 @@
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from plinth.llm import langid, quality
+
+PIECES = ["▁", "a", "b", "ab", "▁a", "ba", "aa"]
+
+
+def segmentations(word, table):
+    """Sum over all segmentations, by brute force."""
+
+    def walk(i):
+        if i == len(word):
+            return 1.0
+        total = 0.0
+        for j in range(i + 1, len(word) + 1):
+            piece = word[i:j]
+            if piece in table:
+                total += table[piece] * walk(j)
+            elif j == i + 1:
+                total += langid.UNKNOWN * walk(j)
+        return total
+
+    return walk(0)
+
+
+def test_forward_sums_all_segmentations():
+    pieces = langid.Pieces(PIECES)
+    rng = np.random.default_rng(1)
+    p = rng.random((len(PIECES) + 1, 2))
+    p[-1] = langid.UNKNOWN
+    words = ["▁a", "▁abba", "▁bab", "▁xaba", "▁aaaa", "▁ñ"]
+    got = langid.log_likelihoods(words, pieces, p)
+    for i, w in enumerate(words):
+        for lang in range(2):
+            want = segmentations(w, {x: p[k, lang] for k, x in enumerate(PIECES)})
+            assert got[i, lang] == pytest.approx(np.log(want))
+
+
+def test_learning_never_lowers_the_likelihood():
+    pieces = langid.Pieces(PIECES)
+    words, counts = ["▁ab", "▁ba", "▁aab"], np.array([[5.0, 1.0], [1.0, 5.0], [2.0, 2.0]])
+    scores = [(langid.log_likelihoods(words, pieces, langid.learn(words, counts, pieces, r, 1e-9)) * counts).sum() for r in range(5)]
+    assert all(b >= a - 1e-9 for a, b in zip(scores, scores[1:]))
+
+
+def test_language_held_out_accuracy_and_edges(spark):
+    rng = random.Random(2)
+    make = {"en": "the and thing other with house".split(), "de": "der und nicht schule haus mit".split(), "fr": "le et dans maison avec êtes".split()}
+    rows = [(i, " ".join(rng.choice(make[lang]) for _ in range(20)), lang) for i, lang in enumerate(rng.choices(list(make), k=150))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs.where("doc_id < 100"), rows_each=30)
+    got = langid.predict(docs.where("doc_id >= 100"), model).collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.97 and all(0 <= r.score <= 1 for r in got)
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 !! ²"), (4, "a" * 50000), (5, "HOUSE with THE")], "doc_id long, text string").withColumn("score", F.lit("clash"))
+    pred = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(odd, model).collect()}
+    assert [pred[i] for i in (1, 2, 3)] == [("und", 0.0)] * 3 and pred[5][0] == "en"
+    assert {r.lang_pred for r in langid.predict(odd, langid.fit(docs.limit(0))).collect()} == {"und"}
+    assert langid.predict(odd.limit(0), model).count() == 0
+
+
+def test_quality_held_out_accuracy_and_edges(spark):
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in ("ba", "ko", "ri", "tu") for b in ("na", "lo", "mi")]
+    good = lambda: " ".join(rng.choice(words) for _ in range(60))
+    bad = lambda: " ".join(rng.choice(words).upper() + "!!" for _ in range(60))
+    rows = [(i, good() if i % 4 else bad()) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(300)] + [(5, None), (9999, 1)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, rows=200)
+    got = quality.score(docs.where("doc_id >= 300"), model).collect()
+    assert np.mean([r.predicted == int(r.doc_id % 4 > 0) for r in got]) > 0.97
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "é"), (4, "q " * 40000), (4, "q " * 40000)], "doc_id long, text string").withColumn("predicted", F.lit("clash"))
+    assert all(0 <= r.score <= 1 for r in quality.score(odd, model).collect())
+    none = quality.fit(docs, labels.limit(0))
+    assert {r.score for r in quality.score(odd, none).collect()} == {0.5}
+    assert quality.score(odd.limit(0), model).count() == 0
+    kept = quality.accepted(docs, labels, rows=200)
+    assert kept.columns == docs.columns and kept.count() == pytest.approx(300, abs=8)
+
+
+def test_batched_features_equal_single_ones():
+    texts = ["ab cd ab ab", "", "x", "héllo wörld", "a", "zz zz zz"]
+    model = quality.train(pa.array(texts), np.array([1, 0, 1, 0, 1, 0]), epochs=1)
+    whole = model.scores(pa.array(texts))
+    assert np.allclose(whole, [model.scores(pa.array([t]))[0] for t in texts])
