@@ -73,4 +73,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 #: DuckDB SQL of the operators that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_minhash_near_dedup": """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS h FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * i >= 85 * (a.n + b.n - i)),
+e2 AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+r(d, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e2.v, r.c FROM r JOIN e2 ON r.d = e2.u)
+SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, documents.doc_id = m.c AS kept
+FROM documents JOIN (SELECT d, min(c) AS c FROM r GROUP BY 1) m ON m.d = documents.doc_id LEFT JOIN n ON n.doc_id = documents.doc_id
+""",
+    "op2_chat_formatting": """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+e AS (SELECT *, length(regexp_replace(text, '<(\\\\*)\\|', '<\\\\\\1|', 'g')) AS tl, length(regexp_replace(role, '<(\\\\*)\\|', '<\\\\\\1|', 'g')) AS rl,
+  coalesce(role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text), false) AS same FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+CAST(sum(tl + CASE WHEN same THEN 10 ELSE 24 + rl END) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id
+""",
+}
