@@ -134,8 +134,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, id_col: str = "doc
     # `rows` bounds both the broadcast and what the driver gathers.
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     got = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(sample), "_id")
-    table = got.select("_id", "_text", "_label").toArrow().sort_by("_id")
-    return train(table["_text"].combine_chunks(), table["_label"].to_numpy())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        if parts:
+            table = pa.Table.from_batches(parts).sort_by("_id")
+            model = train(table["_text"].combine_chunks(), table["_label"].to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array([model.shares.tobytes()], pa.binary()), pa.array([model.bias])], names=["shares", "bias"])
+
+    # One task gets the bounded sample; the driver gets 2**BITS floats.
+    fitted = got.select("_id", "_text", "_label").repartition(1).mapInArrow(run, "shares binary, bias double").collect()
+    return Model(np.frombuffer(fitted[0].shares, np.float32), fitted[0].bias) if fitted else train(pa.array([], pa.string()), np.zeros(0, np.int64))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.3) -> DataFrame:
