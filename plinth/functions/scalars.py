@@ -46,7 +46,7 @@ def decode_transfers(code: Column) -> Column:
     """struct(transfers, transfers_censored): codes 1 to 4 are counts 0 to 3, the last censored; other codes are an error."""
     bad = code.isNotNull() & ~code.isin(1, 2, 3, 4)
     checked = F.when(bad, F.raise_error(F.lit("transfers has a value outside 1 to 4")).cast("int")).otherwise(code)
-    return F.struct((F.least(checked, F.lit(4)) - 1).alias("transfers"), F.coalesce(code == 4, F.lit(False)).alias("transfers_censored"))
+    return F.struct((checked - 1).alias("transfers"), F.coalesce(code == 4, F.lit(False)).alias("transfers_censored"))
 
 
 def lookup(c: Column, values: Mapping[str, str], default: str | None = None) -> Column:

@@ -93,14 +93,14 @@ def z_score(df: DataFrame, value: str, name: str = "z", by: Sequence[str] = ())
 
 
 def smd(df: DataFrame, treated: Column, covariates: Sequence[str], population: bool = False) -> DataFrame:
-    """covariate, means of both arms and the standardised mean difference; 0 if both sds are 0. One pass."""
+    """covariate, means of both arms and the standardised mean difference; 0 if both sds are 0, null if an arm is empty. One pass."""
     var = F.var_pop if population else F.var_samp
     parts = []
     for c in covariates:
         a, b = F.when(treated, F.col(c)), F.when(~treated, F.col(c))
         pooled = F.sqrt((F.coalesce(var(a), F.lit(0.0)) + F.coalesce(var(b), F.lit(0.0))) / 2)
         gap = F.avg(a) - F.avg(b)
-        parts.append(F.struct(F.lit(c).alias("covariate"), F.avg(a).alias("mean_treated"), F.avg(b).alias("mean_control"), F.when(pooled > 0, gap / pooled).otherwise(0.0).alias("smd")))
+        parts.append(F.struct(F.lit(c).alias("covariate"), F.avg(a).alias("mean_treated"), F.avg(b).alias("mean_control"), F.when((pooled > 0) | gap.isNull(), gap / pooled).otherwise(0.0).alias("smd")))
     return df.agg(F.array(*parts).alias("_rows")).select(F.inline("_rows"))
 
 

@@ -52,7 +52,7 @@ def disjoint_selection(nodes: DataFrame, node: str, keys: str, rank: Sequence[st
     base = base.withColumn("self_collision", F.size("all_keys") > F.size(F.array_distinct("all_keys")))
     base = cut(base.withColumn("ks", F.array_distinct("all_keys")).drop("all_keys"))
     open_ = base.select("n", "r", "ks")
-    taken = dropped = None
+    taken = None
     for _ in range(most_rounds):
         if open_.isEmpty():
             break
@@ -60,17 +60,19 @@ def disjoint_selection(nodes: DataFrame, node: str, keys: str, rank: Sequence[st
         lead = long.groupBy("k").agg(F.min("r").alias("m"))
         blocked = long.join(lead, "k").where("r > m").select("n").distinct()
         new = cut(open_.join(blocked, "n", "left_anti"))
-        new_keys = new.select("n", F.explode("ks").alias("k")).groupBy("k").agg(F.min("n").alias("holder"))
-        hit = open_.join(new.select("n"), "n", "left_anti").select("n", F.posexplode("ks").alias("i", "k")).join(new_keys, "k")
-        lost = cut(hit.groupBy("n").agg(F.min_by("holder", "i").alias("conflicts_with")))
-        taken = new.select("n", "r") if taken is None else cut(taken.unionByName(new.select("n", "r")))
-        dropped = lost if dropped is None else cut(dropped.unionByName(lost))
+        new_keys = new.select(F.explode("ks").alias("k"))
+        lost = cut(open_.join(new.select("n"), "n", "left_anti").select("n", F.explode("ks").alias("k")).join(new_keys, "k", "left_semi").select("n").distinct())
+        taken = new if taken is None else cut(taken.unionByName(new))
         open_ = cut(open_.join(new.select("n"), "n", "left_anti").join(lost.select("n"), "n", "left_anti"))
     else:
         raise ContractError("selection did not settle")
     if taken is None:
         return base.select(F.col("n").alias(node), F.lit("selected").alias("status"), F.lit(None).cast("string").alias("conflicts_with"), "self_collision")
-    chosen = cut(taken.orderBy("r").limit(cap))
+    # A conflict names the holder of the node's first key that was taken when its turn came.
+    holders = taken.select(F.explode("ks").alias("k"), F.col("n").alias("holder"), F.col("r").alias("hr"))
+    rejected = base.join(taken.select("n"), "n", "left_anti").select("n", "r", F.posexplode("ks").alias("i", "k"))
+    dropped = rejected.join(holders, "k").where("hr < r").groupBy("n").agg(F.min_by("holder", "i").alias("conflicts_with"))
+    chosen = cut(taken.select("n", "r").orderBy("r").limit(cap))
     full = chosen.count() >= cap
     last = chosen.agg(F.max("r").alias("last"))  # one row
     out = base.join(chosen.select("n", F.lit(True).alias("sel")), "n", "left").join(dropped, "n", "left").crossJoin(F.broadcast(last))

@@ -39,8 +39,9 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType |
 def read_csv_strings(spark: SparkSession, path: str, names: Sequence[str] | None = None, sep: str = ",", quote: str = '"') -> DataFrame:
     """Every column a string with its literal text: `NA` stays, an empty field is the empty string."""
     reader = spark.read.option("header", names is None).option("sep", sep).option("quote", quote).option("nullValue", "\x00").option("emptyValue", "").option("inferSchema", False)
+    if names is not None:
+        reader = reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
     df = reader.csv(path)
-    df = df.toDF(*names) if names is not None else df
     return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
 
 
