@@ -253,7 +253,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     kinds = "_id long, seed long, c1 long, c2 long, first int, at int, end int"
     places = write_and_read(long_texts.mapInArrow(_places(length), kinds), "places")
     # Seeds found once, most of them, go first, by a count alone.
-    again = places.groupBy("seed").agg(F.count("*").alias("_n")).where("_n > 1").select("seed")
+    # Kept apart from the join, so that a hot seed's places can be split over tasks.
+    again = cut(places.groupBy("seed").agg(F.count("*").alias("_n")).where("_n > 1").select("seed"))
     places = cut(places.join(again, "seed"))
     contexts = places.groupBy("seed", "c1", "c2").agg(F.count("*").alias("copies"), F.min(F.struct("_id", "at", "first", "end")).alias("one"))
     per_seed = contexts.groupBy("seed").agg(F.count("*").alias("contexts"))
