@@ -225,3 +225,19 @@ def matched_balance(spark: Spark, d: str) -> DataFrame:
     arms = reshape.arms_to_rows(m, ["s_suppkey"], {"treated": "treated", "control": "control"}, "arm", "score")
     s = aggs.smd(arms, F.col("arm") == "treated", ["score"])
     return s.select(F.round("mean_treated", 4).alias("mean_treated"), F.round("mean_control", 4).alias("mean_control"), F.round("smd", 6).alias("smd"))
+
+
+@query()
+def st_04_binomial_mixed(spark: Spark, d: str) -> DataFrame:
+    from plinth.operators import mixed
+
+    o = t(spark, d, "orders").select("o_custkey", (F.col("o_orderstatus") == "O").cast("int").alias("y"), (F.col("o_totalprice") / 1e5).alias("price"))
+    return stats.effects(o, mixed.fit_mixed(o, "y", ["price"], "o_custkey", nodes=5))
+
+
+@query()
+def st_05_negative_binomial_mixed(spark: Spark, d: str) -> DataFrame:
+    from plinth.operators import mixed
+
+    li = t(spark, d, "lineitem").select("l_suppkey", (F.col("l_returnflag") == "R").cast("int").alias("arm"), F.col("l_quantity").cast("int").alias("y"))
+    return stats.effects(li, mixed.fit_mixed(li, "y", ["arm"], "l_suppkey", "negative_binomial", nodes=5))
