@@ -35,11 +35,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def write_and_read(df: DataFrame, name: str) -> DataFrame:
-    """Write as a Parquet table in the shared folder and read it again."""
+def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """A Parquet table written in the shared folder, and its path."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def write_and_read(df: DataFrame, name: str) -> DataFrame:
+    return write_table(df, name)[0]
+
+
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Delete a table that this process wrote and that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import chunks, cut, text_bytes, write_and_read
+from plinth.llm.common import chunks, cut, remove_table, text_bytes, write_table
 from plinth.llm.shingles import _CODE, mix, powers
 
 LENGTH, SEED = 400, 50
@@ -251,11 +251,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     long_texts = texts.where(F.octet_length("_text") >= length)
     kinds = "_id long, seed long, c1 long, c2 long, first int, at int, end int"
-    places = write_and_read(long_texts.mapInArrow(_places(length), kinds), "places")
+    found, folder = write_table(long_texts.mapInArrow(_places(length), kinds), "places")
     # Seeds found once, most of them, go first, by a count alone.
     # Kept apart from the join, so that a hot seed's places can be split over tasks.
-    again = cut(places.groupBy("seed").agg(F.count("*").alias("_n")).where("_n > 1").select("seed"))
-    places = cut(places.join(again, "seed"))
+    again = cut(found.groupBy("seed").agg(F.count("*").alias("_n")).where("_n > 1").select("seed"))
+    places = cut(found.join(again, "seed"))
+    remove_table(docs.sparkSession, folder)
     contexts = places.groupBy("seed", "c1", "c2").agg(F.count("*").alias("copies"), F.min(F.struct("_id", "at", "first", "end")).alias("one"))
     per_seed = contexts.groupBy("seed").agg(F.count("*").alias("contexts"))
     contexts = cut(contexts.join(per_seed, "seed"))
@@ -265,17 +266,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     open_seeds = contexts.groupBy("seed").agg(F.min("copies").alias("_least"), F.count("*").alias("_n")).where("_n > 1 and _least = 1")
     mixed = contexts.join(open_seeds.select("seed"), "seed", "left_semi").select("seed", F.col("one._id").alias("_id"), "one.at", "one.first", "one.end", "contexts")
     mixed = cut(mixed)
-    wanted = mixed.groupBy("_id").agg(F.collect_list(F.struct("seed", "first", "at", "end", "contexts")).alias("places"))
-    named = cut(mixed.select("_id").distinct())
-    named = F.broadcast(named) if named.count() <= broadcast_rows else named
-    carried = texts.join(named, "_id", "left_semi").join(wanted, "_id").select("_id", "_text", "places")
+    is_hot = F.col("contexts") > most_contexts
+
+    def carry(part: DataFrame) -> DataFrame:
+        """The texts that have places in `part`, with these places."""
+        wanted = part.groupBy("_id").agg(F.collect_list(F.struct("seed", "first", "at", "end")).alias("places"))
+        named = cut(part.select("_id").distinct())
+        named = F.broadcast(named) if named.count() <= broadcast_rows else named
+        return texts.join(named, "_id", "left_semi").join(wanted, "_id").select("_id", "_text", "places")
 
     def excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             out = []
             for own, begin, found in zip(batch.column(0).to_pylist(), offsets.tolist(), batch.column(2).to_pylist()):
-                out += [(own, p["seed"], p["first"], p["at"], p["end"], data[begin + p["first"] : begin + p["end"]].tobytes()) for p in found if p["contexts"] <= most_contexts]
+                out += [(own, p["seed"], p["first"], p["at"], p["end"], data[begin + p["first"] : begin + p["end"]].tobytes()) for p in found]
             for i in range(0, len(out), 5000):
                 part = list(zip(*out[i : i + 5000]))
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
@@ -287,13 +292,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             data, offsets = text_bytes(batch.column(1))
             for own, begin, found in zip(batch.column(0).to_pylist(), offsets.tolist(), batch.column(2).to_pylist()):
                 for p in found:
-                    if p["contexts"] > most_contexts:
-                        part = data[begin + p["first"] : begin + p["end"]]
-                        at = np.arange(len(part) - length + 1)
-                        pair = [pa.array(mix(span_hash(prefix_hashes(part, code), at, at + length)).view(np.int64)) for code in (_CODE, _SECOND)]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), own)), pa.array((at + p["first"]).astype(np.int32)), *pair], names=["_id", "begin", "h1", "h2"])
+                    part = data[begin + p["first"] : begin + p["end"]]
+                    at = np.arange(len(part) - length + 1)
+                    pair = [pa.array(mix(span_hash(prefix_hashes(part, code), at, at + length)).view(np.int64)) for code in (_CODE, _SECOND)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), own)), pa.array((at + p["first"]).astype(np.int32)), *pair], names=["_id", "begin", "h1", "h2"])
 
-    context = carried.mapInArrow(excerpts, "_id long, seed long, first int, at int, end int, context binary")
+    context = carry(mixed.where(~is_hot)).mapInArrow(excerpts, "_id long, seed long, first int, at int, end int, context binary")
     parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2)
     dealt = context.repartition(parts, "seed").sortWithinPartitions("seed")
 
@@ -311,9 +315,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     settled = dealt.mapInArrow(compare, "_id long, begin int, stop int")
     spans = whole.unionByName(settled)
-    if mixed.where(F.col("contexts") > most_contexts).isEmpty():
+    if mixed.where(is_hot).isEmpty():
         return spans
-    dealt_stretches = cut(carried.mapInArrow(stretches, "_id long, begin int, h1 long, h2 long"))
+    dealt_stretches = cut(carry(mixed.where(is_hot)).mapInArrow(stretches, "_id long, begin int, h1 long, h2 long"))
     again = dealt_stretches.groupBy("h1", "h2").count().where("count > 1")
     hot = dealt_stretches.join(again, ["h1", "h2"], "left_semi").select("_id", "begin", (F.col("begin") + length).alias("stop"))
     return spans.unionByName(hot)
