@@ -52,6 +52,12 @@ def remove_table(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def if_small(ids: DataFrame, most: int) -> DataFrame:
+    """A checkpointed table, to be broadcast if it has at most `most` rows."""
+    held = cut(ids)
+    return F.broadcast(held) if held.count() <= most else held
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows and the int64 offsets of the rows; a null row is empty."""
     if isinstance(column, pa.ChunkedArray):

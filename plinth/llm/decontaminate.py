@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import cut
+from plinth.llm.common import cut, if_small
 
 WIDTH = 5
 #: Number words and units of measure.
@@ -86,7 +86,7 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
     return both.withColumnRenamed("pos", "item_pos").distinct()
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, broadcast_windows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, broadcast_windows: int = 1_000_000, broadcast_ids: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, coverage, slot_consistency, n_slots, changed_slots of each document that holds an item."""
     bench = cut(item_windows(items))
     sizes = bench.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows"))
@@ -105,7 +105,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, broa
 
     # Slots of the covered pairs only: their texts are read again.
     wanted = pairs.join(covered, ["doc_id", "item_id"], "left_semi").select("doc_id", "item_id", "pos", "item_pos")
-    held = cut(texts.join(covered.select("doc_id").distinct(), "doc_id", "left_semi"))
+    held = cut(texts.join(if_small(covered.select("doc_id").distinct(), broadcast_ids), "doc_id", "left_semi"))
     doc_slots = held.select("doc_id", F.posexplode_outer(tokens(F.col("_text"))).alias("at", "doc_value")).where(F.col("doc_value").startswith(_OPEN)).distinct()
     item_slots = items.select("item_id", F.posexplode_outer(tokens(F.col("text"))).alias("item_at", "item_value")).where(F.col("item_value").startswith(_OPEN)).distinct()
     at = wanted.select("doc_id", "item_id", F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1))).alias("_j"), "pos", "item_pos")
@@ -123,6 +123,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, broa
     return out.where(F.col("slot_consistency") >= threshold)
 
 
-def clean(docs: DataFrame, items: DataFrame, **options: float) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, **options: int) -> DataFrame:
     """The rows of `docs` that hold no item; rows with a null id stay."""
-    return docs.join(contaminated(docs, items, **options).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    gone = if_small(contaminated(docs, items, **options).select("doc_id").distinct(), options.get("broadcast_ids", 500_000))
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import cut
+from plinth.llm.common import cut, if_small
 from plinth.llm.components import components
 from plinth.llm.shingles import mix, shingle_sets
 
@@ -105,9 +105,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     def checked(pairs: DataFrame) -> DataFrame:
         """Pairs (u, v) that the full sets confirm; only the texts they name are moved."""
         pairs = cut(pairs)
-        named = cut(pairs.select(F.explode(F.array("u", "v")).alias("_id")).distinct())
-        if named.count() <= broadcast_ids:
-            named = F.broadcast(named)
+        named = if_small(pairs.select(F.explode(F.array("u", "v")).alias("_id")).distinct(), broadcast_ids)
         held = cut(texts.join(named, "_id", "left_semi"))
         left = pairs.join(held.select(F.col("_id").alias("u"), F.col("_text").alias("left")), "u")
         return left.join(held.select(F.col("_id").alias("v"), F.col("_text").alias("right")), "v").select("u", "v", "left", "right").mapInArrow(confirm, "u long, v long")
@@ -143,8 +141,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     rest = cut(labelled.where("rep <> u").join(open_keys.select("key"), "key").select("key", "rep", "component", "size"))
     joined = found
     if not rest.isEmpty():
-        named = cut(rest.select(F.col("rep").alias("_id")).distinct())
-        named = F.broadcast(named) if named.count() <= broadcast_ids else named
+        named = if_small(rest.select(F.col("rep").alias("_id")).distinct(), broadcast_ids)
         hashed = texts.join(named, "_id", "left_semi").mapInArrow(_short_hashes, "rep long, shingles binary")
         payload = short.join(hashed, "rep").join(classes.select("rep", "keys"), "rep")
         blocks = F.ceil(F.col("size") / block).cast("int")
@@ -191,5 +188,5 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
 
 def distinct_documents(docs: DataFrame, **options: int) -> DataFrame:
     """The rows of `docs` that are kept, with their columns."""
-    kept = near_duplicates(docs, **options).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    gone = near_duplicates(docs, **options).where("not kept").select("doc_id").distinct()
+    return docs.join(if_small(gone, options.get("broadcast_ids", 500_000)), "doc_id", "left_anti").select(*docs.columns)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import chunks, cut, remove_table, text_bytes, write_table
+from plinth.llm.common import chunks, cut, if_small, remove_table, text_bytes, write_table
 from plinth.llm.shingles import _CODE, mix, powers
 
 LENGTH, SEED = 400, 50
@@ -271,8 +271,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     def carry(part: DataFrame) -> DataFrame:
         """The texts that have places in `part`, with these places."""
         wanted = part.groupBy("_id").agg(F.collect_list(F.struct("seed", "first", "at", "end")).alias("places"))
-        named = cut(part.select("_id").distinct())
-        named = F.broadcast(named) if named.count() <= broadcast_rows else named
+        named = if_small(part.select("_id").distinct(), broadcast_rows)
         return texts.join(named, "_id", "left_semi").join(wanted, "_id").select("_id", "_text", "places")
 
     def excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
