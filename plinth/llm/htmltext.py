@@ -46,8 +46,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 UNSEEN = frozenset("script style noscript template iframe svg canvas object audio video math head title textarea select button".split())
 DECLARED_TAGS = frozenset("nav footer aside form dialog menu".split())
 DECLARED_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disqus footer gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related recommended replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget widgets".split()
+    "ad ads adbox adslot adsbygoogle advert adverts advertisement advertising alert banner breadcrumb breadcrumbs consent cookie cookies copyright footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related recommended search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget widgets".split()
 )
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies respond".split())
+ARTICLE_WORDS = COMMENT_WORDS | frozenset("ad ads advert promo related recommended sponsored teaser".split())
+#: Words that are also found when parted or joined in another way.
+DECLARED_PARTS = re.compile("sidebar|breadcrumb|navbar|cookie|newsletter|advert")
+COMMENT_PARTS = re.compile("comment(?!ary)")
 DECLARED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 PLAIN = frozenset("article main section div p h1 h2 h3 h4 h5 h6 ul ol li blockquote pre table tbody thead tr td th dl dt dd figure figcaption".split())
 #: An open element of the first kind ends at the start of one of the second.
@@ -68,6 +73,21 @@ def _hash(above: int, own: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{above}/{own}".encode(), digest_size=8).digest(), "big", signed=True)
 
 
+@lru_cache(1 << 14)
+def _named_as(tag: str, named: str, in_main: bool) -> str:
+    """`comments`, `boilerplate` or nothing, by an element's classes and id."""
+    if not named or tag in ("html", "body", "main"):
+        return ""
+    words, packed = _words(named), re.sub("[^a-z]", "", named.lower())
+    if tag == "article":
+        return "comments" if words & ARTICLE_WORDS else ""
+    if words & COMMENT_WORDS or COMMENT_PARTS.search(packed):
+        return "comments"
+    if in_main:
+        words = words - {"header", "tags"}
+    return "boilerplate" if words & DECLARED_WORDS or DECLARED_PARTS.search(packed) else ""
+
+
 @lru_cache(1 << 14)
 def _words(value: str) -> frozenset[str]:
     return frozenset(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower().replace("_", "-").replace("-", " ").split())
@@ -78,13 +98,14 @@ class Page(HTMLParser):
 
     def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.parents, self.tags, self.paths, self.declared, self.plain = [-1], ["#root"], [0], [False], [True]
+        self.parents, self.tags, self.paths, self.declared, self.plain, self.named_as = [-1], ["#root"], [0], [False], [True], [""]
         self.children: list[list[str]] = [[]]
         self.blocks: list[tuple[int, str]] = []
         self.at, self.unseen, self.text = 0, [], []
         self.feed(html)
         self.close()
         self._flush()
+        self._declare_named()
 
     def _flush(self) -> None:
         if self.text:
@@ -123,8 +144,8 @@ class Page(HTMLParser):
             or role in DECLARED_ROLES
             or "hidden" in got
             or "display:none" in got.get("style", "").replace(" ", "").lower()
-            or (tag not in ("html", "body", "main") and bool(named) and bool(_words(named) & DECLARED_WORDS) and not _words(named) & {"article", "content", "main"})
         )
+        self.named_as.append(_named_as(tag, named, in_main))
         self.children[self.at].append(style)
         self.parents.append(self.at)
         self.tags.append(tag)
@@ -134,6 +155,22 @@ class Page(HTMLParser):
         self.children.append([])
         self.at = len(self.tags) - 1
 
+    def _declare_named(self) -> None:
+        """Branches named as boilerplate go, but for wrappers: what holds an article or main part, or most of the text in several blocks."""
+        size, count, holds = [0] * len(self.tags), [0] * len(self.tags), [t in ("article", "main") and n == "" for t, n in zip(self.tags, self.named_as)]
+        for node, text in self.blocks:
+            if not self.declared[node]:
+                size[node] += len(text)
+                count[node] += 1
+        for node in range(len(self.tags) - 1, 0, -1):  # children come after their parents
+            size[self.parents[node]] += size[node]
+            count[self.parents[node]] += count[node]
+            holds[self.parents[node]] |= holds[node]
+        for node in range(1, len(self.tags)):
+            kind, above = self.named_as[node], self.parents[node]
+            wraps = holds[node] or (size[node] > 0.6 * size[0] and count[node] >= 3)
+            self.declared[node] |= self.declared[above] or kind == "comments" or (kind == "boilerplate" and not wraps)
+
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         # `<div/>` is a start tag in HTML; only void elements end at once.
         self.handle_starttag(tag, attrs)
