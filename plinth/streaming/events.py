@@ -8,24 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_events(spark: SparkSession, path: str, schema: str, files_each: int = 1) -> DataFrame:
-    """A stream of parquet files under a declared schema."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_each).parquet(path)
+def read_events(spark: SparkSession, path: str, schema: str, files_each: int = 1, ts: str = "ts") -> DataFrame:
+    """A stream of parquet files under a declared schema; a time without zone is read in the session's, as watermarks need."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_each).parquet(path)
+    return stream.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
 def deduplicated(events: DataFrame, key: str = "event_id", ts: str = "ts", late: str = "1 hour") -> DataFrame:
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
-def tumbling(events: DataFrame, size: str, by: list[str], ts: str = "ts", late: str = "1 hour", slide: str | None = None) -> DataFrame:
-    """Counts and sums by time window; works on a stream or a table."""
+def tumbling(events: DataFrame, size: str, by: list[str], ts: str = "ts", late: str | None = None, slide: str | None = None) -> DataFrame:
+    """Counts and sums by time window, on a stream or a table; `late` sets the watermark of a stream that has none yet."""
     w = F.window(ts, size, slide) if slide else F.window(ts, size)
-    rows = events.withWatermark(ts, late) if events.isStreaming else events
+    rows = events.withWatermark(ts, late) if events.isStreaming and late else events
     return rows.groupBy(w.alias("w"), *by).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), *by, "n", "total")
 
 
-def sessions(events: DataFrame, gap: str, key: str = "user_id", ts: str = "ts", late: str = "1 hour") -> DataFrame:
-    rows = events.withWatermark(ts, late) if events.isStreaming else events
+def sessions(events: DataFrame, gap: str, key: str = "user_id", ts: str = "ts", late: str | None = None) -> DataFrame:
+    """Sessions of a key that end after a gap; `late` as in `tumbling`."""
+    rows = events.withWatermark(ts, late) if events.isStreaming and late else events
     return rows.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 

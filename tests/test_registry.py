@@ -53,7 +53,7 @@ def test_streaming_equals_batch(spark, tmp_path):
     table = spark.read.parquet(f"{DATA}/events.parquet")
     table.repartition(3).write.parquet(f"{tmp_path}/in")
     schema = ", ".join(f"{n} {t}" for n, t in table.dtypes)
-    stream = ev.tumbling(ev.deduplicated(ev.read_events(spark, f"{tmp_path}/in", schema), late="60 days"), "1 day", ["event_type"], late="60 days")
+    stream = ev.tumbling(ev.deduplicated(ev.read_events(spark, f"{tmp_path}/in", schema), late="60 days"), "1 day", ["event_type"])
     rows = {}
 
     def merge(df, batch_id):
@@ -62,5 +62,5 @@ def test_streaming_equals_batch(spark, tmp_path):
 
     q = ev.upsert_sink(stream, merge, f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination()
-    want = {(r.window_start, r.event_type): (r.n, round(r.total, 2)) for r in ev.tumbling(table, "1 day", ["event_type"]).collect()}
+    want = {(r.window_start, r.event_type): (r.n, round(r.total, 2)) for r in ev.tumbling(table.withColumn("ts", table["ts"].cast("timestamp")), "1 day", ["event_type"]).collect()}
     assert rows == want
