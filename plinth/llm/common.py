@@ -71,7 +71,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(offsets: np.ndarray, most: int = 1 << 21):
+def chunks(offsets: np.ndarray, most: int = 1 << 20):
     """(first, last) row ranges of about `most` bytes; a longer row is a range of its own."""
     i, n = 0, len(offsets) - 1
     while i < n:

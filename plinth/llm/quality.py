@@ -100,10 +100,15 @@ def train(texts: pa.Array, labels: np.ndarray, width: int = 16, epochs: int = 5,
     for i, j in chunks(offsets):
         part = offsets[i : j + 1]
         found = features(data[part[0] : part[-1]], part - part[0])
+        made = []
         for k in range(j - i):
             own = np.concatenate([b[at[k] : at[k + 1]] for b, at in found])
             buckets, count = np.unique(own, return_counts=True)
-            rows.append((buckets, (count / max(1, len(own))).astype(np.float32)))
+            made.append((buckets, (count / max(1, len(own))).astype(np.float32)))
+        # One block of memory for a chunk's rows, which goes back to the system whole.
+        ends = np.cumsum([0, *[len(b) for b, _ in made]])
+        all_buckets, all_weights = (np.concatenate([x[n] for x in made]) for n in (0, 1))
+        rows += [(all_buckets[a:b], all_weights[a:b]) for a, b in zip(ends[:-1], ends[1:])]
     np.seterr(**old)
     vectors = rng.uniform(-1 / width, 1 / width, (1 << BITS, width)).astype(np.float32)
     output, bias = np.zeros((width, 2), np.float32), np.zeros(2, np.float32)
