@@ -100,7 +100,7 @@ def _places(length: int):
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             ids = batch.column(0).to_numpy()
-            for i, j in chunks(offsets, 1 << 22):
+            for i, j in chunks(offsets, 1 << 20):
                 base = offsets[i]
                 part, own = data[base : offsets[j]], offsets[i : j + 1] - base
                 at, first, last, prefix = anchors(part, own, length)
