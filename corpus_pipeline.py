@@ -4,20 +4,22 @@
 2. near_dedup: one document of each near-duplicate group stays (80 per cent of five-word shingles);
 3. decontaminate: documents that hold a benchmark passage go;
 4. mix: rows are put in the order of a Pfair mixture of their sources;
-5. shard: every row gets its shard and slot.
+5. shard: every row gets its shard, and its slot there by the order of the mixture.
 
-All stages but the last return the columns of `documents`. The mixture's
-decisions are the order of rows within and across the written files.
+All stages but the last return the columns of `documents`. As Spark does not
+keep the order of files that it reads, the last stage finds the positions of
+the mixture again: they hang on ids, sources and texts only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plinth.llm import decontaminate, mixing, neardup, quality, sharding
-from plinth.llm.common import cut, table, write_and_read
+from plinth.llm.common import table, write_and_read
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -34,15 +36,23 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+def mixed(docs: DataFrame, weights: dict[str, float], text_hash: Column) -> DataFrame:
+    """`docs` plus mix_position; ids can be null or repeated, then texts tell rows apart."""
+    keyed = docs.withColumn("_key", F.struct("doc_id", text_hash.alias("text_hash")))
+    return mixing.mix(keyed, weights, id_col="_key").select(*docs.columns, "mix_position")
+
+
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    placed = cut(mixing.mix(docs.select("doc_id", "source"), mixing.tempered(docs, power=0.7)).select("doc_id", "mix_position"))
-    rows = docs.join(placed, "doc_id")
+    rows = mixed(docs, mixing.tempered(docs, power=0.7), F.xxhash64("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartitionByRange(parts, "mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
 
 
 def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.shard(docs.select("doc_id", "text"), shards=24)
+    weights = mixing.tempered(docs, power=0.7)
+    rows = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("_text_hash"))
+    place = lambda light: mixed(light, weights, F.col("_text_hash")).withColumnRenamed("mix_position", "position")
+    return sharding.shard(rows, shards=24, place=place).drop("source", "_text_hash")
 
 
 STAGES: list[tuple[str, Stage]] = [

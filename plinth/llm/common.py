@@ -80,15 +80,16 @@ def chunks(offsets: np.ndarray, most: int = 1 << 20):
         i = min(j, n)
 
 
-def number_rows(df: DataFrame, keys: list[str], order: list[Column], name: str, spread: int = 64) -> DataFrame:
+def number_rows(df: DataFrame, keys: list[str], order: list[Column], name: str, spread: int = 64, bucket: Column | None = None) -> DataFrame:
     """Gapless 0-based number of each row within `keys`, without one task holding a whole key.
 
     Rows of a key are dealt into `spread` buckets by a hash of `order`; the
-    number is the rows of earlier buckets plus the rank within the bucket.
+    number is the rows of earlier buckets plus the rank within the bucket. With
+    a `bucket` that never falls as `order` rises, numbers follow `order`.
     Ties in `order` are numbered in any order. Null keys form a key.
     """
     own = f"_{name}_bucket"
-    dealt = df.withColumn(own, F.pmod(F.xxhash64(*order), F.lit(spread)).cast("int"))
+    dealt = df.withColumn(own, F.pmod(F.xxhash64(*order), F.lit(spread)).cast("int") if bucket is None else bucket)
     before = Window.partitionBy(*keys).orderBy(own).rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy(*keys, own).agg(F.count("*").alias("_n"))
     counts = counts.select(*[F.col(k).alias(f"_of_{k}") for k in [*keys, own]], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))

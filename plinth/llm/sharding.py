@@ -8,11 +8,15 @@ shards * bundles bundles. Items, longest first, go to the least-loaded shard.
 Null and empty texts are one group. Repeated doc_ids are separate rows.
 An empty table gives an empty result. Extra columns pass through unless they
 clash with an output column, which then replaces them.
+
+Slots follow a hash order of a shard's rows, or, with `place`, the `position`
+that it adds to the rows: unique integers of at least 0.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,6 +25,8 @@ from pyspark.sql import functions as F
 from plinth.llm.common import cut, number_rows
 
 OUTPUT = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+#: Positions in one bucket of the numbering by position, so at most as many rows.
+POSITIONS = 4096
 
 
 def longest_first(items: pd.DataFrame, shards: int) -> pd.DataFrame:
@@ -35,7 +41,7 @@ def longest_first(items: pd.DataFrame, shards: int) -> pd.DataFrame:
     return pd.DataFrame({"item": ordered["item"].to_numpy(), "shard": pd.Series(placed, dtype="int32").to_numpy()})
 
 
-def shard(docs: DataFrame, shards: int = 24, bundles: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, bundles: int = 256, id_col: str = "doc_id", text_col: str = "text", place: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """`docs` without `text_col`, with size, text_crc32, law, shard, slot and grown_shard."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     kept = [c for c in docs.columns if c != text_col and c.lower() not in OUTPUT]
@@ -46,7 +52,7 @@ def shard(docs: DataFrame, shards: int = 24, bundles: int = 256, id_col: str = "
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.sha2(text, 256).alias("_group"),
     )
-    rows = cut(rows)
+    rows = cut(place(rows) if place else rows)
     groups = rows.groupBy("_group").agg(F.sum("size").alias("_bytes"))
     total = groups.agg(F.sum("_bytes").alias("_total"))
     limit = shards * bundles
@@ -60,7 +66,10 @@ def shard(docs: DataFrame, shards: int = 24, bundles: int = 256, id_col: str = "
     # At most 2 * shards * bundles rows reach this one task, whatever the input.
     plan = items.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda pdf: longest_first(pdf, shards), "item string, shard int")
     placed = rows.join(item_of.join(plan, "item").select("_group", "shard"), "_group").drop("_group")
-    out = number_rows(placed, ["shard"], [F.col("text_crc32"), F.col("size"), F.col(id_col)], "slot", spread=1024)
+    if place:
+        out = number_rows(placed, ["shard"], [F.col("position")], "slot", bucket=F.expr(f"position div {POSITIONS}"))
+    else:
+        out = number_rows(placed, ["shard"], [F.col("text_crc32"), F.col("size"), F.col(id_col)], "slot", spread=1024)
     return out.select(*kept, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

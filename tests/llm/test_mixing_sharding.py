@@ -66,3 +66,14 @@ def test_shards_of_little(docs):
     clash = docs(["a", "a"]).withColumn("shard", F.lit("x")).withColumn("item", F.lit("y"))
     assert {r.shard for r in sharding.shard(clash, 3).collect()} <= {0, 1, 2}
     assert sharding.balance(sharding.shard(docs(["a", "b"]), 2)).count() == 2
+
+
+def test_slots_follow_positions(docs):
+    texts = [f"text {i} " * (i % 7 + 1) for i in range(300)] + ["same"] * 60
+    place = lambda rows: rows.withColumn("position", (F.col("doc_id") * 7919 % 20011).cast("long"))
+    out = sharding.shard(docs(texts), shards=4, bundles=16, place=place).collect()
+    assert sorted(r.doc_id for r in out) == list(range(len(texts)))
+    for s in range(4):
+        mine = sorted((r for r in out if r.shard == s), key=lambda r: r.slot)
+        assert [r.slot for r in mine] == list(range(len(mine)))
+        assert [r.doc_id * 7919 % 20011 for r in mine] == sorted(r.doc_id * 7919 % 20011 for r in mine)

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from plinth.llm import queries
+from plinth.llm import mixing, queries
 
 
 def test_stages_keep_columns_and_take_effect(spark, tmp_path):
@@ -29,6 +29,29 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert len(corpus_pipeline.STAGES) == 5
 
 
+def test_shards_follow_the_mixture(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, " ".join(str(rng.random()) for _ in range(12)), "en", "big" if i % 10 < 7 else "mid" if i % 10 < 9 else "small", 0) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    laid = corpus_pipeline.write_and_read(corpus_pipeline.mix_stage(spark, docs, str(tmp_path)), "mix")
+    out = corpus_pipeline.shard_stage(spark, laid, str(tmp_path))
+    assert out.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    weights = mixing.tempered(docs, power=0.7)
+    source, place = {r[0]: r[3] for r in rows}, {r.doc_id: r for r in corpus_pipeline.mixed(docs, weights, corpus_pipeline.F.xxhash64("text")).collect()}
+    shards = {}
+    for r in sorted(out.collect(), key=lambda r: r.slot):
+        shards.setdefault(r.shard, []).append(r.doc_id)
+    assert len(shards) == 24 and sorted(sum(shards.values(), [])) == list(range(4000))
+    prefix = []
+    for ids in shards.values():
+        positions = [place[i].mix_position for i in ids]
+        assert positions == sorted(positions)
+        prefix += ids[:60]
+    # In order of a hash the share of `big` is 0.7; its weight is 0.59.
+    for s, w in weights.items():
+        assert abs(sum(source[i] == s for i in prefix) / len(prefix) - w) < 0.03
+
+
 def test_one_query_for_each_operator():
     names = list(queries.queries())
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
