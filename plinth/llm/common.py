@@ -99,6 +99,16 @@ def number_rows(df: DataFrame, keys: list[str], order: list[Column], name: str,
     return joined.withColumn(name, (F.col("_base") + rank - 1).cast("long")).drop("_base", own)
 
 
+def ids_tell_rows(df: DataFrame, id_col: str) -> bool:
+    """Whether no id is null or repeated."""
+    return df.groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n")).where("_id is null or _n > 1").isEmpty()
+
+
+def with_row_keys(df: DataFrame, name: str) -> DataFrame:
+    """`df`, checkpointed, plus a unique long for each row that rises with the order of rows."""
+    return cut(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def with_fields(df: DataFrame, **added: T.DataType) -> T.StructType:
     """Schema of `df` plus fields."""
     return T.StructType([*df.schema.fields, *[T.StructField(k, v) for k, v in added.items()]])

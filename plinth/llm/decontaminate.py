@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import cut, if_small
+from plinth.llm.common import cut, ids_tell_rows, if_small, with_row_keys
 
 WIDTH = 5
 #: Number words and units of measure.
@@ -124,6 +124,9 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, broa
 
 
 def clean(docs: DataFrame, items: DataFrame, **options: int) -> DataFrame:
-    """The rows of `docs` that hold no item; rows with a null id stay."""
-    gone = if_small(contaminated(docs, items, **options).select("doc_id").distinct(), options.get("broadcast_ids", 500_000))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of `docs` that hold no item; where ids are null or repeated, each row is judged by itself."""
+    key, rows = "doc_id", docs
+    if not ids_tell_rows(docs, key):
+        key, rows = "_row", with_row_keys(docs, "_row")
+    gone = if_small(contaminated(rows, items, id_col=key, **options).select(F.col("doc_id").alias(key)).distinct(), options.get("broadcast_ids", 500_000))
+    return rows.join(gone, key, "left_anti").select(*docs.columns)

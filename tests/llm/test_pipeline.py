@@ -52,6 +52,27 @@ def test_shards_follow_the_mixture(spark, tmp_path):
         assert abs(sum(source[i] == s for i in prefix) / len(prefix) - w) < 0.03
 
 
+def test_null_and_repeated_ids(spark, tmp_path):
+    rng = random.Random(5)
+    words = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in "lmnr"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    leak, near = text(30), text(60).split()
+    rows = [(i, text(60), "en", f"s{i % 3}", 0) for i in range(60)]
+    rows += [rows[4]] * 3  # equal rows
+    rows += [(5, text(60), "en", "s0", 0), (5, text(60), "en", "s2", 0)]  # other documents of one id
+    rows += [(None, text(60), "en", "s1", 0), (None, text(60), "en", None, 0), (None, rows[6][1], "en", "s1", 0), (None, None, "en", "s1", 0)]
+    rows += [(70, " ".join(near), "en", "s1", 0), (70, " ".join([*near, "more"]), "en", "s1", 0), (None, " ".join(["less", *near]), "en", "s0", 0)]
+    rows += [(7, text(20) + " " + leak, "en", "s1", 0), (None, leak + " " + text(20), "en", "s1", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in out if r.doc_id is not None) == sorted([*range(60), 5, 5, 70])
+    assert sum(r.doc_id is None for r in out) == 3
+    for s in {r.shard for r in out}:
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+
+
 def test_one_query_for_each_operator():
     names = list(queries.queries())
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
