@@ -2,15 +2,19 @@
 
 Texts are canonicalised: numbers, units and names become typed placeholders
 (`<num>`, `<unit>`, `<name>`), letters are lower-cased and other characters go.
-A name is a capitalised word in mid-sentence. Five-word template windows of
+A name is a capitalised word in mid-sentence. A capitalised word anywhere else
+(at the start of a sentence, a line or a quotation) may be a name or not: its
+windows are hashed both ways, in items and documents, so it need not stand in
+mid-sentence as well to match as a name. Five-word template windows of
 benchmark items are hash-joined with those of whole documents. A document
 holds an item when at least `threshold` of the item's windows occur in it and
 the slots are consistent: along a diagonal of the match each value of the item
 stands for one value of the document, for at least `threshold` of the slots.
 That catches items whose numbers or names were changed throughout.
 
-Because an item's first word may stand in mid-sentence in a document, windows
-with the first word are tried with it as a word and as a name. Item windows of
+An item's first word may stand in mid-sentence in a document, so it is tried
+both ways even if it is not capitalised. Where both texts have the same word
+that may be a name, it is no slot. Item windows of
 placeholders alone say nothing and are left out. A text of fewer
 than five words is one window. Null or empty texts and items match nothing;
 repeated rows, ties and null ids are kept as they are. Item windows are
@@ -34,20 +38,32 @@ UNITS = "mm cm km kg mg ml lb lbs oz mph kph kilometers kilometres meters metres
 _JOINED_UNIT = r"(\d)(?=(?:mm|cm|km|kg|mg|ml|lb|lbs|oz)(?![\p{L}\p{N}]))"
 _NUMBER = r"\d(?<![\p{L}\p{N}_]\d)[\d.,:/]*(?:st|nd|rd|th)?%?(?![\p{L}\p{N}_])"
 _NAME = r"\p{Lu}(?<=[^\s.!?:][ \t]\p{Lu})\p{Ll}[\p{L}'’\-]*"
+#: A capitalised word elsewhere: only characters that are dropped stand between it and the space or edge before it.
+_INITIAL = r"\p{Lu}(?<=(?:^|\s)[^\p{L}\p{M}\p{N}\s\ue001]{0,8}\p{Lu})(?=\p{Ll})"
 #: Brackets that mark a slot's type; texts lose these characters first.
 _OPEN, _CLOSE = "\ue000", "\ue001"
+_MAYBE, _AS_NAME = f"{_OPEN}maybe{_CLOSE}", f"{_OPEN}name{_CLOSE}"
+#: For each mask of the words of a window that may be names, the masks of those taken as names.
+_CHOICES = [[c for c in range(m + 1) if c & m == c] for m in range(1 << WIDTH)]
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased words of letters and digits; a slot is OPEN type CLOSE value."""
     out = F.translate(text, _OPEN + _CLOSE, "")
     out = F.regexp_replace(out, _JOINED_UNIT, "$1 ")  # a number written together with its unit is two words
-    for pattern, kind in ((_NAME, "name"), (_NUMBER, "num")):
+    for pattern, kind in ((_NAME, "name"), (_INITIAL, "maybe"), (_NUMBER, "num")):
         out = F.regexp_replace(out, pattern, f"{_OPEN}{kind}{_CLOSE}$0")
     out = F.regexp_replace(F.lower(out), rf"[^\p{{L}}\p{{M}}\p{{N}}{_OPEN}{_CLOSE}\s]+", "")
     words = F.filter(F.split(out, r"\s+"), lambda w: w != "")
     slot = lambda kind, w: F.concat(F.lit(f"{_OPEN}{kind}{_CLOSE}"), w)
-    return F.transform(words, lambda w: F.when(w.isin(*NUMBER_WORDS), slot("num", w)).when(w.isin(*UNITS), slot("unit", w)).otherwise(w))
+
+    known = lambda w, v: F.when(v.isin(*NUMBER_WORDS), slot("num", v)).when(v.isin(*UNITS), slot("unit", v)).otherwise(w)
+
+    def typed(w: Column) -> Column:
+        maybe = F.when(w.startswith(_MAYBE), known(w, F.substring_index(w, _CLOSE, -1))).otherwise(w)
+        return F.when(w.startswith(_OPEN), maybe).otherwise(known(w, w))
+
+    return F.transform(words, typed)
 
 
 def _let(value: Column, body) -> Column:
@@ -56,34 +72,52 @@ def _let(value: Column, body) -> Column:
 
 
 def _hashes(words: Column, need_word: bool = False) -> Column:
-    """xxhash64 of each window's templates; with `need_word`, null for a window of slots alone."""
-    template = lambda w: F.xxhash64(F.substring_index(w, _CLOSE, 1))  # noqa: E731  a slot without its value
-
-    def windows(w: Column, h: Column) -> Column:
-        def window(i: Column) -> Column:
-            hashed = F.xxhash64(*[F.get(h, i + j) for j in range(WIDTH)])
+    """xxhash64 of each window's templates, for each choice of words that may be names; with `need_word`, null for slots alone."""
+    # A slot goes without its value; a word that may be a name stands for itself here.
+    bare = lambda w: F.when(w.startswith(_MAYBE), F.substring_index(w, _CLOSE, -1)).otherwise(F.substring_index(w, _CLOSE, 1))
+    template = lambda w: F.xxhash64(F.when(w.startswith(_OPEN), bare(w)).otherwise(w))
+    name = F.xxhash64(F.lit(_AS_NAME[:-1]))
+
+    def windows(w: Column, h: Column, maybe: Column) -> Column:
+        def choice(i: Column, c: Column | None) -> Column:
+            """The hash with the words of mask `c` taken as names."""
+            taken = lambda j, x: x if c is None else F.when(c.bitwiseAND(F.lit(1 << j)) != 0, name).otherwise(x)
+            hashed = F.xxhash64(*[taken(j, F.get(h, i + j)) for j in range(WIDTH)])
             if not need_word:
                 return hashed
-            has_word = F.exists(F.slice(w, i + 1, WIDTH), lambda x: ~x.startswith(_OPEN))
+            has_word = F.lit(False)
+            for j in range(WIDTH):
+                at = F.get(w, i + j)
+                is_word = ~at.startswith(_OPEN) | (at.startswith(_MAYBE) & ((F.lit(0) if c is None else c).bitwiseAND(F.lit(1 << j)) == 0))
+                has_word = has_word | F.coalesce(is_word, F.lit(False))
             return F.when(has_word, hashed)
 
+        def window(i: Column) -> Column:
+            mask = F.get(maybe, i)
+            for j in range(1, WIDTH):
+                mask = mask + F.coalesce(F.get(maybe, i + j), F.lit(0)) * (1 << j)
+            several = lambda m: F.transform(F.get(F.lit(_CHOICES), m), lambda c: choice(i, c))
+            return _let(mask, lambda m: F.when(m == 0, F.array(choice(i, None))).otherwise(several(m)))
+
         return F.when(F.size(h) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - WIDTH, F.lit(0))), window))
 
-    return _let(words, lambda w: _let(F.transform(w, template), lambda h: windows(w, h)))
+    return _let(
+        words,
+        lambda w: _let(F.transform(w, template), lambda h: _let(F.transform(w, lambda x: x.startswith(_MAYBE).cast("int")), lambda maybe: windows(w, h, maybe))),
+    )
 
 
 def _windows(rows: DataFrame, key: str, words: Column, need_word: bool = False) -> DataFrame:
     # The outer form: for the inner one Spark adds a filter that computes the array a second time.
-    return rows.select(key, F.posexplode_outer(_hashes(words, need_word)).alias("pos", "hash")).where("hash is not null")
+    found = rows.select(key, F.posexplode_outer(_hashes(words, need_word)).alias("pos", "hashes"))
+    return found.select(key, "pos", F.explode_outer("hashes").alias("hash")).where("hash is not null")
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item_id, item_pos, hash; the first word also as a name."""
+    """item_id, item_pos, hash; the first word and words that may be names also as names."""
     rows = items.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("_t"))
-    words = tokens(F.col("_t"))
-    named = F.transform(words, lambda w, i: F.when(i == 0, F.concat(F.lit(f"{_OPEN}name{_CLOSE}"), w)).otherwise(w))
-    both = _windows(rows, "item_id", words, True).unionByName(_windows(rows, "item_id", named, True).where("pos = 0"))
-    return both.withColumnRenamed("pos", "item_pos").distinct()
+    words = F.transform(tokens(F.col("_t")), lambda w, i: F.when((i == 0) & ~w.startswith(_OPEN), F.concat(F.lit(_MAYBE), w)).otherwise(w))
+    return _windows(rows, "item_id", words, True).withColumnRenamed("pos", "item_pos").distinct()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, broadcast_windows: int = 1_000_000, broadcast_ids: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,6 +145,9 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, broa
     at = wanted.select("doc_id", "item_id", F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1))).alias("_j"), "pos", "item_pos")
     at = at.select("doc_id", "item_id", (F.col("pos") + F.col("_j")).alias("at"), (F.col("item_pos") + F.col("_j")).alias("item_at")).distinct()
     slots = at.join(doc_slots, ["doc_id", "at"]).join(item_slots, ["item_id", "item_at"])
+    slots = slots.where(~(F.col("doc_value").startswith(_MAYBE) & (F.col("doc_value") == F.col("item_value"))))
+    for side in ("doc_value", "item_value"):
+        slots = slots.withColumn(side, F.when(F.col(side).startswith(_MAYBE), F.concat(F.lit(_AS_NAME), F.substring_index(side, _CLOSE, -1))).otherwise(F.col(side)))
     slots = slots.withColumn("diagonal", F.col("at") - F.col("item_at"))
     votes = slots.groupBy("doc_id", "item_id", "diagonal", "item_value", "doc_value").count()
     best = votes.groupBy("doc_id", "item_id", "diagonal", "item_value").agg(

@@ -39,6 +39,17 @@ def test_windows_of_slots_alone_say_nothing(spark, docs):
     assert found(docs, item, ["11 12 13 14 15 16 17 18 19 20", "1 2 3 4 5 6 7 8 9 10"]) == []
 
 
+def test_names_that_start_sentences(spark, docs):
+    asked = "Otto has 5 apples. Otto buys 3 more apples at the shop. How many apples does Otto have now?"
+    once = "Otto has 5 apples. Then 3 more apples come from the shop in the town. \"Anna takes some of them,\" he said.\nFive are left."
+    item = spark.createDataFrame([(0, asked), (1, once)], "item_id long, text string")
+    changed = asked.replace("Otto", "Karl").replace("5", "7").replace("3", "9")
+    other = once.replace("Otto", "Karl").replace("Anna", "Berta").replace("Five", "Six").replace("5", "7")
+    mixed = "Karl has 5 apples. Emil buys 3 more apples at the shop. How many apples does Fritz have now?"
+    texts = [asked, changed, "so it was: " + changed, "we ask: if " + changed, other, mixed, "Nothing of this. Is in here. At all. Now or then. Or ever."]
+    assert found(docs, item, texts) == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 1)]
+
+
 def test_clean_keeps_rows_and_columns(docs, items):
     d = docs([ITEM, "fine text that is clean", None]).withColumn("item_id", F.lit("x")).withColumn("hash", F.lit(1))
     out = decontaminate.clean(d, items)
