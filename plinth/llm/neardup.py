@@ -4,7 +4,8 @@
    Documents with one and the same set are one class, stood for by the least id.
 2. A class's signature is the minima of BANDS * ROWS universal hashes
    a * x + b modulo 2**64. Each band of ROWS minima is a bucket key. A pair at
-   0.85 is in no common bucket with a probability under one in two million.
+   0.85 is in no common bucket, or falls to the comparison of signatures below,
+   with a probability under one in two million.
 3. In each bucket, members are compared with one member, its centre, by
    signature and then by the full sets of their texts. Linked members merge
    into components by alternating large-star and small-star. Buckets that then
@@ -34,7 +35,7 @@ from plinth.llm.shingles import mix, shingle_sets
 
 BANDS, ROWS = 25, 5
 #: Standard deviations by which a signature may fall short before the exact check.
-SLACK = 4.5
+SLACK = 6.5
 _RNG = np.random.RandomState(7)
 _A = (_RNG.randint(1, 2**63 - 1, BANDS * ROWS, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 _B = _RNG.randint(0, 2**63 - 1, BANDS * ROWS, dtype=np.int64).astype(np.uint64)

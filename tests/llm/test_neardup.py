@@ -1,6 +1,8 @@
+import math
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from plinth.llm import neardup
@@ -88,3 +90,19 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r.node: r.component for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_signatures_lose_less_than_banding():
+    n = neardup.BANDS * neardup.ROWS
+    for percent in (80, 85):
+        t = percent / 100
+        row = np.zeros((1, n), np.uint32)
+        lost = 0.0
+        for equal in range(n + 1):
+            other = np.where(np.arange(n) < equal, 0, 1).astype(np.uint32)[None, :]
+            if not neardup.alike(row, other, percent)[0]:
+                lost += math.comb(n, equal) * t**equal * (1 - t) ** (n - equal)
+        banding = (1 - t**neardup.ROWS) ** neardup.BANDS
+        assert lost < banding / 10
+        if percent == 85:
+            assert lost + banding < 1 / 2_000_000
