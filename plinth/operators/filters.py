@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plinth.operators.ranges import previous
 from plinth.sources.io import ContractError
 
 
@@ -75,8 +76,11 @@ def line_shape(c: Column, prefix: str, most: int, stop: str) -> Column:
 
 def adjacent_equal(df: DataFrame, order: Sequence[str], value: str, partition: Sequence[str] = ()) -> DataFrame:
     """Rows whose value equals that of the row before them in the order."""
-    w = (Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0))).orderBy(*order)
-    return df.withColumn("_prev", F.lag(value).over(w)).where(F.col("_prev") == F.col(value)).drop("_prev")
+    if partition:
+        seen = df.withColumn("_prev", F.lag(value).over(Window.partitionBy(*partition).orderBy(*order)))
+    else:
+        seen = previous(df, order, value, "_prev")
+    return seen.where(F.col("_prev") == F.col(value)).drop("_prev")
 
 
 def refuse(reason: str) -> None:

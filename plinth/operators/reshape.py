@@ -6,7 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from plinth.operators.ranges import number
 
 
 def pick(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
@@ -31,17 +32,10 @@ def stack(parts: Mapping[str, DataFrame], label: str, columns: Sequence[str]) ->
 def sequential_id(df: DataFrame, order: Sequence[Column | str], name: str = "id", first: int = 1) -> DataFrame:
     """Gapless ids along a total order, without one task for all rows.
 
-    Rows are dealt into ranges of the order; a range's offset is the count of the ranges before.
+    Rows are dealt into ranges of the order; a range's offset is the count of the ranges before. Ids are
+    unique whatever columns are read later, as the ranges are fixed by a checkpoint.
     """
-    spark = df.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    marked = ranged.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
-    counts = marked.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
-    bases = counts.select("_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_base"))
-    out = marked.join(F.broadcast(bases), "_part")
-    return out.select((F.col("_base") + F.col("_at") + first).alias(name), *df.columns)
+    return number(df, order, name, first)
 
 
 def dense_id(df: DataFrame, key: Column, order: Sequence[str], name: str = "group_id", prefix: str = "") -> DataFrame:

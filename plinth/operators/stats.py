@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plinth.operators.windows import average_ranks
+from plinth.operators.ranges import sum_before
+from plinth.operators.windows import average_ranks, hashed
 from plinth.sources.io import ContractError
 
 
@@ -48,15 +49,40 @@ def chi2_tail(x: float, df: int = 1) -> float:
 
 
 def fisher_exact(a: int, b: int, c: int, d: int) -> float:
-    """Two-sided p of a two-by-two table: the sum of all tables no likelier than this one."""
+    """Two-sided p of a two-by-two table: the sum of all tables no likelier than this one.
+
+    Tables are summed from the likeliest one and from this one's counterpart outward until terms vanish, so the
+    work grows with the spread of the counts (their square root), not with the counts.
+    """
     r1, r2, k = a + b, c + d, a + c
+    low, high = max(0, k - r2), min(r1, k)
     log_p = lambda x: -sum(map(math.lgamma, (x + 1, r1 - x + 1, k - x + 1, r2 - k + x + 1)))
-    span = range(max(0, k - r2), min(r1, k) + 1)
-    logs = [log_p(x) for x in span]
-    top = max(logs)
-    here = log_p(a)
-    whole = sum(math.exp(x - top) for x in logs)
-    return min(1.0, sum(math.exp(x - top) for x in logs if x <= here + 1e-7) / whole)
+    mode = min(high, max(low, (r1 + 1) * (k + 1) // (r1 + r2 + 2)))
+    top, here = log_p(mode), log_p(a)
+
+    def outward(start: int, step: int) -> float:
+        """The sum of terms from start on, relative to the mode; they fall all the way."""
+        total, x = 0.0, start
+        while low <= x <= high:
+            term = math.exp(log_p(x) - top)
+            total += term
+            if term < total * 1e-17 or term < 1e-300:
+                break
+            x += step
+        return total
+
+    def first_beyond(step: int) -> int:
+        """The nearest table on one side of the mode that is no likelier than this one, by bisection."""
+        near, far = mode, (high if step > 0 else low) + step  # near may be likelier, far is not
+        while abs(far - near) > 1:
+            middle = (near + far) // 2
+            near, far = (near, middle) if log_p(middle) <= here + 1e-7 else (middle, far)
+        return far
+
+    if top <= here + 1e-7:
+        return 1.0
+    whole = outward(mode, 1) + outward(mode - 1, -1)
+    return min(1.0, (outward(first_beyond(1), 1) + outward(first_beyond(-1), -1)) / whole)
 
 
 def binomial_two_sided(k: int, n: int) -> float:
@@ -65,7 +91,13 @@ def binomial_two_sided(k: int, n: int) -> float:
         return 1.0
     lesser = min(k, n - k)
     log_c = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2)
-    return min(1.0, 2 * sum(math.exp(log_c(i)) for i in range(lesser + 1)) - (math.exp(log_c(lesser)) if 2 * lesser == n else 0.0))
+    total = 0.0
+    for i in range(lesser, -1, -1):  # terms fall, so the sum ends where they vanish
+        term = math.exp(log_c(i))
+        total += term
+        if term <= total * 1e-17:
+            break
+    return min(1.0, 2 * total - (math.exp(log_c(lesser)) if 2 * lesser == n else 0.0))
 
 
 def table_2x2(df: DataFrame, arm: Column, outcome: Column) -> tuple[int, int, int, int]:
@@ -113,9 +145,9 @@ def rank_sum(df: DataFrame, value: str, arm: Column) -> DataFrame:
 def ks_distance(df: DataFrame, value: str, cdf) -> DataFrame:
     """One-sample Kolmogorov-Smirnov D of a column against a distribution function on Columns, over distinct values."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(F.lit(0)).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    total = counts.agg(F.sum("_n").alias("_total"))
-    steps = counts.withColumn("_upto", F.sum("_n").over(w)).crossJoin(F.broadcast(total))
+    summed = sum_before(counts, [value], "_n", "_before").withColumn("_upto", F.col("_before") + F.col("_n"))
+    total = summed.agg(F.sum("_n").alias("_total"))
+    steps = summed.crossJoin(F.broadcast(total))  # one row of totals
     p = cdf(F.col(value))
     gap = F.greatest(F.abs(F.col("_upto") / F.col("_total") - p), F.abs(p - (F.col("_upto") - F.col("_n")) / F.col("_total")))
     return steps.agg(F.coalesce(F.max(gap), F.lit(0.0)).alias("d"), F.coalesce(F.max("_total"), F.lit(0)).alias("n"))
@@ -294,7 +326,7 @@ def variance_components(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def folds(cluster: str, k: int, seed: int = 0) -> Column:
     """Fold 0..k-1 of a cluster; rows of a cluster stay together."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(cluster)), F.lit(k))
+    return (F.conv(F.substring(hashed(seed, cluster), 1, 8), 16, 10).cast("long") % k).cast("int")
 
 
 def poisson_weight(*keys: str, draw: int) -> Column:
@@ -322,27 +354,3 @@ def sensitivities(df: DataFrame, variants: Sequence[tuple[str, Column, Sequence[
         rows = effects(part, fit_glm(part, outcome, covariates, family)).select(F.lit(name).alias("variant"), "*")
         out = rows if out is None else out.unionByName(rows)
     return out
-
-
-def simulate_power(spark, grid: Sequence[tuple[float, float, int]], replicates: int, seed: int = 42, alpha: float = 0.05) -> DataFrame:
-    """irr, sd, pairs, n_usable, power: log-rate difference of paired counts by a z test, one task for each cell and block of replicates."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in pdf.itertuples():
-            rng = np.random.default_rng([seed, r.cell, r.rep])
-            mean = 20.0
-            theta = mean**2 / max(r.sd**2 - mean, 1e-6)
-            pair = rng.normal(0, 0.2, r.pairs)
-            draw = lambda mu: rng.poisson(rng.gamma(theta, mu / theta))
-            a, b = draw(mean * np.exp(pair)), draw(mean * r.irr * np.exp(pair))
-            d = np.log((b + 0.5) / (a + 0.5))
-            se = d.std(ddof=1) / math.sqrt(r.pairs)
-            out.append((r.irr, r.sd, r.pairs, bool(se > 0), bool(se > 0 and normal_tail(d.mean() / se) < alpha)))
-        return pd.DataFrame(out, columns=["irr", "sd", "pairs", "usable", "significant"])
-
-    cells = spark.createDataFrame([(i, float(a), float(b), int(n)) for i, (a, b, n) in enumerate(grid)], "cell int, irr double, sd double, pairs int")
-    jobs = cells.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).withColumn("_block", F.floor(F.col("rep") / 50))
-    sims = jobs.groupBy("cell", "_block").applyInPandas(run, "irr double, sd double, pairs int, usable boolean, significant boolean")
-    return sims.groupBy("irr", "sd", "pairs").agg(F.count_if("usable").alias("n_usable"), F.try_divide(F.count_if("significant"), F.count_if("usable")).alias("power"))

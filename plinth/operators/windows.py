@@ -9,11 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plinth.operators.joins import keep_first
+from plinth.operators.ranges import sum_before
+
+
+def seeded(seed: int, *values: Column) -> Column:
+    """A seeded order of values: hexadecimal digits that any system with md5 can give again; null counts as `\\N`."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(v.cast("string"), F.lit("\\N")) for v in values]).cast("binary"))
 
 
 def hashed(seed: int, *keys: str) -> Column:
     """A seeded order that depends on the keys alone."""
-    return F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
+    return seeded(seed, *[F.col(k) for k in keys])
 
 
 def round_robin(df: DataFrame, group: str, key: str, n: int, seed: int = 0, first: Column | None = None) -> DataFrame:
@@ -59,10 +65,16 @@ def monotone(df: DataFrame, by: Sequence[str], order: str, value: str, tolerance
 
 
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "avg_rank") -> DataFrame:
-    """Mid-ranks: distinct values are ranked from their counts, so ties and hot values cost one row."""
+    """Mid-ranks: distinct values are ranked from their counts, so ties and hot values cost one row and no task ranks them all."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_ties"))
-    before = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(*by, value, (F.coalesce(F.sum("_ties").over(before), F.lit(0)) + (F.col("_ties") + 1) / 2).alias(name), F.col("_ties").alias("n_ties"))
+    # Distinct values of all groups in one order: a group's ranks start where the rows of the groups before end.
+    summed = sum_before(counts, [*by, value], "_ties", "_before")
+    if by:
+        own = [F.col(c).alias(f"_of_{c}") for c in by]
+        starts = summed.groupBy(*own).agg(F.min("_before").alias("_start"))
+        summed = summed.join(starts, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by])
+    start = F.col("_start") if by else F.lit(0)
+    ranks = summed.select(*by, value, (F.col("_before") - start + (F.col("_ties") + 1) / 2).alias(name), F.col("_ties").alias("n_ties"))
     return df.join(ranks, [*by, value])
 
 
@@ -95,7 +107,7 @@ def one_per_group(df: DataFrame, group: str, key: str, seed: int = 0) -> DataFra
 
 def arm_order(df: DataFrame, key: str, arms: tuple[str, str], seed: int = 0) -> DataFrame:
     """A seeded first arm for each row and the other as second."""
-    heads = F.pmod(hashed(seed, key), F.lit(2)) == 0
+    heads = F.substring(hashed(seed, key), 1, 1).isin(*"02468ace")
     a, b = F.lit(arms[0]), F.lit(arms[1])
     return df.withColumns({"first_arm": F.when(heads, a).otherwise(b), "second_arm": F.when(heads, b).otherwise(a)})
 

@@ -59,10 +59,11 @@ def prj_04_align_and_stack(spark: Spark, d: str) -> DataFrame:
     return reshape.align(s, ["id", "name", "segment"], "N/A").unionByName(c)
 
 
-@query("SELECT CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) + 2000 AS BIGINT) AS id, o_orderkey FROM orders")
+@query("SELECT CAST(2000 + row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS BIGINT) AS id, * FROM lineitem")
 def prj_05_sequential_id(spark: Spark, d: str) -> DataFrame:
-    o = t(spark, d, "orders", ["o_orderkey", "o_totalprice"])
-    return reshape.sequential_id(o, [F.desc("o_totalprice"), F.asc("o_orderkey")], "id", 2001).select("id", "o_orderkey")
+    li = t(spark, d, "lineitem")
+    order = [F.desc("l_extendedprice"), *[F.asc(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")]]
+    return reshape.sequential_id(li, order, "id", 2001)
 
 
 @query("SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY f) AS BIGINT) AS group_id FROM (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand) AS f FROM part)")

@@ -141,23 +141,40 @@ def joi_21_fallback(spark: Spark, d: str) -> DataFrame:
     return joins.with_fallback(t(spark, d, "customer"), a, b, "c_custkey", "c_nationkey", "v", ("tract", "zcta")).select("c_custkey", "v", "method")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT s_suppkey AS u, c_custkey AS c, abs(s_acctbal - c_acctbal) AS w FROM supplier JOIN customer ON s_nationkey = c_nationkey AND abs(s_acctbal - c_acctbal) < 1500),
+a AS (SELECT u, row_number() OVER (ORDER BY u) AS i FROM e GROUP BY u HAVING count(*) >= 2),
+p AS (SELECT i, list(struct_pack(w := w, c := c) ORDER BY w, c) AS l FROM e JOIN a USING (u) GROUP BY i),
+r AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS taken UNION ALL SELECT p.i, list_append(r.taken, coalesce(list_filter(p.l, lambda x: NOT list_contains(r.taken, x.c))[1].c, -1)) FROM r JOIN p ON p.i = r.i + 1)
+SELECT e.u AS s_suppkey, e.c AS c_custkey, round(e.w, 4) AS gap FROM r JOIN a USING (i) JOIN e ON e.u = a.u AND e.c = r.taken[len(r.taken)]""")
 def joi_13_greedy_match(spark: Spark, d: str) -> DataFrame:
     s, c = t(spark, d, "supplier"), t(spark, d, "customer")
     edges = s.join(c, (F.col("s_nationkey") == F.col("c_nationkey")) & (F.abs(F.col("s_acctbal") - F.col("c_acctbal")) < 1500))
-    edges = edges.select("s_suppkey", "c_custkey", F.abs(F.col("s_acctbal") - F.col("c_acctbal")).alias("gap"))
-    return select.greedy_match(edges.withColumn("o", F.col("s_suppkey")), "s_suppkey", "c_custkey", "gap", "o", 2)
-
-
-@query()
+    edges = edges.select("s_suppkey", "c_custkey", "s_nationkey", F.abs(F.col("s_acctbal") - F.col("c_acctbal")).alias("gap"))
+    got = select.greedy_match(edges.withColumn("o", F.col("s_suppkey")), "s_suppkey", "c_custkey", "gap", "o", 2, ["s_nationkey"])
+    return got.withColumn("gap", F.round("gap", 4))
+
+
+@query("""WITH RECURSIVE o AS (SELECT o_custkey, list_sort(list(DISTINCT o_orderkey % 977)) AS ks, max(o_totalprice) AS top FROM orders GROUP BY 1),
+n AS (SELECT *, row_number() OVER (ORDER BY -top, o_custkey) AS i FROM o),
+r AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, 0 AS n, false AS sel UNION ALL
+  SELECT n.i, CASE WHEN list_has_any(r.used, n.ks) THEN r.used ELSE list_concat(r.used, n.ks) END, r.n + CASE WHEN list_has_any(r.used, n.ks) THEN 0 ELSE 1 END, NOT list_has_any(r.used, n.ks) FROM r JOIN n ON n.i = r.i + 1 WHERE r.n < 40),
+s AS (SELECT n.* FROM r JOIN n USING (i) WHERE r.sel), m AS (SELECT count(*) AS k, max(i) AS last FROM s),
+h AS (SELECT i AS hi, o_custkey AS holder, unnest(ks) AS k FROM s),
+x AS (SELECT d.o_custkey, arg_min(h.holder, k) AS holder FROM (SELECT o_custkey, i, unnest(ks) AS k FROM n) d JOIN h USING (k) WHERE h.hi < d.i GROUP BY 1),
+f AS (SELECT n.o_custkey, x.holder, CASE WHEN n.i IN (SELECT i FROM s) THEN 'selected' WHEN m.k >= 40 AND n.i > m.last THEN 'not_needed' ELSE 'dropped_shares_key' END AS status FROM n CROSS JOIN m LEFT JOIN x USING (o_custkey))
+SELECT o_custkey, status, CASE WHEN status = 'dropped_shares_key' THEN CAST(holder AS VARCHAR) END AS conflicts_with, false AS self_collision FROM f""")
 def srt_07_disjoint_selection(spark: Spark, d: str) -> DataFrame:
     o = t(spark, d, "orders").groupBy("o_custkey").agg(F.array_distinct(F.transform(F.array_sort(F.collect_set(F.col("o_orderkey") % 977)), lambda x: x.cast("string"))).alias("keys"), F.max("o_totalprice").alias("top"))
     return select.disjoint_selection(o.withColumn("rank", -F.col("top")), "o_custkey", "keys", ["rank"], 40)
 
 
-@query()
+@query("""WITH a AS (SELECT salt, s_suppkey AS pair, row_number() OVER (PARTITION BY salt ORDER BY md5('7|' || salt || '|' || s_suppkey), s_suppkey) AS i FROM supplier, range(0, 120) r(salt)),
+b AS (SELECT salt, pair, arm, (i % 2 = 1) = (arm = 'Non-PE') AS odd FROM a, (VALUES ('PE'), ('Non-PE')) v(arm)),
+c AS (SELECT *, 2 * (row_number() OVER (PARTITION BY salt, odd ORDER BY md5('7|' || salt || '|' || odd::INT || '|' || pair), pair) - 1) + CASE WHEN odd THEN 1 ELSE 2 END AS slot FROM b),
+g AS (SELECT salt FROM (SELECT salt, pair, max(slot) - min(slot) AS gap FROM c GROUP BY ALL) GROUP BY 1 HAVING min(gap) > 1)
+SELECT pair, arm, CAST(slot AS BIGINT) AS slot FROM c WHERE salt = (SELECT min(salt) FROM g)""")
 def srt_08_blinded_slots(spark: Spark, d: str) -> DataFrame:
-    s = t(spark, d, "supplier").where("s_suppkey < 100").select(F.col("s_suppkey").alias("pair"))
+    s = t(spark, d, "supplier").select(F.col("s_suppkey").alias("pair"))
     return select.blinded_slots(reshape.cross_arms(s, ["PE", "Non-PE"]), "pair", "arm", 7)
 
 
@@ -293,17 +310,15 @@ def agg_32_null_profile(spark: Spark, d: str) -> DataFrame:
 # windows, ordering, sets ---------------------------------------------------------
 
 
-@query("SELECT c_custkey, CAST(r AS INTEGER) AS pick_rank FROM (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer) ORDER BY r, c_nationkey LIMIT 60")
-def win_01_round_robin_by_key(spark: Spark, d: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    c = t(spark, d, "customer").withColumn("pick_rank", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))).where("pick_rank <= 60")
-    return c.orderBy("pick_rank", "c_nationkey").limit(60).select("c_custkey", "pick_rank")
+@query("SELECT c_custkey, CAST(r AS INTEGER) AS pick_rank FROM (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal < 0 DESC, md5('4|' || c_custkey), c_custkey) AS r FROM customer) ORDER BY r, c_nationkey, c_custkey LIMIT 60")
+def win_01_round_robin_flagged(spark: Spark, d: str) -> DataFrame:
+    c = windows.round_robin(t(spark, d, "customer"), "c_nationkey", "c_custkey", 60, 4, F.col("c_acctbal") < 0)
+    return c.select("c_custkey", "pick_rank")
 
 
-@query()
+@query("SELECT c_custkey, CAST(r AS INTEGER) AS pick_rank FROM (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY md5('11|' || c_custkey), c_custkey) AS r FROM customer) ORDER BY r, c_nationkey, c_custkey LIMIT 60")
 def win_01_round_robin(spark: Spark, d: str) -> DataFrame:
-    return windows.round_robin(t(spark, d, "customer"), "c_nationkey", "c_custkey", 60, 11)
+    return windows.round_robin(t(spark, d, "customer"), "c_nationkey", "c_custkey", 60, 11).select("c_custkey", "pick_rank")
 
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders) WHERE r = 1")
@@ -354,12 +369,12 @@ def srt_03_top_one(spark: Spark, d: str) -> DataFrame:
     return windows.top_one(t(spark, d, "customer"), ["c_nationkey"], "c_acctbal", ["c_custkey"]).select("c_nationkey", "c_custkey")
 
 
-@query()
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 ORDER BY md5('3|' || o_custkey), o_custkey LIMIT 50)")
 def srt_06_sample_groups(spark: Spark, d: str) -> DataFrame:
     return windows.sample_groups(t(spark, d, "orders", ["o_orderkey", "o_custkey"]), "o_custkey", 50, 3)
 
 
-@query()
+@query("SELECT c_custkey, CASE WHEN h THEN 'medicaid' ELSE 'commercial' END AS first_arm, CASE WHEN h THEN 'commercial' ELSE 'medicaid' END AS second_arm FROM (SELECT c_custkey, substr(md5('5|' || c_custkey), 1, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') AS h FROM customer)")
 def srt_09_arm_order(spark: Spark, d: str) -> DataFrame:
     return windows.arm_order(t(spark, d, "customer", ["c_custkey"]), "c_custkey", ("medicaid", "commercial"), 5)
 

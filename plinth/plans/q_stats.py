@@ -13,6 +13,41 @@ from plinth.streaming import events as ev
 Spark = SparkSession
 
 
+def newton_sql(rows: str, y: str, xs: list[str], family: str, rounds: int = 25) -> str:
+    """CTEs of a binomial or Poisson model by Newton's method: `fit` has one row, b0..b2 and the inverse information v00..v22.
+
+    `rows` is a table with the outcome `y` and at most two covariates; missing ones are padded by a zero column.
+    """
+    x = ["1", *xs, *["0"] * (2 - len(xs))]
+    eta = "b0" + "".join(f" + b{j} * {x[j]}" for j in (1, 2))
+    mu = f"1 / (1 + exp(-({eta})))" if family == "binomial" else f"exp({eta})"
+    w = "m * (1 - m)" if family == "binomial" else "m"
+    start = "0" if family == "binomial" else f"ln(avg({y}))"
+    pad = 1 if len(xs) == 1 else 0  # keeps the information regular where the third column is padding
+    info = ", ".join(f"sum(w * {x[i]} * {x[j]}){f' + {pad}' if i == j == 2 else ''} AS h{i}{j}" for i in range(3) for j in range(i, 3))
+    score = ", ".join(f"sum(({y} - m) * {x[i]}) AS g{i}" for i in range(3))
+    minor = {"00": "h11 * h22 - h12 * h12", "01": "h02 * h12 - h01 * h22", "02": "h01 * h12 - h02 * h11", "11": "h00 * h22 - h02 * h02", "12": "h01 * h02 - h00 * h12", "22": "h00 * h11 - h01 * h01"}
+    det = f"(h00 * ({minor['00']}) + h01 * ({minor['01']}) + h02 * ({minor['02']}))"
+    at = lambda i, j: minor[f"{min(i, j)}{max(i, j)}"]
+    step = ", ".join(f"b{i} + ({' + '.join(f'({at(i, j)}) * g{j}' for j in range(3))}) / {det} AS b{i}" for i in range(3))
+    inverse = ", ".join(f"({minor[k]}) / {det} AS v{k}" for k in minor)
+    sums = lambda source: f"SELECT k, b0, b1, b2, {info}, {score} FROM (SELECT *, {w} AS w FROM (SELECT *, {mu} AS m FROM {source}, {rows})) GROUP BY ALL"
+    return f"it AS (SELECT 0 AS k, CAST({start} AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1, CAST(0 AS DOUBLE) AS b2 FROM {rows} UNION ALL SELECT k + 1, {step} FROM ({sums('it')}) WHERE k < {rounds}), fit AS (SELECT b0, b1, b2, {inverse} FROM ({sums(f'(SELECT * FROM it WHERE k = {rounds}) z')}))"
+
+
+def effects_sql(names: list[str]) -> str:
+    """Rows of an effects table, exponentiated, from `fit`."""
+    q = 1.959963984540054
+    return " UNION ALL ".join(f"SELECT '{n}' AS term, round(exp(b{i}), 6) AS estimate, round(exp(b{i} - {q} * sqrt(v{i}{i})), 6) AS low, round(exp(b{i} + {q} * sqrt(v{i}{i})), 6) AS high, round(b{i} / sqrt(v{i}{i}), 4) AS z FROM fit" for i, n in enumerate(names))
+
+
+def rounded(effects: DataFrame, *more: str) -> DataFrame:
+    return effects.select(*more, "term", *[F.round(c, 6).alias(c) for c in ("estimate", "low", "high")], F.round("z", 4).alias("z"))
+
+
+_ORDERS = "rows AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS y, o_totalprice / 1e5 AS price, CAST(month(o_orderdate) AS DOUBLE) AS month FROM orders)"
+
+
 @query("""WITH k AS (SELECT count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'O') AS a, count(*) FILTER (l_returnflag = 'R') AS n1, count(*) FILTER (l_returnflag <> 'R' AND l_linestatus = 'O') AS c, count(*) FILTER (l_returnflag <> 'R') AS n2 FROM lineitem),
 g AS (SELECT *, abs(a / n1 - c / n2) AS gap, (a + c) / (n1 + n2) AS p FROM k), h AS (SELECT *, least(0.5, gap / (1 / n1 + 1 / n2)) AS y FROM g)
 SELECT round(a / n1, 6) AS p1, round(c / n2, 6) AS p2, round(pow((gap - y * (1 / n1 + 1 / n2)) / sqrt(p * (1 - p) * (1 / n1 + 1 / n2)), 2), 6) AS chi2 FROM h""")
@@ -79,7 +114,7 @@ def st_16_poisson(spark: Spark, d: str) -> DataFrame:
     return spark.createDataFrame([(round(stats.fit_glm(li, "y", ["x"], "poisson")["coefficients"][1], 6),)], "log_rate_ratio double")
 
 
-@query()
+@query(f"WITH RECURSIVE {_ORDERS}, {newton_sql('rows', 'y', ['price', 'month'], 'binomial')} SELECT o_orderkey, round(1 / (1 + exp(-(b0 + b1 * price + b2 * month))), 6) AS propensity FROM rows, fit")
 def st_01_propensity(spark: Spark, d: str) -> DataFrame:
     o = t(spark, d, "orders").select("o_orderkey", (F.col("o_orderstatus") == "O").cast("int").alias("treated"), (F.col("o_totalprice") / 1e5).alias("price"), F.month("o_orderdate").alias("month"))
     return stats.predict(o, stats.fit_glm(o, "treated", ["price", "month"]), "propensity").select("o_orderkey", F.round("propensity", 6).alias("propensity"))
@@ -91,21 +126,25 @@ def st_03_negative_binomial(spark: Spark, d: str) -> DataFrame:
     return stats.effects(n, stats.fit_negative_binomial(n, "n", ["share"]))
 
 
-@query()
+@query(f"WITH RECURSIVE {_ORDERS}, {newton_sql('rows', 'y', ['price'], 'binomial')} {effects_sql(['(intercept)', 'price'])}")
 def st_13_effects(spark: Spark, d: str) -> DataFrame:
     o = t(spark, d, "orders").select((F.col("o_orderstatus") == "O").cast("int").alias("y"), (F.col("o_totalprice") / 1e5).alias("price"))
-    return stats.effects(o, stats.fit_glm(o, "y", ["price"]))
+    return rounded(stats.effects(o, stats.fit_glm(o, "y", ["price"])))
 
 
-@query()
+@query(f"WITH RECURSIVE rows AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS arm, l_discount, l_quantity FROM lineitem), {newton_sql('rows', 'l_quantity', ['arm', 'l_discount'], 'poisson')} SELECT arm, round(exp(b0 + b1 * arm + b2 * (SELECT avg(l_discount) FROM rows)), 6) AS cell_mean FROM (SELECT DISTINCT arm FROM rows), fit")
 def st_12_cell_means(spark: Spark, d: str) -> DataFrame:
     li = t(spark, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("arm"), "l_discount", "l_quantity")
-    return stats.cell_means(li, stats.fit_glm(li, "l_quantity", ["arm", "l_discount"], "poisson"), ["arm"])
+    return stats.cell_means(li, stats.fit_glm(li, "l_quantity", ["arm", "l_discount"], "poisson"), ["arm"]).withColumn("cell_mean", F.round("cell_mean", 6))
 
 
-@query()
+@query("""WITH g AS (SELECT o_custkey, count(*) AS n, avg(o_totalprice) AS m, coalesce(var_pop(o_totalprice) * count(*), 0) AS ss FROM orders GROUP BY 1),
+t AS (SELECT count(*) AS k, sum(n) AS nn, sum(ss) / (sum(n) - count(*)) AS msw, (sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n)) / (count(*) - 1) AS msb, (sum(n) - sum(n * n) / sum(n)) / (count(*) - 1) AS n0 FROM g),
+b AS (SELECT *, greatest((msb - msw) / n0, 0) AS vb FROM t)
+SELECT CAST(k AS BIGINT) AS n_groups, round(vb / 1e6, 4) AS var_between, round(msw / 1e6, 4) AS var_within, round(vb / (vb + msw), 8) AS icc FROM b""")
 def st_14_variance_components(spark: Spark, d: str) -> DataFrame:
-    return stats.variance_components(t(spark, d, "orders"), "o_custkey", "o_totalprice")
+    v = stats.variance_components(t(spark, d, "orders"), "o_custkey", "o_totalprice")
+    return v.select("n_groups", F.round(F.col("var_between") / 1e6, 4).alias("var_between"), F.round(F.col("var_within") / 1e6, 4).alias("var_within"), F.round("icc", 8).alias("icc"))
 
 
 @query("SELECT caliper, count(*) FILTER (g <= caliper) AS n_pairs, round(avg(g) FILTER (g <= caliper), 4) AS mean_gap FROM (SELECT abs(s_acctbal - c_acctbal) AS g FROM supplier JOIN customer ON s_nationkey = c_nationkey), (VALUES (CAST(500 AS DOUBLE)), (100), (50)) v(caliper) GROUP BY 1")
@@ -114,22 +153,20 @@ def st_23_calipers(spark: Spark, d: str) -> DataFrame:
     return stats.caliper_sensitivity(p, "g", [500, 100, 50], mean_gap=F.col("g")).withColumn("mean_gap", F.round("mean_gap", 4))
 
 
-@query()
+@query("WITH RECURSIVE " + _ORDERS + ", " + ", ".join(
+    newton_sql(source, "y", xs, "binomial").replace("it AS (", f"it_{name} AS (").replace("FROM it", f"FROM it_{name}").replace("fit AS (", f"fit_{name} AS (")
+    for name, source, xs in (("a", "rows", ["price"]), ("f", "(SELECT * FROM rows WHERE month <= 6) q", ["price"]), ("j", "rows", ["price", "month"]))
+) + " " + " UNION ALL ".join(f"SELECT '{variant}' AS variant, * FROM ({effects_sql(names).replace('FROM fit', f'FROM fit_{name}')})" for name, variant, names in (("a", "all", ["(intercept)", "price"]), ("f", "first_half", ["(intercept)", "price"]), ("j", "adjusted", ["(intercept)", "price", "month"]))))
 def st_24_sensitivities(spark: Spark, d: str) -> DataFrame:
     o = t(spark, d, "orders").select((F.col("o_orderstatus") == "O").cast("int").alias("y"), (F.col("o_totalprice") / 1e5).alias("price"), F.month("o_orderdate").alias("month"))
-    return stats.sensitivities(o, [("all", F.lit(True), ["price"]), ("first_half", F.col("month") <= 6, ["price"]), ("adjusted", F.lit(True), ["price", "month"])], "y")
+    return rounded(stats.sensitivities(o, [("all", F.lit(True), ["price"]), ("first_half", F.col("month") <= 6, ["price"]), ("adjusted", F.lit(True), ["price", "month"])], "y"), "variant")
 
 
-@query()
+@query("SELECT CAST(CAST('0x' || substr(md5('1|' || o_custkey), 1, 8) AS BIGINT) % 5 AS INTEGER) AS fold, count(*) AS n, count(DISTINCT o_custkey) AS n_clusters FROM orders GROUP BY 1")
 def st_21_folds(spark: Spark, d: str) -> DataFrame:
     return t(spark, d, "orders").groupBy(stats.folds("o_custkey", 5, 1).alias("fold")).agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("n_clusters"))
 
 
-@query()
-def st_18_power(spark: Spark, d: str) -> DataFrame:
-    return stats.simulate_power(spark, [(1.1, 10, 100), (1.22, 10, 100), (1.22, 20, 100)], 100)
-
-
 # contracts -----------------------------------------------------------------------
 
 
@@ -158,28 +195,16 @@ def row_10_same_keys(spark: Spark, d: str) -> DataFrame:
     return gates.rule_same_keys(t(spark, d, "customer").select(F.col("c_custkey").alias("k")), t(spark, d, "orders").select(F.col("o_custkey").alias("k")), "k")
 
 
-@query("SELECT 'passed' AS status, 4 AS n_gates")
-def gate_15_preflight(spark: Spark, d: str) -> DataFrame:
-    c, li = t(spark, d, "customer"), t(spark, d, "lineitem")
-    passed = gates.preflight([
-        ("family", lambda: gates.check_family(li, "l_discount", "proportion")),
-        ("count", lambda: gates.check_family(li, "l_linenumber", "count")),
-        ("cluster", lambda: gates.cluster_gate(c, "c_nationkey")),
-        ("plan", lambda: gates.plan_gate("y ~ arm  + (1 | pair)", "y ~ arm + (1 | pair)")),
-    ])
-    return spark.createDataFrame([("passed", len(passed))], "status string, n_gates int")
-
-
 @query("SELECT p_name AS name, count(DISTINCT p_brand) AS n_owners, string_agg(DISTINCT p_brand, ' | ' ORDER BY p_brand) AS owners FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1")
 def drf_05_overlapping_names(spark: Spark, d: str) -> DataFrame:
     p = t(spark, d, "part").select(F.col("p_brand").alias("package"), F.col("p_name").alias("name"))
     return drift.overlapping_names(p)
 
 
-@query("SELECT coalesce(a.k, b.k) AS package, CASE WHEN a.k IS NULL THEN 'missing' WHEN b.k IS NULL THEN 'unused' ELSE 'version' END AS finding FROM (SELECT s_suppkey AS k, s_nationkey AS v FROM supplier WHERE s_suppkey < 60) a FULL JOIN (SELECT c_custkey AS k, c_nationkey AS v FROM customer WHERE c_custkey BETWEEN 30 AND 90) b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v")
+@query("SELECT coalesce(a.k, b.k) AS package, CASE WHEN a.k IS NULL THEN 'missing' WHEN b.k IS NULL THEN 'unused' ELSE 'version' END AS finding FROM (SELECT s_suppkey * 2 AS k, s_nationkey AS v FROM supplier) a FULL JOIN (SELECT c_custkey AS k, c_nationkey AS v FROM customer) b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v")
 def drf_02_lock_drift(spark: Spark, d: str) -> DataFrame:
-    a = t(spark, d, "supplier").where("s_suppkey < 60").select(F.col("s_suppkey").alias("package"), F.col("s_nationkey").alias("version"))
-    b = t(spark, d, "customer").where("c_custkey between 30 and 90").select(F.col("c_custkey").alias("package"), F.col("c_nationkey").alias("version"))
+    a = t(spark, d, "supplier").select((F.col("s_suppkey") * 2).alias("package"), F.col("s_nationkey").alias("version"))
+    b = t(spark, d, "customer").select(F.col("c_custkey").alias("package"), F.col("c_nationkey").alias("version"))
     return drift.lock_drift(a, b)
 
 

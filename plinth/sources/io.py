@@ -199,11 +199,11 @@ def choice_list(df: DataFrame, code: str, label: str) -> DataFrame:
 
 def titled_sheet(df: DataFrame, titles: Sequence[str], fields: Sequence[str], order: Sequence[str]) -> DataFrame:
     """`pos`, `line`: title lines, then the rows as CSV lines in order."""
-    from pyspark.sql.window import Window
+    from plinth.operators.ranges import number
 
     line = F.concat_ws(",", *[F.concat(F.lit('"'), F.replace(F.coalesce(F.col(f).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for f in fields])
-    body = df.select((F.row_number().over(Window.orderBy(*order)) + len(titles)).alias("pos"), line.alias("line"))
-    head = df.sparkSession.createDataFrame([(i + 1, t) for i, t in enumerate(titles)], "pos int, line string")
+    body = number(df.select(*dict.fromkeys([*fields, *order])), order, "pos", len(titles) + 1).select("pos", line.alias("line"))
+    head = df.sparkSession.createDataFrame([(i + 1, t) for i, t in enumerate(titles)], "pos long, line string")
     return head.unionByName(body)
 
 

@@ -1,8 +1,10 @@
 import datetime
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plinth.functions import dates, geo
 from plinth.operators import aggs, drift, filters, gates, joins, reshape, select, stats, windows
@@ -55,6 +57,48 @@ def test_greedy_match_equals_the_serial_loop(spark):
     assert select.greedy_match(df.limit(0), "u", "c", "w", "o").count() == 0
 
 
+def serial_match(edges):
+    want, used = {}, set()
+    for u in sorted({e[0] for e in edges}):
+        free = sorted((w, c) for x, c, w, _ in edges if x == u and c not in used)
+        if free:
+            want[u] = free[0][1]
+            used.add(free[0][1])
+    return want
+
+
+def test_greedy_match_of_units_that_like_the_same(spark):
+    # All units have one list of preferences: the loop goes on to the end, in bounded steps.
+    df = spark.range(2000).withColumnRenamed("id", "u").select("u", F.explode(F.sequence(F.lit(0), F.lit(2099))).alias("c"))
+    df = df.where((F.col("c") - F.col("u")).between(-40, 40) | (F.col("c") < 3)).withColumn("w", F.col("c").cast("double"))
+    edges = [(r.u, r.c, r.w, r.u) for r in df.collect()]
+    by_unit, used, want = {}, set(), {}
+    for u, c, w, _ in edges:
+        by_unit.setdefault(u, []).append((w, c))
+    for u in sorted(by_unit):
+        free = next((c for _, c in sorted(by_unit[u]) if c not in used), None)
+        if free is not None:
+            want[u] = free
+            used.add(free)
+    got = select.greedy_match(df.withColumn("o", F.col("u")), "u", "c", "w", "o", chunk=300)
+    assert {r.u: r.c for r in got.collect()} == want
+    few = [(u, c, 1.0, u) for u in range(30) for c in range(20)]
+    small = spark.createDataFrame(few, "u int, c int, w double, o int")
+    assert {r.u: r.c for r in select.greedy_match(small, "u", "c", "w", "o", chunk=7).collect()} == serial_match(few)
+    blocks = spark.createDataFrame([(u, u % 3 * 100 + c, float(c % 4), u, "abc"[u % 3]) for u in range(40) for c in range(15)], "u int, c int, w double, o int, s string")
+    want = serial_match([(r.u, r.c, r.w, r.o) for r in blocks.collect()])
+    assert {r.u: r.c for r in select.greedy_match(blocks, "u", "c", "w", "o", block=["s"], chunk=4).collect()} == want
+
+
+def test_disjoint_selection_of_a_chain(spark):
+    # Each node shares a key with the next: every other one stays.
+    chain = spark.range(400).select(F.col("id").alias("n"), F.array(F.col("id").cast("string"), (F.col("id") + 1).cast("string")).alias("ks"), F.col("id").alias("rank"))
+    for cap, chunk in ((1000, 50), (30, 50), (1000, 7)):
+        got = {r.n: r.status for r in select.disjoint_selection(chain, "n", "ks", ["rank"], cap, chunk).collect()}
+        last = min(cap * 2 - 2, 398)
+        assert got == {n: "selected" if n % 2 == 0 and n <= last else "not_needed" if cap == 30 and n > last else "dropped_shares_key" for n in range(400)}
+
+
 def test_disjoint_selection_equals_the_serial_loop(spark):
     rng = random.Random(3)
     nodes = [(i, rng.sample("abcdefghijklmnopqrst", 2), rng.random()) for i in range(40)] + [(90, [], 0.5), (91, ["z", "z"], 0.6)]
@@ -124,6 +168,30 @@ def test_ids(spark):
     assert sorted((r.o, r.g) for r in reshape.dense_id(df, F.col("k"), ["o"], "g", "office_").collect()) == [(1, "office_1"), (2, "office_2"), (3, "office_3"), (4, "office_3"), (5, "office_4")]
 
 
+def test_ids_of_wide_rows_are_unique(spark):
+    # Narrow and wide readers sample different range boundaries; ids may not hang on them.
+    wide = spark.range(0, 120_000, 1, 6).select("id", F.xxhash64("id").alias("o"), *[F.concat(F.lit("x" * 20), (F.col("id") * k).cast("string")).alias(f"c{k}") for k in range(8)])
+    got = reshape.sequential_id(wide, ["o"], "n", 1)
+    assert got.agg(F.count_distinct("n"), F.min("n"), F.max("n")).first() == (120_000, 1, 120_000)
+    assert got.join(wide.select("id", F.row_number().over(Window.orderBy("o")).alias("want")), "id").where("n <> want").isEmpty()
+
+
+def test_ranks_sums_and_neighbours_over_ranges(spark):
+    rng = random.Random(5)
+    data = [(i, rng.choice([None, rng.randint(0, 60)]), rng.choice("xy")) for i in range(500)]
+    df = spark.createDataFrame(data, "id int, v int, g string")
+    values = sorted(v for _, v, _ in data if v is not None)
+    want = {v: values.index(v) + (values.count(v) + 1) / 2 for v in values}
+    assert {r.id: r.avg_rank for r in windows.average_ranks(df, "v").collect()} == {i: want[v] for i, v, _ in data if v is not None}
+    own = {g: sorted(v for _, v, h in data if h == g and v is not None) for g in "xy"}
+    by = {r.id: r.avg_rank for r in windows.average_ranks(df, "v", ["g"]).collect()}
+    assert by == {i: own[g].index(v) + (own[g].count(v) + 1) / 2 for i, v, g in data if v is not None}
+    same = [i for (i, v, _), (_, u, _) in zip(data[1:], data) if v is not None and v == u]
+    assert sorted(r.id for r in filters.adjacent_equal(df, ["id"], "v").collect()) == same
+    sheet = [tuple(r) for r in io.titled_sheet(df, ["a", "b"], ["id"], ["id"]).orderBy("pos").collect()]
+    assert sheet[:3] == [(1, "a"), (2, "b"), (3, '"0"')] and sheet[-1] == (502, '"499"')
+
+
 def test_groups_and_balance(spark):
     df = spark.createDataFrame([(1, True, 1.0), (1, True, 2.0), (2, True, 3.0), (2, None, 4.0), (3, True, 9.0)], "pair int, ok boolean, x double")
     assert {r.pair for r in filters.whole_groups(df, ["pair"], F.col("ok")).collect()} == {1, 3}
@@ -143,6 +211,23 @@ def test_turnover(spark):
     assert rows(aggs.turnover(panel, ["office"], "year", "npi")) == [("a", 2, 1, 1, 0.5, 2), ("b", 1, 0, 0, 0.0, 1)]
 
 
+def test_exact_tests_of_large_counts():
+    def every_table(a, b, c, d):
+        r1, r2, k = a + b, c + d, a + c
+        log_p = lambda x: -sum(map(math.lgamma, (x + 1, r1 - x + 1, k - x + 1, r2 - k + x + 1)))
+        logs = [log_p(x) for x in range(max(0, k - r2), min(r1, k) + 1)]
+        top = max(logs)
+        return sum(math.exp(x - top) for x in logs if x <= log_p(a) + 1e-7) / sum(math.exp(x - top) for x in logs)
+
+    rng = random.Random(8)
+    for _ in range(300):
+        t = [rng.randint(0, rng.choice([3, 40])) for _ in range(4)]
+        assert stats.fisher_exact(*t) == pytest.approx(every_table(*t), rel=1e-9)
+    assert stats.fisher_exact(50_000_000, 50_000_000, 50_000_000, 50_000_000) == pytest.approx(1.0, abs=1e-3)
+    assert 0 < stats.fisher_exact(50_010_000, 49_990_000, 50_000_000, 50_000_000) < 1
+    assert stats.binomial_two_sided(500_000_000, 1_000_000_000) == pytest.approx(1.0, abs=1e-3)
+
+
 def test_statistics(spark):
     assert stats.fisher_exact(3, 1, 1, 3) == pytest.approx(0.4857142857)
     assert stats.binomial_two_sided(1, 10) == pytest.approx(0.021484375) and stats.binomial_two_sided(5, 10) == pytest.approx(1.0)
