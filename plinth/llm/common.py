@@ -53,18 +53,19 @@ def remove_table(spark: SparkSession, path: str) -> None:
 
 
 def if_small(ids: DataFrame, most: int) -> DataFrame:
-    """A checkpointed table, to be broadcast if it has at most `most` rows."""
+    """A checkpointed table of longs, to be broadcast if it has at most `most` rows (about 32 bytes each in memory)."""
     held = cut(ids)
     return F.broadcast(held) if held.count() <= most else held
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all rows and the int64 offsets of the rows; a null row is empty."""
+    """UTF-8 bytes (or the bytes of a binary column) of all rows and the int64 offsets of the rows; a null row is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
     if column.null_count:
-        column = column.fill_null("")
-    large = column.cast(pa.large_string())
+        column = column.fill_null(b"" if binary else "")
+    large = column.cast(pa.large_binary() if binary else pa.large_string())
     offsets = np.frombuffer(large.buffers()[1], np.int64)[large.offset : large.offset + len(large) + 1]
     raw = large.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)

@@ -63,8 +63,8 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
-    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    cleaned = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400, words=50)
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeat_words")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -15,23 +15,25 @@ from plinth.llm.common import chunks, text_bytes
 _RNG = np.random.RandomState(20240229)
 _CODE = _RNG.randint(1, 2**63 - 1, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _LOWER_CODE = _CODE[_LOWER]
-_POWERS: dict[str, np.ndarray] = {}
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's first n powers and their inverses modulo 2**64."""
-    if len(_POWERS.get("up", ())) < n:
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(n, base, np.uint64)
+def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
+    """An odd base's first n powers and their inverses modulo 2**64."""
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        made = []
+        for one in (base, pow(base, -1, 1 << 64)):
+            steps = np.full(n, one, np.uint64)
             steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+            made.append(np.multiply.accumulate(steps))
+        _POWERS[base] = (made[0], made[1])
+    up, down = _POWERS[base]
+    return up[:n], down[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

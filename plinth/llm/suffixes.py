@@ -5,13 +5,15 @@ somewhere else in the table; overlapping occurrences count, and strings never
 cross documents.
 
 1. Each stretch of `length` bytes has one anchor: the start of its seed
-   (`SEED` bytes) with the least hash, the last one on ties. The choice hangs
+   (`seed` bytes) with the least hash, the last one on ties. The choice hangs
    on the bytes alone, so equal stretches have equal anchors at one offset, and
    comparing places with equal seeds finds every repeat.
 2. A place is an anchor with its context: as far to the left and right as
    stretches with this anchor reach. Places with equal seed and equal context
-   (128 bits of hash) are repeats over the whole context. Only seeds that also
-   have other places go on, one place for each context.
+   are repeats over the whole context. Contexts are compared by a 128-bit
+   BLAKE2 digest of all their bytes, which, other than a polynomial hash, no
+   structure of the text can make collide. Only seeds that also have other
+   places go on, one place for each context.
 3. The places of a seed are sorted by their suffixes from the anchor, and by
    their reversed prefixes, by mergesort. Two suffixes are compared by binary
    search for their common extension over prefix polynomial hashes, and the
@@ -21,41 +23,56 @@ cross documents.
    bytes; each place's outermost repeated stretches bound what goes.
 
 A seed with more than `most_contexts` different contexts is not sorted in one
-task: each of its stretches is dealt by its own 128-bit hash, and equal ones
-are repeats. Null texts are empty; texts shorter
-than `length` lose nothing. Ids may not be null; rows of a repeated id count
-as separate documents only if `id_col` tells them apart. An empty table gives
-an empty result.
+task: each of its stretches is dealt by two polynomial hashes of unrelated
+bases and byte codes, and equal ones are repeats.
+
+`repeated_words` finds passages of at least `words` words that stand elsewhere
+too, by the same steps over 32-bit hashes of the words (A-Z lower-cased), so
+that spaces and line breaks do not matter and a passage need not have `length`
+bytes.
+
+Null texts are empty; texts shorter than `length` lose nothing, and texts of
+any length are gone through in windows of bounded size. Where ids are null or
+repeated, each row is a document of its own. An empty table gives an empty
+result. Only id and text are read; other columns are not returned.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from plinth.llm.common import chunks, cut, if_small, remove_table, text_bytes, write_table
-from plinth.llm.shingles import _CODE, mix, powers
+from plinth.llm.common import chunks, cut, ids_tell_rows, if_small, remove_table, text_bytes, with_row_keys, write_table
+from plinth.llm.shingles import _BASE, _CODE, mix, powers, word_hashes
 
-LENGTH, SEED = 400, 50
-#: Places in a buffer; a text may have up to 2**28 bytes.
-_PLACE_BITS = np.uint64(28)
+LENGTH, SEED, WORDS, SEED_WORDS = 400, 50, 50, 8
+#: Bytes of a window of text, and bits that hold a place in one.
+WINDOW = 1 << 19
+_PLACE_BITS = np.uint64(21)
 _SECOND = np.random.RandomState(11).randint(1, 2**63 - 1, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+#: (code of each byte, base) of the two polynomial hashes.
+_FIRST_HASH, _SECOND_HASH = (_CODE, _BASE), (_SECOND, 0xD1342543DE82EF95)
+#: What is sent to each executor at most.
+BROADCAST_BYTES = 32 << 20
 
 
-def prefix_hashes(data: np.ndarray, code: np.ndarray = _CODE) -> np.ndarray:
+def prefix_hashes(data: np.ndarray, kind: tuple[np.ndarray, int] = _FIRST_HASH) -> np.ndarray:
     """h[i] of the first i bytes; `span_hash` reads any span from it."""
-    up, _ = powers(len(data) + 1)
+    code, base = kind
+    up, _ = powers(len(data) + 1, base)
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(code[data] * up[: len(data)], out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, down = powers(len(prefix))
+def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = _BASE) -> np.ndarray:
+    _, down = powers(len(prefix), base)
     return (prefix[end] - prefix[start]) * down[start]
 
 
@@ -83,40 +100,53 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, seed: i
     at = (np.uint64((1 << int(_PLACE_BITS)) - 1) - (least & np.uint64((1 << int(_PLACE_BITS)) - 1))).astype(np.int64)
     row = np.searchsorted(offsets, np.arange(len(at)), side="right") - 1
     inside = np.arange(len(at)) + length <= offsets[row + 1]
-    windows = np.flatnonzero(inside)
-    at = at[windows]
+    starts = np.flatnonzero(inside)
+    at = at[starts]
     if not len(at):
         return empty, empty, empty, prefix
     # Anchors do not fall back from one stretch to the next, so equal ones are neighbours.
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     last = np.concatenate((first[1:], [len(at)])) - 1
-    return at[first], windows[first], windows[last], prefix
+    return at[first], starts[first], starts[last], prefix
 
 
-def _places(length: int):
+def parts_of(offsets: np.ndarray, length: int, most: int = WINDOW) -> Iterator[tuple[int, int, np.ndarray, int]]:
+    """(first row, begin in the buffer, offsets of rows from there, begin in the first row) of parts of about `most` bytes.
+
+    A longer row comes in several parts, each stretch of `length` bytes in one of them.
+    """
+    for i, j in chunks(offsets, most):
+        size = int(offsets[j] - offsets[i])
+        if j - i > 1 or size <= 2 * most:
+            yield i, int(offsets[i]), offsets[i : j + 1] - offsets[i], 0
+            continue
+        for at in range(0, size - length + 1, most):
+            yield i, int(offsets[i]) + at, np.array([0, min(size - at, most + length - 1)], np.int64), at
+
+
+def _places(length: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """_id, seed hash, context hashes, begin, at, end of each place."""
+        """_id, seed hash, context digest, begin, at, end of each place."""
         np.seterr(over="ignore")
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             ids = batch.column(0).to_numpy()
-            for i, j in chunks(offsets, 1 << 20):
-                base = offsets[i]
-                part, own = data[base : offsets[j]], offsets[i : j + 1] - base
-                at, first, last, prefix = anchors(part, own, length)
+            for i, begin, own, shift in parts_of(offsets, length):
+                part = data[begin : begin + int(own[-1])]
+                at, first, last, prefix = anchors(part, own, length, seed)
                 if not len(at):
                     continue
                 end = last + length
                 row = np.searchsorted(own, at, side="right") - 1
-                second = prefix_hashes(part, _SECOND)
+                raw = part.tobytes()
+                digests = b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), end.tolist())])
+                digest = np.frombuffer(digests, np.uint64).reshape(-1, 2)
                 columns = [
-                    pa.array(ids[i:j][row]),
-                    pa.array(span_hash(prefix, at, at + SEED).view(np.int64)),
-                    pa.array(mix(span_hash(prefix, first, end) + (at - first).astype(np.uint64)).view(np.int64)),
-                    pa.array(mix(span_hash(second, first, end) + (end - at).astype(np.uint64)).view(np.int64)),
-                    pa.array((first - own[row]).astype(np.int32)),
-                    pa.array((at - own[row]).astype(np.int32)),
-                    pa.array((end - own[row]).astype(np.int32)),
+                    pa.array(ids[i : i + len(own) - 1][row]),
+                    pa.array(span_hash(prefix, at, at + seed).view(np.int64)),
+                    pa.array((digest[:, 0] ^ mix((at - first).astype(np.uint64))).view(np.int64)),
+                    pa.array(digest[:, 1].copy().view(np.int64)),
+                    *[pa.array((x - own[row] + shift).astype(np.int32)) for x in (first, at, end)],
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["_id", "seed", "c1", "c2", "first", "at", "end"])
 
@@ -246,17 +276,21 @@ def repeats(data: np.ndarray, start: np.ndarray, at: np.ndarray, end: np.ndarray
     return first, last
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = 4096, broadcast_rows: int = 500_000) -> DataFrame:
-    """_id, begin, stop (bytes): every repeated stretch is covered; spans may overlap."""
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    long_texts = texts.where(F.octet_length("_text") >= length)
+def repeated_spans(
+    texts: DataFrame, length: int = LENGTH, seed: int = SEED, most_contexts: int = 4096, broadcast_ids: int = BROADCAST_BYTES // 32, encode: Callable[[DataFrame], DataFrame] = lambda rows: rows
+) -> DataFrame:
+    """_id, begin, stop (bytes) over `texts` (_id, _text; ids tell rows apart): every repeated stretch is covered; spans may overlap.
+
+    `encode` turns the texts into the bytes to be compared.
+    """
+    long_texts = encode(texts).where(F.octet_length("_text") >= length)
     kinds = "_id long, seed long, c1 long, c2 long, first int, at int, end int"
-    found, folder = write_table(long_texts.mapInArrow(_places(length), kinds), "places")
+    found, folder = write_table(long_texts.mapInArrow(_places(length, seed), kinds), "places")
     # Seeds found once, most of them, go first, by a count alone.
     # Kept apart from the join, so that a hot seed's places can be split over tasks.
     again = cut(found.groupBy("seed").agg(F.count("*").alias("_n")).where("_n > 1").select("seed"))
     places = cut(found.join(again, "seed"))
-    remove_table(docs.sparkSession, folder)
+    remove_table(texts.sparkSession, folder)
     contexts = places.groupBy("seed", "c1", "c2").agg(F.count("*").alias("copies"), F.min(F.struct("_id", "at", "first", "end")).alias("one"))
     per_seed = contexts.groupBy("seed").agg(F.count("*").alias("contexts"))
     contexts = cut(contexts.join(per_seed, "seed"))
@@ -271,8 +305,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     def carry(part: DataFrame) -> DataFrame:
         """The texts that have places in `part`, with these places."""
         wanted = part.groupBy("_id").agg(F.collect_list(F.struct("seed", "first", "at", "end")).alias("places"))
-        named = if_small(part.select("_id").distinct(), broadcast_rows)
-        return texts.join(named, "_id", "left_semi").join(wanted, "_id").select("_id", "_text", "places")
+        named = if_small(part.select("_id").distinct(), broadcast_ids)
+        return encode(texts.join(named, "_id", "left_semi")).join(wanted, "_id").select("_id", "_text", "places")
 
     def excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,11 +327,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 for p in found:
                     part = data[begin + p["first"] : begin + p["end"]]
                     at = np.arange(len(part) - length + 1)
-                    pair = [pa.array(mix(span_hash(prefix_hashes(part, code), at, at + length)).view(np.int64)) for code in (_CODE, _SECOND)]
+                    pair = [pa.array(mix(span_hash(prefix_hashes(part, kind), at, at + length, kind[1])).view(np.int64)) for kind in (_FIRST_HASH, _SECOND_HASH)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), own)), pa.array((at + p["first"]).astype(np.int32)), *pair], names=["_id", "begin", "h1", "h2"])
 
     context = carry(mixed.where(~is_hot)).mapInArrow(excerpts, "_id long, seed long, first int, at int, end int, context binary")
-    parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2)
+    parts = max(8, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2)
     dealt = context.repartition(parts, "seed").sortWithinPartitions("seed")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,24 +376,66 @@ def _by_seed(batches: Iterator[pa.RecordBatch], most: int = 1 << 23) -> Iterator
         yield from table.to_batches()[:1]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = 4096, broadcast_rows: int = 500_000) -> DataFrame:
-    """`id_col`, n_bytes, n_removed, n_spans, kept (the remaining bytes) and spans of each row."""
-    spans = repeated_spans(docs, length, id_col, text_col, most_contexts, broadcast_rows)
-    # Runs of a document merge in the JVM; a text's own length bounds them.
-    run_kind = "array<struct<begin:int,stop:int>>"
+def _runs(spans: DataFrame) -> DataFrame:
+    """_id, begin, stop of the unions of spans that overlap or touch."""
+    along = Window.partitionBy("_id").orderBy("begin", "stop")
+    reached = F.max("stop").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    opens = spans.withColumn("_opens", F.when(F.col("begin") <= reached, 0).otherwise(1))
+    numbered = opens.withColumn("_run", F.sum("_opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("_id", "_run").agg(F.min("begin").alias("begin"), F.max("stop").alias("stop")).drop("_run")
 
-    def join_runs(acc, x):
-        last = F.try_element_at(acc, F.lit(-1))
-        longer = F.array(F.struct(last["begin"].alias("begin"), F.greatest(last["stop"], x["stop"]).alias("stop")))
-        meets = (F.size(acc) > 0) & (x["begin"] <= last["stop"])
-        return F.when(meets, F.concat(F.slice(acc, 1, F.size(acc) - 1), longer)).otherwise(F.concat(acc, F.array(x)))
 
-    sorted_spans = spans.groupBy("_id").agg(F.array_sort(F.collect_set(F.struct("begin", "stop"))).alias("_s"))
-    of_doc = cut(sorted_spans.select("_id", F.aggregate("_s", F.array().cast(run_kind), join_runs).alias("spans")))
-    if (of_doc.agg(F.sum(F.size("spans"))).first()[0] or 0) <= broadcast_rows:
-        of_doc = F.broadcast(of_doc)  # at most broadcast_rows runs
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    joined = texts.join(of_doc, "_id", "left")
+def _told_apart(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_id (tells rows apart), _own (the id as it is) and _text."""
+    rows = docs.select(F.col(id_col).cast("long").alias("_own"), F.col(text_col).alias("_text"))
+    if ids_tell_rows(rows, "_own"):
+        return rows.select(F.col("_own").alias("_id"), "_own", "_text")
+    return with_row_keys(rows, "_id")
+
+
+def _as_words(rows: DataFrame) -> DataFrame:
+    """Texts as 32-bit hashes of their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(1))
+            for i, j in chunks(offsets, WINDOW):
+                words, at = word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                made = (words >> np.uint64(32)).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array([made[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["_id", "_text"])
+
+    return rows.select("_id", "_text").mapInArrow(run, "_id long, _text binary")
+
+
+def _repeated_words(rows: DataFrame, words: int, most_contexts: int) -> DataFrame:
+    """_id, n_repeat_words: words in passages of at least `words` words that stand elsewhere too, where there are any."""
+    spans = _runs(repeated_spans(rows.select("_id", "_text"), 4 * words, 4 * min(SEED_WORDS, words), most_contexts, encode=_as_words))
+    # A span is of whole words but for chance; what is left of one after rounding inward has to be long enough.
+    n = F.floor(F.col("stop") / 4) - F.ceil(F.col("begin") / 4)
+    return spans.select("_id", n.alias("_n")).where(F.col("_n") >= words).groupBy("_id").agg(F.sum("_n").alias("n_repeat_words"))
+
+
+def repeated_words(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = 4096) -> DataFrame:
+    """`id_col` and n_repeat_words of each row."""
+    rows = _told_apart(docs, id_col, text_col)
+    found = _repeated_words(rows, words, most_contexts)
+    return rows.select("_id", "_own").join(found, "_id", "left").select(F.col("_own").alias(id_col), F.coalesce("n_repeat_words", F.lit(0)).alias("n_repeat_words"))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = 4096, words: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """`id_col`, n_bytes, n_removed, n_spans, kept (the remaining bytes) and spans of each row; with `words`, also n_repeat_words of passages of so many words, which are not removed for that."""
+    rows = _told_apart(docs, id_col, text_col)
+    runs = _runs(repeated_spans(rows.select("_id", "_text"), length, min(SEED, length), most_contexts, broadcast_bytes // 32))
+    of_doc = runs.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("begin", "stop"))).alias("spans"))
+    if words:
+        of_doc = of_doc.join(_repeated_words(rows, words, most_contexts), "_id", "full")
+    of_doc = cut(of_doc)
+    n_docs, n_runs = of_doc.agg(F.count("*"), F.coalesce(F.sum(F.size(F.coalesce("spans", F.array()))), F.lit(0))).first()
+    if 64 * n_docs + 24 * n_runs <= broadcast_bytes:
+        of_doc = F.broadcast(of_doc)
+    more = [F.coalesce("n_repeat_words", F.lit(0)).alias("n_repeat_words")] if words else []
+    joined = rows.join(of_doc, "_id", "left").select("_own", F.coalesce("_text", F.lit("")).alias("_text"), "spans", *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -373,8 +449,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 merged.append(runs)
                 n_removed.append(sum(b - a for a, b in runs))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(offsets)), pa.array(n_removed, pa.int64()), pa.array([len(r) for r in merged], pa.int64()), pa.array(kept, pa.binary()), pa.array(merged, pa.list_(pa.list_(pa.int32())))],
-                names=[id_col, "n_bytes", "n_removed", "n_spans", "kept", "spans"],
+                [batch.column(0), pa.array(np.diff(offsets)), pa.array(n_removed, pa.int64()), pa.array([len(r) for r in merged], pa.int64()), pa.array(kept, pa.binary()), pa.array(merged, pa.list_(pa.list_(pa.int32()))), *batch.columns[3:]],
+                names=[id_col, "n_bytes", "n_removed", "n_spans", "kept", "spans", *["n_repeat_words"][: len(batch.columns) - 3]],
             )
 
-    return joined.mapInArrow(run, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<array<int>>")
+    return joined.mapInArrow(run, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<array<int>>" + ", n_repeat_words long" * bool(words))
