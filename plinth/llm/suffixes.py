@@ -53,7 +53,7 @@ from plinth.llm.shingles import _BASE, _CODE, mix, powers, word_hashes
 
 LENGTH, SEED, WORDS, SEED_WORDS = 400, 50, 50, 8
 #: Bytes of a window of text, and bits that hold a place in one.
-WINDOW = 1 << 19
+WINDOW = 1 << 18
 _PLACE_BITS = np.uint64(21)
 _SECOND = np.random.RandomState(11).randint(1, 2**63 - 1, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 #: (code of each byte, base) of the two polynomial hashes.
@@ -356,7 +356,7 @@ def repeated_spans(
     return spans.unionByName(hot)
 
 
-def _by_seed(batches: Iterator[pa.RecordBatch], most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def _by_seed(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of about `most` bytes that never part the rows of a seed; rows come sorted by seed."""
     held: list[pa.RecordBatch] = []
     size = 0
