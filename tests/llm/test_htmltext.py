@@ -115,7 +115,8 @@ def test_the_tree_decides_where_nothing_is_named(spark):
 
 def test_names_break_ties_only(spark):
     # The named branch differs in text and layout from page to page on the large host and is kept there, and goes where the tree can't tell.
-    layouts = lambda i: "".join(f"<{'div' if i >> k & 1 else 'p'}>Own {i * 13 + k}</{'div' if i >> k & 1 else 'p'}>" for k in range(6))
+    tag = lambda i, k: f"h{k + 1}" if i >> k & 1 else "ul"
+    layouts = lambda i: "".join(f"<{tag(i, k)}>Own {i * 13 + k}</{tag(i, k)}>" for k in range(6))
     html = lambda i: f"<body><div class=widget>{layouts(i)}</div><div><p>Text {i}</p><p>More {i * 7}</p><p>{'so on ' * 30}{i}</p></div></body>"
     rows = [(i, f"http://big.org/{i}", html(i)) for i in range(64)] + [(90, "http://small.org/", html(1)), (91, None, html(2))]
     rows += [(100 + i, f"http://ads.org/{i}", f"<body><div class=ad>Buy {i % 7}</div><p>Text {i}</p><p>More {i}</p></body>") for i in range(20)]
