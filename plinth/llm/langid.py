@@ -1,21 +1,27 @@
 """Language identification by segmentation-marginalised unigrams.
 
 The pieces come from a fixed public vocabulary (a sentencepiece model file,
-whose path is a parameter). Each language has a probability for each piece.
-A word's likelihood in a language is the sum over all its segmentations into
-pieces of the product of piece probabilities, found by the forward algorithm;
-a text's is the product over its words. Piece probabilities are learned by
-expectation-maximisation (forward and backward) on word counts of each
-language, gathered from at most `rows_each` training rows of each language
-(lowest hash of the id first), and smoothed. Prediction covers whole texts.
-
-Words are maximal runs of letters, lower-cased, cut into parts of at most
-LONGEST letters. A letter that no piece covers costs a fixed small
-probability, alike in all languages. The score is the posterior of the
-predicted language under a uniform prior with the evidence of one word
-averaged over SHARPNESS words at most, so that it stays comparable between
-short and long texts. A null text or one without letters is `und` with score
-0; without training rows every text is. Ties go to the first language by name.
+whose path is a parameter, read on the driver). Each language has a probability
+for each piece. A word's likelihood in a language is the sum over all its
+segmentations into pieces of the product of piece probabilities, found by the
+forward algorithm; a text's is the product over its words. Words are maximal
+runs of letters of any length, lower-cased. A letter that no piece covers costs
+a fixed small probability, alike in all languages.
+
+Piece probabilities are learned by expectation-maximisation (forward and
+backward) on word counts of each language, in one task, and smoothed. The
+sample is bounded: more than half of `rows_each` rows of each language (all,
+where there are no more), with the lowest hashes of their ids; runs of more
+than LEARNED letters are no words and are not learned from. Prediction covers
+whole texts and all words.
+
+The score is the posterior of the predicted language under a uniform prior
+with the evidence of one word averaged over SHARPNESS words at most, so that
+it stays comparable between short and long texts. A null text or one without
+letters is `und` with score 0; without training rows every text is. Ties go to
+the first language by name. Rows of null or repeated ids are rows like others;
+columns named lang_pred or score are replaced; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -29,13 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.window import Window
 
 from plinth.llm.common import with_fields
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-LONGEST, PIECE = 24, 12
+LEARNED = 64
 UNKNOWN = 1e-7
 SHARPNESS = 50
+#: Steps after which tiny values of the forward algorithm are scaled up; so many unknown letters stay above the least double.
+_STEPS, _TINY = 8, 1e-100
 _WORD = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -46,7 +55,7 @@ def pieces(path: str = VOCABULARY) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    return sorted(x for x in found if len(x) <= PIECE and re.fullmatch(r"▁?[^\W\d_]+|▁", x))
+    return sorted(x for x in found if re.fullmatch(r"▁?[^\W\d_]+|▁", x))
 
 
 def _encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -61,77 +70,107 @@ def _encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Pieces:
-    """Piece lookup by hash; hashes are checked to differ when the table is built."""
+    """Lookup of pieces and of their beginnings by hash; hashes are checked to differ when the table is built."""
 
     names: list[str]
     hashes: np.ndarray = field(init=False)
-    order: np.ndarray = field(init=False)
+    ids: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
-        made = np.zeros(len(self.names), np.uint64)
-        for i, name in enumerate(self.names):
+        known = {x[:i]: len(self.names) for x in self.names for i in range(1, len(x) + 1)}
+        known.update({x: i for i, x in enumerate(self.names)})
+        made = np.zeros(len(known), np.uint64)
+        for i, name in enumerate(known):
             h = 0
             for c in name:
                 h = (h * int(_BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
             made[i] = h
-        self.order = np.argsort(made)
-        self.hashes = made[self.order]
+        order = np.argsort(made)
+        self.hashes, self.ids = made[order], np.array(list(known.values()), np.int64)[order]
         if (self.hashes[1:] == self.hashes[:-1]).any():
             raise ValueError("two pieces have one hash")
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Indexes of pieces, or len(names) for none."""
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a piece begins so, and the index of the piece that is just this, or len(names)."""
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.order[at], len(self.names))
+        found = self.hashes[at] == hashes
+        return found, np.where(found, self.ids[at], len(self.names))
 
     def lattice(self, words: list[str]) -> tuple[list[tuple[int, int, np.ndarray, np.ndarray]], np.ndarray]:
-        """(start, end, rows, pieces) of every piece in the words; the words' lengths."""
+        """(start, end, rows, pieces) of every piece in the words, by start; the words' lengths."""
         matrix, size = _encode(words)
         out = []
         for start in range(matrix.shape[1]):
-            rolled = np.zeros(len(words), np.uint64)
-            for end in range(start + 1, min(start + PIECE, matrix.shape[1]) + 1):
-                rolled = rolled * _BASE + matrix[:, end - 1] + np.uint64(1)
-                rows = np.flatnonzero(size >= end)
-                if not len(rows):
-                    break
-                ids = self.find(rolled[rows])
+            rows, end = np.flatnonzero(size > start), start
+            rolled = np.zeros(len(rows), np.uint64)
+            while len(rows):
+                rolled = rolled * _BASE + matrix[rows, end] + np.uint64(1)
+                end += 1
+                begins, ids = self.find(rolled)
                 # a single letter is always an edge, so each word has a segmentation
                 known = np.ones(len(rows), bool) if end == start + 1 else ids < len(self.names)
-                out.append((start, end, rows[known], ids[known]))
+                if known.any():
+                    out.append((start, end, rows[known], ids[known]))
+                begins &= size[rows] > end
+                rows, rolled = rows[begins], rolled[begins]
         return out, size
 
 
-def forward(edges: list[tuple[int, int, np.ndarray, np.ndarray]], size: np.ndarray, probability: np.ndarray) -> np.ndarray:
-    """Alpha of each word, position and language; probability has a last row for unknown letters."""
+def forward(edges: list[tuple[int, int, np.ndarray, np.ndarray]], size: np.ndarray, probability: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Alpha of each word, position and language, and the logarithm of what long words' last values were divided by.
+
+    `probability` has a last row for unknown letters.
+    """
     alpha = np.zeros((len(size), int(size.max(initial=0)) + 1, probability.shape[1]))
+    scale = np.zeros((len(size), probability.shape[1]))
     alpha[:, 0] = 1
+    done = 0
     for start, end, rows, ids in edges:
+        if start >= done + _STEPS:
+            done = start
+            now = alpha[:, start]
+            small = (now < _TINY) & (now > 0)
+            if small.any():
+                alpha[:, start:] = np.where(small[:, None, :], alpha[:, start:] / _TINY, alpha[:, start:])
+                scale += np.where(small, np.log(_TINY), 0.0)
         alpha[rows, end] += alpha[rows, start] * probability[ids]
-    return alpha
+    return alpha, scale
+
+
+def _by_length(words: list[str], langs: int, most: int = 1 << 20) -> Iterator[np.ndarray]:
+    """Indexes of words in groups of like length whose alphas have about `most` values."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(size, kind="stable")
+    i = 0
+    while i < len(order):
+        j = i + 1
+        while j < len(order) and j - i < 8192 and (j + 1 - i) * (size[order[j]] + 1) * langs <= most:
+            j += 1
+        yield order[i:j]
+        i = j
 
 
 def log_likelihoods(words: list[str], table: Pieces, probability: np.ndarray) -> np.ndarray:
     """log p(word | language) of each word, by language."""
     out = np.zeros((len(words), probability.shape[1]))
-    for i in range(0, len(words), 8192):
-        edges, size = table.lattice(words[i : i + 8192])
-        alpha = forward(edges, size, probability)
-        out[i : i + 8192] = np.log(np.maximum(alpha[np.arange(len(size)), size], 1e-300))
+    for own in _by_length(words, probability.shape[1]):
+        edges, size = table.lattice([words[i] for i in own])
+        alpha, scale = forward(edges, size, probability)
+        out[own] = np.log(np.maximum(alpha[np.arange(len(size)), size], 1e-300)) + scale
     return out
 
 
 def learn(words: list[str], counts: np.ndarray, table: Pieces, rounds: int = 3, smooth: float = 0.5) -> np.ndarray:
-    """Piece probabilities by language from words' counts (words x languages)."""
+    """Piece probabilities by language from words' counts (words x languages), words of at most LEARNED letters."""
     n, langs = len(table.names), counts.shape[1]
     probability = np.full((n + 1, langs), 1.0 / n)
     probability[n] = UNKNOWN
     for _ in range(rounds):
         expected = np.zeros((n + 1, langs))
-        for i in range(0, len(words), 8192):
-            part = counts[i : i + 8192]
-            edges, size = table.lattice(words[i : i + 8192])
-            alpha = forward(edges, size, probability)
+        for own in _by_length(words, langs):
+            part = counts[own]
+            edges, size = table.lattice([words[i] for i in own])
+            alpha, _ = forward(edges, size, probability)
             beta = np.zeros_like(alpha)
             beta[np.arange(len(size)), size] = 1
             for start, end, rows, ids in reversed(edges):
@@ -147,11 +186,8 @@ def learn(words: list[str], counts: np.ndarray, table: Pieces, rounds: int = 3,
 
 
 def split(text: str) -> list[str]:
-    """Words with a start mark, in parts of at most LONGEST letters."""
-    out = ["▁" + w for w in _WORD.findall(text.lower())]
-    if max(map(len, out), default=0) > LONGEST:
-        out = [w[i : i + LONGEST] for w in out for i in range(0, len(w), LONGEST)]
-    return out
+    """Words with a start mark."""
+    return ["▁" + w for w in _WORD.findall(text.lower())]
 
 
 @dataclass
@@ -196,34 +232,47 @@ class Memory:
         return self.values[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))]
 
 
+def sample(docs: DataFrame, rows_each: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """_lang and _text of rows with a language: the lowest hashes of ids, at most `rows_each` of each language.
+
+    Rows are counted by steps of their hash, an eighth of a power of two each; the lowest steps that fit are taken. So
+    no task ranks the rows of a language, and but for small languages the sample holds over half of `rows_each`.
+    """
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string"), F.lit(1)), 11) + 1) / float(1 << 53)
+    step = F.floor(-8 * F.log2(uniform)).cast("int")
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"), step.alias("_step"))
+    counts = known.groupBy("_lang", "_step").agg(F.count("*").alias("_n"))  # at most 425 steps of a language
+    down = Window.partitionBy("_lang").orderBy(F.desc("_step"))
+    fits = counts.withColumn("_upto", F.sum("_n").over(down)).where(F.col("_upto") <= rows_each)
+    least = fits.groupBy("_lang").agg(F.min("_step").alias("_least"))  # one row for each language
+    return known.join(F.broadcast(least), "_lang").where("_step >= _least").select("_lang", "_text")
+
+
 def fit(docs: DataFrame, rows_each: int = 600, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rounds: int = 3) -> Model:
     """A model of at most `rows_each` rows of each language; the caller leaves out held-out rows."""
-    from pyspark.sql.window import Window
-
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    own = F.pmod(F.xxhash64(id_col), F.lit(256))
-    ids = known.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), own.alias("_bin")).distinct()
-    # Ranks within a bin first, so that no task ranks all rows of a language.
-    ranked = ids.withColumn("_r", F.row_number().over(Window.partitionBy("_lang", "_bin").orderBy(F.xxhash64("_id"), "_id"))).where(F.col("_r") <= rows_each)
-    few = ranked.withColumn("_r", F.row_number().over(Window.partitionBy("_lang").orderBy("_r", "_bin", "_id"))).where(F.col("_r") <= rows_each)
-    rows = known.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
-    sample = rows.join(F.broadcast(few.select("_id", "_lang")), ["_id", "_lang"])
     word = F.explode(F.regexp_extract_all(F.lower("_text"), F.lit(r"(\p{L}+)"), 1)).alias("word")
-    counted = sample.select("_lang", word).groupBy("_lang", "word").count().toArrow()
-    langs = sorted(set(counted["_lang"].to_pylist()))
-    if not langs:
+    chosen = sample(docs, rows_each, id_col, text_col, lang_col)
+    counted = chosen.select("_lang", word).where(F.length("word") <= LEARNED).groupBy("_lang", "word").agg(F.count("*").alias("n"))
+    names = pieces(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        rows = pa.Table.from_batches(parts).sort_by([("word", "ascending"), ("_lang", "ascending")]) if parts else None
+        if not rows:
+            return
+        langs = sorted(set(rows["_lang"].to_pylist()))
+        at: dict[str, int] = {}
+        places = [(at.setdefault("▁" + w, len(at)), langs.index(a)) for a, w in zip(rows["_lang"].to_pylist(), rows["word"].to_pylist())]
+        counts = np.zeros((len(at), len(langs)))
+        np.add.at(counts, tuple(np.array(places).T), rows["n"].to_numpy())
+        made = learn(list(at), counts, Pieces(names), rounds)
+        yield pa.RecordBatch.from_arrays([pa.array([langs], pa.list_(pa.string())), pa.array([made.tobytes()], pa.binary())], names=["langs", "probability"])
+
+    # One task gets the word counts of the bounded sample; the driver gets pieces x languages numbers.
+    fitted = counted.repartition(1).mapInArrow(run, "langs array<string>, probability binary").collect()
+    if not fitted:
         return Model([], Pieces(["▁"]), np.zeros((2, 0)))
-    names: dict[str, int] = {}
-    at, lang, count = [], [], []
-    for a, w, n in zip(counted["_lang"].to_pylist(), counted["word"].to_pylist(), counted["count"].to_pylist()):
-        for part in split(w):
-            at.append(names.setdefault(part, len(names)))
-            lang.append(langs.index(a))
-            count.append(n)
-    counts = np.zeros((len(names), len(langs)))
-    np.add.at(counts, (at, lang), count)
-    table = Pieces(pieces(vocabulary))
-    return Model(langs, table, learn(list(names), counts, table, rounds))
+    return Model(list(fitted[0].langs), Pieces(names), np.frombuffer(fitted[0].probability).reshape(len(names) + 1, -1))
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

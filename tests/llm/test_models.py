@@ -41,6 +41,35 @@ def test_forward_sums_all_segmentations():
             assert got[i, lang] == pytest.approx(np.log(want))
 
 
+def test_long_words_are_summed_whole():
+    pieces = langid.Pieces(PIECES)
+    p = np.full((len(PIECES) + 1, 2), 0.01)
+    p[:, 1] = np.linspace(0.001, 0.02, len(p))
+    p[-1] = langid.UNKNOWN
+
+    def slow(word, lang):
+        """The forward algorithm letter by letter in logarithms."""
+        table = {x: np.log(p[k, lang]) for k, x in enumerate(PIECES)}
+        alpha = [0.0] + [-np.inf] * len(word)
+        for end in range(1, len(word) + 1):
+            for start in range(max(0, end - 3), end):
+                edge = table.get(word[start:end], np.log(langid.UNKNOWN) if end == start + 1 else None)
+                if edge is not None:
+                    alpha[end] = np.logaddexp(alpha[end], alpha[start] + edge)
+        return alpha[-1]
+
+    rng = random.Random(3)
+    words = ["▁" + "".join(rng.choice("abñ") for _ in range(n)) for n in (3, 15, 17, 40, 300, 2000)] + ["▁" + "ñ" * 500, "▁a"]
+    got = langid.log_likelihoods(words, pieces, p)
+    assert got == pytest.approx(np.array([[slow(w, k) for k in range(2)] for w in words]), rel=1e-9)
+
+
+def test_sample_is_bounded_and_even(spark):
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 1000 == 0, "rare").otherwise("hot").alias("lang"))
+    got = {r._lang: r["count"] for r in langid.sample(docs, 600, "doc_id", "text", "lang").groupBy("_lang").count().collect()}
+    assert got["rare"] == 40 and 300 < got["hot"] <= 600
+
+
 def test_learning_never_lowers_the_likelihood():
     pieces = langid.Pieces(PIECES)
     words, counts = ["▁ab", "▁ba", "▁aab"], np.array([[5.0, 1.0], [1.0, 5.0], [2.0, 2.0]])
@@ -56,7 +85,7 @@ def test_language_held_out_accuracy_and_edges(spark):
     model = langid.fit(docs.where("doc_id < 100"), rows_each=30)
     got = langid.predict(docs.where("doc_id >= 100"), model).collect()
     assert np.mean([r.lang == r.lang_pred for r in got]) > 0.97 and all(0 <= r.score <= 1 for r in got)
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 !! ²"), (4, "a" * 50000), (5, "HOUSE with THE")], "doc_id long, text string").withColumn("score", F.lit("clash"))
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 !! ²"), (4, "a" * 50000 + " the house"), (5, "HOUSE with THE")], "doc_id long, text string").withColumn("score", F.lit("clash"))
     pred = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(odd, model).collect()}
     assert [pred[i] for i in (1, 2, 3)] == [("und", 0.0)] * 3 and pred[5][0] == "en"
     assert {r.lang_pred for r in langid.predict(odd, langid.fit(docs.limit(0))).collect()} == {"und"}
