@@ -110,6 +110,13 @@ def with_row_keys(df: DataFrame, name: str) -> DataFrame:
     return cut(df.withColumn(name, F.monotonically_increasing_id()))
 
 
+def told_apart(df: DataFrame, id_col: str, name: str) -> tuple[DataFrame, bool]:
+    """`df` plus a key that tells rows apart, and whether that is the id itself: null and repeated ids give way to row numbers."""
+    if ids_tell_rows(df, id_col):
+        return df.withColumn(name, F.col(id_col)), True
+    return with_row_keys(df, name), False
+
+
 def with_fields(df: DataFrame, **added: T.DataType) -> T.StructType:
     """Schema of `df` plus fields."""
     return T.StructType([*df.schema.fields, *[T.StructField(k, v) for k, v in added.items()]])

@@ -16,18 +16,27 @@ An item's first word may stand in mid-sentence in a document, so it is tried
 both ways even if it is not capitalised. Where both texts have the same word
 that may be a name, it is no slot. Item windows of
 placeholders alone say nothing and are left out. A text of fewer
-than five words is one window. Null or empty texts and items match nothing;
-repeated rows, ties and null ids are kept as they are. Item windows are
-broadcast only if there are at most `broadcast_windows` of them; beyond that
-the join shuffles.
+than five words is one window. Null or empty texts and items match nothing.
+Where ids of documents or items are null or repeated, each row is judged by
+itself and returned under the id it has. Other columns are not read, whatever
+their names. Texts of any length are gone through whole; empty tables give
+an empty result. Item windows are broadcast only if there are at most
+`broadcast_windows` of them; beyond that the join shuffles.
+
+A template that many items and many documents hold would pair them all. As an
+item needs a share `threshold` of its windows, a document that holds it has at
+least one of any (1 - threshold) * n + 1 of them: only those that the corpus
+has least often make candidates, and the other windows are looked at for
+candidates alone.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from plinth.llm.common import cut, ids_tell_rows, if_small, with_row_keys
+from plinth.llm.common import cut, if_small, told_apart
 
 WIDTH = 5
 #: Number words and units of measure.
@@ -120,28 +129,49 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
     return _windows(rows, "item_id", words, True).withColumnRenamed("pos", "item_pos").distinct()
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, broadcast_windows: int = 1_000_000, broadcast_ids: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contaminated(
+    docs: DataFrame, items: DataFrame, threshold: float = 0.8, broadcast_windows: int = 1_000_000, broadcast_ids: int = 500_000, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
     """doc_id, item_id, coverage, slot_consistency, n_slots, changed_slots of each document that holds an item."""
-    bench = cut(item_windows(items))
+    rows, same_docs = told_apart(docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("_text")), "_own", "_doc")
+    known, same_items = told_apart(items.select(F.col(item_id_col).alias("_own_item"), F.col(item_text_col).alias("_item_text")), "_own_item", "_item")
+    out = _holders(rows.select(F.col("_doc").alias("doc_id"), "_text"), known.select(F.col("_item").alias("item_id"), "_item_text"), threshold, broadcast_windows, broadcast_ids)
+    for same, table, key, own, name in ((same_docs, rows, "_doc", "_own", "doc_id"), (same_items, known, "_item", "_own_item", "item_id")):
+        if not same:
+            names = table.select(F.col(key).alias(name), F.col(own).alias("_shown"))
+            out = out.join(names, name).drop(name).withColumnRenamed("_shown", name)
+    return out.select("doc_id", "item_id", "coverage", "slot_consistency", "n_slots", "changed_slots")
+
+
+def _holders(rows: DataFrame, items: DataFrame, threshold: float, broadcast_windows: int, broadcast_ids: int) -> DataFrame:
+    """`contaminated` for rows (doc_id, _text) and items (item_id, _item_text) whose ids tell them apart."""
+    bench = cut(item_windows(items, "item_id", "_item_text"))
     sizes = bench.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows"))
     # Distinct templates share their hash rows; item ids come back after the large join.
     known = bench.select("hash").distinct()
     small = bench.count() <= broadcast_windows
-    if small:
-        known = F.broadcast(known)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).where("_text is not null")
-    hits = cut(_windows(texts, "doc_id", tokens(F.col("_text"))).join(known, "hash"))
-    pairs = hits.join(F.broadcast(bench) if small else bench, "hash")
+    fit = F.broadcast if small else (lambda df: df)
+    texts = rows.where("_text is not null")
+    hits = cut(_windows(texts, "doc_id", tokens(F.col("_text"))).join(fit(known), "hash"))
+    # The windows of each item that the corpus has least often, one more than a holder may lack.
+    often = hits.groupBy("hash").agg(F.count("*").alias("_often"))
+    places = bench.join(fit(often), "hash", "left").groupBy("item_id", "item_pos").agg(F.coalesce(F.sum("_often"), F.lit(0)).alias("_often"))
+    ranked = places.withColumn("_rank", F.row_number().over(Window.partitionBy("item_id").orderBy("_often", "item_pos")))
+    needed = F.ceil(F.col("item_windows") * threshold - 1e-9)
+    probes = ranked.join(sizes, "item_id").where(F.col("_rank") <= F.col("item_windows") - needed + 1).select("item_id", "item_pos")
+    probes = cut(bench.join(probes, ["item_id", "item_pos"]).select("item_id", "hash").distinct())
+    candidates = hits.select("doc_id", "hash").join(fit(probes), "hash").select("doc_id", "item_id").distinct()
+    pairs = hits.join(candidates, "doc_id").join(fit(bench), ["item_id", "hash"])
     covered = pairs.groupBy("doc_id", "item_id").agg(F.countDistinct("item_pos").alias("hit_windows"))
-    covered = covered.join(F.broadcast(sizes) if small else sizes, "item_id")
-    covered = covered.withColumn("coverage", F.col("hit_windows") / F.col("item_windows")).where(F.col("coverage") >= threshold)
+    covered = covered.join(fit(sizes), "item_id")
+    covered = covered.withColumn("coverage", F.col("hit_windows") / F.col("item_windows")).where(F.col("hit_windows") >= needed)
     covered = cut(covered.select("doc_id", "item_id", "coverage"))
 
     # Slots of the covered pairs only: their texts are read again.
-    wanted = pairs.join(covered, ["doc_id", "item_id"], "left_semi").select("doc_id", "item_id", "pos", "item_pos")
+    wanted = hits.join(covered, "doc_id").join(fit(bench), ["item_id", "hash"]).select("doc_id", "item_id", "pos", "item_pos")
     held = cut(texts.join(if_small(covered.select("doc_id").distinct(), broadcast_ids), "doc_id", "left_semi"))
     doc_slots = held.select("doc_id", F.posexplode_outer(tokens(F.col("_text"))).alias("at", "doc_value")).where(F.col("doc_value").startswith(_OPEN)).distinct()
-    item_slots = items.select("item_id", F.posexplode_outer(tokens(F.col("text"))).alias("item_at", "item_value")).where(F.col("item_value").startswith(_OPEN)).distinct()
+    item_slots = items.select("item_id", F.posexplode_outer(tokens(F.col("_item_text"))).alias("item_at", "item_value")).where(F.col("item_value").startswith(_OPEN)).distinct()
     at = wanted.select("doc_id", "item_id", F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1))).alias("_j"), "pos", "item_pos")
     at = at.select("doc_id", "item_id", (F.col("pos") + F.col("_j")).alias("at"), (F.col("item_pos") + F.col("_j")).alias("item_at")).distinct()
     slots = at.join(doc_slots, ["doc_id", "at"]).join(item_slots, ["item_id", "item_at"])
@@ -160,10 +190,10 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, broa
     return out.where(F.col("slot_consistency") >= threshold)
 
 
-def clean(docs: DataFrame, items: DataFrame, **options: int) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, broadcast_ids: int = 500_000, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
     """The rows of `docs` that hold no item; where ids are null or repeated, each row is judged by itself."""
-    key, rows = "doc_id", docs
-    if not ids_tell_rows(docs, key):
-        key, rows = "_row", with_row_keys(docs, "_row")
-    gone = if_small(contaminated(rows, items, id_col=key, **options).select(F.col("doc_id").alias(key)).distinct(), options.get("broadcast_ids", 500_000))
+    rows, same = told_apart(docs, id_col, "_row")
+    key = id_col if same else "_row"
+    found = contaminated(rows, items, id_col=key, text_col=text_col, broadcast_ids=broadcast_ids, **options)
+    gone = if_small(found.select(F.col("doc_id").alias(key)).distinct(), broadcast_ids)
     return rows.join(gone, key, "left_anti").select(*docs.columns)

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plinth.llm.common import chunks, cut, ids_tell_rows, if_small, remove_table, text_bytes, with_row_keys, write_table
+from plinth.llm.common import chunks, cut, if_small, remove_table, text_bytes, told_apart, write_table
 from plinth.llm.shingles import _BASE, _CODE, mix, powers, word_hashes
 
 LENGTH, SEED, WORDS, SEED_WORDS = 400, 50, 50, 8
@@ -388,9 +388,7 @@ def _runs(spans: DataFrame) -> DataFrame:
 def _told_apart(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """_id (tells rows apart), _own (the id as it is) and _text."""
     rows = docs.select(F.col(id_col).cast("long").alias("_own"), F.col(text_col).alias("_text"))
-    if ids_tell_rows(rows, "_own"):
-        return rows.select(F.col("_own").alias("_id"), "_own", "_text")
-    return with_row_keys(rows, "_id")
+    return told_apart(rows, "_own", "_id")[0].select("_id", "_own", "_text")
 
 
 def _as_words(rows: DataFrame) -> DataFrame:
