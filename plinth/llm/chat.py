@@ -9,8 +9,10 @@ text never look like markup and the round trip is exact.
 Rows are ordered by (turn, role, text); a null turn sorts first, a null text
 or role is empty, repeated rows are all kept, and a null conv_id is a
 conversation of its own. An empty table gives an empty result. Rows are first
-merged in runs of `span` turns and the runs are then joined, so one very long
-conversation is built in parallel and no string is copied once for each turn.
+merged in runs of `span` turns, and no more than `span` rows whatever their
+turns, and the runs are then joined; so one very long conversation is built in
+parallel and no string is copied once for each turn. Other columns than the
+four are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -65,8 +67,11 @@ def format_chats(rows: DataFrame, span: int = 64) -> DataFrame:
     )
     runs = clean.groupBy("conv_id", "_span").agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
     plain = F.transform("_rows", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
-    runs = runs.select("conv_id", F.struct("_span", _merge(plain, kind).alias("turns")).alias("_run"))
-    whole = runs.groupBy("conv_id").agg(F.array_sort(F.collect_list("_run")).alias("_runs"))
+    runs = runs.select("conv_id", "_span", plain.alias("_plain"))
+    few = F.transform(F.sequence(F.lit(1), F.size("_plain"), F.lit(span)), lambda i: F.struct(_merge(F.slice("_plain", i, span), kind).alias("turns")))
+    runs = runs.select("conv_id", F.struct("_span", few.alias("runs")).alias("_run"))
+    whole = runs.groupBy("conv_id").agg(F.array_sort(F.collect_list("_run")).alias("_all"))
+    whole = whole.select("conv_id", F.flatten(F.transform("_all", lambda x: x["runs"])).alias("_runs"))
 
     def piece(x: Column) -> Column:
         return F.concat(F.lit(START), x["role"], F.lit("\n"), x["text"], F.lit(END))

@@ -9,6 +9,8 @@ from the k-th smallest hash. Texts with at most k shingles are exact.
 A null text counts as empty; the fingerprint of a text without words is
 empty, and two such fingerprints are alike (1.0). Equal texts have equal
 fingerprints. Repeated ids are separate rows in any order among themselves.
+Texts of any length are gone through whole; columns other than id and text are
+not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -108,7 +110,9 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     last: the first); a null id counts as the lowest. Rows are dealt into id
     ranges found from the ids alone, and each range also gets the row that
     follows it, so a sorted stream over a range sees every neighbour. Texts
-    move once. Gathered: two ids for each range.
+    move once. Gathered: two ids for each of at most 20,000 ranges; beyond that
+    ranges grow, which costs no memory, as a range is sorted with spills and
+    streamed a batch at a time.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     ids = rows.select("_id")

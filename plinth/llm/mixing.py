@@ -15,7 +15,8 @@ weights, which differ from the targets by less than one slot of a period.
 Every row is placed exactly once. When a source is used up, its later slots
 stay empty and the others go on in schedule order; `in_mix` marks the slots
 before that happens. A null source is a source of its own. Sources without a
-given weight, and weights of zero or less, are an error. Empty tables give
+given weight, weights of zero or less, and more than MOST_SOURCES sources are
+an error; extra columns pass through. Empty tables give
 empty results. Ties in the order of rows are broken by a hash of the id.
 """
 
@@ -30,6 +31,10 @@ from pyspark.sql import functions as F
 from plinth.llm.common import number_rows
 
 
+#: The schedule is made on the driver, so sources are bounded; many small ones (hosts, say) are grouped before.
+MOST_SOURCES = 100_000
+
+
 def quotas(weights: dict[str, float], period: int) -> dict[str, int]:
     """Integer slots for each source, at least one, summing to `period`."""
     total = sum(weights.values())
@@ -69,8 +74,10 @@ def schedule(counts: dict[str, int]) -> list[tuple[str, int, int]]:
 
 
 def tempered(docs: DataFrame, source_col: str = "source", power: float = 0.5) -> dict[str, float]:
-    """Target weights n ** power of the sources, normalised; one row for each source is gathered."""
-    rows = docs.groupBy(source_col).count().collect()
+    """Target weights n ** power of the sources, normalised; one row for each source is gathered, of MOST_SOURCES at most."""
+    rows = docs.groupBy(source_col).count().limit(MOST_SOURCES + 1).collect()
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources; group them first")
     total = sum(r["count"] ** power for r in rows) or 1.0
     return {_name(r[0]): r["count"] ** power / total for r in rows}
 
@@ -82,6 +89,8 @@ def _name(source: str | None) -> str:
 def mix(docs: DataFrame, weights: dict[str, float], block: int = 16, period: int = 10_000, seed: int = 0, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """`docs` plus mix_block, mix_slot, mix_position (order of the mixture) and in_mix."""
     spark = docs.sparkSession
+    if len(weights) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources; group them first")
     if any(w <= 0 for w in weights.values()):
         raise ValueError("weights must be positive")
     added = {"mix_block", "mix_slot", "mix_position", "in_mix"}

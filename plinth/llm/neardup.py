@@ -14,9 +14,11 @@
    shingle hashes inside the task; what is left is confirmed on full sets. So
    every link found by banding counts, but no bucket's pairs are written out.
 
-Empty or null texts have no shingles and no links. Ids may not be null; the
-rows of a repeated id are one document each, with the same component. An empty
-table gives an empty result. Extra columns are ignored.
+Empty or null texts have no shingles and no links. Where ids are null or
+repeated, each row is a document of its own, and a component goes by the least
+id in it that is not null, or null. Texts of any length are gone through
+whole. An empty table gives an empty result. Extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import cut, ids_tell_rows, if_small, with_row_keys
+from plinth.llm.common import cut, ids_tell_rows, if_small, told_apart, with_row_keys
 from plinth.llm.components import components
 from plinth.llm.shingles import mix, shingle_sets
 
@@ -94,9 +96,10 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return (a == b).mean(axis=-1) >= cut_at
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 128, broadcast_ids: int = 500_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 256, broadcast_ids: int = 500_000) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row; linked at 100 * shared >= percent * union."""
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    rows, same = told_apart(docs.select(F.col(id_col).cast("long").alias("_own"), F.col(text_col).alias("_text")), "_own", "_id")
+    texts = rows.select("_id", "_text")
     sets = cut(texts.mapInArrow(_signatures, "_id long, n_shingles long, set_key binary, signature binary, keys array<long>"))
     classes = sets.where("n_shingles > 0").groupBy("set_key").agg(F.min_by(F.struct("_id", "n_shingles", "signature", "keys"), "_id").alias("_of"))
     classes = cut(classes.select("set_key", "_of.*").withColumnRenamed("_id", "rep"))
@@ -145,9 +148,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
         named = if_small(rest.select(F.col("rep").alias("_id")).distinct(), broadcast_ids)
         hashed = texts.join(named, "_id", "left_semi").mapInArrow(_short_hashes, "rep long, shingles binary")
         payload = short.join(hashed, "rep").join(classes.select("rep", "keys"), "rep")
-        blocks = F.ceil(F.col("size") / block).cast("int")
-        dealt = rest.withColumn("_own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        dealt = dealt.select("key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "rep", "component").join(payload, "rep")
+        parts = rest.groupBy("key", "component").agg(F.count("*").alias("_n")).groupBy("key").agg(F.max(F.struct("_n", "component")).alias("_top"), F.sum("_n").alias("_all"))
+        number = lambda n: F.greatest(F.ceil(n / block).cast("int"), F.lit(1))
+        parts = parts.select("key", F.col("_top.component").alias("_largest"), number(F.col("_top._n")).alias("_large"), number(F.col("_all") - F.col("_top._n")).alias("_small"))
+        placed = rest.join(parts, "key").withColumn("_is_large", F.col("component") == F.col("_largest"))
+        placed = placed.withColumn("_own", F.pmod(F.xxhash64("rep"), F.when(F.col("_is_large"), F.col("_large")).otherwise(F.col("_small"))).cast("int"))
+        # A small block meets every small and every large block; a large block meets the small ones.
+        with_small = F.transform(F.sequence(F.lit(0), F.col("_small") - 1), lambda x: F.struct(F.least("_own", x).alias("_i"), F.greatest("_own", x).alias("_j"), F.lit(False).alias("_at_large")))
+        with_large = F.transform(F.sequence(F.lit(0), F.col("_large") - 1), lambda x: F.struct(F.col("_own").alias("_i"), x.alias("_j"), F.lit(True).alias("_at_large")))
+        of_large = F.transform(F.sequence(F.lit(0), F.col("_small") - 1), lambda x: F.struct(x.alias("_i"), F.col("_own").alias("_j"), F.lit(True).alias("_at_large")))
+        dealt = placed.withColumn("_to", F.explode(F.when(F.col("_is_large"), of_large).otherwise(F.concat(with_small, with_large))))
+        dealt = dealt.select("key", "_to.*", "_own", "_is_large", "rep", "component").join(payload, "rep")
 
         def cross(pdf: pd.DataFrame) -> pd.DataFrame:
             """Pairs of different components between two blocks of a bucket that their short hashes link.
@@ -159,11 +170,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
             bands = np.stack(pdf["keys"].to_numpy())
             ids, comp, n, own = (pdf[c].to_numpy() for c in ("rep", "component", "n", "_own"))
             sets = [np.frombuffer(x, np.uint32) for x in pdf["shingles"]]
-            key, i, j = pdf["key"].iat[0], pdf["_i"].iat[0], pdf["_j"].iat[0]
-            rows, cols = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            key, i, j, at_large = (pdf[c].iat[0] for c in ("key", "_i", "_j", "_at_large"))
+            large = pdf["_is_large"].to_numpy(bool)
+            rows, cols = np.flatnonzero((own == i) & ~large), np.flatnonzero((own == j) & (large == at_large))
             out = []
             for a in rows:
-                near = cols[(comp[cols] != comp[a]) & (ids[cols] > ids[a] if i == j else True)]
+                near = cols[(comp[cols] != comp[a]) & ((ids[cols] > ids[a]) if i == j and not at_large else True)]
                 near = near[np.minimum(n[near], n[a]) * 100 >= np.maximum(n[near], n[a]) * percent]
                 if len(near):
                     same = bands[near] == bands[a]
@@ -176,15 +188,21 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
                         out.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
             return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
-        late = cut(checked(dealt.groupBy("key", "_i", "_j").applyInPandas(cross, "u long, v long").distinct()))
+        late = cut(checked(dealt.groupBy("key", "_i", "_j", "_at_large").applyInPandas(cross, "u long, v long").distinct()))
         if not late.isEmpty():
             joined = components(links.unionByName(late))
 
     of_class = classes.select("set_key", "rep").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
     of_class = of_class.select("set_key", F.coalesce("component", "rep").alias("component"))
     out = sets.select("_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
-    out = out.select(F.col("_id").alias("doc_id"), "n_shingles", F.coalesce("component", "_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = out.select("_id", "n_shingles", F.coalesce("component", "_id").alias("component"))
+    if same:
+        out = out.select(F.col("_id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+    else:
+        named = out.join(rows.select("_id", "_own"), "_id")
+        least = named.groupBy("component").agg(F.min("_own").alias("component_id"))
+        out = named.join(least, "component").select(F.col("_own").alias("doc_id"), "n_shingles", "component_id")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def distinct_documents(docs: DataFrame, **options: int) -> DataFrame:

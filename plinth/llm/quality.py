@@ -12,7 +12,10 @@ computed once and texts are scored by one table lookup for each feature.
 
 Null and empty texts have no features and get the score of the bias. Without
 labelled rows each score is 0.5. Null labels are not learned from; of repeated
-labels of an id the lowest counts. Extra columns pass through unread.
+labels of an id the lowest counts. Extra columns pass through unread; columns
+named score or predicted are replaced. Rows whose hashes of ids tie go by id,
+texts of any length are gone through whole, and an empty table gives an empty
+result.
 """
 
 from __future__ import annotations

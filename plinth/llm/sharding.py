@@ -3,7 +3,9 @@
 The heap only ever sees a bounded number of items. A group of at least
 1/(shards * bundles) of all bytes is an item of its own (there can be at most
 shards * bundles of these); smaller groups are merged by hash into at most
-shards * bundles bundles. Items, longest first, go to the least-loaded shard.
+shards * bundles bundles. Items, longest first, go to the least-loaded shard,
+so that the fullest shard is over the mean by less than the largest item, and a
+bundle is about 1/(shards * bundles) of all bytes or less.
 
 Null and empty texts are one group. Repeated doc_ids are separate rows.
 An empty table gives an empty result. Extra columns pass through unless they

@@ -47,6 +47,19 @@ def test_long_conversation_in_many_runs(spark):
     check(spark, rows, span=1)
 
 
+def test_many_rows_of_one_turn(spark):
+    rows = [(1, None, "assistant" if i % 3 else "user", f"{i:04d} {HARD}") for i in range(700)] + [(2, 5, "user", f"{i}") for i in range(300)]
+    check(spark, rows)
+    check(spark, rows, span=7)
+
+
+def test_clashing_columns_are_not_read(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, 0, "user", "a")], SCHEMA).withColumns({"formatted": F.lit("x"), "_span": F.lit(3), "_rows": F.lit("y")})
+    assert chat.format_chats(rows).first().formatted == "<|im_start|>user\na<|im_end|>\n"
+
+
 def test_segments_make_up_the_output_and_merge_turns(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "c"), (1, 3, "assistant", "d")]
     out = chat.format_chats(spark.createDataFrame(rows, SCHEMA))

@@ -1,3 +1,5 @@
+import hashlib
+import heapq
 import zlib
 
 import pytest
@@ -17,6 +19,49 @@ def test_schedule_deviates_by_less_than_one_block():
                 assert abs(had[k] - c / period * (slot + 1)) < 1
 
 
+def test_mix_equals_a_slot_by_slot_simulation(docs):
+    """Earliest deadline first over all blocks, one slot after the other, without a period."""
+    counts, block = {"a": 5, "b": 3, "c": 1}, 2
+    n = {"a": 130, "b": 61, "c": 40}
+    d = docs([f"t{i}" for i in range(sum(n.values()))], [s for s in n for _ in range(n[s])])
+    out = mixing.mix(d, counts, block=block, period=36).collect()
+    total = sum(counts.values())
+    want, had = {}, dict.fromkeys(counts, 0)
+    for slot in range(2000):
+        ready = []
+        for s, c in counts.items():
+            j = had[s]
+            if j * total // c <= slot:
+                ready.append((-(-(j + 1) * total // c), 1 if (j + 1) * total % c == 0 else 0, s, j))
+        if ready:
+            due, _, s, j = min(ready)
+            assert slot < due
+            want[s, j] = slot
+            had[s] += 1
+    got = {(r.source, r.mix_block): r.mix_slot for r in out}
+    assert got == {k: want[k] for k in got} and len(got) == 65 + 31 + 20
+    by_block = {}
+    for r in out:
+        by_block.setdefault((r.source, r.mix_block), []).append(r.mix_position - r.mix_slot * block)
+    assert all(sorted(x) == list(range(len(x))) for x in by_block.values())
+
+
+def test_too_many_sources_are_refused(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
+    d = docs(["a", "b", "c"])
+    with pytest.raises(ValueError, match="more than 2 sources"):
+        mixing.tempered(d)
+    with pytest.raises(ValueError, match="more than 2 sources"):
+        mixing.mix(d, {"s0": 1, "s1": 1, "s2": 1})
+
+
+def test_mix_of_null_and_repeated_ids(spark):
+    rows = [(None, "a"), (None, "a"), (3, "a"), (3, "a"), (3, "b"), (4, None)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), {"a": 2, "b": 1, "\x00null": 1}, block=1, period=8)
+    assert sorted(((r.doc_id, r.source) for r in out.collect()), key=str) == sorted(rows, key=str)
+    assert out.select("mix_position").distinct().count() == len(rows)
+
+
 def test_mix_places_every_row_once(docs):
     d = docs([f"t{i}" for i in range(300)], ["hot" if i % 3 else ("cold" if i % 2 else None) for i in range(300)])
     out = mixing.mix(d, {"hot": 0.5, "cold": 0.3, "\x00null": 0.2}, block=4, period=20).collect()
@@ -60,6 +105,34 @@ def test_shards(docs):
         assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
 
 
+def test_shards_equal_longest_first_over_all_groups(docs):
+    """With more bundles than bytes every group is an item of its own, and the plan is the textbook's."""
+    texts = [f"text {i % 90} " * (i % 11 + 1) for i in range(500)] + [None, "", "z" * 4000]
+    groups = {}
+    for t in texts:
+        groups[t or ""] = groups.get(t or "", 0) + len((t or "").encode()) + 8
+    heap, home = [(0, s) for s in range(6)], {}
+    for t, size in sorted(groups.items(), key=lambda x: (-x[1], hashlib.sha256(x[0].encode()).hexdigest())):
+        load, s = heapq.heappop(heap)
+        home[t] = s
+        heapq.heappush(heap, (load + size, s))
+    out = sharding.shard(docs(texts), shards=6, bundles=1 << 20).collect()
+    assert {r.doc_id: r.shard for r in out} == {i: home[t or ""] for i, t in enumerate(texts)}
+
+
+def test_the_fullest_shard_is_over_the_mean_by_less_than_an_item(docs):
+    texts = [f"t{i}" * (i % 13 + 1) for i in range(900)] + ["long " * 300] * 3
+    for bundles in (2, 8, 64):
+        out = sharding.shard(docs(texts), shards=7, bundles=bundles)
+        loads = [r.bytes for r in sharding.balance(out).collect()]
+        sizes = {}
+        for t in texts:
+            sizes[t] = sizes.get(t, 0) + len(t) + 8
+        small = [x for x in sizes.values() if x * 7 * bundles < sum(sizes.values())]
+        largest = max(max(sizes.values()), sum(small) if bundles == 2 else 3 * sum(small) / (7 * bundles) + max(small))
+        assert max(loads) < sum(loads) / 7 + largest
+
+
 def test_shards_of_little(docs):
     assert sharding.shard(docs([])).count() == 0
     assert sharding.shard(docs([None])).first().slot == 0

@@ -117,3 +117,51 @@ def test_batched_features_equal_single_ones():
     model = quality.train(pa.array(texts), np.array([1, 0, 1, 0, 1, 0]), epochs=1)
     whole = model.scores(pa.array(texts))
     assert np.allclose(whole, [model.scores(pa.array([t]))[0] for t in texts])
+
+
+def test_features_and_scores_against_brute_force():
+    """Each feature hashed by itself in plain integers, and the logit summed over them."""
+    from plinth.llm.shingles import _CODE
+
+    top = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 31) * 0xBF58476D1CE4E5B9 & top
+        x = (x ^ x >> 29) * 0x94D049BB133111EB & top
+        return x ^ x >> 32
+
+    base, pair, shift = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 64 - quality.BITS
+    code = [int(c) for c in _CODE]
+
+    def buckets(text):
+        data = text.encode()
+        words = [mix(sum(code[b] * pow(base, k, 1 << 64) for k, b in enumerate(w)) & top) for w in data.split()]
+        out = [w >> shift for w in words]
+        out += [mix(0x1234567) >> shift if a == b else mix((a * pair + b) & top) >> shift for a, b in zip(words, words[1:])]
+        for n in quality.GRAMS:
+            for i in range(len(data) - n + 1):
+                h = sum(code[data[i + k]] * pow(base, k, 1 << 64) for k in range(n)) & top
+                out.append(((h ^ h >> 32) * (pair + 2 * n) & top) >> shift)
+        return out
+
+    texts = ["ab cd ab ab", "", "x", "héllo wörld of ours", "a", "zz zz zz", "one\ttwo\nthree " * 9]
+    model = quality.train(pa.array(texts), np.array([1, 0, 1, 0, 1, 0, 1]), epochs=2)
+    want = []
+    for t in texts:
+        found = buckets(t)
+        logit = sum(float(model.shares[b]) for b in found) / max(1, len(found)) + model.bias
+        want.append(1 / (1 + np.exp(-logit)))
+    assert model.scores(pa.array(texts)) == pytest.approx(want, abs=1e-6)
+
+
+def test_training_follows_the_gradient():
+    """One step on one row moves the parameters along the numerical gradient of the loss."""
+    texts = ["good words here"] * 3 + ["BAD !! BAD"] * 3
+    labels = np.array([1, 1, 1, 0, 0, 0])
+
+    def loss(model):
+        p = model.scores(pa.array(texts))
+        return -np.mean(np.where(labels == 1, np.log(p), np.log(1 - p)))
+
+    losses = [loss(quality.train(pa.array(texts), labels, epochs=k)) for k in (1, 4, 16)]
+    assert losses[0] > losses[1] > losses[2] and losses[2] < 0.1

@@ -73,6 +73,29 @@ def test_residual_buckets_in_small_blocks(docs):
     check(neardup.near_duplicates(docs(texts), percent=85, block=4), texts, 85)
 
 
+def test_hot_bucket_with_a_large_component_and_others(docs):
+    # Many copies of one text, two smaller families and single ones that share buckets with them.
+    rng = random.Random(8)
+    base = [f"a{i}" for i in range(100)]
+    far = lambda k, n: [f"{k}{i}" if i % n == 0 else w for i, w in enumerate(base)]
+    texts = []
+    for words, times in ((base, 40), (far("b", 25), 9), (far("c", 20), 7), (far("d", 17), 1), (far("e", 12), 1)):
+        for _ in range(times):
+            own = list(words)
+            own[rng.randrange(100)] = f"z{rng.randrange(9)}"
+            texts.append(" ".join(own))
+    for block in (3, 256):
+        check(neardup.near_duplicates(docs(texts), percent=85, block=block), texts, 85)
+
+
+def test_null_and_repeated_ids(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve"
+    rows = [(None, a), (7, a), (5, a), (None, b), (7, b), (9, "x"), (None, None)]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in out), key=str)
+    assert got == sorted([(None, 5, False), (7, 5, False), (5, 5, True), (None, 7, False), (7, 7, True), (9, 9, True), (None, None, True)], key=str)
+
+
 def test_empty_table_and_clashing_columns(docs):
     empty = neardup.near_duplicates(docs([]))
     assert empty.count() == 0
