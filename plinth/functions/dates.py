@@ -65,3 +65,19 @@ def year_of(c: Column) -> Column:
 def years_in_practice(graduated: Column, enumerated: Column, study_year: int) -> Column:
     """Study year less graduation year, else less enumeration year; never negative."""
     return F.greatest(F.lit(study_year) - F.coalesce(year_of(graduated), year_of(enumerated)), F.lit(0))
+
+
+#: Fixed value: hours between two calls to one office.
+MIN_HOURS_BETWEEN_CALLS = 48
+
+
+def run_stamp(c: Column) -> Column:
+    """`yyyymmdd_hhmmss` of a time, for names of files and sidecars."""
+    return F.date_format(c, "yyyyMMdd_HHmmss")
+
+
+def spaced(df: DataFrame, keys: list[str], at: str, hours: int = MIN_HOURS_BETWEEN_CALLS) -> DataFrame:
+    """`df` plus hours_since (the row before of the same keys) and is_spaced: at least `hours` after it."""
+    before = F.lag(at).over(Window.partitionBy(*keys).orderBy(at))
+    since = (F.unix_seconds(F.col(at).cast("timestamp")) - F.unix_seconds(before.cast("timestamp"))) / 3600
+    return df.withColumns({"hours_since": since, "is_spaced": F.coalesce(since >= hours, F.lit(True))})

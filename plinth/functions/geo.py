@@ -59,3 +59,38 @@ def within_miles(left: DataFrame, right: DataFrame, miles: float, on: list[str]
 
 def in_box(lat: Column, lon: Column, lat_min: Column, lat_max: Column, lon_min: Column, lon_max: Column) -> Column:
     return lat.between(lat_min, lat_max) & lon.between(lon_min, lon_max)
+
+
+def gazetteer(table: DataFrame, city: str = "city", state: str = "state") -> DataFrame:
+    """city and state (folded), lat, lon: the first usable row of each place, lowest coordinates first; an empty gazetteer is an error.
+
+    Coordinate columns may go by latitude, lat, longitude, long, lon or lng, in any case.
+    """
+    from plinth.sources.io import ContractError
+
+    names = {c.lower(): c for c in table.columns}
+    lat, lon = (next((names[n] for n in options if n in names), None) for options in (("lat", "latitude"), ("lon", "long", "lng", "longitude")))
+    if lat is None or lon is None:
+        raise ContractError("a gazetteer needs latitude and longitude")
+    rows = table.select(place_key(F.col(city)).alias("city"), place_key(F.col(state)).alias("state"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")).dropna()
+    if rows.isEmpty():
+        raise ContractError("the gazetteer has no usable row")
+    return rows.groupBy("city", "state").agg(F.min(F.struct("lat", "lon")).alias("_p")).select("city", "state", "_p.*")
+
+
+def place_key(c: Column) -> Column:
+    """Upper case, trimmed, inner runs of white space made one space."""
+    return F.upper(F.btrim(F.regexp_replace(c.cast("string"), r"\s+", " ")))
+
+
+def with_coordinates(df: DataFrame, city: str, state: str, places: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """`df` plus lat, lon and coordinates_via: an override, else the gazetteer's row; what neither has stays null, never a centroid."""
+    out = df.withColumns({"_city": place_key(F.col(city)), "_state": place_key(F.col(state))})
+    found = []
+    for name, table in (("override", overrides), ("gazetteer", places)):
+        if table is not None:
+            out = out.join(table.select(F.col("city").alias("_city"), F.col("state").alias("_state"), F.struct("lat", "lon").alias(f"_{name}")), ["_city", "_state"], "left")
+            found.append(name)
+    point = F.coalesce(*[F.col(f"_{n}") for n in found])
+    via = F.coalesce(*[F.when(F.col(f"_{n}").isNotNull(), n) for n in found])
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("lat", "lon")], point["lat"].alias("lat"), point["lon"].alias("lon"), via.alias("coordinates_via"))

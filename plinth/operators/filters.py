@@ -26,6 +26,11 @@ def not_listed(c: Column, terms: Sequence[str]) -> Column:
     return ~F.coalesce(F.lower(c).rlike(body), F.lit(False)) if terms else F.lit(True)
 
 
+def not_matching(c: Column, pattern: str) -> Column:
+    """The text, letter case aside, has no match; a null text has none."""
+    return ~F.coalesce(c.rlike(f"(?i){pattern}"), F.lit(False))
+
+
 def included_rank(c: Column, include: str, exclude: str, rank: Column) -> Column:
     """`rank` where the text fits and isn't excluded, else null."""
     return F.when(c.rlike(include) & ~c.rlike(exclude), rank)

@@ -187,6 +187,18 @@ def preflight(gates: Sequence[tuple[str, Callable[[], object]]]) -> list[str]:
     return passed
 
 
+def report(spark, gates: Sequence[tuple[str, Callable[[], object]]]) -> DataFrame:
+    """gate, passed and why of every gate, whether or not one before it fails; other errors than broken contracts are raised."""
+    rows = []
+    for name, gate in gates:
+        try:
+            gate()
+            rows.append((name, True, None))
+        except ContractError as e:
+            rows.append((name, False, str(e)))
+    return spark.createDataFrame(rows, "gate string, passed boolean, why string")
+
+
 # row rules -------------------------------------------------------------------
 
 

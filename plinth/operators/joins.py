@@ -25,15 +25,29 @@ def assert_unique(df: DataFrame, keys: Sequence[str], what: str = "right side")
         raise ContractError(f"{what} has repeated keys {list(keys)}: {[tuple(r) for r in bad]}")
 
 
-def safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", min_coverage: float = 0.0, unique: bool = True) -> DataFrame:
-    """A join whose right side must be unique on its keys and cover a share of the left rows."""
+def join_report(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """One row: n_left, n_matched, coverage, n_right_keys, n_repeated_keys and growth (rows of a left join for each left row)."""
+    sizes = right.dropna(subset=list(on)).groupBy(*on).agg(F.count("*").alias("_n"))
+    keys = sizes.agg(F.count("*").alias("n_right_keys"), F.count_if(F.col("_n") > 1).alias("n_repeated_keys"))
+    hits = left.join(sizes, list(on), "left").agg(F.count("*").alias("n_left"), F.count("_n").alias("n_matched"), F.coalesce(F.sum(F.coalesce("_n", F.lit(1))), F.lit(0)).alias("_out"))
+    both = hits.crossJoin(F.broadcast(keys))  # one row each
+    share = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(1.0))
+    return both.select("n_left", "n_matched", share("n_matched", "n_left").alias("coverage"), "n_right_keys", "n_repeated_keys", share("_out", "n_left").alias("growth"))
+
+
+def safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", min_coverage: float = 0.0, unique: bool = True, max_growth: float | None = None) -> DataFrame:
+    """A join whose right side must be unique on its keys and cover a share of the left rows.
+
+    With `unique` off, `max_growth` is the ceiling on rows out for each left row.
+    """
     if unique and how not in ("left_semi", "left_anti"):
         assert_unique(right, on)
-    if min_coverage > 0:
-        seen = right.select(*on).distinct().withColumn("_hit", F.lit(1))
-        rate = left.join(seen, list(on), "left").agg(F.coalesce(F.avg(F.col("_hit").isNotNull().cast("int")), F.lit(1.0))).first()[0]
-        if rate < min_coverage:
-            raise ContractError(f"only {rate:.1%} of rows find a match, {min_coverage:.1%} needed")
+    if min_coverage > 0 or max_growth is not None:
+        found = join_report(left, right, on).first()
+        if found.coverage < min_coverage:
+            raise ContractError(f"only {found.coverage:.1%} of rows find a match, {min_coverage:.1%} needed")
+        if max_growth is not None and found.growth > max_growth:
+            raise ContractError(f"the join makes {found.growth:.2f} rows of each, {max_growth:.2f} allowed")
     return left.join(right, list(on), how)
 
 

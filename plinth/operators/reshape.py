@@ -15,6 +15,11 @@ def pick(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for old, new in names.items()])
 
 
+def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """`df` without these columns; names that it has not are no error."""
+    return df.drop(*names)
+
+
 def align(df: DataFrame, columns: Sequence[str], fill: str | None = None) -> DataFrame:
     """Exactly these columns; ones that are missing are filled."""
     return df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(fill).cast("string").alias(c) for c in columns])

@@ -50,7 +50,7 @@ def str_15_md_or_do(spark: Spark, d: str) -> DataFrame:
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'IMG' ELSE 'US/Canada' END AS origin FROM customer")
 def str_17_school_origin(spark: Spark, d: str) -> DataFrame:
-    school = F.when(F.col("c_custkey") % 2 == 0, "Universidad de Guadalajara").otherwise("State College")
+    school = F.when(F.col("c_custkey") % 2 == 0, "Universidad de Guadalajara, Mexico").otherwise("State College")
     return t(spark, d, "customer").select("c_custkey", keys.school_origin(school).alias("origin"))
 
 

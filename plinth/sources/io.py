@@ -80,6 +80,16 @@ def read_settings(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.btrim(pair[0]).alias("key"), F.btrim(pair[1]).alias("value"))
 
 
+def read_records(spark: SparkSession, path: str, fields: Sequence[str], sep: str = r"\s+", comment: str = "#") -> DataFrame:
+    """One record for each line (a lockfile, say): fields parted by a pattern; comments and blank lines go, a line with too few fields is an error."""
+    line = F.btrim(F.col("value"))
+    rows = spark.read.text(path).where((line != "") & ~line.startswith(comment))
+    parts = F.split(line, sep, len(fields))
+    bad = F.raise_error(F.concat(F.lit(f"{len(fields)} fields needed: "), line)).cast("array<string>")
+    checked = F.when(F.size(parts) < len(fields), bad).otherwise(parts)
+    return rows.select(*[F.get(checked, F.lit(i)).alias(n) for i, n in enumerate(fields)])
+
+
 def require_tables(spark: SparkSession, folder: str, tables: Mapping[str, int]) -> None:
     """Tables that must be there with at least so many rows; counts come from one small aggregate each."""
     for name, least in tables.items():
@@ -158,10 +168,11 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def replace_table(df: DataFrame, path: str, apply: bool = False, backup: bool = True) -> dict[str, object]:
+def replace_table(df: DataFrame, path: str, apply: bool = False, backup: bool | str = True) -> dict[str, object]:
     """Write beside, then swap by renames; without `apply` only says what would happen.
 
-    The old table is kept under a new name, so a reader never meets half a table.
+    The old table is kept under a new name, so a reader never meets half a table. With `backup="once"` the first
+    state is kept as `<path>.original` and later ones are not.
     """
     spark = df.sparkSession
     jvm = spark._jvm
@@ -174,20 +185,39 @@ def replace_table(df: DataFrame, path: str, apply: bool = False, backup: bool =
     mark = uuid.uuid4().hex
     df.write.parquet(f"{path}.new-{mark}")
     if exists:
-        kept = jvm.org.apache.hadoop.fs.Path(f"{path}.old-{mark}")
+        name = f"{path}.old-{mark}"
+        if backup == "once":
+            first = f"{path}.original"
+            backup, name = (False, name) if fs.exists(jvm.org.apache.hadoop.fs.Path(first)) else (True, first)
+        kept = jvm.org.apache.hadoop.fs.Path(name)
         fs.rename(target, kept)
-        plan["backup"] = f"{path}.old-{mark}" if backup else None
+        plan["backup"] = name if backup else None
         if not backup:
             fs.delete(kept, True)
     fs.rename(jvm.org.apache.hadoop.fs.Path(f"{path}.new-{mark}"), target)
     return plan
 
 
-def provenance(df: DataFrame, output: str, sources: Sequence[str], stamp: str) -> DataFrame:
-    """One row for a sidecar: output, sources, run stamp, rows and an order-free digest; the stamp stays out of the data."""
+def content_digest(df: DataFrame) -> Column:
+    """Aggregate: sha-256 of the rows' count, hash sum and column names, whatever their order."""
     row = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)])
-    digest = F.sha2(F.concat_ws("|", F.count("*").cast("string"), F.sum(row.cast("decimal(38,0)")).cast("string"), F.lit(",".join(sorted(df.columns)))), 256)
-    return df.agg(F.count("*").alias("n_rows"), digest.alias("digest")).select(F.lit(output).alias("output"), F.lit(" | ".join(sources)).alias("sources"), F.lit(stamp).alias("run_stamp"), "n_rows", "digest")
+    return F.sha2(F.concat_ws("|", F.count("*").cast("string"), F.sum(row.cast("decimal(38,0)")).cast("string"), F.lit(",".join(sorted(df.columns)))), 256)
+
+
+def provenance(df: DataFrame, output: str, sources: Sequence[str] | Mapping[str, DataFrame], stamp: str) -> DataFrame:
+    """Rows of a sidecar: output, role, name, run stamp, rows and digest of the result and of each source given as a table; the stamp stays out of the data."""
+    tables = {("output", output): df}
+    if isinstance(sources, Mapping):
+        tables.update({("source", k): v for k, v in sources.items()})
+    out = None
+    for (role, name), part in tables.items():
+        one = part.agg(F.count("*").alias("n_rows"), content_digest(part).alias("digest"))
+        one = one.select(F.lit(output).alias("output"), F.lit(role).alias("role"), F.lit(name).alias("name"), F.lit(stamp).alias("run_stamp"), "n_rows", "digest")
+        out = one if out is None else out.unionByName(one)
+    if not isinstance(sources, Mapping):
+        named = df.sparkSession.createDataFrame([(output, "source", s, stamp, None, None) for s in sources], out.schema)
+        out = out.unionByName(named)
+    return out
 
 
 def choice_list(df: DataFrame, code: str, label: str) -> DataFrame:

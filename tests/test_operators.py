@@ -156,6 +156,27 @@ def test_joins(spark):
     assert rows(pairs) == [(1, 7), (1, 8), (2, 7)]
 
 
+def test_places_and_their_coordinates(spark):
+    places = spark.createDataFrame([("Denver ", "co", 1.0, 2.0), ("DENVER", "CO", 0.5, 9.0), ("Reno", "NV", None, 1.0), ("St  Paul", "MN", 3.0, 4.0)], "city string, state string, LAT double, lng double")
+    found = geo.gazetteer(places)
+    assert rows(found) == [("DENVER", "CO", 0.5, 9.0), ("ST PAUL", "MN", 3.0, 4.0)]
+    people = spark.createDataFrame([(1, "denver", "CO"), (2, "reno", "NV"), (3, "st paul", "mn"), (4, None, "MN")], "id int, c string, s string")
+    over = spark.createDataFrame([("ST PAUL", "MN", 8.0, 8.0)], "city string, state string, lat double, lon double")
+    assert rows(geo.with_coordinates(people, "c", "s", found, over).select("id", "lat", "coordinates_via")) == [(1, 0.5, "gazetteer"), (2, None, None), (3, 8.0, "override"), (4, None, None)]
+    for bad in (places.limit(0), places.drop("lng")):
+        with pytest.raises(ContractError):
+            geo.gazetteer(bad)
+
+
+def test_join_report_and_ceiling(spark):
+    left = spark.createDataFrame([(1,), (2,), (None,), (4,)], "k int")
+    right = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (9, "d"), (None, "e")], "k int, v string")
+    assert tuple(joins.join_report(left, right, ["k"]).first()) == (4, 2, 0.5, 3, 1, 1.25)
+    with pytest.raises(ContractError, match="rows of each"):
+        joins.safe_join(left, right, ["k"], unique=False, max_growth=1.2)
+    assert joins.safe_join(left, right, ["k"], unique=False, max_growth=1.25).count() == 5
+
+
 def test_keep_first_does_not_hang_on_row_order(spark):
     df = spark.createDataFrame([(i % 5, (i * 37) % 100, i) for i in range(100)], "k int, o int, v int")
     a, b = (rows(joins.keep_first(x, ["k"], ["o", "v"])) for x in (df, df.orderBy(F.rand(3))))
@@ -311,6 +332,16 @@ def test_scans_and_sinks(spark, tmp_path):
     plan = io.replace_table(spark.read.parquet(out).where("id > 0"), out, apply=True)
     assert plan["replaces"] and spark.read.parquet(out).count() == 2 and spark.read.parquet(plan["backup"]).count() == 3
     assert io.provenance(df, "o", ["a"], "s").first().digest == io.provenance(df.orderBy(F.desc("id")), "o", ["a"], "s").first().digest
+    once = str(tmp_path / "once.parquet")
+    for n in (5, 4, 3):
+        io.replace_table(spark.range(n), once, apply=True, backup="once")
+    assert spark.read.parquet(once).count() == 3 and spark.read.parquet(f"{once}.original").count() == 5
+    (tmp_path / "lock.txt").write_text("# c\nalpha 1.0 x y\n\nbeta  2.0 z\n")
+    assert rows(io.read_records(spark, str(tmp_path / "lock.txt"), ["p", "v", "rest"])) == [("alpha", "1.0", "x y"), ("beta", "2.0", "z")]
+    with pytest.raises(Exception, match="4 fields needed"):
+        io.read_records(spark, str(tmp_path / "lock.txt"), ["p", "v", "a", "b"]).collect()
+    made = io.provenance(df, "o", {"t": spark.read.parquet(out)}, "s").collect()
+    assert [(r.role, r.name, r.n_rows) for r in made] == [("output", "o", 3), ("source", "t", 2)]
     with pytest.raises(ContractError):
         io.require_tables(spark, str(tmp_path), {"t": 5})
     with pytest.raises(ContractError):
