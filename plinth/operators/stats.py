@@ -261,23 +261,135 @@ def pearson_dispersion(df: DataFrame, fit: dict[str, object], outcome: str) -> f
     return float(total) / max(fit["n"] - len(fit["names"]), 1)
 
 
-def fit_negative_binomial(df: DataFrame, outcome: str, covariates: Sequence[str], rounds: int = 12) -> dict[str, object]:
-    """Negative binomial with theta by the method of moments: Pearson's chi-squared equals its degrees of freedom."""
+def log_gamma(x: Column) -> Column:
+    """Stirling's series after a shift by eight, for x > 0."""
+    z = x + 8
+    series = 1 / (12 * z) - 1 / (360 * F.pow(z, 3)) + 1 / (1260 * F.pow(z, 5)) - 1 / (1680 * F.pow(z, 7))
+    shift = sum((F.log(x + k) for k in range(8)), F.lit(0.0))
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - shift
+
+
+def digamma(x: Column) -> Column:
+    """First derivative of `log_gamma`."""
+    z = x + 8
+    series = F.log(z) - 1 / (2 * z) - 1 / (12 * z * z) + 1 / (120 * F.pow(z, 4)) - 1 / (252 * F.pow(z, 6)) + 1 / (240 * F.pow(z, 8))
+    return series - sum((1 / (x + k) for k in range(8)), F.lit(0.0))
+
+
+def trigamma(x: Column) -> Column:
+    """Second derivative of `log_gamma`."""
+    z = x + 8
+    series = 1 / z + 1 / (2 * z * z) + 1 / (6 * F.pow(z, 3)) - 1 / (30 * F.pow(z, 5)) + 1 / (42 * F.pow(z, 7)) - 1 / (30 * F.pow(z, 9))
+    return series + sum((1 / F.pow(x + k, 2) for k in range(8)), F.lit(0.0))
+
+
+def row_log_likelihood(family: str, y: Column, mu: Column, theta: float | None = None) -> Column:
+    """A row's log likelihood in a binomial (0/1), Poisson or negative binomial model."""
+    if family == "binomial":
+        return y * F.log(mu) + (1 - y) * F.log(1 - mu)
+    if family == "poisson":
+        return y * F.log(mu) - mu - log_gamma(y + 1)
+    if family == "negative_binomial":
+        t = F.lit(float(theta))
+        return log_gamma(y + t) - log_gamma(t) - log_gamma(y + 1) + t * F.log(t / (t + mu)) + y * F.log(mu / (t + mu))
+    raise ValueError(f"no likelihood of {family}")
+
+
+def log_likelihood(df: DataFrame, fit: dict[str, object], outcome: str) -> float:
+    """The log likelihood of a fit over complete rows."""
+    rows = predict(df.dropna(subset=[outcome, *fit["names"][1:]]), fit, "_mu")
+    return float(rows.agg(F.sum(row_log_likelihood(fit["family"], F.col(outcome).cast("double"), F.col("_mu"), fit["theta"]))).first()[0] or 0.0)
+
+
+def fit_negative_binomial(df: DataFrame, outcome: str, covariates: Sequence[str], rounds: int = 20, most_theta: float = 1e6) -> dict[str, object]:
+    """Negative binomial (log link) by maximum likelihood.
+
+    Coefficients and log theta move together, one scan for each round: Fisher scoring for the coefficients, Newton for
+    log theta (the two are uncorrelated). Counts without overdispersion run into `most_theta`, which is a Poisson model.
+    """
     fit = fit_glm(df, outcome, covariates, "poisson")
-    theta = 1e6
-    if pearson_dispersion(df, fit, outcome) > 1:
-        for _ in range(rounds):
-            low, high = math.log(1e-3), math.log(1e6)
-            before = theta
-            for _ in range(25):
-                middle = (low + high) / 2
-                more = pearson_dispersion(df, {**fit, "family": "negative_binomial", "theta": math.exp(middle)}, outcome) > 1
-                low, high = (low, middle) if more else (middle, high)
-            theta = math.exp((low + high) / 2)
-            fit = fit_glm(df, outcome, covariates, "negative_binomial", theta)
-            if abs(math.log(theta / before)) < 1e-3:
-                break
-    return {**fit, "family": "negative_binomial", "theta": theta}
+    rows = df.dropna(subset=[outcome, *covariates])
+    x, y = design(rows, covariates), F.col(outcome).cast("double")
+    p, beta = len(x), np.array(fit["coefficients"])
+    over = predict(rows, fit, "_mu").agg(F.sum(F.pow(F.col("_mu"), 2)), F.sum(F.pow(y - F.col("_mu"), 2) - F.col("_mu"))).first()
+    log_theta = math.log(min(max(over[0] / over[1], 1e-3), most_theta)) if over[1] and over[1] > 0 else math.log(most_theta)
+    converged, info, log_l = False, np.eye(p), 0.0
+    for _ in range(rounds):
+        theta = math.exp(log_theta)
+        t = F.lit(theta)
+        mu = F.exp(F.least(sum((F.lit(float(b)) * c for b, c in zip(beta, x)), F.lit(0.0)), F.lit(50.0)))
+        w = mu / (1 + mu / t)
+        score = digamma(y + t) - digamma(t) + F.log(t / (t + mu)) + 1 - (y + t) / (t + mu)
+        bend = trigamma(y + t) - trigamma(t) + 1 / t - 2 / (t + mu) + (y + t) / F.pow(t + mu, 2)
+        sums = [F.sum(w * x[i] * x[j]) for i in range(p) for j in range(i, p)] + [F.sum(x[i] * (y - mu) / (1 + mu / t)) for i in range(p)]
+        sums += [F.sum(score), F.sum(bend), F.sum(row_log_likelihood("negative_binomial", y, mu, theta))]
+        got = rows.agg(*[s.alias(f"s{k}") for k, s in enumerate(sums)]).first()
+        at = 0
+        for i in range(p):
+            for j in range(i, p):
+                info[i, j] = info[j, i] = got[at]
+                at += 1
+        step = np.linalg.solve(info + 1e-12 * np.eye(p), np.array(got[at : at + p], float))
+        slope, curve = theta * got[-3], theta * theta * got[-2] + theta * got[-3]
+        move = -slope / curve if curve < 0 else math.copysign(0.5, slope)
+        beta, log_l = beta + step, float(got[-1])
+        before, log_theta = log_theta, min(max(log_theta + max(-1.0, min(1.0, move)), math.log(1e-6)), math.log(most_theta))
+        if np.abs(step).max() < 1e-8 * (1 + np.abs(beta).max()) and abs(log_theta - before) < 1e-7:
+            converged = True
+            break
+    errors = np.sqrt(np.maximum(np.diag(np.linalg.inv(info + 1e-12 * np.eye(p))), 0))
+    return {**fit, "family": "negative_binomial", "coefficients": beta.tolist(), "errors": errors.tolist(), "theta": math.exp(log_theta), "log_likelihood": log_l, "converged": converged, "positive_definite": bool(np.linalg.eigvalsh(info).min() > 0)}
+
+
+def nested_test(df: DataFrame, small: dict[str, object], large: dict[str, object], outcome: str) -> DataFrame:
+    """Likelihood-ratio test of two fits of one family, over the rows that are complete for the larger one."""
+    rows = df.dropna(subset=[outcome, *large["names"][1:]])
+    x = max(0.0, 2 * (log_likelihood(rows, large, outcome) - log_likelihood(rows, small, outcome)))
+    k = len(large["names"]) - len(small["names"])
+    return df.sparkSession.createDataFrame([(x, k, chi2_tail(x, k))], "chi2 double, df int, p_value double")
+
+
+def compare_families(df: DataFrame, outcome: str, covariates: Sequence[str]) -> DataFrame:
+    """family, log_likelihood, aic, dispersion and the expected and observed share of zeros of count models."""
+    rows = df.dropna(subset=[outcome, *covariates])
+    zero = rows.agg(F.avg((F.col(outcome) == 0).cast("int"))).first()[0]
+    out = []
+    for fit in (fit_glm(rows, outcome, covariates, "poisson"), fit_negative_binomial(rows, outcome, covariates)):
+        log_l, mu = log_likelihood(rows, fit, outcome), F.col("_mu")
+        none = F.exp(-mu) if fit["family"] == "poisson" else F.pow(F.lit(fit["theta"]) / (F.lit(fit["theta"]) + mu), F.lit(fit["theta"]))
+        expected = predict(rows, fit, "_mu").agg(F.avg(none)).first()[0]
+        parameters = len(fit["names"]) + (fit["family"] != "poisson")
+        out.append((fit["family"], log_l, 2 * parameters - 2 * log_l, pearson_dispersion(rows, fit, outcome), float(expected), float(zero)))
+    return df.sparkSession.createDataFrame(out, "family string, log_likelihood double, aic double, dispersion double, expected_zeros double, observed_zeros double")
+
+
+def recalibration(df: DataFrame, fit: dict[str, object], outcome: str) -> DataFrame:
+    """Intercept and slope of the outcome on the linear predictor of a binomial fit: 0 and 1 for a fit that carries over."""
+    rows = df.dropna(subset=[outcome, *fit["names"][1:]]).withColumn("_eta", linear_predictor(fit, fit["names"][1:]))
+    again = fit_glm(rows, outcome, ["_eta"], "binomial")
+    return df.sparkSession.createDataFrame([(*again["coefficients"], again["n"])], "intercept double, slope double, n long")
+
+
+def cross_validated(df: DataFrame, outcome: str, covariates: Sequence[str], cluster: str, k: int, seed: int = 0) -> DataFrame:
+    """fold, n, brier: each fold's rows scored by a binomial fit of the others; a cluster is in one fold."""
+    rows = df.dropna(subset=[outcome, cluster, *covariates]).withColumn("_fold", folds(cluster, k, seed))
+    out = None
+    for f in range(k):
+        fit = fit_glm(rows.where(F.col("_fold") != f), outcome, covariates, "binomial")
+        scored = predict(rows.where(F.col("_fold") == f), fit, "_p")
+        part = scored.agg(F.lit(f).alias("fold"), F.count("*").alias("n"), F.avg(F.pow(F.col("_p") - F.col(outcome), 2)).alias("brier"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def bootstrap(df: DataFrame, outcome: str, covariates: Sequence[str], keys: Sequence[str], draws: int, family: str = "binomial") -> DataFrame:
+    """draw, term, estimate: fits under Poisson weights of the rows' clusters `keys`, so a draw is one pass and no shuffle."""
+    out = []
+    for draw in range(draws):
+        weighted = df.withColumn("_weight", poisson_weight(*keys, draw=draw)).where("_weight > 0")
+        fit = fit_glm(weighted, outcome, covariates, family, weight="_weight")
+        out += [(draw, name, float(b)) for name, b in zip(fit["names"], fit["coefficients"])]
+    return df.sparkSession.createDataFrame(out, "draw int, term string, estimate double")
 
 
 def effects(df: DataFrame, fit: dict[str, object], exponentiate: bool = True) -> DataFrame:
@@ -331,7 +443,7 @@ def folds(cluster: str, k: int, seed: int = 0) -> Column:
 
 def poisson_weight(*keys: str, draw: int) -> Column:
     """Bootstrap weight of a row in a draw: Poisson(1) from a hash, so draws need no shuffles."""
-    u = (F.pmod(F.xxhash64(F.lit(draw), *[F.col(k) for k in keys]), F.lit(1 << 31)) + 0.5) / float(1 << 31)
+    u = (F.conv(F.substring(hashed(draw, *keys), 1, 8), 16, 10).cast("long") + 0.5) / float(1 << 32)
     out, total, p = F.lit(0), 0.0, math.exp(-1)
     for n in range(8):
         total += p

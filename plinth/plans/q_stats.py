@@ -120,10 +120,43 @@ def st_01_propensity(spark: Spark, d: str) -> DataFrame:
     return stats.predict(o, stats.fit_glm(o, "treated", ["price", "month"]), "propensity").select("o_orderkey", F.round("propensity", 6).alias("propensity"))
 
 
-@query()
+#: Maximum likelihood for a two-level factor: means by level, and theta by ternary search on its logarithm.
+_NB_SEARCH = """lvl AS (SELECT l_returnflag = 'R' AS r, avg(l_quantity) AS m FROM lineitem GROUP BY 1), y AS (SELECT l_quantity AS y, avg(m) AS m, count(*) AS n FROM lineitem JOIN lvl ON (l_returnflag = 'R') = r GROUP BY l_quantity, r),
+it AS (SELECT 0 AS k, CAST(-5 AS DOUBLE) AS a, CAST(8 AS DOUBLE) AS b UNION ALL
+  SELECT k + 1, CASE WHEN sum(n * ll1) < sum(n * ll2) THEN a + (b - a) / 3 ELSE a END, CASE WHEN sum(n * ll1) < sum(n * ll2) THEN b ELSE b - (b - a) / 3 END
+  FROM (SELECT k, a, b, n, lgamma(y + t1) - lgamma(t1) + t1 * ln(t1 / (t1 + m)) + y * ln(m / (t1 + m)) AS ll1, lgamma(y + t2) - lgamma(t2) + t2 * ln(t2 / (t2 + m)) + y * ln(m / (t2 + m)) AS ll2
+    FROM (SELECT *, exp(a + (b - a) / 3) AS t1, exp(b - (b - a) / 3) AS t2 FROM it, y WHERE k < 45)) GROUP BY k, a, b),
+th AS (SELECT exp((a + b) / 2) AS t FROM it WHERE k = 45)"""
+
+
+def _quantities(spark: Spark, d: str) -> DataFrame:
+    return t(spark, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("x"), F.col("l_quantity").alias("y"))
+
+
+@query(f"WITH RECURSIVE {_NB_SEARCH} SELECT round(ln(max(m) FILTER (NOT r)), 6) AS intercept, round(ln(max(m) FILTER (r) / max(m) FILTER (NOT r)), 6) AS log_rate_ratio, round((SELECT t FROM th), 3) AS theta FROM lvl")
 def st_03_negative_binomial(spark: Spark, d: str) -> DataFrame:
-    n = t(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.avg((F.col("o_orderstatus") == "O").cast("int")).alias("share"))
-    return stats.effects(n, stats.fit_negative_binomial(n, "n", ["share"]))
+    fit = stats.fit_negative_binomial(_quantities(spark, d), "y", ["x"])
+    stats.convergence_gate(fit)
+    return spark.createDataFrame([(*[round(b, 6) for b in fit["coefficients"]], round(fit["theta"], 3))], "intercept double, log_rate_ratio double, theta double")
+
+
+_LL = "sum(lgamma(y + t) - lgamma(t) - lgamma(y + 1) + t * ln(t / (t + m)) + y * ln(m / (t + m)))"
+
+
+@query(f"WITH RECURSIVE {_NB_SEARCH}, a AS (SELECT l_quantity AS y, m, t, (SELECT avg(l_quantity) FROM lineitem) AS g FROM lineitem JOIN lvl ON (l_returnflag = 'R') = r, th) SELECT round(2 * ({_LL} - {_LL.replace('m)', 'g)').replace('(m /', '(g /')}), 2) AS chi2, 1 AS df FROM a")
+def st_03_20_likelihood_ratio(spark: Spark, d: str) -> DataFrame:
+    q = _quantities(spark, d)
+    large = stats.fit_negative_binomial(q, "y", ["x"])
+    small = {**stats.fit_glm(q, "y", [], "negative_binomial", large["theta"]), "theta": large["theta"]}
+    return stats.nested_test(q, small, large, "y").select(F.round("chi2", 2).alias("chi2"), "df")
+
+
+@query(f"""WITH RECURSIVE {_NB_SEARCH}, a AS (SELECT l_quantity AS y, m, t FROM lineitem JOIN lvl ON (l_returnflag = 'R') = r, th),
+f AS (SELECT 'poisson' AS family, sum(y * ln(m) - m - lgamma(y + 1)) AS ll, sum(pow(y - m, 2) / m) / (count(*) - 2) AS phi, avg(exp(-m)) AS e, 2 AS k FROM a UNION ALL SELECT 'negative_binomial', {_LL}, sum(pow(y - m, 2) / (m + m * m / t)) / (count(*) - 2), avg(pow(t / (t + m), t)), 3 FROM a)
+SELECT family, round(ll, 1) AS log_likelihood, round(2 * k - 2 * ll, 1) AS aic, round(phi, 4) AS dispersion, round(e, 6) AS expected_zeros, CAST(0 AS DOUBLE) AS observed_zeros FROM f""")
+def st_20_22_count_families(spark: Spark, d: str) -> DataFrame:
+    c = stats.compare_families(_quantities(spark, d), "y", ["x"])
+    return c.select("family", F.round("log_likelihood", 1).alias("log_likelihood"), F.round("aic", 1).alias("aic"), F.round("dispersion", 4).alias("dispersion"), F.round("expected_zeros", 6).alias("expected_zeros"), "observed_zeros")
 
 
 @query(f"WITH RECURSIVE {_ORDERS}, {newton_sql('rows', 'y', ['price'], 'binomial')} {effects_sql(['(intercept)', 'price'])}")
@@ -153,13 +186,63 @@ def st_23_calipers(spark: Spark, d: str) -> DataFrame:
     return stats.caliper_sensitivity(p, "g", [500, 100, 50], mean_gap=F.col("g")).withColumn("mean_gap", F.round("mean_gap", 4))
 
 
-@query("WITH RECURSIVE " + _ORDERS + ", " + ", ".join(
-    newton_sql(source, "y", xs, "binomial").replace("it AS (", f"it_{name} AS (").replace("FROM it", f"FROM it_{name}").replace("fit AS (", f"fit_{name} AS (")
-    for name, source, xs in (("a", "rows", ["price"]), ("f", "(SELECT * FROM rows WHERE month <= 6) q", ["price"]), ("j", "rows", ["price", "month"]))
-) + " " + " UNION ALL ".join(f"SELECT '{variant}' AS variant, * FROM ({effects_sql(names).replace('FROM fit', f'FROM fit_{name}')})" for name, variant, names in (("a", "all", ["(intercept)", "price"]), ("f", "first_half", ["(intercept)", "price"]), ("j", "adjusted", ["(intercept)", "price", "month"]))))
+def _named(sql: str, name: str) -> str:
+    """CTEs of `newton_sql` under names of their own."""
+    return sql.replace("it AS (", f"it_{name} AS (").replace("FROM it", f"FROM it_{name}").replace("fit AS (", f"fit_{name} AS (")
+
+
+#: name, rows, covariates of each pre-specified sensitivity analysis.
+_VARIANTS = [
+    ("all", "1 = 1", ["price"]),
+    ("first_half", "month <= 6", ["price"]),
+    ("second_half", "month > 6", ["price"]),
+    ("adjusted", "1 = 1", ["price", "month"]),
+    ("cheap", "price < 2", ["price"]),
+    ("one_per_customer", "is_first", ["price"]),
+    ("dear_adjusted", "price > 1", ["price", "month"]),
+]
+_FIRSTS = "rows AS (SELECT CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS y, o_totalprice / 1e5 AS price, CAST(month(o_orderdate) AS DOUBLE) AS month, o_orderkey = min(o_orderkey) OVER (PARTITION BY o_custkey) AS is_first FROM orders)"
+
+
+@query("WITH RECURSIVE " + _FIRSTS + ", " + ", ".join(_named(newton_sql(f"(SELECT * FROM rows WHERE {keep}) q", "y", xs, "binomial"), name) for name, keep, xs in _VARIANTS)
+    + " " + " UNION ALL ".join(f"SELECT '{name}' AS variant, * FROM ({effects_sql(['(intercept)', *xs]).replace('FROM fit', f'FROM fit_{name}')})" for name, _, xs in _VARIANTS))
 def st_24_sensitivities(spark: Spark, d: str) -> DataFrame:
-    o = t(spark, d, "orders").select((F.col("o_orderstatus") == "O").cast("int").alias("y"), (F.col("o_totalprice") / 1e5).alias("price"), F.month("o_orderdate").alias("month"))
-    return rounded(stats.sensitivities(o, [("all", F.lit(True), ["price"]), ("first_half", F.col("month") <= 6, ["price"]), ("adjusted", F.lit(True), ["price", "month"])], "y"), "variant")
+    o = t(spark, d, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderstatus") == "O").cast("int").alias("y"), (F.col("o_totalprice") / 1e5).alias("price"), F.month("o_orderdate").alias("month"))
+    firsts = o.groupBy("o_custkey").agg(F.min("o_orderkey").alias("_first"))
+    o = o.join(firsts, "o_custkey").withColumn("is_first", F.col("o_orderkey") == F.col("_first"))
+    return rounded(stats.sensitivities(o, [(name, F.expr(keep), xs) for name, keep, xs in _VARIANTS], "y"), "variant")
+
+
+def _orders(spark: Spark, d: str) -> DataFrame:
+    return t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", (F.col("o_orderstatus") == "O").cast("int").alias("y"), (F.col("o_totalprice") / 1e5).alias("price"))
+
+
+_DATED = "rows AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS y, o_totalprice / 1e5 AS price, o_orderdate, CAST('0x' || substr(md5('2|' || o_custkey), 1, 8) AS BIGINT) % 3 AS fold FROM orders)"
+
+
+@query(f"WITH RECURSIVE {_DATED}, old AS (SELECT * FROM rows WHERE year(o_orderdate) < 1996), {_named(newton_sql('old', 'y', ['price'], 'binomial'), 'old')}, late AS (SELECT y, b0 + b1 * price AS eta FROM rows, fit_old WHERE year(o_orderdate) >= 1996), {newton_sql('(SELECT y, eta FROM late) l', 'y', ['eta'], 'binomial')} SELECT round(b0, 3) AS intercept, round(b1, 3) AS slope, (SELECT count(*) FROM late) AS n FROM fit")
+def st_21_temporal_recalibration(spark: Spark, d: str) -> DataFrame:
+    o = _orders(spark, d)
+    fit = stats.fit_glm(o.where(F.year("o_orderdate") < 1996), "y", ["price"])
+    got = stats.recalibration(o.where(F.year("o_orderdate") >= 1996), fit, "y")
+    return got.select(F.round("intercept", 3).alias("intercept"), F.round("slope", 3).alias("slope"), "n")
+
+
+@query(f"WITH RECURSIVE {_DATED}, " + ", ".join(_named(newton_sql(f"(SELECT * FROM rows WHERE fold <> {f}) q", "y", ["price"], "binomial"), f"f{f}") for f in range(3))
+    + " " + " UNION ALL ".join(f"SELECT {f} AS fold, count(*) AS n, round(avg(pow(1 / (1 + exp(-(b0 + b1 * price))) - y, 2)), 8) AS brier FROM rows, fit_f{f} WHERE fold = {f}" for f in range(3)))
+def st_21_clustered_folds(spark: Spark, d: str) -> DataFrame:
+    return stats.cross_validated(_orders(spark, d), "y", ["price"], "o_custkey", 3, 2).withColumn("brier", F.round("brier", 8))
+
+
+_POISSON = [sum(2.718281828459045**-1 / f for f in (1, 1, 2, 6, 24, 120, 720, 5040)[: n + 1]) for n in range(8)]
+_DRAWN = " + ".join(f"(u > {c!r})::INT" for c in _POISSON)
+
+
+@query(f"WITH RECURSIVE {_DATED}, " + ", ".join(
+    f"drawn{k} AS (SELECT y, price FROM (SELECT y, price, unnest(range(0, w)) FROM (SELECT y, price, {_DRAWN} AS w FROM (SELECT y, price, (CAST('0x' || substr(md5('{k}|' || o_custkey), 1, 8) AS BIGINT) + 0.5) / 4294967296.0 AS u FROM rows)))), {_named(newton_sql(f'drawn{k}', 'y', ['price'], 'binomial'), f'b{k}')}" for k in range(3)
+) + " " + " UNION ALL ".join(f"SELECT {k} AS draw, '(intercept)' AS term, round(b0, 5) AS estimate FROM fit_b{k} UNION ALL SELECT {k}, 'price', round(b1, 5) FROM fit_b{k}" for k in range(3)))
+def st_21_bootstrap(spark: Spark, d: str) -> DataFrame:
+    return stats.bootstrap(_orders(spark, d), "y", ["price"], ["o_custkey"], 3).withColumn("estimate", F.round("estimate", 5))
 
 
 @query("SELECT CAST(CAST('0x' || substr(md5('1|' || o_custkey), 1, 8) AS BIGINT) % 5 AS INTEGER) AS fold, count(*) AS n, count(DISTINCT o_custkey) AS n_clusters FROM orders GROUP BY 1")

@@ -215,7 +215,7 @@ def provenance(df: DataFrame, output: str, sources: Sequence[str] | Mapping[str,
         one = one.select(F.lit(output).alias("output"), F.lit(role).alias("role"), F.lit(name).alias("name"), F.lit(stamp).alias("run_stamp"), "n_rows", "digest")
         out = one if out is None else out.unionByName(one)
     if not isinstance(sources, Mapping):
-        named = df.sparkSession.createDataFrame([(output, "source", s, stamp, None, None) for s in sources], out.schema)
+        named = df.sparkSession.createDataFrame([(output, "source", s, stamp, None, None) for s in sources], "output string, role string, name string, run_stamp string, n_rows long, digest string")
         out = out.unionByName(named)
     return out
 

@@ -49,3 +49,36 @@ def test_negative_binomial_recovers_its_parameters(spark):
 def test_gate_refuses():
     with pytest.raises(ContractError):
         mixed.mixed_gate({"converged": True, "positive_definite": True, "sd": 1e-6})
+
+
+def test_negative_binomial_by_maximum_likelihood(spark):
+    import math
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from plinth.operators import stats
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 2, 600)
+    y = rng.poisson(rng.gamma(2.5, np.exp(1.0 + 0.4 * x) / 2.5))
+    df = spark.createDataFrame([(int(a), int(b)) for a, b in zip(x, y)], "x int, y int")
+    fit = stats.fit_negative_binomial(df, "y", ["x"])
+    assert fit["converged"] and fit["coefficients"][0] == pytest.approx(math.log(y[x == 0].mean()), abs=1e-6)
+
+    def log_l(theta):
+        mu = np.where(x == 1, y[x == 1].mean(), y[x == 0].mean())
+        return sum(math.lgamma(a + theta) - math.lgamma(theta) - math.lgamma(a + 1) + theta * math.log(theta / (theta + m)) + a * math.log(m / (theta + m)) for a, m in zip(y.tolist(), mu.tolist()))
+
+    grid = np.exp(np.linspace(-2, 4, 2000))
+    best = max(grid, key=log_l)
+    assert fit["theta"] == pytest.approx(best, rel=0.01) and fit["log_likelihood"] >= log_l(best) - 1e-6
+    flat = spark.createDataFrame([(0, 3)] * 50 + [(1, 3)] * 50, "x int, y int")
+    assert stats.fit_negative_binomial(flat, "y", ["x"])["theta"] > 1e5
+    got = spark.range(1, 40).select("id", stats.log_gamma(F.col("id") / 4).alias("a"), stats.digamma(F.col("id") / 4).alias("b"), stats.trigamma(F.col("id") / 4).alias("c")).collect()
+    h = 1e-4
+    for r in got:
+        v = r.id / 4
+        assert r.a == pytest.approx(math.lgamma(v), abs=1e-9)
+        assert r.b == pytest.approx((math.lgamma(v + h) - math.lgamma(v - h)) / (2 * h), abs=1e-5)
+        assert r.c == pytest.approx((math.lgamma(v + h) - 2 * math.lgamma(v) + math.lgamma(v - h)) / h**2, rel=1e-4, abs=1e-5)
