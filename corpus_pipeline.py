@@ -17,9 +17,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plinth.llm import decontaminate, mixing, neardup, quality, sharding
-from plinth.llm.common import table, write_and_read
+from plinth.llm.common import cut, table, write_and_read
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -43,9 +44,20 @@ def mixed(docs: DataFrame, weights: dict[str, float], text_hash: Column) -> Data
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = mixed(docs, mixing.tempered(docs, power=0.7), F.xxhash64("text"))
+    # The schedule is made of rows without texts. Texts move twice: to their positions, and into the order of these.
+    keys = ["_no_id", "_id", "_source", "_hash"]  # without nulls, so that a plain join finds them
+    own = [F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.coalesce("source", F.lit("\x00null")), F.xxhash64("text")]
+    light = docs.select("doc_id", "source", *[c.alias(k) for k, c in zip(keys, own)])
+    placed = mixed(light, mixing.tempered(docs, power=0.7), F.col("_hash"))
+    places = cut(placed.groupBy(*keys).agg(F.array_sort(F.collect_list("mix_position")).alias("_places")))
+    rows = docs.withColumns(dict(zip(keys, own)))
+    at = F.lit(0)
+    if not places.where(F.size("_places") > 1).isEmpty():  # equal rows take their positions in turn
+        rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy("_hash")) - 1)
+        at = F.col("_nth")
+    rows = rows.join(places, keys).withColumn("_position", F.get("_places", at))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(parts, "mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
+    return rows.select(*docs.columns, "_position").repartitionByRange(parts, "_position").sortWithinPartitions("_position").select(*docs.columns)
 
 
 def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
