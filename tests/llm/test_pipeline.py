@@ -1,5 +1,9 @@
+import importlib.util
+import pathlib
 import random
 
+import pyarrow as pa
+
 import corpus_pipeline
 from plinth.llm import mixing, queries
 
@@ -73,6 +77,47 @@ def test_null_and_repeated_ids(spark, tmp_path):
         assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
 
 
+def beside(name):
+    """A test module of this folder, for its brute-force functions."""
+    spec = importlib.util.spec_from_file_location(name, pathlib.Path(__file__).with_name(f"{name}.py"))
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    return module
+
+
+def test_stages_equal_brute_force(spark, tmp_path):
+    """Copies by all pairs, passages by all windows, the classifier's verdicts by its own scores, every row in one shard."""
+    near, leaks = beside("test_neardup"), beside("test_decontaminate")
+    rng = random.Random(12)
+    texts = near.sample(4, 40)
+    items = [leaks.filled(s, rng, ["Otto", "Anna"]) for s in leaks.made_items(rng, 9)]
+    texts += [f"{t} {rng.choice(items)} and more" for t in near.sample(5, 24)] + [None, ""]
+    rows = [(i, t, "en", f"s{i % 4}", len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+
+    model = corpus_pipeline.quality.fit(docs, labels)
+    scores = model.scores(pa.array(texts, pa.string()))
+    assert ids(corpus_pipeline.quality_stage(spark, docs, str(tmp_path))) == [i for i, x in enumerate(scores) if x >= 0.3]
+    found = near.brute(texts, 80)
+    assert ids(corpus_pipeline.near_dedup_stage(spark, docs, str(tmp_path))) == [i for i in range(len(texts)) if found[i][1] == i]
+    holders = {d for d, _ in leaks.brute(texts, items)}
+    assert holders and ids(corpus_pipeline.decontaminate_stage(spark, docs, str(tmp_path))) == [i for i in range(len(texts)) if i not in holders]
+    laid = corpus_pipeline.mix_stage(spark, docs.unionByName(docs.where("doc_id < 3")), str(tmp_path))
+    assert sorted(map(tuple, laid.collect()), key=str) == sorted(rows + rows[:3], key=str)
+    out = corpus_pipeline.shard_stage(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.size) for r in out) == [(i, len((t or "").encode()) + 8) for i, t in enumerate(texts)]
+
+
+def test_empty_tables(spark, tmp_path):
+    for name, kind in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_one_query_for_each_operator():
     names = list(queries.queries())
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
