@@ -118,38 +118,26 @@ def parse_choice(c: Column) -> Column:
     return F.struct(*[F.nullif(F.regexp_extract(c, pattern, i + 1), F.lit("")).alias(n) for i, n in enumerate(names)])
 
 
-def _segment(text: str | None, marker: str) -> str | None:
-    """The balanced {...} or [...] that follows a marker; brackets in strings don't count."""
-    at = text.find(marker) if text else -1
-    if at < 0:
-        return None
-    start = next((i for i in range(at + len(marker), len(text)) if text[i] in "{["), -1)
-    depth, quoted, i = 0, False, start
-    while 0 <= i < len(text):
-        ch = text[i]
-        if quoted:
-            i += ch == "\\"
-            quoted = ch != '"'
-        elif ch == '"':
-            quoted = True
-        elif ch in "{[":
-            depth += 1
-        elif ch in "}]":
-            depth -= 1
-            if not depth:
-                return text[start : i + 1]
-        i += 1
-    return None
-
-
 def balanced_segment(c: Column, marker: str) -> Column:
-    """String-aware balanced JSON segment after a marker; a stateful scan, so a pandas UDF."""
-
-    @F.pandas_udf("string")
-    def scan(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: _segment(x, marker))
-
-    return scan(c)
+    """The balanced {...} or [...] that follows a marker; brackets in strings don't count; null if there is none or it never closes.
+
+    The rest of the text is cut into strings, brackets and other stretches; an aggregate follows the depth and keeps
+    the length at which it comes back to zero.
+    """
+    at = F.instr(c, marker)
+    rest = F.substring(c, at + len(marker), F.length(c))
+    opening = F.regexp_instr(rest, F.lit(r"[\{\[]"), F.lit(0))
+    body = F.substring(rest, opening, F.length(rest))
+    parts = F.regexp_extract_all(body, F.lit(r'(?s)("(?:[^"\\]|\\.)*+"|".*|[\{\[]|[\}\]]|[^"\{\}\[\]]++)'), F.lit(1))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("length"), F.lit(False).alias("closed"))
+
+    def step(s: Column, x: Column) -> Column:
+        depth = s["depth"] + F.when(x.isin("{", "["), 1).when(x.isin("}", "]"), -1).otherwise(0)
+        moved = F.struct(depth.alias("depth"), (s["length"] + F.length(x)).alias("length"), (depth == 0).alias("closed"))
+        return F.when(s["closed"], s).otherwise(moved)
+
+    found = F.aggregate(parts, start, step)
+    return F.when((at > 0) & (opening > 0) & found["closed"], F.substring(body, F.lit(1), found["length"]))
 
 
 def json_path(c: Column, path: str, default: str | None = None) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.operators import aggs, drift, gates, joins, reshape, stats
+from plinth.operators.lineage import scratch_path
 from plinth.plans.registry import query
 from plinth.sources.io import read_table as t
 from plinth.streaming import events as ev
@@ -311,6 +312,35 @@ def stream_sessions(spark: Spark, d: str) -> DataFrame:
     return ev.sessions(t(spark, d, "events"), "2 hours")
 
 
+def _event_stream(spark: Spark, d: str) -> DataFrame:
+    """The events as a stream of several files, in order of time, some rows twice."""
+    events = t(spark, d, "events")
+    twice = events.unionByName(events.where("event_id % 10 = 0"))
+    folder = scratch_path(spark, "events")
+    twice.repartitionByRange(4, "ts", "event_id").sortWithinPartitions("ts", "event_id").write.parquet(folder)
+    schema = ", ".join(f"{n} {k}" for n, k in events.dtypes)
+    return ev.read_events(spark, folder, schema, files_each=2)
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def stream_deduplicated(spark: Spark, d: str) -> DataFrame:
+    rows = ev.deduplicated(_event_stream(spark, d), late="400 days").select("event_id", "user_id", "event_type")
+    return ev.collected(rows, scratch_path(spark, "stream"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+def stream_windows_of_a_stream(spark: Spark, d: str) -> DataFrame:
+    rows = ev.tumbling(ev.deduplicated(_event_stream(spark, d), late="400 days"), "1 day", ["event_type"])
+    got = ev.collected(rows, scratch_path(spark, "stream"), "update", ["window_start", "event_type"])
+    return got.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query("SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, i) AS attempt, ts FROM (SELECT user_id, ts, event_id, unnest(range(0, CASE WHEN event_id % 10 = 0 THEN 2 ELSE 1 END)) AS i FROM events)")
+def stream_attempts_by_state(spark: Spark, d: str) -> DataFrame:
+    got = ev.collected(ev.second_attempts(_event_stream(spark, d)), scratch_path(spark, "stream"))
+    return got.select("user_id", "attempt", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
 # flagship: matched controls and their balance ---------------------------------------
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def read_events(spark: SparkSession, path: str, schema: str, files_each: int = 1, ts: str = "ts") -> DataFrame:
@@ -31,6 +33,43 @@ def sessions(events: DataFrame, gap: str, key: str = "user_id", ts: str = "ts",
     return rows.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
+def second_attempts(events: DataFrame, key: str = "user_id", ts: str = "ts", late: str = "1 hour") -> DataFrame:
+    """key, attempt, ts: each row numbered within its key by time, on a stream, by state that outlives batches.
+
+    Rows of a batch are put in order of time; a row that comes in a later batch is a later attempt. State is one
+    counter for each key.
+    """
+
+    def number(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen = state.get[0] if state.exists else 0
+        rows = pd.concat(list(batches)).sort_values(ts, kind="stable")
+        state.update((seen + len(rows),))
+        yield pd.DataFrame({key: [keys[0]] * len(rows), "attempt": range(seen + 1, seen + len(rows) + 1), ts: rows[ts].to_numpy()})
+
+    kind = events.schema[key].dataType.simpleString()
+    marked = events.withWatermark(ts, late).select(key, ts)
+    return marked.groupBy(key).applyInPandasWithState(number, f"{key} {kind}, attempt long, {ts} timestamp", "seen long", "append", GroupStateTimeout.NoTimeout)
+
+
+def collected(stream: DataFrame, folder: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """What a stream gives for the files that are there now, written under `folder` and read back.
+
+    In append mode rows are the sink's. In update mode the last row of each of `keys` counts: batches are numbered,
+    and a replayed batch replaces itself.
+    """
+    spark = stream.sparkSession
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema.fields)}, batch int").parquet(f"{folder}/out")
+    if mode == "append":
+        return rows.drop("batch")
+    rest = F.struct(*stream.columns)
+    return rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max_by(rest, "batch").alias("_row")).select("_row.*")
+
+
 def upsert_sink(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str):
     """Hand each micro-batch to a keyed upsert; replays of a batch id must be harmless."""
     return stream.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint)
