@@ -370,3 +370,60 @@ def st_25_table_one(spark: Spark, d: str) -> DataFrame:
     c = t(spark, d, "customer")
     s = aggs.summary(c, ["c_mktsegment"], "c_acctbal").join(aggs.rates(c, ["c_mktsegment"], {"negative": F.col("c_acctbal") < 0}).drop("n"), "c_mktsegment")
     return s.select(F.col("c_mktsegment").alias("stratum"), F.lit("balance").alias("variable"), "n", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"), F.round(100 * F.col("rate_negative"), 4).alias("pct_negative"))
+
+
+# practices and rosters -------------------------------------------------------------
+
+
+def _platform_pages(spark: Spark, d: str) -> DataFrame:
+    """A page for each supplier: linked data, a marker object, or meta tags and visible text, by platform."""
+    k = F.col("s_suppkey")
+    s, n = k.cast("string"), F.concat(F.lit("Clinic "), F.col("s_suppkey").cast("string"))
+    phone = F.concat(F.lit("("), F.lpad(F.pmod(k * 37, F.lit(800)).cast("string"), 3, "2"), F.lit(") 555-"), F.lpad(F.pmod(k, F.lit(10000)).cast("string"), 4, "0"))
+    team = F.concat(F.lit('<a href="/team/dr-'), s, F.lit('">A</a><a href="/blog/x">B</a><a href="/team/dr-'), s, F.lit('">A</a><a href="/team/second">C</a>'))
+    data = F.concat(F.lit('{"name": "'), n, F.lit('", "address": {"streetAddress": "'), s, F.lit(' Elm St", "addressLocality": "Denver", "addressRegion": "CO"}, "telephone": "'), phone, F.lit('"}'))
+    linked = F.concat(F.lit('<html><head><title>x</title><script type="application/ld+json">'), data, F.lit("</script></head><body>"), team, F.lit("</body></html>"))
+    marked = F.concat(F.lit("<html><script>window.__data = "), data, F.lit("; go({})</script>"), team, F.lit("</html>"))
+    plain = F.concat(F.lit('<html><head><title>Home</title><meta property="og:site_name" content="'), n, F.lit('"></head><body><p>9 Oak Rd, Boulder, CO 80301</p><p>Call '), phone, F.lit("</p>"), team, F.lit("</body></html>"))
+    html = F.when(k % 3 == 0, linked).when(k % 3 == 1, marked).otherwise(plain)
+    return t(spark, d, "supplier").select(F.concat(F.lit("p"), (k % 3).cast("string")).alias("platform"), html.alias("html"), F.concat(F.lit("https://c"), s, F.lit(".example.com/")).alias("url"))
+
+
+def _found(spark: Spark, d: str) -> DataFrame:
+    from plinth.operators.practices import Platform, practices
+
+    return practices(_platform_pages(spark, d), [Platform("p0", provider_path="^/team/"), Platform("p1", marker="window.__data =", provider_path="^/team/"), Platform("p2", provider_path="^/team/", defaults=(("address", "on request"),))])
+
+
+@query("""SELECT 'p' || (s_suppkey % 3) AS platform, 'Clinic ' || s_suppkey AS name, CASE WHEN s_suppkey % 3 = 2 THEN 'Boulder' ELSE 'Denver' END AS city, 'CO' AS state, CASE WHEN s_suppkey % 3 = 2 THEN 'on request' ELSE s_suppkey || ' Elm St' END AS address,
+lpad(CAST((s_suppkey * 37) % 800 AS VARCHAR), 3, '2') || '-555-' || lpad(CAST(s_suppkey % 10000 AS VARCHAR), 4, '0') AS phone, 'https://c' || s_suppkey || '.example.com/' AS url FROM supplier""")
+def str_24_26_36_practices(spark: Spark, d: str) -> DataFrame:
+    return _found(spark, d).drop("provider_urls")
+
+
+@query("SELECT 'p' || (s_suppkey % 3) AS platform, 'https://c' || s_suppkey || '.example.com/' AS practice_url, unnest(['/team/dr-' || s_suppkey, '/team/second']) AS provider_url FROM supplier")
+def str_36_provider_links(spark: Spark, d: str) -> DataFrame:
+    from plinth.operators.practices import provider_links
+
+    return provider_links(_found(spark, d))
+
+
+_ROSTER = "SELECT 'p' || (c_custkey % 4) AS platform, '/team/' || c_custkey AS provider_url, 'Ann' || (c_custkey % 50) || ' Lee' || c_nationkey AS provider_name, CASE c_custkey % 3 WHEN 0 THEN 'MD' WHEN 1 THEN 'DO' ELSE 'CNM' END AS credentials, 'S' || (c_nationkey % 5) AS state, c_custkey FROM customer"
+
+
+@query(f"""WITH c AS ({_ROSTER}), o AS (SELECT *, 'retained' AS origin FROM c WHERE platform <> 'p1' UNION ALL SELECT platform, provider_url || 'x', provider_name, credentials, state, c_custkey, 'rebuilt' FROM c WHERE platform = 'p1' AND credentials <> 'CNM'),
+k AS (SELECT *, regexp_replace(lower(provider_name), '[0-9]', '', 'g') AS low, CAST(c_custkey // 2 AS VARCHAR) AS npi FROM c WHERE c_custkey % 2 = 0), u AS (SELECT provider_url, min(npi) AS npi FROM k GROUP BY 1 HAVING count(DISTINCT npi) = 1)
+SELECT o.platform, o.provider_url, o.provider_name, o.credentials, o.state, o.origin, u.npi, CASE WHEN u.npi IS NOT NULL THEN 'url' END AS id_via FROM o LEFT JOIN u USING (provider_url)""")
+def str_37_roster_refresh(spark: Spark, d: str) -> DataFrame:
+    from plinth.operators.practices import refresh_roster
+
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    kind = F.when(k % 3 == 0, "MD").when(k % 3 == 1, "DO").otherwise("CNM")
+    rows = t(spark, d, "customer").select(
+        F.concat(F.lit("p"), (k % 4).cast("string")).alias("platform"), F.concat(F.lit("/team/"), k.cast("string")).alias("provider_url"),
+        F.concat(F.lit("Ann"), (k % 50).cast("string"), F.lit(" Lee"), n.cast("string")).alias("provider_name"), kind.alias("credentials"), F.concat(F.lit("S"), (n % 5).cast("string")).alias("state"), "c_custkey",
+    )
+    resolved = rows.where(k % 2 == 0).select("provider_url", "provider_name", "state", F.expr("cast(c_custkey div 2 as string)").alias("npi"))
+    rebuilt = rows.where("platform = 'p1'").withColumn("provider_url", F.concat("provider_url", F.lit("x")))
+    # Names are shared by several ids here, so only URLs lead to one.
+    return refresh_roster(rows, rebuilt, resolved)

@@ -359,3 +359,21 @@ def test_drift(spark):
     assert rows(drift.loaded_packages(lines, ["mgcv"])) == [("dplyr",), ("tidyr",)]
     steps = spark.createDataFrame([("a", True, 20, False), ("b", True, None, False), ("c", True, 5, True), ("d", False, None, True)], "step string, is_blocking boolean, timeout_minutes int, continue_on_error boolean")
     assert rows(drift.ci_contract(steps)) == [("a", "timeout_too_long"), ("b", "no_timeout"), ("c", "may_fail")]
+
+
+def test_practices_and_roster(spark):
+    from plinth.operators.practices import Platform, practices, refresh_roster
+
+    page = '<html><head><title>T</title><meta property="og:locality" content="Reno"></head><h1>Head</h1><script>data = {"name": "N } x", "tel": 1};</script><a href="/doc/a?x=1">1</a><a href="/doc/a">2</a><p>call 303-555-0100</p></html>'
+    pages = spark.createDataFrame([("a", page, "u1"), ("b", page, "u2"), ("a", None, "u3"), ("z", page, "u4")], "platform string, html string, url string")
+    got = {r.url: r for r in practices(pages, [Platform("a", marker="data =", provider_path="/doc/"), Platform("b", defaults=(("state", "NV"),))]).collect()}
+    assert set(got) == {"u1", "u2", "u3"}
+    assert (got["u1"].name, got["u1"].city, got["u1"].phone, got["u1"].provider_urls) == ("N } x", "Reno", "303-555-0100", ["/doc/a"])
+    assert (got["u2"].name, got["u2"].state, got["u2"].provider_urls) == ("Head", "NV", [])
+    assert got["u3"].name is None
+    kind = "platform string, provider_url string, provider_name string, credentials string, state string"
+    old = spark.createDataFrame([("a", "/1", "Ann Lee", "MD", "CO"), ("b", "/2", "Bo Ray", "DO", "NV")], kind)
+    new = spark.createDataFrame([("b", "/9", "Bo Ray", "D.O.", "nv"), ("b", "/8", "Cy Fox", "CNM", "NV"), ("b", "/7", "Di Poe", "MD", "NV")], kind)
+    ids = spark.createDataFrame([("/1", "Ann Lee", "CO", "11"), ("/2", "Bo Ray", "NV", "22"), ("/5", "Di Poe", "NV", "55"), ("/6", "Di Poe", "NV", "66"), ("/7", None, None, None)], "provider_url string, provider_name string, state string, npi string")
+    out = {r.provider_url: (r.origin, r.npi, r.id_via) for r in refresh_roster(old, new, ids).collect()}
+    assert out == {"/1": ("retained", "11", "url"), "/9": ("rebuilt", "22", "name"), "/7": ("rebuilt", None, None)}
