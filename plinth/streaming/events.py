@@ -42,7 +42,7 @@ def second_attempts(events: DataFrame, key: str = "user_id", ts: str = "ts", lat
 
     def number(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(ts, kind="stable")
+        rows = pd.concat([b for b in batches if len(b)]).sort_values(ts, kind="stable")
         state.update((seen + len(rows),))
         yield pd.DataFrame({key: [keys[0]] * len(rows), "attempt": range(seen + 1, seen + len(rows) + 1), ts: rows[ts].to_numpy()})
 
