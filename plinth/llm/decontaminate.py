@@ -190,10 +190,12 @@ def _holders(rows: DataFrame, items: DataFrame, threshold: float, broadcast_wind
     return out.where(F.col("slot_consistency") >= threshold)
 
 
-def clean(docs: DataFrame, items: DataFrame, broadcast_ids: int = 500_000, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
+def clean(
+    docs: DataFrame, items: DataFrame, threshold: float = 0.8, broadcast_windows: int = 1_000_000, broadcast_ids: int = 500_000, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
     """The rows of `docs` that hold no item; where ids are null or repeated, each row is judged by itself."""
-    rows, same = told_apart(docs, id_col, "_row")
-    key = id_col if same else "_row"
-    found = contaminated(rows, items, id_col=key, text_col=text_col, broadcast_ids=broadcast_ids, **options)
-    gone = if_small(found.select(F.col("doc_id").alias(key)).distinct(), broadcast_ids)
-    return rows.join(gone, key, "left_anti").select(*docs.columns)
+    rows, _ = told_apart(docs, id_col, "_row")
+    known, _ = told_apart(items.select(F.col(item_id_col).alias("_own_item"), F.col(item_text_col).alias("_item_text")), "_own_item", "_item")
+    found = _holders(rows.select(F.col("_row").alias("doc_id"), F.col(text_col).alias("_text")), known.select(F.col("_item").alias("item_id"), "_item_text"), threshold, broadcast_windows, broadcast_ids)
+    gone = if_small(found.select(F.col("doc_id").alias("_row")).distinct(), broadcast_ids)
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)

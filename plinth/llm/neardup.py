@@ -96,9 +96,13 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return (a == b).mean(axis=-1) >= cut_at
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 256, broadcast_ids: int = 500_000) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row; linked at 100 * shared >= percent * union."""
-    rows, same = told_apart(docs.select(F.col(id_col).cast("long").alias("_own"), F.col(text_col).alias("_text")), "_own", "_id")
+def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 256, broadcast_ids: int = 500_000, unique_ids: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row; linked at 100 * shared >= percent * union.
+
+    `unique_ids` says that ids are known to tell rows apart.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("_own"), F.col(text_col).alias("_text"))
+    rows, same = (rows.withColumn("_id", F.col("_own")), True) if unique_ids else told_apart(rows, "_own", "_id")
     texts = rows.select("_id", "_text")
     sets = cut(texts.mapInArrow(_signatures, "_id long, n_shingles long, set_key binary, signature binary, keys array<long>"))
     classes = sets.where("n_shingles > 0").groupBy("set_key").agg(F.min_by(F.struct("_id", "n_shingles", "signature", "keys"), "_id").alias("_of"))
@@ -216,5 +220,5 @@ def distinct_documents(docs: DataFrame, **options: int) -> DataFrame:
         key, parts = "_row", int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         order = [F.col("doc_id").asc_nulls_last(), F.xxhash64(*docs.columns)]
         rows = with_row_keys(docs.distinct().repartitionByRange(parts, *order).sortWithinPartitions(*order), key)
-    gone = near_duplicates(rows, id_col=key, **options).where("not kept").select(F.col("doc_id").alias(key)).distinct()
+    gone = near_duplicates(rows, id_col=key, unique_ids=True, **options).where("not kept").select(F.col("doc_id").alias(key)).distinct()
     return rows.join(if_small(gone, options.get("broadcast_ids", 500_000)), key, "left_anti").select(*docs.columns)
