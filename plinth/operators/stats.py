@@ -363,6 +363,99 @@ def compare_families(df: DataFrame, outcome: str, covariates: Sequence[str]) ->
     return df.sparkSession.createDataFrame(out, "family string, log_likelihood double, aic double, dispersion double, expected_zeros double, observed_zeros double")
 
 
+def spline_knots(df: DataFrame, column: str, shares: Sequence[float] = (0.1, 0.5, 0.9)) -> list[float]:
+    """Knots at quantiles of a column, from a mergeable sketch (ranks within 1/10,000); equal ones count once."""
+    got = df.agg(F.percentile_approx(F.col(column).cast("double"), [float(s) for s in shares], 10_000)).first()[0] or []
+    knots = sorted(set(got))
+    if len(knots) < 3:
+        raise ContractError(f"{column} has too few different values for a spline")
+    return knots
+
+
+def spline_terms(column: str, knots: Sequence[float]) -> dict[str, Column]:
+    """Natural cubic spline terms, one fewer than knots: linear beyond the outer knots, by truncated powers scaled by the range."""
+    x, last, width = F.col(column).cast("double"), knots[-1], knots[-1] - knots[0]
+
+    def above(k: float) -> Column:
+        return F.pow(F.greatest(x - k, F.lit(0.0)), 3)
+
+    def bend(k: float) -> Column:
+        return (above(k) - above(last)) / ((last - k) * width)
+
+    terms = {f"{column}_s1": x}
+    # greatest() would pass over a null
+    terms |= {f"{column}_s{j}": F.when(x.isNotNull(), bend(k) - bend(knots[-2])) for j, k in enumerate(knots[:-2], 2)}
+    return terms
+
+
+def fit_spline(df: DataFrame, outcome: str, column: str, covariates: Sequence[str] = (), family: str = "binomial", knots: Sequence[float] | None = None) -> tuple[DataFrame, dict[str, object]]:
+    """`df` with the spline terms of a column, and the model on them and other covariates.
+
+    The first term is the column itself: `nested_test` of a fit on it alone tells whether the rest bends.
+    Knots come from the rows the model is fitted on.
+    """
+    knots = list(knots) if knots else spline_knots(df.dropna(subset=[outcome, column, *covariates]), column)
+    terms = spline_terms(column, knots)
+    rows = df.withColumns(terms)
+    return rows, {**fit_glm(rows, outcome, [*terms, *covariates], family), "knots": knots}
+
+
+def fit_zero_inflated(df: DataFrame, outcome: str, covariates: Sequence[str] = (), rounds: int = 50) -> dict[str, object]:
+    """Zero-inflated Poisson (log link, one share of extra zeros) by maximum likelihood; one scan for each round.
+
+    Newton steps for coefficients and the log odds of the share move together, along eigenvectors with their curvature
+    made positive and halved (in the scan of the next round) when the likelihood fell. Counts without extra zeros run to a share near 0.
+    """
+    rows = df.dropna(subset=[outcome, *covariates])
+    x, y = design(rows, covariates), F.col(outcome).cast("double")
+    p = len(x)
+    start = fit_glm(rows, outcome, covariates, "poisson")
+    none = F.avg((y == 0).cast("int"))
+    zeros = float(rows.agg(none).first()[0])
+    expected = float(predict(rows, start, "_mu").agg(F.avg(F.exp(-F.col("_mu")))).first()[0])
+    share = min(max((zeros - expected) / max(1 - expected, 1e-9), 0.01), 0.95)
+    v = np.array([*start["coefficients"], math.log(share / (1 - share))])
+    v[0] -= math.log(1 - share)
+    here, best, step, converged, info = None, -math.inf, np.zeros(p + 1), False, np.eye(p + 1)
+    for _ in range(rounds):
+        pi = 1 / (1 + math.exp(-v[p]))
+        eta = F.least(sum((F.lit(float(b)) * c for b, c in zip(v, x)), F.lit(0.0)), F.lit(50.0))
+        mu, zero = F.exp(eta), y == 0
+        all_zero = F.lit(pi) + (1 - pi) * F.exp(-mu)
+        count = F.when(zero, (1 - pi) * F.exp(-mu) / all_zero).otherwise(1.0)  # chance that the row is of the Poisson part
+        mixed = F.when(zero, count * (1 - count)).otherwise(0.0)
+        slopes = [F.sum(F.when(zero, -mu * count).otherwise(y - mu) * c) for c in x] + [F.sum((1 - count) - pi)]
+        within = mu * count - mu * mu * mixed
+        bends = [F.sum(within * x[i] * x[j]) for i in range(p) for j in range(i, p)]
+        bends += [F.sum(-mu * mixed * c) for c in x] + [F.sum(pi * (1 - pi) - mixed)]
+        log_l = F.sum(F.when(zero, F.log(all_zero)).otherwise(math.log1p(-pi) + y * eta - mu - log_gamma(y + 1)))
+        got = rows.agg(*[s.alias(f"s{k}") for k, s in enumerate([*slopes, *bends, log_l])]).first()
+        if got[-1] < best - 1e-9 * abs(best):
+            step = step / 2
+            v = here + step
+            continue
+        gained, here, best = got[-1] - best, v, got[-1]
+        info, at = np.zeros((p + 1, p + 1)), p + 1
+        for i in range(p):
+            for j in range(i, p):
+                info[i, j] = info[j, i] = got[at]
+                at += 1
+        info[p, :p] = info[:p, p] = got[at : at + p]
+        info[p, p] = got[at + p]
+        values, axes = np.linalg.eigh(info)
+        step = axes @ ((axes.T @ np.array(got[: p + 1], float)) / np.maximum(np.abs(values), 1e-9))
+        step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
+        if np.abs(step).max() < 1e-7 * (1 + np.abs(v).max()) or (v[p] < -12 and gained < 1e-6):
+            converged = True
+            break
+        v = here + step
+    errors = np.sqrt(np.maximum(np.diag(np.linalg.pinv(info)), 0))
+    return {
+        "family": "zero_inflated_poisson", "names": ["(intercept)", *covariates], "coefficients": here[:p].tolist(), "errors": errors[:p].tolist(), "extra_zeros": 1 / (1 + math.exp(-here[p])),
+        "log_likelihood": float(best), "poisson_log_likelihood": log_likelihood(rows, start, outcome), "n": start["n"], "converged": converged, "positive_definite": bool(np.linalg.eigvalsh(info).min() > 0), "theta": None,
+    }
+
+
 def recalibration(df: DataFrame, fit: dict[str, object], outcome: str) -> DataFrame:
     """Intercept and slope of the outcome on the linear predictor of a binomial fit: 0 and 1 for a fit that carries over."""
     rows = df.dropna(subset=[outcome, *fit["names"][1:]]).withColumn("_eta", linear_predictor(fit, fit["names"][1:]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,6 +162,32 @@ def st_20_22_count_families(spark: Spark, d: str) -> DataFrame:
     return c.select("family", F.round("log_likelihood", 1).alias("log_likelihood"), F.round("aic", 1).alias("aic"), F.round("dispersion", 4).alias("dispersion"), F.round("expected_zeros", 6).alias("expected_zeros"), "observed_zeros")
 
 
+_LINE_KNOTS = "k AS (SELECT quantile_disc(l_quantity, 0.1) AS k1, quantile_disc(l_quantity, 0.5) AS k2, quantile_disc(l_quantity, 0.9) AS k3 FROM lineitem)"
+_BEND = " - ".join(f"(pow(greatest(x - {k}, 0), 3) - pow(greatest(x - k3, 0), 3)) / ((k3 - {k}) * (k3 - k1))" for k in ("k1", "k2"))
+
+
+@query(f"""WITH RECURSIVE {_LINE_KNOTS}, l AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, CAST(l_quantity AS DOUBLE) AS x FROM lineitem), rows AS (SELECT y, x, {_BEND} AS bent FROM l, k),
+{newton_sql('rows', 'y', ['x', 'bent'], 'binomial')} SELECT x AS quantity, round(1 / (1 + exp(-(b0 + b1 * x + b2 * bent))), 6) AS share FROM (SELECT DISTINCT x, bent FROM rows), fit""")
+def st_22_spline(spark: Spark, d: str) -> DataFrame:
+    li = t(spark, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("y"), F.col("l_quantity").cast("double").alias("quantity"))
+    rows, fit = stats.fit_spline(li, "y", "quantity")
+    return stats.predict(rows.drop("y").distinct(), fit, "share").select("quantity", F.round("share", 6).alias("share"))
+
+
+@query("""WITH RECURSIVE c AS (SELECT count(l_orderkey) FILTER (o_orderpriority = '1-URGENT') AS y FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey),
+s AS (SELECT count(*) AS n, count(*) FILTER (y > 0) AS pos, avg(y) FILTER (y > 0) AS m, avg(y) AS a, sum(y) AS total, sum(lgamma(y + 1)) AS lg FROM c),
+it AS (SELECT 0 AS k, m AS mu FROM s UNION ALL SELECT k + 1, m * (1 - exp(-mu)) FROM it, s WHERE k < 400),
+f AS (SELECT mu, 1 - pos / n / (1 - exp(-mu)) AS extra, s.* FROM it, s WHERE k = 400)
+SELECT round(mu, 4) AS mean_count, round(extra, 4) AS extra_zeros, round(2 * ((n - pos) * ln(extra + (1 - extra) * exp(-mu)) + pos * ln(1 - extra) + total * ln(mu) - pos * mu - total * ln(a) + n * a), 2) AS chi2 FROM f""")
+def st_20_zero_inflated(spark: Spark, d: str) -> DataFrame:
+    lines = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    urgent = t(spark, d, "orders").select(F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderkey")).alias("l_orderkey"))
+    counts = urgent.join(lines, "l_orderkey", "left").select(F.coalesce("n", F.lit(0)).alias("y"))
+    fit = stats.fit_zero_inflated(counts, "y")
+    row = (round(math.exp(fit["coefficients"][0]), 4), round(fit["extra_zeros"], 4), round(2 * (fit["log_likelihood"] - fit["poisson_log_likelihood"]), 2))
+    return spark.createDataFrame([row], "mean_count double, extra_zeros double, chi2 double")
+
+
 @query(f"WITH RECURSIVE {_ORDERS}, {newton_sql('rows', 'y', ['price'], 'binomial')} {effects_sql(['(intercept)', 'price'])}")
 def st_13_effects(spark: Spark, d: str) -> DataFrame:
     o = t(spark, d, "orders").select((F.col("o_orderstatus") == "O").cast("int").alias("y"), (F.col("o_totalprice") / 1e5).alias("price"))
