@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import chat, decontaminate, fingerprint, htmltext, langid, mixing, neardup, quality, sharding, suffixes
+from plinth.llm import chat, decontaminate, elkan, fingerprint, htmltext, langid, mixing, neardup, packing, quality, sharding, suffixes, whitening
 from plinth.llm.common import table
 
 
+def public_tokenizer(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -67,11 +74,46 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeat_words")
 
 
+def op11_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"), window=4096, end_id=2)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(table(spark, sf_dir, "embeddings"), most=16, scale=64, offset=1_000_000)
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = elkan.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64, seed=1)
+    return rows.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", elkan.centroid_digest(F.col("centroid")).alias("centroid_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
+def _kmeans_sql(k: int, rounds: int, dims: int) -> str:
+    """Rounds of assignment and floored means as one chain of tables."""
+    vectors = f"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1 AS j, x AS c FROM v QUALIFY j < {k})"""
+    for i in range(rounds + 1):
+        vectors += f""",
+a{i} AS (SELECT r, min(d * {k} + j) AS m FROM (SELECT r, j, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v CROSS JOIN c{i}) GROUP BY r)"""
+        if i < rounds:
+            vectors += f""",
+s{i} AS (SELECT j, list(CAST(floor_sum AS BIGINT) ORDER BY i) AS c FROM (SELECT j, i, (s - ((s % n) + n) % n) // n AS floor_sum FROM (
+  SELECT CAST(m % {k} AS BIGINT) AS j, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM a{i} JOIN v USING (r), range(1, {dims} + 1) t(i) GROUP BY ALL)) GROUP BY j),
+c{i + 1} AS (SELECT c{i}.j, coalesce(s{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN s{i} ON s{i}.j = c{i}.j)"""
+    return vectors + f"""
+SELECT vec_id, CAST(m % {k} AS INT) AS cluster, CAST(m // {k} AS BIGINT) AS distance, CAST(sum(m // {k}) OVER (PARTITION BY m % {k}) AS BIGINT) AS cluster_inertia,
+CAST(sum(m // {k}) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN c{rounds} ON c{rounds}.j = m % {k}
+"""
+
+
 #: DuckDB SQL of the operators that SQL can express.
 ORACLES: dict[str, str] = {
     "op1_minhash_near_dedup": """
@@ -94,4 +136,5 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
 CAST(sum(tl + CASE WHEN same THEN 10 ELSE 24 + rl END) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id
 """,
+    "op13_centroid_clustering": _kmeans_sql(16, 3, 64),
 }
