@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plinth.operators.batch import Request, fit_many
 from plinth.operators.ranges import sum_before
 from plinth.operators.windows import average_ranks, hashed
 from plinth.sources.io import ContractError
@@ -283,14 +284,14 @@ def trigamma(x: Column) -> Column:
     return series + sum((1 / F.pow(x + k, 2) for k in range(8)), F.lit(0.0))
 
 
-def row_log_likelihood(family: str, y: Column, mu: Column, theta: float | None = None) -> Column:
+def row_log_likelihood(family: str, y: Column, mu: Column, theta: float | Column | None = None) -> Column:
     """A row's log likelihood in a binomial (0/1), Poisson or negative binomial model."""
     if family == "binomial":
         return y * F.log(mu) + (1 - y) * F.log(1 - mu)
     if family == "poisson":
         return y * F.log(mu) - mu - log_gamma(y + 1)
     if family == "negative_binomial":
-        t = F.lit(float(theta))
+        t = theta if isinstance(theta, Column) else F.lit(float(theta))
         return log_gamma(y + t) - log_gamma(t) - log_gamma(y + 1) + t * F.log(t / (t + mu)) + y * F.log(mu / (t + mu))
     raise ValueError(f"no likelihood of {family}")
 
@@ -463,28 +464,77 @@ def recalibration(df: DataFrame, fit: dict[str, object], outcome: str) -> DataFr
     return df.sparkSession.createDataFrame([(*again["coefficients"], again["n"])], "intercept double, slope double, n long")
 
 
-def cross_validated(df: DataFrame, outcome: str, covariates: Sequence[str], cluster: str, k: int, seed: int = 0) -> DataFrame:
-    """fold, n, brier: each fold's rows scored by a binomial fit of the others; a cluster is in one fold."""
+def _by_fit(fits: Sequence[dict[str, object]], which: Column) -> Column:
+    """Linear predictor of a row by the fit whose number is `which`."""
+    return F.get(F.array(*[linear_predictor(f, f["names"][1:]) for f in fits]), which)
+
+
+def _mean_of(family: str, eta: Column) -> Column:
+    return {"gaussian": eta, "binomial": 1 / (1 + F.exp(-eta))}.get(family, F.exp(eta))
+
+
+def cross_validated(df: DataFrame, outcome: str, covariates: Sequence[str], cluster: str, k: int, seed: int = 0, family: str = "binomial") -> DataFrame:
+    """Each fold's rows scored by the fit of the others; a cluster is in one fold, and all k fits share their scans.
+
+    fold, n and, for a binomial model, brier; for others rmse, mae and mean_log_likelihood (null for gaussian).
+    """
     rows = df.dropna(subset=[outcome, cluster, *covariates]).withColumn("_fold", folds(cluster, k, seed))
-    out = None
-    for f in range(k):
-        fit = fit_glm(rows.where(F.col("_fold") != f), outcome, covariates, "binomial")
-        scored = predict(rows.where(F.col("_fold") == f), fit, "_p")
-        part = scored.agg(F.lit(f).alias("fold"), F.count("*").alias("n"), F.avg(F.pow(F.col("_p") - F.col(outcome), 2)).alias("brier"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    fits = fit_many(rows, outcome, [Request((F.col("_fold") != f).cast("int"), tuple(covariates)) for f in range(k)], family)
+    scored = rows.select("_fold", F.col(outcome).cast("double").alias("_y"), _mean_of(family, _by_fit(fits, F.col("_fold"))).alias("_p"))
+    gap = F.col("_y") - F.col("_p")
+    if family == "binomial":
+        measures = [F.avg(gap * gap).alias("brier")]
+    else:
+        thetas = F.get(F.array(*[F.lit(f["theta"] or 0.0) for f in fits]), F.col("_fold"))
+        log_l = F.lit(None).cast("double") if family == "gaussian" else row_log_likelihood(family, F.col("_y"), F.col("_p"), thetas)
+        measures = [F.sqrt(F.avg(gap * gap)).alias("rmse"), F.avg(F.abs(gap)).alias("mae"), F.avg(log_l).alias("mean_log_likelihood")]
+    return scored.groupBy(F.col("_fold").alias("fold")).agg(F.count("*").alias("n"), *measures)
+
+
+def temporal_validation(df: DataFrame, outcome: str, covariates: Sequence[str], later: Column, family: str = "negative_binomial") -> DataFrame:
+    """A fit of the earlier rows held against the `later` ones: n_train, n_test, rmse, mae, bias (mean predicted - observed), intercept and slope.
+
+    The last two are the recalibration of the outcome on the linear predictor: 0 and 1 for a fit that carries over.
+    """
+    rows = df.dropna(subset=[outcome, *covariates])
+    fit = fit_many(rows, outcome, [Request((~later).cast("int"), tuple(covariates))], family)[0]
+    test = rows.where(later).withColumn("_eta", linear_predictor(fit, covariates))
+    gap = _mean_of(family, F.col("_eta")) - F.col(outcome)
+    n, rmse, mae, bias = test.agg(F.count("*"), F.sqrt(F.avg(gap * gap)), F.avg(F.abs(gap)), F.avg(gap)).first()
+    if not n:
+        raise ContractError("no later rows")
+    again = fit_many(test, outcome, [Request(None, ("_eta",))], "poisson" if family == "negative_binomial" else family)[0]["coefficients"]
+    return df.sparkSession.createDataFrame([(fit["n"], n, rmse, mae, bias, *again)], "n_train long, n_test long, rmse double, mae double, bias double, intercept double, slope double")
+
+
+#: Distribution function of Poisson(1) at 0..7.
+_POISSON_ONE = [sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) for n in range(8)]
+
+
+def drawn(keys: Sequence[str], draws: int) -> Column:
+    """`poisson_weight` of all draws as an array of bytes: one hash for each draw."""
+    of_row = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in keys]
+    digest = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda k: F.md5(F.concat_ws("|", k.cast("string"), *of_row)))
+    u = F.transform(digest, lambda h: (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") + 0.5) / float(1 << 32))
+    return F.transform(u, lambda v: sum(((v > p).cast("int") for p in _POISSON_ONE), F.lit(0)).cast("tinyint"))
 
 
 def bootstrap(df: DataFrame, outcome: str, covariates: Sequence[str], keys: Sequence[str], draws: int, family: str = "binomial") -> DataFrame:
-    """draw, term, estimate: fits under Poisson weights of the rows' clusters `keys`, so a draw is one pass and no shuffle."""
-    out = []
-    for draw in range(draws):
-        weighted = df.withColumn("_weight", poisson_weight(*keys, draw=draw)).where("_weight > 0")
-        fit = fit_glm(weighted, outcome, covariates, family, weight="_weight")
-        out += [(draw, name, float(b)) for name, b in zip(fit["names"], fit["coefficients"])]
+    """draw, term, estimate: fits under Poisson weights of the rows' clusters `keys`; all draws share their scans."""
+    fits = fit_many(df, outcome, [Request(None, tuple(covariates))] * draws, family, draws=drawn(keys, draws))
+    out = [(draw, name, b) for draw, fit in enumerate(fits) for name, b in zip(fit["names"], fit["coefficients"])]
     return df.sparkSession.createDataFrame(out, "draw int, term string, estimate double")
 
 
+def retention(df: DataFrame, outcome: str, covariates: Sequence[str], keys: Sequence[str], draws: int = 50, below: float = 0.1, family: str = "binomial") -> DataFrame:
+    """term, n_draws, n_kept, share: draws in which a covariate's p stays under `below`, of those that converged."""
+    every = fit_many(df, outcome, [Request(None, tuple(covariates))] * draws, family, draws=drawn(keys, draws))
+    fits = [f for f in every if f["converged"]]
+    kept = {name: sum(normal_tail(f["coefficients"][i] / f["errors"][i]) < below for f in fits if f["errors"][i]) for i, name in enumerate(covariates, 1)}
+    rows = [(name, len(fits), n, n / len(fits) if fits else None) for name, n in kept.items()]
+    return df.sparkSession.createDataFrame(rows, "term string, n_draws int, n_kept int, share double")
+
+
 def effects(df: DataFrame, fit: dict[str, object], exponentiate: bool = True) -> DataFrame:
     """term, estimate, low, high, z, p_value; intervals are Wald's on the link scale."""
     f = math.exp if exponentiate else (lambda v: v)
@@ -552,10 +602,10 @@ def caliper_sensitivity(pairs: DataFrame, distance: str, calipers: Sequence[floa
 
 
 def sensitivities(df: DataFrame, variants: Sequence[tuple[str, Column, Sequence[str]]], outcome: str, family: str = "binomial") -> DataFrame:
-    """Effects of each named (filter, covariates) variant of a model."""
+    """Effects of each named (filter, covariates) variant of a model; all variants share their scans."""
+    fits = fit_many(df, outcome, [Request(keep.cast("tinyint"), tuple(covariates)) for _, keep, covariates in variants], family)
     out = None
-    for name, keep, covariates in variants:
-        part = df.where(keep)
-        rows = effects(part, fit_glm(part, outcome, covariates, family)).select(F.lit(name).alias("variant"), "*")
+    for (name, _, _), fit in zip(variants, fits):
+        rows = effects(df, fit).select(F.lit(name).alias("variant"), "*")
         out = rows if out is None else out.unionByName(rows)
     return out
