@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.operators import stats
+from plinth.operators import design, stats
+from plinth.operators.batch import fit_one
 from plinth.plans import fit_sql
 from plinth.plans.registry import query
 from plinth.sources.io import read_table as t
@@ -58,3 +59,69 @@ SELECT (SELECT count(*) FROM old) AS n_train, (SELECT count(*) FROM late) AS n_t
 def st_21_temporal_counts(spark: Spark, d: str) -> DataFrame:
     got = stats.temporal_validation(_lines(spark, d), "y", ["arm", "discount"], F.col("year") >= 1996, "poisson")
     return got.select("n_train", "n_test", *[F.round(c, 6).alias(c) for c in ("rmse", "mae", "bias")], F.round("intercept", 3).alias("intercept"), F.round("slope", 3).alias("slope"))
+
+
+# designs -------------------------------------------------------------------------
+
+
+_DUMMIES = "SELECT l_extendedprice / 1e4 AS y, l_quantity AS q, (l_returnflag = 'N')::INT AS n, (l_returnflag = 'R')::INT AS r, (l_linestatus = 'O')::INT AS o, l_quantity * (l_linestatus = 'O')::INT AS qo, ((l_returnflag = 'N') AND l_linestatus = 'O')::INT AS no, ((l_returnflag = 'R') AND l_linestatus = 'O')::INT AS ro FROM lineitem"
+_DESIGN = ["q", "n", "r", "o", "no", "ro"]
+
+
+def _line_design(spark: Spark, d: str) -> DataFrame:
+    return t(spark, d, "lineitem").select("l_suppkey", "l_returnflag", "l_linestatus", "l_quantity", "l_discount", (F.col("l_extendedprice") / 1e4).alias("y"))
+
+
+@query(f"""WITH RECURSIVE rows AS ({_DUMMIES}), {fit_sql.newton('rows', _DESIGN, 'gaussian', rounds=1, more=['sum(pow(_y - m, 2)) AS rss', 'count(*) AS n'])}
+SELECT unnest(['(intercept)', 'l_quantity', 'l_returnflag=N', 'l_returnflag=R', 'l_linestatus=O', 'l_returnflag=N:l_linestatus=O', 'l_returnflag=R:l_linestatus=O']) AS term,
+unnest([{', '.join(f'round(b{i}, 6)' for i in range(7))}]) AS estimate, unnest([{', '.join(f'round(sqrt(v{i}_{i} * rss / (n - 7)), 6)' for i in range(7))}]) AS se FROM fit""")
+def st_06_factors(spark: Spark, d: str) -> DataFrame:
+    rows = _line_design(spark, d)
+    made = design.model_matrix(rows, ["l_quantity", "l_returnflag", "l_linestatus", ("l_returnflag", "l_linestatus")], ["l_returnflag", "l_linestatus"])
+    fit = design.fit_design(rows, "y", made)
+    return spark.createDataFrame([(n, round(b, 6), round(e, 6)) for n, b, e in zip(fit["names"], fit["coefficients"], fit["errors"])], "term string, estimate double, se double")
+
+
+_COUNTS = "SELECT l_quantity AS y, l_discount * 10 AS x, (l_returnflag = 'R')::INT AS a, (l_linestatus = 'O')::INT AS s, ((l_returnflag = 'R') AND l_linestatus = 'O')::INT AS b FROM lineitem"
+
+
+@query(f"""WITH RECURSIVE rows AS ({_COUNTS}), {fit_sql.newton('rows', ['x', 'a', 's'], 'poisson', name='small', more=['sum(_y * e - m) AS ll'])}, {fit_sql.newton('rows', ['x', 'a', 's', 'b'], 'poisson', name='large', more=['sum(_y * e - m) AS ll'])}
+SELECT round(2 * (large.ll - small.ll), 4) AS chi2, 1 AS df FROM small, large""")
+def st_20_interaction_test(spark: Spark, d: str) -> DataFrame:
+    rows = t(spark, d, "lineitem").select("l_linestatus", F.col("l_quantity").alias("y"), (F.col("l_discount") * 10).alias("x"), (F.col("l_returnflag") == "R").cast("string").alias("returned"))
+    factors = ["returned", "l_linestatus"]
+    full = design.model_matrix(rows, ["x", "returned", "l_linestatus", ("returned", "l_linestatus")], factors)
+    fitted = full.apply(rows)
+    large, small = (fit_one(fitted, "y", names, "poisson") for names in (full.names, full.names[:-1]))
+    return stats.nested_test(fitted, small, large, "y").select(F.round("chi2", 4).alias("chi2"), "df")
+
+
+def _cell_sql(p: int, cells: list[tuple[str, list[str]]]) -> str:
+    """Mean and limits of each cell, given its design row as SQL values."""
+    parts = []
+    for labels, x in cells:
+        eta = " + ".join(f"b{i} * {v}" for i, v in enumerate(x))
+        var = " + ".join(f"v{i}_{j} * {x[i]} * {x[j]}" for i in range(p) for j in range(p))
+        parts.append(f"SELECT {labels}, round(exp({eta}), 6) AS cell_mean, round(exp({eta} - 1.959963984540054 * sqrt({var})), 6) AS low, round(exp({eta} + 1.959963984540054 * sqrt({var})), 6) AS high, round(sqrt({var}), 8) AS se FROM fit, mean")
+    return " UNION ALL ".join(parts)
+
+
+_FOUR = [(f"'{str(bool(a)).lower()}' AS returned, '{s}' AS l_linestatus", ["1", "mx", str(a), str(int(s == 'O')), str(int(a and s == 'O'))]) for a in (0, 1) for s in "FO"]
+
+
+@query(f"WITH RECURSIVE rows AS ({_COUNTS}), mean AS (SELECT avg(x) AS mx FROM rows), {fit_sql.newton('rows', ['x', 'a', 's', 'b'], 'poisson')} {_cell_sql(5, _FOUR)}")
+def st_12_cell_limits(spark: Spark, d: str) -> DataFrame:
+    rows = t(spark, d, "lineitem").select("l_linestatus", F.col("l_quantity").alias("y"), (F.col("l_discount") * 10).alias("x"), (F.col("l_returnflag") == "R").cast("string").alias("returned"))
+    made = design.model_matrix(rows, ["x", "returned", "l_linestatus", ("returned", "l_linestatus")], ["returned", "l_linestatus"])
+    got = design.marginal_means(rows, design.fit_design(rows, "y", made, "poisson"), made, ["returned", "l_linestatus"])
+    return got.select("returned", "l_linestatus", *[F.round(c, 6).alias(c) for c in ("cell_mean", "low", "high")], F.round("se", 8).alias("se"))
+
+
+@query("""WITH x AS (SELECT l_suppkey, (l_returnflag = 'R')::INT AS a, (date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) BETWEEN 0 AND 30)::INT AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+m AS (SELECT avg(y) FILTER (a = 0) AS p0, avg(y) FILTER (a = 1) AS p1, count(*) AS n, sum(a) AS n1 FROM x),
+s AS (SELECT l_suppkey, sum(CASE WHEN a = 1 THEN (y - p1) / n1 ELSE -(y - p0) / (n - n1) END) AS s FROM x, m GROUP BY 1), v AS (SELECT sum(s * s) * count(*) / (count(*) - 1) AS v, count(*) AS g FROM s)
+SELECT n, g AS n_clusters, round(p0, 6) AS access_first, round(p1, 6) AS access_second, round(p1 - p0, 6) AS difference, round(p1 - p0 - 1.959963984540054 * sqrt(v), 6) AS low, round(p1 - p0 + 1.959963984540054 * sqrt(v), 6) AS high, round((p1 - p0) / sqrt(v), 4) AS z FROM m, v""")
+def st_15_access_difference(spark: Spark, d: str) -> DataFrame:
+    rows = t(spark, d, "lineitem").join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_suppkey", (F.col("l_returnflag") == "R").alias("arm"), F.date_diff("l_shipdate", "o_orderdate").alias("days"))
+    got = design.access_difference(rows, "days", F.lit(True), F.col("arm"), "l_suppkey", 30)
+    return got.select("n", "n_clusters", *[F.round(c, 6).alias(c) for c in ("access_first", "access_second", "difference", "low", "high")], F.round("z", 4).alias("z"))
