@@ -46,7 +46,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     z, shift = x + 8, np.log(x)
     for k in range(1, 8):
         shift = shift + np.log(x + k)
-    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - shift
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7) + 1 / (1188 * z**9) - shift
 
 
 def digamma(x: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.operators import design, stats
+from plinth.operators import design, residuals, stats
 from plinth.operators.batch import fit_one
 from plinth.plans import fit_sql
 from plinth.plans.registry import query
@@ -125,3 +125,32 @@ def st_15_access_difference(spark: Spark, d: str) -> DataFrame:
     rows = t(spark, d, "lineitem").join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_suppkey", (F.col("l_returnflag") == "R").alias("arm"), F.date_diff("l_shipdate", "o_orderdate").alias("days"))
     got = design.access_difference(rows, "days", F.lit(True), F.col("arm"), "l_suppkey", 30)
     return got.select("n", "n_clusters", *[F.round(c, 6).alias(c) for c in ("access_first", "access_second", "difference", "low", "high")], F.round("z", 4).alias("z"))
+
+
+# residuals -----------------------------------------------------------------------
+
+
+_U = "(CAST('0x' || substr(md5('3|' || l_orderkey || '|' || l_linenumber), 1, 8) AS BIGINT) + 0.5) / 4294967296.0"
+_SUPPLIER_RESIDUALS = f"""l AS (SELECT l_orderkey, l_linenumber, l_quantity AS y, {_U} AS u, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS arm FROM lineitem), lvl AS (SELECT arm, avg(y) AS m FROM l GROUP BY 1),
+p AS (SELECT arm, m, CAST(k AS INTEGER) AS k, exp(k * ln(m) - m - lgamma(k + 1)) AS p FROM lvl, range(0, 120) r(k)), c AS (SELECT arm, m, k, sum(p) OVER (PARTITION BY arm ORDER BY k) AS upto, p FROM p),
+q AS (SELECT l.*, m, upto - p + u * p AS residual FROM l JOIN c ON c.arm = l.arm AND k = y)"""
+
+
+def _quantities(spark: Spark, d: str) -> DataFrame:
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("y"), (F.col("l_returnflag") == "R").cast("int").alias("arm"))
+
+
+@query(f"WITH {_SUPPLIER_RESIDUALS} SELECT l_orderkey, l_linenumber, round(m, 6) AS mu, round(residual, 6) AS residual FROM q")
+def st_20_quantile_residuals(spark: Spark, d: str) -> DataFrame:
+    rows = _quantities(spark, d)
+    got = residuals.quantile_residuals(rows, fit_one(rows, "y", ["arm"], "poisson"), "y", ["l_orderkey", "l_linenumber"], 3)
+    return got.select("l_orderkey", "l_linenumber", F.round("mu", 6).alias("mu"), F.round("residual", 6).alias("residual"))
+
+
+@query(f"""WITH {_SUPPLIER_RESIDUALS}, s AS (SELECT residual AS x, row_number() OVER (ORDER BY residual) AS i, count(*) OVER () AS n FROM q),
+a AS (SELECT sum(pow(y - m, 2) / m) AS pearson, count(*) AS n, count(*) FILTER (y = 0) AS z, sum(exp(-m)) AS e, sum(2 + 1 / m) AS v FROM q)
+SELECT 'uniformity' AS test, round(max(greatest(abs(i / n - x), abs(x - (i - 1) / n))), 6) AS statistic, max(n) AS n FROM s UNION ALL SELECT 'dispersion', round(pearson / (n - 2), 6), n FROM a UNION ALL SELECT 'zeros', round(z / e, 6), n FROM a""")
+def st_20_residual_tests(spark: Spark, d: str) -> DataFrame:
+    rows = _quantities(spark, d)
+    got = residuals.residual_tests(rows, fit_one(rows, "y", ["arm"], "poisson"), "y", ["l_orderkey", "l_linenumber"], 3)
+    return got.select("test", F.round("statistic", 6).alias("statistic"), "n")
