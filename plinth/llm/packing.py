@@ -8,12 +8,12 @@ not is cut where the window ends, and its rest is the next seed. Where no unused
 neighbour shares a term with the seed, the next unused tail follows. So windows
 are full; what is left of a shard at the end is cut into powers of two.
 
-The index is sharded: tails with the same weightiest term (tf * idf, statistics
-over all tails) go together, terms with few tokens share a shard of about
-`shard_tokens` and terms with more are dealt by a hash over several, so a group
-of near copies is never one task. A shard is indexed and packed in one task of
-bounded size; index terms are token ids, so statistics are one row for each id
-of the vocabulary at most.
+The index is sharded: tails with the same weightiest term go together, terms
+with few tokens share a shard of about `shard_tokens` and terms with more are
+dealt by a hash over several, so a group of near copies is never one task. A
+shard is indexed and packed in one task of bounded size, with the statistics of
+all tails; index terms are token ids, so these are one row for each id of the
+vocabulary at most.
 
 Texts are encoded in stretches cut at blanks, line ends and tabs, which the
 tokenizer drops, so memory is bounded for texts of any length (but for one word
@@ -24,8 +24,10 @@ empty result. Columns other than id and text are not carried.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -39,13 +41,77 @@ from pyspark.sql import types as T
 from plinth.llm.common import write_table
 
 #: Characters of a text that are split into words at a time, and words kept with their ids.
-STRETCH, KNOWN_WORDS = 1 << 18, 400_000
+STRETCH, KNOWN_WORDS = 1 << 18, 600_000
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
 #: Sequences that one window can be cut into are told apart by this factor.
 SPLITS = 64
 
-WORD, BLANK = re.compile(r"[^ \t\n\r]+"), re.compile(r"[ \t\n\r]")
+BLANK, WORD = re.compile(r"[ \t\n\r]"), re.compile(r"[^ \t\n\r]+")
+#: Separators that str.split() takes for blanks and tokenizers do not.
+CONTROL = re.compile("[\x1c-\x1f]")
+
+#: Letters that have one lower-case letter each and that normalisation leaves alone.
+_L = "A-Za-zÀ-ÖØ-öø-įı-ſ"
+#: What needs the whole tokenizer: other characters (marks join with letters before them) and starts of special tokens.
+ODD = re.compile(f"[^\x00-\x1b -~{_L}]|<\\|")
+#: Contractions, runs of letters, digits and runs of signs, as a `folds` tokenizer cuts plain text.
+SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[0-9]|[^\\s{_L}0-9]+")
+
+
+class Runs(dict):
+    """Ids (as bytes) of lower-case runs, from the tokenizer's model when first asked for."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        from tokenizers import pre_tokenizers
+
+        self.model, self.spelt = tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+
+    def __missing__(self, run: str) -> bytes:
+        signs = run if run.isascii() and run.isprintable() else self.spelt(run)[0][0]
+        ids = [t.id for t in self.model.tokenize(signs)]
+        self[run] = found = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+
+class Words(dict):
+    """Ids (as bytes) of words between blanks; plain words by their runs where the tokenizer folds them, others whole."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.runs = tokenizer, Runs(tokenizer) if folds(tokenizer) else None
+
+    def plain(self, text: str) -> bool:
+        return self.runs is not None and not ODD.search(text)
+
+    def by_runs(self, text: str) -> bytes:
+        return b"".join(map(self.runs.__getitem__, SPLIT.findall(text.lower())))
+
+    def __missing__(self, word: str) -> bytes:
+        if self.plain(word):
+            found = self.by_runs(word)
+        else:
+            found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = found
+        return found
+
+    def forget(self) -> None:
+        """Bounds what is kept."""
+        for held in (self, self.runs):
+            if held is not None and len(held) > KNOWN_WORDS:
+                held.clear()
+
+
+def folds(tokenizer) -> bool:
+    """Whether a tokenizer composes, lower-cases and then splits contractions, letters, digits and signs into byte-level words."""
+    parts = json.loads(tokenizer.to_str())
+    split = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+    steps = [n["type"] for n in (parts["normalizer"] or {}).get("normalizers", [])]
+    cuts = (parts["pre_tokenizer"] or {}).get("pretokenizers", [])
+    special = all(t["content"].startswith("<") for t in parts["added_tokens"])
+    by = [c.get("pattern", {}).get("Regex") for c in cuts]
+    return special and steps == ["NFC", "Replace", "Lowercase"] and [c["type"] for c in cuts] == ["Split", "ByteLevel"] and by[0] == split and not cuts[1]["use_regex"]
 
 
 @lru_cache(maxsize=2)
@@ -54,76 +120,92 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer, known = Tokenizer.from_file(path), {}
+    words = Words(Tokenizer.from_file(path))
 
     def encode(text: str) -> np.ndarray:
         parts, at = [], 0
         while at < len(text):
             end = BLANK.search(text, at + STRETCH)
             end = end.start() if end else len(text)
-            words = WORD.findall(text, at, end)
-            new = list({w for w in words if w not in known})
-            if new:
-                if len(known) + len(new) > KNOWN_WORDS:
-                    known.clear()
-                    new = list(set(words))
-                for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-            parts.append(b"".join(map(known.__getitem__, words)))
+            stretch = text[at:end]
+            if words.plain(stretch):
+                parts.append(words.by_runs(stretch))
+            else:
+                parts.append(b"".join(map(words.__getitem__, WORD.findall(stretch) if CONTROL.search(stretch) else stretch.split())))
+            words.forget()
             at = end
         return np.frombuffer(b"".join(parts), "<u4")
 
     return encode
 
 
+def topic(terms: np.ndarray, counts: np.ndarray, end_id: int) -> int:
+    """The term that weighs most in a tail, -1 without any: its count times the logarithm of its id, as ids of merged vocabularies rise with rarity."""
+    weight = np.where(terms == end_id, 0.0, counts * np.log1p(terms))
+    return int(terms[np.argmax(weight)]) if len(terms) and weight.max() > 0 else -1
+
+
+_PIECE = pa.schema([("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("at", pa.int64()), ("topic", pa.int64()), ("held", pa.binary())])
+
+
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Windows and tails of all documents: id, start, length, doc_tokens, ids (little-endian uint32) and `at`, unique."""
+    """Windows and tails of all documents: id, start, length, doc_tokens, ids (little-endian uint32), `at`, unique, and a tail's topic.
+
+    The last row of each partition is no piece: `held` has the terms of its tails (uint32) and then their numbers of tails (uint64).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, at = encoder(tokenizer), TaskContext.get().partitionId() << 33
-        end = np.array([end_id], "<u4")
-        names = ["_id", "start", "length", "doc_tokens", "ids", "at"]
+        end, tails = np.array([end_id], "<u4"), np.zeros(1 << 16, np.int64)
+        kind = None
+
+        def rows(found: list[list], owners: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([owners, *[pa.array(c, f.type) for c, f in zip(found, _PIECE)]], names=["_id", *_PIECE.names])
+
         for batch in batches:
-            found: list[list] = [[] for _ in names]
+            kind = batch["_id"].type
+            found: list[list] = [[] for _ in range(8)]
             held = 0
             for k in range(batch.num_rows):
                 ids = np.concatenate([encode(batch["_text"][k].as_py() or ""), end])
                 for start in range(0, len(ids), window):
-                    piece = ids[start : start + window]
-                    for column, value in zip(found, (k, start, len(piece), len(ids), piece.tobytes(), at)):
+                    piece, about = ids[start : start + window], None
+                    if len(piece) < window:
+                        terms, counts = np.unique(piece, return_counts=True)
+                        if terms[-1] >= len(tails):
+                            tails = np.concatenate([tails, np.zeros(int(terms[-1]) + 1, np.int64)])
+                        tails[terms] += 1
+                        about = topic(terms, counts, end_id)
+                    for column, value in zip(found, (start, len(piece), len(ids), piece.tobytes(), at, about, None, k)):
                         column.append(value)
                     at += 1
                     held += len(piece)
                     if held > 1 << 20:
-                        yield pa.RecordBatch.from_arrays([batch["_id"].take(pa.array(found[0])), *map(pa.array, found[1:])], names=names)
-                        found, held = [[] for _ in names], 0
+                        yield rows(found, batch["_id"].take(pa.array(found[7])))
+                        found, held = [[] for _ in range(8)], 0
             if found[0]:
-                yield pa.RecordBatch.from_arrays([batch["_id"].take(pa.array(found[0])), *map(pa.array, found[1:])], names=names)
+                yield rows(found, batch["_id"].take(pa.array(found[7])))
+        terms = np.flatnonzero(tails)
+        if len(terms):
+            sums = terms.astype("<u4").tobytes() + tails[terms].astype("<u8").tobytes()
+            yield rows([[None]] * 6 + [[sums]], pa.nulls(1, kind))
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    longs = [T.StructField(n, T.LongType()) for n in ("start", "length", "doc_tokens")]
-    return rows.mapInArrow(run, T.StructType([rows.schema["_id"], *longs, T.StructField("ids", T.BinaryType()), T.StructField("at", T.LongType())]))
-
-
-def _ids(batch: pa.RecordBatch | pa.Table) -> list[np.ndarray]:
-    return [np.frombuffer(v, "<u4") for v in batch["ids"].to_pylist()]
+    kinds = [("start", T.LongType()), ("length", T.LongType()), ("doc_tokens", T.LongType()), ("ids", T.BinaryType()), ("at", T.LongType()), ("topic", T.LongType()), ("held", T.BinaryType())]
+    owner = T.StructField("_id", rows.schema["_id"].dataType)
+    return rows.mapInArrow(run, T.StructType([owner, *[T.StructField(n, k) for n, k in kinds]]))
 
 
-def document_frequencies(tails: DataFrame) -> DataFrame:
-    """term, n: tails that hold a term; tasks add up their own tails first."""
+def document_frequencies(written: DataFrame) -> DataFrame:
+    """term, n: tails that hold a term, from the sums of each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << 10, np.int64)
         for batch in batches:
-            for ids in _ids(batch):
-                terms = np.unique(ids)
-                if len(terms) and terms[-1] >= len(counts):
-                    counts = np.concatenate([counts, np.zeros(int(terms[-1]) + 1, np.int64)])
-                counts[terms] += 1
-        found = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], names=["term", "n"])
+            for sums in batch["held"].to_pylist():
+                n = len(sums) // 12
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(sums, "<u4", n).astype(np.int64)), pa.array(np.frombuffer(sums, "<u8", n, 4 * n).astype(np.int64))], names=["term", "n"])
 
-    return tails.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return written.where("held is not null").select("held").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def weights_of(frequencies: dict[int, int], n: int) -> np.ndarray:
@@ -135,22 +217,6 @@ def weights_of(frequencies: dict[int, int], n: int) -> np.ndarray:
     return out
 
 
-def with_topic(tails: DataFrame, idf: np.ndarray, end_id: int) -> DataFrame:
-    """`tails` plus topic: the term with the largest tf * idf (ties: the smallest id), -1 without terms."""
-    shared = tails.sparkSession.sparkContext.broadcast(idf)  # one double for each id of the vocabulary
-
-    def topic(ids: np.ndarray) -> int:
-        terms, tf = np.unique(ids[ids != end_id], return_counts=True)
-        return int(terms[np.argmax(tf * shared.value[terms])]) if len(terms) else -1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            topics = pa.array([topic(ids) for ids in _ids(batch)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, topics], names=[*batch.schema.names, "topic"])
-
-    return tails.mapInArrow(run, T.StructType([*tails.schema.fields, T.StructField("topic", T.LongType())]))
-
-
 def shards_of(tokens: dict[int, int], most: int) -> list[tuple[int, int, int]]:
     """(topic, first shard, shards): topics in order share a shard up to `most` tokens, larger ones get several."""
     out, shard, held = [], 0, 0
@@ -170,26 +236,20 @@ class Index:
     """BM25 postings of a shard's tails, by term, with their whole weights."""
 
     def __init__(self, tails: list[np.ndarray], idf: np.ndarray, mean: float, end_id: int):
-        self.terms: list[np.ndarray] = []
-        lengths = np.array([len(t) for t in tails], float)
-        at, term, tf = [], [], []
-        for k, ids in enumerate(tails):
-            own, counts = np.unique(ids[ids != end_id], return_counts=True)
-            self.terms.append(own)
-            at.append(np.full(len(own), k))
-            term.append(own)
-            tf.append(counts)
-        doc, terms, counts = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, term, tf))
-        weight = idf[terms] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[doc] / mean))
-        order = np.argsort(terms, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
-        self.known, first = np.unique(terms[order], return_index=True)
-        self.bounds = np.append(first, len(order))
-        self.n = len(tails)
+        self.n, lengths = len(tails), np.array([len(t) for t in tails], np.int64)
+        ids = np.concatenate(tails).astype(np.int64) if tails else np.zeros(0, np.int64)
+        docs = np.repeat(np.arange(self.n), lengths)[ids != end_id]
+        pairs, counts = np.unique(ids[ids != end_id] * max(self.n, 1) + docs, return_counts=True)
+        terms, self.doc = np.divmod(pairs, max(self.n, 1))
+        self.weight = idf[terms] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[self.doc] / mean))
+        _, first, row = np.unique(terms, return_index=True, return_inverse=True)
+        self.bounds = np.append(first, len(terms))
+        by_doc = np.argsort(self.doc, kind="stable")
+        self.rows, self.ends = row[by_doc], np.searchsorted(self.doc[by_doc], np.arange(self.n + 1))
 
     def scores(self, k: int) -> np.ndarray:
         """BM25 of all tails for the terms of tail k."""
-        rows = np.searchsorted(self.known, self.terms[k])
+        rows = self.rows[self.ends[k] : self.ends[k + 1]]
         starts, sizes = self.bounds[rows], self.bounds[rows + 1] - self.bounds[rows]
         ends = np.cumsum(sizes)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
@@ -281,7 +341,7 @@ def _packed(tails: DataFrame, idf: np.ndarray, mean: float, end_id: int, window:
 
     def run(shard: pa.Table) -> pa.Table:
         shard = shard.take(np.argsort(shard["at"].to_numpy(), kind="stable"))
-        ids = _ids(shard)
+        ids = [np.frombuffer(v, "<u4") for v in shard["ids"].to_pylist()]
         index = Index(ids, shared.value, mean, end_id)
         sequences = fill([len(i) for i in ids], index.scores, window)
         if sequences and sum(p[2] for p in sequences[-1]) < window:
@@ -312,15 +372,14 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, s
     """
     written, _ = write_table(pieces(docs, tokenizer, end_id, window, id_col, text_col), "tokens")
     whole = written.where(F.col("length") == window)
-    tails = written.where(F.col("length") < window)
+    tails = written.where(F.col("length") < window).drop("held")
     n, total = tails.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-    frequencies = {r["term"]: r["n"] for r in document_frequencies(tails).collect()}  # one row for each id of the vocabulary at most
+    frequencies = {r["term"]: r["n"] for r in document_frequencies(written).collect()}  # one row for each id of the vocabulary at most
     idf = weights_of(frequencies, n)
-    topical = with_topic(tails, idf, end_id)
-    sums = topical.groupBy("topic").agg(F.sum("length").alias("n")).collect()  # likewise
+    sums = tails.groupBy("topic").agg(F.sum("length").alias("n")).collect()  # likewise, and one for none
     plan = shards_of({r["topic"]: r["n"] for r in sums}, shard_tokens)
     places = docs.sparkSession.createDataFrame(plan, "topic long, first long, parts long")
-    dealt = topical.join(F.broadcast(places), "topic").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("at"), F.col("parts")))
+    dealt = tails.join(F.broadcast(places), "topic").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("at"), F.col("parts")))
     packed = _packed(dealt.drop("topic", "first", "parts"), idf, total / n if n else 1.0, end_id, window)
     alone = whole.select("_id", "start", "length", "doc_tokens", (F.col("at") * SPLITS).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "ids")
     return alone.unionByName(packed).withColumnRenamed("_id", id_col)
