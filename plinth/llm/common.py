@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -121,6 +122,16 @@ def told_apart(df: DataFrame, id_col: str, name: str) -> tuple[DataFrame, bool]:
     return with_row_keys(df, name), False
 
 
+def aside(df: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """`df` with all columns but the needed ones under private names, so that no name of an operator's own meets them, and the way back."""
+    hidden = {c: c if c in needed else f"_carried_{i}" for i, c in enumerate(df.columns)}
+
+    def back(out: DataFrame) -> DataFrame:
+        return out.select(*[F.col(h).alias(c) for c, h in hidden.items()])
+
+    return df.select(*[F.col(f"`{c}`").alias(h) for c, h in hidden.items()]), back
+
+
 def with_fields(df: DataFrame, **added: T.DataType) -> T.StructType:
     """Schema of `df` plus fields."""
     return T.StructType([*df.schema.fields, *[T.StructField(k, v) for k, v in added.items()]])

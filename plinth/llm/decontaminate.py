@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plinth.llm.common import cut, if_small, told_apart
+from plinth.llm.common import aside, cut, if_small, told_apart
 
 WIDTH = 5
 #: Number words and units of measure.
@@ -193,9 +193,10 @@ def _holders(rows: DataFrame, items: DataFrame, threshold: float, broadcast_wind
 def clean(
     docs: DataFrame, items: DataFrame, threshold: float = 0.8, broadcast_windows: int = 1_000_000, broadcast_ids: int = 500_000, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
-    """The rows of `docs` that hold no item; where ids are null or repeated, each row is judged by itself."""
-    rows, _ = told_apart(docs, id_col, "_row")
+    """The rows of `docs` that hold no item, with their columns, whatever their names; where ids are null or repeated, each row is judged by itself."""
+    rows, back = aside(docs, id_col, text_col)
+    rows, _ = told_apart(rows, id_col, "_row")
     known, _ = told_apart(items.select(F.col(item_id_col).alias("_own_item"), F.col(item_text_col).alias("_item_text")), "_own_item", "_item")
     found = _holders(rows.select(F.col("_row").alias("doc_id"), F.col(text_col).alias("_text")), known.select(F.col("_item").alias("item_id"), "_item_text"), threshold, broadcast_windows, broadcast_ids)
     gone = if_small(found.select(F.col("doc_id").alias("_row")).distinct(), broadcast_ids)
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    return back(rows.join(gone, "_row", "left_anti"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import cut, ids_tell_rows, if_small, told_apart, with_row_keys
+from plinth.llm.common import aside, cut, ids_tell_rows, if_small, told_apart, with_row_keys
 from plinth.llm.components import components
 from plinth.llm.shingles import mix, shingle_sets
 
@@ -210,15 +210,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
 
 
 def distinct_documents(docs: DataFrame, **options: int) -> DataFrame:
-    """The rows of `docs` that are kept, with their columns.
+    """The rows of `docs` that are kept, with their columns, whatever their names.
 
     One of equal rows stays. If ids are null or repeated, each other row is a
     document of its own, and the least id that is not null stands for a group.
     """
-    key, rows = "doc_id", docs
+    key, (rows, back) = "doc_id", aside(docs, "doc_id", "text")
     if not ids_tell_rows(docs, key):
         key, parts = "_row", int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        order = [F.col("doc_id").asc_nulls_last(), F.xxhash64(*docs.columns)]
-        rows = with_row_keys(docs.distinct().repartitionByRange(parts, *order).sortWithinPartitions(*order), key)
+        order = [F.col("doc_id").asc_nulls_last(), F.xxhash64(*rows.columns)]
+        rows = with_row_keys(rows.distinct().repartitionByRange(parts, *order).sortWithinPartitions(*order), key)
     gone = near_duplicates(rows, id_col=key, unique_ids=True, **options).where("not kept").select(F.col("doc_id").alias(key)).distinct()
-    return rows.join(if_small(gone, options.get("broadcast_ids", 500_000)), key, "left_anti").select(*docs.columns)
+    return back(rows.join(if_small(gone, options.get("broadcast_ids", 500_000)), key, "left_anti"))

@@ -33,6 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,10 +54,10 @@ CONTROL = re.compile("[\x1c-\x1f]")
 
 #: Letters that have one lower-case letter each and that normalisation leaves alone.
 _L = "A-Za-zÀ-ÖØ-öø-įı-ſ"
-#: What needs the whole tokenizer: other characters (marks join with letters before them) and starts of special tokens.
-ODD = re.compile(f"[^\x00-\x1b -~{_L}]|<\\|")
-#: Contractions, runs of letters, digits and runs of signs, as a `folds` tokenizer cuts plain text.
-SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[0-9]|[^\\s{_L}0-9]+")
+#: Other characters need the whole tokenizer (marks join with letters before them), as do special tokens.
+ODD, SPECIAL = re.compile(f"[^\x00-\x1b -~{_L}]"), "<|"
+#: What a `folds` tokenizer cuts from runs of letters in plain text: contractions, digits and runs of signs.
+SIGNS = f"'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\\t-\\r {_L}0-9]+"
 
 
 class Runs(dict):
@@ -76,32 +77,16 @@ class Runs(dict):
 
 
 class Words(dict):
-    """Ids (as bytes) of words between blanks; plain words by their runs where the tokenizer folds them, others whole."""
+    """Ids (as bytes) of words between blanks that need the whole tokenizer."""
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer, self.runs = tokenizer, Runs(tokenizer) if folds(tokenizer) else None
-
-    def plain(self, text: str) -> bool:
-        return self.runs is not None and not ODD.search(text)
-
-    def by_runs(self, text: str) -> bytes:
-        return b"".join(map(self.runs.__getitem__, SPLIT.findall(text.lower())))
+        self.tokenizer = tokenizer
 
     def __missing__(self, word: str) -> bytes:
-        if self.plain(word):
-            found = self.by_runs(word)
-        else:
-            found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = found
+        self[word] = found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         return found
 
-    def forget(self) -> None:
-        """Bounds what is kept."""
-        for held in (self, self.runs):
-            if held is not None and len(held) > KNOWN_WORDS:
-                held.clear()
-
 
 def folds(tokenizer) -> bool:
     """Whether a tokenizer composes, lower-cases and then splits contractions, letters, digits and signs into byte-level words."""
@@ -109,34 +94,82 @@ def folds(tokenizer) -> bool:
     split = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
     steps = [n["type"] for n in (parts["normalizer"] or {}).get("normalizers", [])]
     cuts = (parts["pre_tokenizer"] or {}).get("pretokenizers", [])
-    special = all(t["content"].startswith("<") for t in parts["added_tokens"])
+    special = all(t["content"].startswith("<|") for t in parts["added_tokens"])
     by = [c.get("pattern", {}).get("Regex") for c in cuts]
     return special and steps == ["NFC", "Replace", "Lowercase"] and [c["type"] for c in cuts] == ["Split", "ByteLevel"] and by[0] == split and not cuts[1]["use_regex"]
 
 
+class Encoder:
+    """Texts to ids (uint32) by a tokenizers file whose ids do not hang on what stands across a blank.
+
+    Where the tokenizer folds, plain stretches are lower-cased, cut and numbered by Arrow kernels, so that Python sees
+    each different run of a batch once. Words of other stretches (and of other tokenizers) go to the tokenizer, once each.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        self.words, self.runs = Words(tokenizer), Runs(tokenizer) if folds(tokenizer) else None
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        stretches, owners, odd = [], [], []
+        parts: list[list[np.ndarray]] = [[] for _ in texts]
+        for k, text in enumerate(texts):
+            at = 0
+            while at < len(text):
+                end = BLANK.search(text, at + STRETCH) if at + STRETCH < len(text) else None
+                end = end.start() if end else len(text)
+                stretch = text[at:end]
+                odd.append(self.runs is None or SPECIAL in stretch or ODD.search(stretch) is not None)
+                stretches.append(stretch)
+                owners.append(k)
+                at = end
+        plain = iter(self.by_runs([s for s, o in zip(stretches, odd) if not o]))
+        for stretch, k, o in zip(stretches, owners, odd):
+            parts[k].append(self.by_words(stretch) if o else next(plain))
+        for held in (self.words, self.runs):
+            if held is not None and len(held) > KNOWN_WORDS:
+                held.clear()
+        return [p[0] if len(p) == 1 else np.concatenate(p) if p else np.zeros(0, "<u4") for p in parts]
+
+    def by_words(self, stretch: str) -> np.ndarray:
+        words = WORD.findall(stretch) if CONTROL.search(stretch) else stretch.split()
+        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u4")
+
+    def by_runs(self, stretches: list[str]) -> list[np.ndarray]:
+        if not stretches:
+            return []
+        apart = pc.replace_substring_regex(pc.utf8_lower(pa.array(stretches, pa.large_string())), SIGNS, " \\0 ")
+        lists = pc.utf8_split_whitespace(apart)
+        numbered = lists.flatten().dictionary_encode()
+        found = [self.runs[run] if run else b"" for run in numbered.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(found), "<u4")
+        at = numbered.indices.to_numpy()
+        ends = np.cumsum(sizes[at])
+        out = ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - (ends - sizes[at]), sizes[at])]
+        bounds = np.append(0, ends)[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return [out[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+
+
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Callable[[str], np.ndarray]:
-    """Text to ids (uint32) by a tokenizers file whose ids do not hang on what stands across a blank."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    words = Words(Tokenizer.from_file(path))
-
-    def encode(text: str) -> np.ndarray:
-        parts, at = [], 0
-        while at < len(text):
-            end = BLANK.search(text, at + STRETCH)
-            end = end.start() if end else len(text)
-            stretch = text[at:end]
-            if words.plain(stretch):
-                parts.append(words.by_runs(stretch))
-            else:
-                parts.append(b"".join(map(words.__getitem__, WORD.findall(stretch) if CONTROL.search(stretch) else stretch.split())))
-            words.forget()
-            at = end
-        return np.frombuffer(b"".join(parts), "<u4")
-
-    return encode
+def encoder(path: str) -> Encoder:
+    """The encoder of a worker, which keeps the runs and words it has seen."""
+    return Encoder(path)
+
+
+def in_batches(texts: pa.Array, encode: Encoder, most: int = 1 << 22) -> Iterator[np.ndarray]:
+    """Ids of each text; texts are encoded together up to about `most` characters."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text.as_py() or "")
+        size += len(held[-1])
+        if size > most:
+            yield from encode(held)
+            held, size = [], 0
+    yield from encode(held)
 
 
 def topic(terms: np.ndarray, counts: np.ndarray, end_id: int) -> int:
@@ -166,8 +199,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int, id_col: st
             kind = batch["_id"].type
             found: list[list] = [[] for _ in range(8)]
             held = 0
-            for k in range(batch.num_rows):
-                ids = np.concatenate([encode(batch["_text"][k].as_py() or ""), end])
+            for k, ids in enumerate(in_batches(batch["_text"], encode)):
+                ids = np.concatenate([ids, end])
                 for start in range(0, len(ids), window):
                     piece, about = ids[start : start + window], None
                     if len(piece) < window:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from plinth.llm.common import chunks, text_bytes, with_fields
+from plinth.llm.common import aside, chunks, text_bytes, with_fields
 from plinth.llm.shingles import _CODE, mix, word_hashes
 
 BITS = 18
@@ -171,5 +171,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **options: int) -> DataFrame:
-    """The rows of `docs` that the classifier accepts, with their columns."""
-    return score(docs, fit(docs, labels, **options)).where("predicted = 1").select(*docs.columns)
+    """The rows of `docs` that the classifier accepts, with their columns, whatever their names."""
+    rows, back = aside(docs, "doc_id", "text")
+    return back(score(rows, fit(rows, labels, **options)).where("predicted = 1"))

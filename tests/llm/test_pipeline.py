@@ -120,4 +120,34 @@ def test_empty_tables(spark, tmp_path):
 
 def test_one_query_for_each_operator():
     names = list(queries.queries())
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
+
+
+CLASHING = ["score", "predicted", "mix_block", "mix_slot", "mix_position", "in_mix", "_row", "_key", "_id", "_text", "_own", "_source", "component_id", "kept", "n_shingles", "_rank", "_carried_0", "doc_id_", "hash", "size", "shard", "slot", "a.b"]
+
+
+def test_columns_of_any_name_come_back(spark, tmp_path):
+    rng = random.Random(11)
+    words = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("ako", "emi", "oru", "uta")]
+    texts = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(60)]
+    rows = [(i % 50 if i % 7 else None, t, "en", f"s{i % 2}", 0, *[f"{c}{i}" for c in CLASHING]) for i, t in enumerate(texts)]
+    rows += [rows[3], (*rows[4][:-1], "other"), (70, "x" * 200_000 + " end", "en", None, 1, *["long"] * len(CLASHING)), (71, "", None, None, None, *["empty"] * len(CLASHING))]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
+    docs = spark.createDataFrame(rows, kind)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, "nothing of the kind stands anywhere in these texts at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path)).checkpoint()
+        assert kept.schema.names == docs.schema.names, name
+        assert {tuple(r) for r in kept.collect()} <= set(rows), name
+    assert len(kept.collect()) == len(set(rows)) - 1  # one of equal rows and one of the two near copies stay
+    out = corpus_pipeline.shard_stage(spark, kept, str(tmp_path))
+    assert out.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"] and out.count() == kept.count()
+    assert stage_of_nothing(spark, docs.where("false"), str(tmp_path)) == []
+
+
+def stage_of_nothing(spark, docs, folder):
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, folder)
+    return docs.collect()
