@@ -6,9 +6,18 @@
 4. mix: rows are put in the order of a Pfair mixture of their sources;
 5. shard: every row gets its shard, and its slot there by the order of the mixture.
 
-All stages but the last return the columns of `documents`. As Spark does not
-keep the order of files that it reads, the last stage finds the positions of
-the mixture again: they hang on ids, sources and texts only.
+All stages but the last return the columns of `documents`, whatever further
+ones there are and however they are named. As Spark does not keep the order of
+files that it reads, the last stage finds the positions of the mixture again:
+they hang on ids, sources and texts only.
+
+Null and empty texts are scored like others, are no near duplicates and hold no
+benchmark item; a null source is a source of its own. Of equal rows one stays;
+other rows of a null or repeated id are documents of their own. Texts of any
+length are read whole. Ties are broken by ids and hashes of texts. An empty
+table gives an empty result. A stage's table is deleted when the next one is
+written; the last one's stays below the checkpoint folder, as run()'s rows are
+read from it.
 """
 
 from __future__ import annotations
@@ -19,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.llm import decontaminate, mixing, neardup, quality, sharding
-from plinth.llm.common import table, write_and_read
+from plinth.llm.common import aside, remove_table, table, write_and_read, write_table  # noqa: F401  tests use write_and_read
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -43,9 +52,10 @@ def mixed(docs: DataFrame, weights: dict[str, float], text_hash: Column) -> Data
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = mixed(docs, mixing.tempered(docs, power=0.7), F.xxhash64("text"))
+    hidden, back = aside(docs, "doc_id", "text", "source")
+    rows = mixed(hidden, mixing.tempered(docs, power=0.7), F.xxhash64("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(parts, "mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
+    return back(rows.repartitionByRange(parts, "mix_position").sortWithinPartitions("mix_position"))
 
 
 def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +79,10 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each stage's rows are written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = write_and_read(stage(spark, docs, sf_dir), name)
+        docs, path = write_table(stage(spark, docs, sf_dir), name)
+        if before:
+            remove_table(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
