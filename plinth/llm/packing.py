@@ -38,6 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from plinth.llm.common import write_table
 
@@ -67,10 +68,12 @@ class Runs(dict):
         super().__init__()
         from tokenizers import pre_tokenizers
 
-        self.model, self.spelt = tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.model, spelt = tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        # The letter that stands for each byte of plain text, in whole words of one and two bytes.
+        self.letters = {b: z for c in (*range(0x80), *range(0xC0, 0x180)) for b, z in zip(chr(c).encode(), spelt(chr(c))[0][0])}
 
     def __missing__(self, run: str) -> bytes:
-        signs = run if run.isascii() and run.isprintable() else self.spelt(run)[0][0]
+        signs = run if run.isascii() and run.isprintable() else run.encode().decode("latin-1").translate(self.letters)
         ids = [t.id for t in self.model.tokenize(signs)]
         self[run] = found = struct.pack(f"<{len(ids)}I", *ids)
         return found
@@ -142,7 +145,7 @@ class Encoder:
         if not stretches:
             return []
         apart = pc.replace_substring_regex(pc.utf8_lower(pa.array(stretches, pa.large_string())), SIGNS, " \\0 ")
-        lists = pc.utf8_split_whitespace(apart)
+        lists = pc.ascii_split_whitespace(apart)
         numbered = lists.flatten().dictionary_encode()
         found = [self.runs[run] if run else b"" for run in numbered.dictionary.to_pylist()]
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
@@ -160,16 +163,18 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def in_batches(texts: pa.Array, encode: Encoder, most: int = 1 << 22) -> Iterator[np.ndarray]:
-    """Ids of each text; texts are encoded together up to about `most` characters."""
-    held, size = [], 0
-    for text in texts:
-        held.append(text.as_py() or "")
-        size += len(held[-1])
-        if size > most:
-            yield from encode(held)
-            held, size = [], 0
-    yield from encode(held)
+def in_batches(batches: Iterator[pa.RecordBatch], encode: Encoder, most: int = 1 << 23) -> Iterator[tuple[pa.Scalar, np.ndarray]]:
+    """Owner and ids of each text; texts are encoded together up to about `most` characters."""
+    owners, held, size = [], [], 0
+    for batch in batches:
+        for owner, text in zip(batch["_id"], batch["_text"]):
+            owners.append(owner)
+            held.append(text.as_py() or "")
+            size += len(held[-1])
+            if size > most:
+                yield from zip(owners, encode(held))
+                owners, held, size = [], [], 0
+    yield from zip(owners, encode(held))
 
 
 def topic(terms: np.ndarray, counts: np.ndarray, end_id: int) -> int:
@@ -190,40 +195,39 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int, id_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, at = encoder(tokenizer), TaskContext.get().partitionId() << 33
         end, tails = np.array([end_id], "<u4"), np.zeros(1 << 16, np.int64)
-        kind = None
-
-        def rows(found: list[list], owners: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([owners, *[pa.array(c, f.type) for c, f in zip(found, _PIECE)]], names=["_id", *_PIECE.names])
-
-        for batch in batches:
-            kind = batch["_id"].type
-            found: list[list] = [[] for _ in range(8)]
-            held = 0
-            for k, ids in enumerate(in_batches(batch["_text"], encode)):
-                ids = np.concatenate([ids, end])
-                for start in range(0, len(ids), window):
-                    piece, about = ids[start : start + window], None
-                    if len(piece) < window:
-                        terms, counts = np.unique(piece, return_counts=True)
-                        if terms[-1] >= len(tails):
-                            tails = np.concatenate([tails, np.zeros(int(terms[-1]) + 1, np.int64)])
-                        tails[terms] += 1
-                        about = topic(terms, counts, end_id)
-                    for column, value in zip(found, (start, len(piece), len(ids), piece.tobytes(), at, about, None, k)):
-                        column.append(value)
-                    at += 1
-                    held += len(piece)
-                    if held > 1 << 20:
-                        yield rows(found, batch["_id"].take(pa.array(found[7])))
-                        found, held = [[] for _ in range(8)], 0
-            if found[0]:
-                yield rows(found, batch["_id"].take(pa.array(found[7])))
+        found: list[list] = [[] for _ in range(8)]
+        held = 0
+
+        def rows(found: list[list]) -> pa.RecordBatch:
+            arrays = [pa.array(c, f.type) for c, f in zip(found, [pa.field("_id", kind), *_PIECE])]
+            return pa.RecordBatch.from_arrays(arrays, names=["_id", *_PIECE.names])
+
+        for owner, ids in in_batches(batches, encode):
+            ids = np.concatenate([ids, end])
+            for start in range(0, len(ids), window):
+                piece, about = ids[start : start + window], None
+                if len(piece) < window:
+                    terms, counts = np.unique(piece, return_counts=True)
+                    if terms[-1] >= len(tails):
+                        tails = np.concatenate([tails, np.zeros(int(terms[-1]) + 1, np.int64)])
+                    tails[terms] += 1
+                    about = topic(terms, counts, end_id)
+                for column, value in zip(found, (owner, start, len(piece), len(ids), piece.tobytes(), at, about, None)):
+                    column.append(value)
+                at += 1
+                held += len(piece)
+                if held > 1 << 20:
+                    yield rows(found)
+                    found, held = [[] for _ in range(8)], 0
+        if found[0]:
+            yield rows(found)
         terms = np.flatnonzero(tails)
         if len(terms):
             sums = terms.astype("<u4").tobytes() + tails[terms].astype("<u8").tobytes()
-            yield rows([[None]] * 6 + [[sums]], pa.nulls(1, kind))
+            yield rows([[None]] * 7 + [[sums]])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    kind = to_arrow_type(rows.schema["_id"].dataType)
     kinds = [("start", T.LongType()), ("length", T.LongType()), ("doc_tokens", T.LongType()), ("ids", T.BinaryType()), ("at", T.LongType()), ("topic", T.LongType()), ("held", T.BinaryType())]
     owner = T.StructField("_id", rows.schema["_id"].dataType)
     return rows.mapInArrow(run, T.StructType([owner, *[T.StructField(n, k) for n, k in kinds]]))
