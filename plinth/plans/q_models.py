@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.operators import design, residuals, stats
+from plinth.operators import crossed, design, residuals, stats
 from plinth.operators.batch import fit_one
 from plinth.plans import fit_sql
 from plinth.plans.registry import query
@@ -154,3 +154,31 @@ def st_20_residual_tests(spark: Spark, d: str) -> DataFrame:
     rows = _quantities(spark, d)
     got = residuals.residual_tests(rows, fit_one(rows, "y", ["arm"], "poisson"), "y", ["l_orderkey", "l_linenumber"], 3)
     return got.select("test", F.round("statistic", 6).alias("statistic"), "n")
+
+
+# two random intercepts -----------------------------------------------------------
+
+
+def _calls(spark: Spark, d: str) -> DataFrame:
+    """Lines in orders of customers: two nested groups."""
+    orders = t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    lines = t(spark, d, "lineitem").select("l_orderkey", (F.col("l_returnflag") == "R").cast("int").alias("arm"), (F.col("l_linestatus") == "O").cast("int").alias("y"), F.col("l_quantity").cast("int").alias("wait"))
+    return lines.join(orders, "l_orderkey")
+
+
+@query()
+def st_04_crossed(spark: Spark, d: str) -> DataFrame:
+    rows = _calls(spark, d)
+    return stats.effects(rows, crossed.fit_crossed(rows, "y", ["arm"], "o_custkey", "l_orderkey"))
+
+
+@query()
+def st_05_crossed(spark: Spark, d: str) -> DataFrame:
+    rows = _calls(spark, d)
+    return stats.effects(rows, crossed.fit_crossed(rows, "wait", ["arm"], "o_custkey", "l_orderkey", "negative_binomial"))
+
+
+@query()
+def st_14_crossed_components(spark: Spark, d: str) -> DataFrame:
+    rows = _calls(spark, d)
+    return crossed.intercept_components(rows, crossed.fit_crossed(rows, "wait", ["arm"], "o_custkey", "l_orderkey", "poisson"), "wait")

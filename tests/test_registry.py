@@ -36,10 +36,13 @@ def test_query_equals_its_sql(spark, duck, name):
 
 
 def test_mixed_models_give_finite_effects(spark):
-    """The queries without SQL: random intercepts, which tests/test_mixed.py holds against direct integration."""
+    """The queries without SQL: random intercepts, which test_mixed.py holds against direct integration and test_crossed.py against dense algebra."""
     names = sorted(set(registry.queries()) - set(registry.oracle_sql()))
-    assert names == ["st_04_binomial_mixed", "st_05_negative_binomial_mixed"]
-    for name in names:
+    effects = ["st_04_binomial_mixed", "st_04_crossed", "st_05_crossed", "st_05_negative_binomial_mixed"]
+    assert names == [*effects, "st_14_crossed_components"]
+    parts = registry.queries()["st_14_crossed_components"](spark, DATA).collect()
+    assert len(parts) == 3 and abs(sum(r.icc for r in parts) - 1) < 1e-9 and all(r.variance >= 0 for r in parts)
+    for name in effects:
         rows = registry.queries()[name](spark, DATA).collect()
         assert len(rows) == 2 and all(0 < r.low <= r.estimate <= r.high < 1e4 and 0 <= r.p_value <= 1 for r in rows)
 
