@@ -58,8 +58,11 @@ class Ordered(StatefulProcessor):
                 n = 1 if n and at // 1000 - last > self.forget_ms else n + 1
                 last = at // 1000
                 numbers.append(n)
-            self.counter.update((n, last))
-            self.handle.registerTimer(last + self.forget_ms)
+            if rest or last + self.forget_ms > passed:
+                self.counter.update((n, last))
+                self.handle.registerTimer(last + self.forget_ms)
+            else:
+                self.counter.clear()
             times = pd.to_datetime([r[0] for r in ready], unit="us")
             yield pd.DataFrame({self.key: [key[0]] * len(ready), "attempt": numbers, self.ts: times, self.tie: [r[1] for r in ready]})
         elif not rows and last + self.forget_ms <= passed:
