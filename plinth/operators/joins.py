@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plinth.operators.ranges import around
 from plinth.sources.io import ContractError
 
 KeyFun = Callable[[Column], Column]
@@ -190,3 +191,32 @@ def fill_where_blank(left: DataFrame, table: DataFrame, key: str, column: str, s
 def window_count(df: DataFrame, keys: Sequence[str], name: str = "n_rows") -> DataFrame:
     """The size of each row's group beside the row."""
     return df.withColumn(name, F.count("*").over(Window.partitionBy(*keys)))
+
+
+def nearest(left: DataFrame, right: DataFrame, block: Sequence[str], left_key: str, left_score: str, right_key: str, right_score: str) -> DataFrame:
+    """`left` plus the key and score of the nearest row of `right` in its block; ties go to the smaller key.
+
+    An as-of join in both directions: rows of both sides are put in one order of block and score, written in ranges,
+    and each row looks at its neighbours; no pair is made, and a block of any size is cut into ranges. Scores of one
+    block that differ by less than rounding may tie either way. Rows with a null score or block, and blocks without a
+    row of `right`, find nothing (null key and score).
+    """
+    b = [f"_b{i}" for i in range(len(block))]
+    names = lambda df: [F.col(f"`{c}`").alias(x) for c, x in zip(block, b)]
+    offered = right.select(*names(right), F.col(right_score).cast("double").alias("_s"), F.col(right_key).alias("_k")).dropna().groupBy(*b, "_s").agg(F.min("_k").alias("_k"))
+    asked = left.select(*names(left), F.col(left_score).cast("double").alias("_s"), F.col(left_key).alias("_l")).dropna()
+    kinds = {f.name: f.dataType for f in [*offered.schema.fields, *asked.schema.fields]}
+    rows = offered.select(*b, "_s", F.lit(0).alias("_side"), F.lit(None).cast(kinds["_l"]).alias("_l"), "_k").unionByName(asked.select(*b, "_s", F.lit(1).alias("_side"), "_l", F.lit(None).cast(kinds["_k"]).alias("_k")))
+    value = F.when(F.col("_side") == 0, F.struct(*b, "_s", "_k"))
+    seen = around(rows, [*b, "_s", "_side", "_l", "_k"], value, "_before", "_after").where("_side = 1")
+
+    def candidate(side: str) -> Column:
+        same = F.lit(True)
+        for c in b:
+            same &= F.col(f"{side}.{c}") == F.col(c)
+        gap = F.abs(F.col("_s") - F.col(f"{side}._s"))
+        return F.when(same, F.struct(gap.alias("gap"), F.col(f"{side}._k").alias("k"), F.col(f"{side}._s").alias("s")))
+
+    found = seen.select("_l", F.array_min(F.array_compact(F.array(candidate("_before"), candidate("_after")))).alias("_near"))
+    near = found.groupBy("_l").agg(F.min("_near").alias("_near")).select(F.col("_l").alias(left_key), F.col("_near.k").alias(right_key), F.col("_near.s").alias(right_score))
+    return left.join(near, left_key, "left")

@@ -57,3 +57,16 @@ def previous(df: DataFrame, order: Sequence[str], value: str, name: str) -> Data
     inside = marked.withColumn("_inside", F.lag(held).over(Window.partitionBy(PART).orderBy(AT)))
     out = inside.join(F.broadcast(edges), PART)
     return out.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce("_inside", "_edge")["v"].alias(name))
+
+
+def around(df: DataFrame, order: Sequence[Column | str], value: Column, before: str, after: str) -> DataFrame:
+    """`df` plus the last value that is not null at or before each row in the (total) order, and the first at or after it."""
+    marked = ranged(df.withColumn("_value", value), order)
+    known = F.when(F.col("_value").isNotNull(), F.col(AT))
+    edges = marked.groupBy(PART).agg(F.max_by("_value", known).alias("_last"), F.min_by("_value", known).alias("_first"))
+    up, down = (Window.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col(PART), F.desc(PART)))  # one row for each range
+    carried = edges.select(PART, F.last("_last", True).over(up).alias("_up"), F.last("_first", True).over(down).alias("_down"))
+    within = [Window.partitionBy(PART).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.col(AT), F.desc(AT))]
+    inside = marked.withColumn(before, F.last("_value", True).over(within[0])).withColumn(after, F.last("_value", True).over(within[1]))
+    out = inside.join(F.broadcast(carried), PART)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(before, "_up").alias(before), F.coalesce(after, "_down").alias(after))

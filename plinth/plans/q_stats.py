@@ -382,8 +382,8 @@ SELECT s_suppkey, c_custkey, round(s_acctbal, 2) AS treated, round(c_acctbal, 2)
 def matched_controls(spark: Spark, d: str) -> DataFrame:
     refused = t(spark, d, "orders").where("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey"))
     c = t(spark, d, "customer").where("c_mktsegment <> 'MACHINERY'").join(refused, "c_custkey", "left_anti")
-    pairs = t(spark, d, "supplier").join(c, F.col("s_nationkey") == F.col("c_nationkey")).select("s_suppkey", "s_acctbal", "c_custkey", "c_acctbal")
-    best = joins.best_candidate(pairs, ["s_suppkey"], F.abs(F.col("s_acctbal") - F.col("c_acctbal")), ["c_custkey"])
+    s = t(spark, d, "supplier").select("s_suppkey", "s_acctbal", F.col("s_nationkey").alias("nation"))
+    best = joins.nearest(s, c.withColumnRenamed("c_nationkey", "nation"), ["nation"], "s_suppkey", "s_acctbal", "c_custkey", "c_acctbal").where("c_custkey is not null")
     return best.select("s_suppkey", "c_custkey", F.round("s_acctbal", 2).alias("treated"), F.round("c_acctbal", 2).alias("control"))
 
 
