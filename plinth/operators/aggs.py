@@ -8,20 +8,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plinth.operators.ranges import sum_before
 from plinth.sources.io import ContractError
 
 
+def medians(df: DataFrame, by: Sequence[str], value: str, name: str = "median") -> DataFrame:
+    """`by` and the exact median of each group, from counts of values summed up over written ranges.
+
+    A group's values are one row for each different one, in ranges of (group, value) that cut a group of any size; the
+    middle rows are those whose counts reach over the middle places. Groups without a known value are left out.
+    """
+    keys = [f"_g{i}" for i in range(len(by))]
+    values = df.where(F.col(value).isNotNull()).select(*[F.col(b).alias(k) for b, k in zip(by, keys)], F.col(value).cast("double").alias("_v"))
+    counts = values.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+    summed = sum_before(counts, [*keys, "_v"], "_n", "_before")
+    groups = summed.groupBy(*keys).agg(F.min("_before").alias("_base"), F.sum("_n").alias("_all"))
+    if keys:
+        placed = summed.join(groups.select(*[F.col(k).alias(f"_of{k}") for k in keys], "_base", "_all"), [F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in keys])
+    else:
+        placed = summed.crossJoin(F.broadcast(groups))  # one row
+    first = F.col("_before") - F.col("_base")
+    hits = [(first <= at) & (at < first + F.col("_n")) for at in (F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2))]
+    middle = placed.where(hits[0] | hits[1]).groupBy(*keys).agg((F.sum(F.col("_v") * sum(h.cast("int") for h in hits)) / 2).alias(name))
+    return middle.select(*[F.col(k).alias(b) for b, k in zip(by, keys)], name)
+
+
 def summary(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """n, valid count, mean, sample sd, median, min and max."""
-    return df.groupBy(*by).agg(
+    rest = df.groupBy(*by).agg(
         F.count("*").alias("n"),
         F.count(value).alias("n_valid"),
         F.avg(value).alias("mean"),
         F.stddev_samp(value).alias("sd"),
-        F.median(value).alias("median"),
         F.min(value).alias("lowest"),
         F.max(value).alias("highest"),
     )
+    return _beside(rest, medians(df, by, value), by).select(*by, "n", "n_valid", "mean", "sd", "median", "lowest", "highest")
+
+
+def _beside(df: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    """`df` with the columns of one row for each group; without `by`, of the one row there is (or nulls)."""
+    named = groups.select(*[F.col(b).alias(f"_g{i}") for i, b in enumerate(by)], *[c for c in groups.columns if c not in by])
+    if not by:
+        return df.join(F.broadcast(named), F.lit(True), "left")  # one row
+    return df.join(named, [F.col(b).eqNullSafe(F.col(f"_g{i}")) for i, b in enumerate(by)], "left").drop(*[f"_g{i}" for i in range(len(by))])
 
 
 def sorted_distinct(c: str, sep: str = " | ") -> Column:
@@ -81,15 +111,15 @@ def uniform_within(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 def impute_median(df: DataFrame, value: str, by: Sequence[str] = (), name: str | None = None) -> DataFrame:
     """Nulls become the median of the group, or of all rows."""
-    out = with_group_values(df.withColumn("_all", F.lit(0)), by or ["_all"], _median=F.median(value))
-    return out.withColumn(name or value, F.coalesce(F.col(value).cast("double"), F.col("_median"))).drop("_median", "_all")
+    out = _beside(df, medians(df, by, value, "_median"), by)
+    return out.withColumn(name or value, F.coalesce(F.col(value).cast("double"), F.col("_median"))).drop("_median")
 
 
 def z_score(df: DataFrame, value: str, name: str = "z", by: Sequence[str] = ()) -> DataFrame:
     """Centred on the mean and scaled by the sample sd, with nulls at the median; 0 for a constant column."""
     filled = impute_median(df, value, by, "_x")
-    out = with_group_values(filled.withColumn("_all", F.lit(0)), by or ["_all"], _mean=F.avg("_x"), _sd=F.stddev_samp("_x"))
-    return out.withColumn(name, F.coalesce(F.try_divide(F.col("_x") - F.col("_mean"), F.col("_sd")), F.lit(0.0))).drop("_x", "_mean", "_sd", "_all")
+    out = _beside(filled, filled.groupBy(*by).agg(F.avg("_x").alias("_mean"), F.stddev_samp("_x").alias("_sd")), by)
+    return out.withColumn(name, F.coalesce(F.try_divide(F.col("_x") - F.col("_mean"), F.col("_sd")), F.lit(0.0))).drop("_x", "_mean", "_sd")
 
 
 def smd(df: DataFrame, treated: Column, covariates: Sequence[str], population: bool = False) -> DataFrame:

@@ -115,6 +115,22 @@ def digest_gate(text: str, expected: str) -> None:
         _stop("digest", "the plan has changed since its hash was taken")
 
 
+def plan_drift(df: DataFrame, key: str, declared: str, used: str) -> DataFrame:
+    """key of rows whose declared and used texts differ by more than white space; a missing one differs from any text."""
+    squash = lambda c: F.trim(F.regexp_replace(F.col(c), r"\s+", " "))
+    return df.where(~squash(declared).eqNullSafe(squash(used))).select(key)
+
+
+def unsourced(df: DataFrame, key: str, source: str) -> DataFrame:
+    """key of constants that name no source."""
+    return df.where(F.col(source).isNull() | is_blank(F.col(source))).select(key)
+
+
+def digest_drift(df: DataFrame, key: str, text: str, expected: str) -> DataFrame:
+    """key of texts whose sha-256 is not the expected one; a missing text or digest is drift."""
+    return df.where(~F.coalesce(F.sha2(text, 256) == F.lower(expected), F.lit(False))).select(key)
+
+
 def cluster_gate(df: DataFrame, cluster: str, n_clusters: int | None = None, most: int | None = None) -> None:
     """Every row has a cluster; clusters are as many as declared and no larger."""
     missing = df.where(is_blank(F.col(cluster))).limit(1).count()

@@ -234,3 +234,23 @@ def str_33_loaded_packages(spark: Spark, d: str) -> DataFrame:
     dotted = lambda c: F.replace(F.col(c), F.lit(" "), F.lit("."))
     lines = p.select(F.explode(F.array(F.concat(F.lit("library("), dotted("p_name"), F.lit(")  # require(none)")), F.concat(F.lit("x <- "), dotted("p_type"), F.lit("::f(1)")))).alias("value"))
     return drift.loaded_packages(lines)
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 3 = 0")
+def gate_06_plan_drift(spark: Spark, d: str) -> DataFrame:
+    """Texts declared against texts used: white space alone is no drift, a further word is."""
+    used = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" more"))).when(F.col("doc_id") % 3 == 1, F.regexp_replace("text", " ", " \n ")).otherwise(F.col("text"))
+    return gates.plan_drift(t(spark, d, "documents").select("doc_id", "text", used.alias("used")), "doc_id", "text", "used")
+
+
+@query("SELECT p_partkey FROM part WHERE p_size % 10 IN (0, 1)")
+def gate_07_unsourced(spark: Spark, d: str) -> DataFrame:
+    source = F.when(F.col("p_size") % 10 == 0, "  ").when(F.col("p_size") % 10 > 1, F.col("p_brand"))
+    return gates.unsourced(t(spark, d, "part").select("p_partkey", source.alias("source")), "p_partkey", "source")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 5 IN (0, 1)")
+def gate_08_digest_drift(spark: Spark, d: str) -> DataFrame:
+    docs = t(spark, d, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 5 != 1, F.upper(F.sha2("text", 256))).alias("kept"))
+    now = docs.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text")))
+    return gates.digest_drift(now, "doc_id", "text", "kept")

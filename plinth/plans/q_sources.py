@@ -66,7 +66,7 @@ def src_07_json(spark: Spark, d: str) -> DataFrame:
 
 
 @query(r"SELECT count(*) AS n_lines, count(*) FILTER (starts_with(l, 'x')) AS n_x FROM (SELECT unnest(string_split(chr(10) || 'x' || p_name || chr(10) || p_type, chr(10))) AS l FROM part) WHERE l <> ''")
-def src_09_lines(spark: Spark, d: str) -> DataFrame:
+def src_19_lines(spark: Spark, d: str) -> DataFrame:
     path = _lines(t(spark, d, "part").select(F.concat(F.lit("x"), "p_name", F.lit("\n"), "p_type").alias("value")), "lines")
     return io.read_lines(spark, path).agg(F.count("*").alias("n_lines"), F.count_if(F.col("value").startswith("x")).alias("n_x"))
 
@@ -84,7 +84,7 @@ def src_18_records(spark: Spark, d: str) -> DataFrame:
 
 
 @query("SELECT 'orders' AS name, count(*) >= 10 AS is_there FROM orders UNION ALL SELECT 'nation', count(*) >= 1000 FROM nation UNION ALL SELECT 'nowhere', false")
-def src_19_required_tables(spark: Spark, d: str) -> DataFrame:
+def src_09_required_tables(spark: Spark, d: str) -> DataFrame:
     rows = []
     for name, least in (("orders", 10), ("nation", 1000), ("nowhere", 1)):
         try:
@@ -273,7 +273,8 @@ def joi_24_join_report(spark: Spark, d: str) -> DataFrame:
     return joins.join_report(t(spark, d, "customer"), o, ["c_custkey"]).select("n_left", "n_matched", F.round("coverage", 6).alias("coverage"), "n_right_keys", "n_repeated_keys", F.round("growth", 6).alias("growth"))
 
 
-@query("SELECT 'repeated' AS what, true AS stops UNION ALL SELECT 'growth', true UNION ALL SELECT 'coverage', true UNION ALL SELECT 'fits', false")
+@query("""WITH k AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), g AS (SELECT sum(coalesce(n, 1)) / count(*) AS growth, count(n) / count(*) AS coverage, count(n) FILTER (c_custkey <= 3) / count(*) AS few FROM customer LEFT JOIN k ON o_custkey = c_custkey)
+SELECT 'repeated' AS what, (SELECT max(n) > 1 FROM k) AS stops UNION ALL SELECT 'growth', growth > 1.5 FROM g UNION ALL SELECT 'coverage', few < 0.9 FROM g UNION ALL SELECT 'fits', growth > 100 OR coverage < 0.3 FROM g""")
 def joi_24_ceilings(spark: Spark, d: str) -> DataFrame:
     c = t(spark, d, "customer", ["c_custkey"])
     o = t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
@@ -427,3 +428,31 @@ def str_37_roster_refresh(spark: Spark, d: str) -> DataFrame:
     rebuilt = rows.where("platform = 'p1'").withColumn("provider_url", F.concat("provider_url", F.lit("x")))
     # Names are shared by several ids here, so only URLs lead to one.
     return refresh_roster(rows, rebuilt, resolved)
+
+
+@query("""SELECT doc_id, md5(CASE doc_id % 4 WHEN 0 THEN text || '"' || chr(10) || ', "" ,' WHEN 1 THEN chr(10) || '"' || text WHEN 2 THEN 'a,"b' || chr(13) || chr(10) || '"' || '"' || '"c' ELSE text END) AS digest FROM documents""")
+def str_34_quoted_cells(spark: Spark, d: str) -> DataFrame:
+    """Cells with quotes, separators and line ends, written as CSV and read again."""
+    k, text = F.col("doc_id") % 4, F.col("text")
+    odd = F.when(k == 0, F.concat(text, F.lit('"\n, "" ,'))).when(k == 1, F.concat(F.lit('\n"'), text)).when(k == 2, F.lit('a,"b\r\n"""c')).otherwise(text)
+    path = scratch_path(spark, "cells")
+    io.write_cells(t(spark, d, "documents").select("doc_id", odd.alias("text")), path)
+    return io.read_cells(spark, path, "doc_id long, text string").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("SELECT 'one' AS what, count(*) AS n FROM customer UNION ALL SELECT 'several', CAST(-1 AS BIGINT) UNION ALL SELECT 'none', CAST(-1 AS BIGINT)")
+def src_22_one_path(spark: Spark, d: str) -> DataFrame:
+    """A table under a path with a stamp, found by a pattern: rows of the one that fits, -1 where several or none do."""
+    folder = scratch_path(spark, "stamped")
+    c = t(spark, d, "customer", ["c_custkey"])
+    for stamp in ("one-20240101", "several-1", "several-2"):
+        c.write.parquet(f"{folder}/{stamp}")
+    out = None
+    for what in ("one", "several", "none"):
+        try:
+            rows = spark.read.parquet(io.resolve_one(f"{folder}/{what}-*", spark)).agg(F.count("*").alias("n"))
+        except io.ContractError:
+            rows = spark.range(1).select(F.lit(-1).cast("long").alias("n"))
+        part = rows.select(F.lit(what).alias("what"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plinth.operators import aggs, drift, gates, joins, reshape, stats
 from plinth.operators.lineage import scratch_path
+from plinth.plans import fit_sql
 from plinth.plans.registry import query
 from plinth.sources.io import read_table as t
 from plinth.streaming import events as ev
@@ -70,24 +71,30 @@ def st_08_fisher_exact(spark: Spark, d: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT o_orderkey // 2 AS pair, max(CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice > 200000 END) AS x, max(CASE WHEN o_orderkey % 2 = 1 THEN o_totalprice > 200000 END) AS y FROM orders GROUP BY 1)
-SELECT count(*) AS n_pairs, count(*) FILTER (x AND NOT y) AS only_first, count(*) FILTER (NOT x AND y) AS only_second, round((count(*) FILTER (x AND NOT y) - count(*) FILTER (NOT x AND y)) / count(*), 6) AS risk_difference FROM p WHERE x IS NOT NULL AND y IS NOT NULL""")
+SELECT count(*) AS n_pairs, count(*) FILTER (x AND NOT y) AS only_first, count(*) FILTER (NOT x AND y) AS only_second, round((count(*) FILTER (x AND NOT y) - count(*) FILTER (NOT x AND y)) / count(*), 6) AS risk_difference,
+(WITH k AS (SELECT count(*) FILTER (x AND NOT y) AS b, count(*) FILTER (NOT x AND y) AS c FROM p WHERE x IS NOT NULL AND y IS NOT NULL) SELECT round(least(1, CASE WHEN b = c THEN 1 ELSE 2 * sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2.0))) END), 8) FROM k, range(0, CAST(least(b, c) AS BIGINT) + 1) r(i) GROUP BY b, c) AS p_value
+FROM p WHERE x IS NOT NULL AND y IS NOT NULL""")
 def st_09_mcnemar(spark: Spark, d: str) -> DataFrame:
     high = F.col("o_totalprice") > 200000
     p = t(spark, d, "orders").groupBy(F.expr("o_orderkey div 2").alias("pair")).agg(F.max(F.when(F.col("o_orderkey") % 2 == 0, high)).alias("x"), F.max(F.when(F.col("o_orderkey") % 2 == 1, high)).alias("y"))
-    return stats.mcnemar(p, "pair", "x", "y").select("n_pairs", "only_first", "only_second", F.round("risk_difference", 6).alias("risk_difference"))
+    return stats.mcnemar(p, "pair", "x", "y").select("n_pairs", "only_first", "only_second", F.round("risk_difference", 6).alias("risk_difference"), F.round("p_value", 8).alias("p_value"))
 
 
-@query("""WITH r AS (SELECT l_returnflag = 'R' AS arm, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS k FROM lineitem)
-SELECT count(*) FILTER (arm) AS n1, count(*) FILTER (NOT arm) AS n2, round(sum(k) FILTER (arm) - count(*) FILTER (arm) * (count(*) FILTER (arm) + 1) / 2, 1) AS u FROM r""")
+@query(f"""WITH r AS (SELECT l_returnflag = 'R' AS arm, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS k FROM lineitem),
+t AS (SELECT sum(pow(n, 3) - n) AS t FROM (SELECT CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY l_quantity)), u AS (SELECT CAST(count(*) FILTER (arm) AS DOUBLE) AS n1, CAST(count(*) FILTER (NOT arm) AS DOUBLE) AS n2, sum(k) FILTER (arm) - count(*) FILTER (arm) * (count(*) FILTER (arm) + 1) / 2 AS u FROM r),
+z AS (SELECT *, u - n1 * n2 / 2 AS off, sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - t / ((n1 + n2) * (n1 + n2 - 1)))) AS sd FROM u, t)
+SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(u, 1) AS u, round((off - 0.5 * sign(off)) / sd, 6) AS z, round({fit_sql.normal_tail('(off - 0.5 * sign(off)) / sd')}, 5) AS p_value FROM z""")
 def st_10_rank_sum(spark: Spark, d: str) -> DataFrame:
-    return stats.rank_sum(t(spark, d, "lineitem"), "l_quantity", F.col("l_returnflag") == "R").select("n1", "n2", F.round("u", 1).alias("u"))
+    return stats.rank_sum(t(spark, d, "lineitem"), "l_quantity", F.col("l_returnflag") == "R").select("n1", "n2", F.round("u", 1).alias("u"), F.round("z", 6).alias("z"), F.round("p_value", 5).alias("p_value"))
 
 
-@query("""WITH v AS (SELECT l_discount * 10 AS x, count(*) AS n FROM lineitem GROUP BY 1), s AS (SELECT x, n, sum(n) OVER (ORDER BY x) AS upto, sum(n) OVER () AS total FROM v)
-SELECT round(max(greatest(abs(upto / total - least(greatest(x, 0), 1)), abs(least(greatest(x, 0), 1) - (upto - n) / total))), 6) AS d, CAST(max(total) AS BIGINT) AS n FROM s""")
+@query("""WITH v AS (SELECT l_discount * 10 AS x, count(*) AS n FROM lineitem GROUP BY 1), s AS (SELECT x, n, sum(n) OVER (ORDER BY x) AS upto, sum(n) OVER () AS total FROM v),
+k AS (SELECT max(greatest(abs(upto / total - least(greatest(x, 0), 1)), abs(least(greatest(x, 0), 1) - (upto - n) / total))) AS d, CAST(max(total) AS BIGINT) AS n FROM s), w AS (SELECT *, (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * d AS t FROM k)
+SELECT round(d, 6) AS d, n, round(least(1, greatest(0, 2 * sum(pow(-1, i - 1) * exp(-2 * i * i * t * t)))), 8) AS p_value FROM w, range(1, 101) r(i) GROUP BY d, n""")
 def st_11_ks_uniform(spark: Spark, d: str) -> DataFrame:
     li = t(spark, d, "lineitem").select((F.col("l_discount") * 10).alias("x"))
-    return stats.ks_distance(li, "x", stats.uniform_cdf).select(F.round("d", 6).alias("d"), "n")
+    found = stats.ks_distance(li, "x", stats.uniform_cdf).first()
+    return spark.createDataFrame([(round(found.d, 6), found.n, round(stats.ks_p(found.d, found.n), 8))], "d double, n long, p_value double")
 
 
 @query("""WITH x AS (SELECT l_returnflag, date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
@@ -146,12 +153,12 @@ def st_03_negative_binomial(spark: Spark, d: str) -> DataFrame:
 _LL = "sum(lgamma(y + t) - lgamma(t) - lgamma(y + 1) + t * ln(t / (t + m)) + y * ln(m / (t + m)))"
 
 
-@query(f"WITH RECURSIVE {_NB_SEARCH}, a AS (SELECT l_quantity AS y, m, t, (SELECT avg(l_quantity) FROM lineitem) AS g FROM lineitem JOIN lvl ON (l_returnflag = 'R') = r, th) SELECT round(2 * ({_LL} - {_LL.replace('m)', 'g)').replace('(m /', '(g /')}), 2) AS chi2, 1 AS df FROM a")
+@query(f"WITH RECURSIVE {_NB_SEARCH}, a AS (SELECT l_quantity AS y, m, t, (SELECT avg(l_quantity) FROM lineitem) AS g FROM lineitem JOIN lvl ON (l_returnflag = 'R') = r, th) SELECT round(2 * ({_LL} - {_LL.replace('m)', 'g)').replace('(m /', '(g /')}), 2) AS chi2, 1 AS df, round({fit_sql.normal_tail(f"sqrt(greatest(0, 2 * ({_LL} - {_LL.replace('m)', 'g)').replace('(m /', '(g /')})))")}, 5) AS p_value FROM a")
 def st_03_20_likelihood_ratio(spark: Spark, d: str) -> DataFrame:
     q = _quantities(spark, d)
     large = stats.fit_negative_binomial(q, "y", ["x"])
     small = {**stats.fit_glm(q, "y", [], "negative_binomial", large["theta"]), "theta": large["theta"]}
-    return stats.nested_test(q, small, large, "y").select(F.round("chi2", 2).alias("chi2"), "df")
+    return stats.nested_test(q, small, large, "y").select(F.round("chi2", 2).alias("chi2"), "df", F.round("p_value", 5).alias("p_value"))
 
 
 @query(f"""WITH RECURSIVE {_NB_SEARCH}, a AS (SELECT l_quantity AS y, m, t FROM lineitem JOIN lvl ON (l_returnflag = 'R') = r, th),

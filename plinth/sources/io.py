@@ -108,9 +108,13 @@ def require_input(name: str, value: str | None, what: str = "input") -> str:
     return value
 
 
-def resolve_one(pattern: str) -> str:
-    """The one path that fits a local pattern; none or several are an error."""
-    found = sorted(glob.glob(pattern))
+def resolve_one(pattern: str, spark: SparkSession | None = None) -> str:
+    """The one path that fits a pattern; none or several are an error. With a session, in any store that Spark reads."""
+    if spark is None:
+        found = sorted(glob.glob(pattern))
+    else:
+        path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+        found = sorted(s.getPath().toString() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or [])
     if len(found) != 1:
         raise ContractError(f"{pattern}: {len(found)} paths fit, one needed")
     return found[0]
@@ -148,6 +152,17 @@ def write_csv(df: DataFrame, path: str, fields: Sequence[str] = (), null_value:
     (df.select(*fields) if fields else df).write.mode(mode).option("header", True).option("nullValue", null_value).csv(path)
 
 
+def write_cells(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """CSV whose cells can hold quotes (doubled), separators, line ends and blanks at their ends; `read_cells` gives them back."""
+    df.write.mode(mode).options(header=True, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep="\n").csv(path)
+
+
+def read_cells(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """What `write_cells` wrote: a record can go over several lines. An empty text comes back as null, as in all CSV here."""
+    options = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "mode": "FAILFAST", "lineSep": "\n"}
+    return spark.read.schema(schema).options(**options).csv(path)
+
+
 def write_sorted(df: DataFrame, path: str, fields: Sequence[str], order: Sequence[str]) -> None:
     """Declared columns in a total order, by range partitions; refuses to overwrite."""
     df.select(*fields).orderBy(*order).write.mode("errorifexists").option("header", True).csv(path)
@@ -239,7 +254,7 @@ def titled_sheet(df: DataFrame, titles: Sequence[str], fields: Sequence[str], or
 
 def edit_dictionary(df: DataFrame, pos: str, key: str, replace: Mapping[str, Mapping[str, str]] | None = None, drop: Sequence[str] = (), insert_after: Mapping[str, Mapping[str, str]] | None = None) -> DataFrame:
     """Ordered dictionary rows with cells replaced, rows dropped, and rows put after named ones; `pos` is numbered anew."""
-    from pyspark.sql.window import Window
+    from plinth.operators.ranges import number
 
     out = df.where(~F.col(key).isin(*drop)) if drop else df
     for name, cells in (replace or {}).items():
@@ -248,7 +263,8 @@ def edit_dictionary(df: DataFrame, pos: str, key: str, replace: Mapping[str, Map
     for after, cells in (insert_after or {}).items():
         made = out.where(F.col(key) == after).select(F.col(pos), F.lit(1).alias("_sub"), *[F.lit(cells.get(c)).cast(out.schema[c].dataType).alias(c) for c in df.columns if c != pos])
         out = out.unionByName(made)
-    return out.withColumn(pos, F.row_number().over(Window.orderBy(pos, "_sub"))).drop("_sub")
+    kept = out.withColumnRenamed(pos, "_old")
+    return number(kept, ["_old", "_sub"], pos, 1).select(*[F.col(c).cast("int") if c == pos else F.col(c) for c in df.columns])
 
 
 def report_lines(findings: DataFrame, title: str) -> str:
