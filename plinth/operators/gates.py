@@ -123,7 +123,7 @@ def plan_drift(df: DataFrame, key: str, declared: str, used: str) -> DataFrame:
 
 def unsourced(df: DataFrame, key: str, source: str) -> DataFrame:
     """key of constants that name no source."""
-    return df.where(F.col(source).isNull() | is_blank(F.col(source))).select(key)
+    return df.where(is_blank(F.col(source), trim=True)).select(key)
 
 
 def digest_drift(df: DataFrame, key: str, text: str, expected: str) -> DataFrame:

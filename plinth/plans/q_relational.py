@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.operators import aggs, joins, reshape, select, windows
+from plinth.operators import aggs, calipers, joins, reshape, select, windows
 from plinth.plans.registry import query
 from plinth.sources.io import read_table as t
 
@@ -147,13 +147,25 @@ p AS (SELECT i, list(struct_pack(w := w, c := c) ORDER BY w, c) AS l FROM e JOIN
 r AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS taken UNION ALL SELECT p.i, list_append(r.taken, coalesce(list_filter(p.l, lambda x: NOT list_contains(r.taken, x.c))[1].c, -1)) FROM r JOIN p ON p.i = r.i + 1)
 SELECT e.u AS s_suppkey, e.c AS c_custkey, round(e.w, 4) AS gap FROM r JOIN a USING (i) JOIN e ON e.u = a.u AND e.c = r.taken[len(r.taken)]""")
 def joi_13_greedy_match(spark: Spark, d: str) -> DataFrame:
-    s, c = t(spark, d, "supplier"), t(spark, d, "customer")
-    edges = s.join(c, (F.col("s_nationkey") == F.col("c_nationkey")) & (F.abs(F.col("s_acctbal") - F.col("c_acctbal")) < 1500))
-    edges = edges.select("s_suppkey", "c_custkey", "s_nationkey", F.abs(F.col("s_acctbal") - F.col("c_acctbal")).alias("gap"))
-    got = select.greedy_match(edges.withColumn("o", F.col("s_suppkey")), "s_suppkey", "c_custkey", "gap", "o", 2, ["s_nationkey"])
+    s, c = t(spark, d, "supplier").withColumn("o", F.col("s_suppkey")), t(spark, d, "customer").select("c_custkey", "c_acctbal", F.col("c_nationkey").alias("s_nationkey"))
+    got = calipers.greedy_caliper_match(s, c, ["s_nationkey"], "s_suppkey", "s_acctbal", "o", "c_custkey", "c_acctbal", 1500.0, 2)
     return got.withColumn("gap", F.round("gap", 4))
 
 
+@query("""WITH RECURSIVE e AS (SELECT l_suppkey * 100000 + l_linenumber * 10000 + l_partkey AS u, p_partkey AS c, abs(l_partkey - p_partkey) AS w, l_orderkey AS o FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS i FROM lineitem QUALIFY i = 1) JOIN part ON p_size % 10 = l_suppkey % 10 AND abs(l_partkey - p_partkey) < 40),
+a AS (SELECT u, row_number() OVER (ORDER BY o, u) AS i FROM (SELECT u, min(o) AS o FROM e GROUP BY u HAVING count(*) >= 2)),
+p AS (SELECT i, list(struct_pack(w := w, c := c) ORDER BY w, c) AS l FROM e JOIN a USING (u) GROUP BY i),
+r AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS taken UNION ALL SELECT p.i, list_append(r.taken, coalesce(list_filter(p.l, lambda x: NOT list_contains(r.taken, x.c))[1].c, -1)) FROM r JOIN p ON p.i = r.i + 1)
+SELECT e.u, e.c, CAST(e.w AS DOUBLE) AS gap FROM r JOIN a USING (i) JOIN e ON e.u = a.u AND e.c = r.taken[len(r.taken)]""")
+def joi_13_first_lines(spark: Spark, d: str) -> DataFrame:
+    """Each supplier's first line takes the nearest free part of its class by number, in order of orders."""
+    li = t(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey")
+    first = joins.keep_first(li, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey"])
+    u = first.select((F.col("l_suppkey") * 100000 + F.col("l_linenumber") * 10000 + F.col("l_partkey")).alias("u"), (F.col("l_suppkey") % 10).alias("k"), F.col("l_partkey").alias("s"), F.col("l_orderkey").alias("o"))
+    c = t(spark, d, "part").select(F.col("p_partkey").alias("c"), (F.col("p_size") % 10).alias("k"), F.col("p_partkey").alias("v"))
+    return calipers.greedy_caliper_match(u, c, ["k"], "u", "s", "o", "c", "v", 40.0, 2)
+
+
 @query("""WITH RECURSIVE o AS (SELECT o_custkey, list_sort(list(DISTINCT o_orderkey % 977)) AS ks, max(o_totalprice) AS top FROM orders GROUP BY 1),
 n AS (SELECT *, row_number() OVER (ORDER BY -top, o_custkey) AS i FROM o),
 r AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, 0 AS n, false AS sel UNION ALL
