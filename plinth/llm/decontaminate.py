@@ -161,14 +161,15 @@ def _holders(rows: DataFrame, items: DataFrame, threshold: float, broadcast_wind
     probes = ranked.join(sizes, "item_id").where(F.col("_rank") <= F.col("item_windows") - needed + 1).select("item_id", "item_pos")
     probes = cut(bench.join(probes, ["item_id", "item_pos"]).select("item_id", "hash").distinct())
     candidates = hits.select("doc_id", "hash").join(fit(probes), "hash").select("doc_id", "item_id").distinct()
-    pairs = hits.join(candidates, "doc_id").join(fit(bench), ["item_id", "hash"])
-    covered = pairs.groupBy("doc_id", "item_id").agg(F.countDistinct("item_pos").alias("hit_windows"))
+    # Joined on the hash first: a document's hits meet the items that have them, not all its candidates.
+    matched = cut(hits.join(fit(bench), "hash").join(candidates, ["doc_id", "item_id"], "left_semi").select("doc_id", "item_id", "pos", "item_pos"))
+    covered = matched.groupBy("doc_id", "item_id").agg(F.countDistinct("item_pos").alias("hit_windows"))
     covered = covered.join(fit(sizes), "item_id")
     covered = covered.withColumn("coverage", F.col("hit_windows") / F.col("item_windows")).where(F.col("hit_windows") >= needed)
     covered = cut(covered.select("doc_id", "item_id", "coverage"))
 
     # Slots of the covered pairs only: their texts are read again.
-    wanted = hits.join(covered, "doc_id").join(fit(bench), ["item_id", "hash"]).select("doc_id", "item_id", "pos", "item_pos")
+    wanted = matched.join(covered.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi")
     held = cut(texts.join(if_small(covered.select("doc_id").distinct(), broadcast_ids), "doc_id", "left_semi"))
     doc_slots = held.select("doc_id", F.posexplode_outer(tokens(F.col("_text"))).alias("at", "doc_value")).where(F.col("doc_value").startswith(_OPEN)).distinct()
     item_slots = items.select("item_id", F.posexplode_outer(tokens(F.col("_item_text"))).alias("item_at", "item_value")).where(F.col("item_value").startswith(_OPEN)).distinct()
