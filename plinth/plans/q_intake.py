@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plinth.operators import aggs
 from plinth.operators.lineage import cut, scratch_path
 from plinth.plans.registry import query
-from plinth.sources import intake, registry
+from plinth.sources import geodata, intake, registry
 from plinth.sources.io import read_table as t
 
 Spark = SparkSession
@@ -75,3 +76,32 @@ def src_15_payloads(spark: Spark, d: str) -> DataFrame:
     )
     rows = t(spark, d, "events").select("event_id", payload.alias("payload"))
     return intake.payload_findings(rows, "payload", {"$.k": "bigint"}, "event_id").select("key", "finding")
+
+
+@query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'batch' WHEN 1 THEN 'oneline' WHEN 2 THEN 'batch' END AS via, CASE WHEN s_suppkey % 4 < 3 THEN 'ok' ELSE 'no_geocode' END AS status,
+CASE WHEN s_suppkey % 4 < 3 THEN lpad(CAST(s_nationkey AS VARCHAR), 2, '0') || '001' END AS county_fips, CASE WHEN s_suppkey % 4 < 3 THEN lpad(CAST(s_nationkey AS VARCHAR), 2, '0') || '001' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') END AS tract_geoid,
+CASE WHEN s_suppkey % 4 < 3 THEN s_suppkey / 8 END AS lat FROM supplier""")
+def src_12_geocodes(spark: Spark, d: str) -> DataFrame:
+    """Batch answers, one-line answers for what those lack, and addresses without either."""
+    s = t(spark, d, "supplier").select("s_suppkey", F.lpad(F.col("s_nationkey").cast("string"), 2, "0").alias("st"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("tract"), (F.col("s_suppkey") / 8).alias("y"))
+    key, q = F.col("s_suppkey").cast("string"), F.lit('"')
+    head = F.concat(q, key, F.lit('","1 Main St, '), "st", F.lit('","'))
+    match = F.concat(head, F.lit('Match","Exact","1 MAIN ST, '), "st", F.lit('","-80.5,'), F.col("y").cast("string"), F.lit('","77","L","'), "st", F.lit('","001","'), "tract", F.lit('","1000"'))
+    lines = s.where("s_suppkey % 4 <> 1").select(F.when(F.col("s_suppkey") % 2 == 0, match).otherwise(F.concat(head, F.lit('No_Match"'))).alias("value"))
+    body = F.concat(F.lit('{"result":{"addressMatches":[{"coordinates":{"x":1,"y":2}},{"coordinates":{"x":-80.5,"y":'), F.col("y").cast("string"), F.lit('},"geographies":{"Census Tracts":[{"GEOID":"'), F.concat("st", F.lit("001"), "tract"), F.lit('","STATE":"'), "st", F.lit('","COUNTY":"001"}]}}]}}'))
+    oneline = s.where("s_suppkey % 4 in (1, 3)").select(key.alias("id"), F.when(F.col("s_suppkey") % 4 == 1, body).otherwise('{"result":{"addressMatches":[]}}').alias("body"))
+    got = geodata.geocoded(s.select("s_suppkey"), [("batch", geodata.batch_geocodes(lines)), ("oneline", geodata.oneline_geocodes(oneline))], "s_suppkey")
+    return got.select("s_suppkey", "via", "status", "county_fips", "tract_geoid", "lat")
+
+
+@query("""SELECT lpad(CAST(l_suppkey AS VARCHAR), 5, '0') AS geoid, CAST(sum(CASE WHEN l_returnflag IN ('A', 'R') AND l_quantity < 45 THEN l_quantity ELSE 0 END) AS DOUBLE) AS covered, CAST(sum(CASE WHEN l_returnflag = 'N' AND l_quantity < 45 THEN l_quantity ELSE 0 END) AS DOUBLE) AS uninsured,
+round(CASE WHEN sum(CASE WHEN l_quantity < 45 THEN l_quantity ELSE 0 END) > 0 THEN 100.0 * sum(CASE WHEN l_returnflag = 'N' AND l_quantity < 45 THEN l_quantity ELSE 0 END) / sum(CASE WHEN l_quantity < 45 THEN l_quantity ELSE 0 END) END, 1) AS pct_uninsured FROM lineitem GROUP BY 1""")
+def src_13_census(spark: Spark, d: str) -> DataFrame:
+    """Lines as census answers: a response for each line, a variable for each flag, large quantities as the mark of no estimate."""
+    li = t(spark, d, "lineitem").select(F.lpad(F.col("l_suppkey").cast("string"), 5, "0").alias("g"), "l_returnflag", F.when(F.col("l_quantity") < 45, F.col("l_quantity").cast("string")).otherwise("-555555555").alias("v"))
+    name = F.concat(F.lit("B27001_"), "l_returnflag")
+    body = F.to_json(F.array(F.array(F.lit("NAME"), name, F.lit("B99_X"), F.lit("state"), F.lit("county")), F.array(F.lit("a place"), F.col("v"), F.lit("7"), F.substring("g", 1, 2), F.substring("g", 3, 3))))
+    estimates = geodata.census_estimates(li.select(body.alias("body")), "body", ["state", "county"])
+    labels = spark.createDataFrame([("B27001_A", "Female: with coverage"), ("B27001_R", "female:  With coverage"), ("B27001_N", "Female: No health insurance coverage"), ("B99_X", "Female: with coverage")], "name string, label string")
+    sums = geodata.labelled_sums(estimates, labels, {"covered": ("B27001", r"Female:\s+with"), "uninsured": ("B27001", "No health insurance")})
+    return sums.select("geoid", "covered", "uninsured", aggs.safe_percent(F.col("uninsured"), F.col("covered") + F.col("uninsured")).alias("pct_uninsured"))
