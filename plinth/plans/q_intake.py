@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plinth.operators import aggs
 from plinth.operators.lineage import cut, scratch_path
 from plinth.plans.registry import query
-from plinth.sources import geodata, intake, registry
+from plinth.sources import geodata, intake, pages, registry
 from plinth.sources.io import read_table as t
 
 Spark = SparkSession
@@ -105,3 +105,22 @@ def src_13_census(spark: Spark, d: str) -> DataFrame:
     labels = spark.createDataFrame([("B27001_A", "Female: with coverage"), ("B27001_R", "female:  With coverage"), ("B27001_N", "Female: No health insurance coverage"), ("B99_X", "Female: with coverage")], "name string, label string")
     sums = geodata.labelled_sums(estimates, labels, {"covered": ("B27001", r"Female:\s+with"), "uninsured": ("B27001", "No health insurance")})
     return sums.select("geoid", "covered", "uninsured", aggs.safe_percent(F.col("uninsured"), F.col("covered") + F.col("uninsured")).alias("pct_uninsured"))
+
+
+_LINKS = (pages.Step("nav"), pages.Step("li", axis="inside"), pages.Step("a", axis="child"))
+
+
+@query("""WITH l AS (SELECT page_id, regexp_extract(html, '<nav>(.*?)</nav>', 1) AS nav FROM pages), k AS (SELECT page_id, regexp_extract_all(nav, '<a href="([^"]*)">[^<]*</a>', 1) AS h, regexp_extract_all(nav, '<a href="[^"]*">([^<]*)</a>', 1) AS t FROM l)
+SELECT page_id, CAST(i AS INTEGER) AS position, nullif(replace(h[i], '&amp;', '&'), '') AS href, nullif(trim(replace(t[i], '&amp;', '&')), '') AS label FROM k, range(1, 200) r(i) WHERE i <= len(h)""")
+def src_08_page_links(spark: Spark, d: str) -> DataFrame:
+    """Links of each page's menu, in page order."""
+    site = pages.Site("example", _LINKS, {"href": pages.Field(attribute="href"), "label": pages.Field()})
+    return pages.read_pages(t(spark, d, "pages"), [site])
+
+
+@query("""SELECT page_id, nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS lang, nullif(trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<article><h1>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')), '') AS heading,
+nullif(regexp_extract(html, '<nav>.*?<li><a href="/([^"]*)">', 1), '') AS first_link FROM pages WHERE regexp_matches(html, '<article><h1>[^<]*\\S[^<]*</h1>')""")
+def src_08_page_records(spark: Spark, d: str) -> DataFrame:
+    """A record for each page with a headed article: language, heading, and the first menu link without its slash."""
+    fields = {"lang": pages.Field(attribute="lang"), "heading": pages.Field((pages.Step("article"), pages.Step("h1", axis="child"))), "first_link": pages.Field(_LINKS, "href", r"^/(.*)$")}
+    return pages.read_pages(t(spark, d, "pages"), [pages.Site("", (pages.Step("html", axis="child"),), fields, ("heading",))]).drop("position")
