@@ -16,7 +16,8 @@ def medians(df: DataFrame, by: Sequence[str], value: str, name: str = "median")
     """`by` and the exact median of each group, from counts of values summed up over written ranges.
 
     A group's values are one row for each different one, in ranges of (group, value) that cut a group of any size; the
-    middle rows are those whose counts reach over the middle places. Groups without a known value are left out.
+    middle rows are those whose counts reach over the middle places. Groups without a known value are left out; without
+    `by` there is one row, null if no value is known.
     """
     keys = [f"_g{i}" for i in range(len(by))]
     values = df.where(F.col(value).isNotNull()).select(*[F.col(b).alias(k) for b, k in zip(by, keys)], F.col(value).cast("double").alias("_v"))

@@ -52,31 +52,33 @@ def laplace(y: np.ndarray, offset: np.ndarray, first: np.ndarray, second: np.nda
     n, width = y.shape
     k1, k2 = int(groups[0].max()), int(groups[1].max())
     m = k1 + k2
-    z = np.zeros((n, width, m))
-    rows = np.arange(width)[None, :]
     at = np.arange(n)[:, None]
-    z[at, rows, first] = real
-    z[at, rows, k1 + second] = real
+    one, two = first, k1 + second  # places of a row's groups among all
     held = np.concatenate([np.arange(k1)[None, :] < groups[0][:, None], np.arange(k2)[None, :] < groups[1][:, None]], axis=1)
     sd = np.repeat(sds, [k1, k2], axis=1)
     precision = np.where(held, 1 / sd**2, 1.0)
+    by_group = np.concatenate([(at * m + g).ravel() for g in (one, two)])
+    by_pair = np.concatenate([((at * m + g) * m + h).ravel() for g, h in ((one, one), (two, two), (one, two), (two, one))])
+
+    def information(bend: np.ndarray) -> np.ndarray:
+        info = np.bincount(by_pair, np.tile((bend * real).ravel(), 4), n * m * m).reshape(n, m, m)
+        info[:, np.arange(m), np.arange(m)] += precision
+        return info
+
+    def predictor(modes: np.ndarray) -> np.ndarray:
+        return offset + np.take_along_axis(modes, one, 1) + np.take_along_axis(modes, two, 1)
+
     modes = np.zeros((n, m))
     for _ in range(60):
-        eta = offset + np.einsum("nrm,nm->nr", z, modes)
-        _, slope, bend = row_terms(y, eta, family, theta)
-        info = np.einsum("nrm,nr,nrk->nmk", z, bend, z)
-        info[:, np.arange(m), np.arange(m)] += precision
-        gradient = np.einsum("nrm,nr->nm", z, slope) - precision * modes
-        step = np.linalg.solve(info, gradient[:, :, None])[:, :, 0]
+        _, slope, bend = row_terms(y, predictor(modes), family, theta)
+        gradient = np.bincount(by_group, np.tile((slope * real).ravel(), 2), n * m).reshape(n, m) - precision * modes
+        step = np.linalg.solve(information(bend), gradient[:, :, None])[:, :, 0]
         step *= np.minimum(1, 3 / np.maximum(np.abs(step).max(axis=1, keepdims=True), 1e-12))
         modes = modes + step
         if np.abs(step).max() < 1e-9:
             break
-    eta = offset + np.einsum("nrm,nm->nr", z, modes)
-    log_l, _, bend = row_terms(y, eta, family, theta)
-    info = np.einsum("nrm,nr,nrk->nmk", z, bend, z)
-    info[:, np.arange(m), np.arange(m)] += precision
-    half = 0.5 * (np.linalg.slogdet(info)[1] + (np.log(sd**2) * held).sum(axis=1))
+    log_l, _, bend = row_terms(y, predictor(modes), family, theta)
+    half = 0.5 * (np.linalg.slogdet(information(bend))[1] + (np.log(sd**2) * held).sum(axis=1))
     return (log_l * real).sum(axis=1) - 0.5 * (precision * modes**2).sum(axis=1) - half
 
 

@@ -36,3 +36,24 @@ def test_around_over_many_ranges(spark):
     for x in got:
         assert x.b == next((v for i, v in reversed(rows) if i <= x.i and v is not None), None)
         assert x.a == next((v for i, v in rows if i >= x.i and v is not None), None)
+
+
+def test_medians_equal_the_plain_ones(spark):
+    from plinth.operators import aggs
+
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None, "only null"]), rng.choice([None, *range(12)])) for _ in range(400)] + [("one", 5), ("two", 1), ("two", 4)]
+    rows = [(g, None if g == "only null" else v) for g, v in rows]
+    df = spark.createDataFrame(rows, "g string, v int").repartition(5)
+
+    def middle(values):
+        values = sorted(values)
+        return (values[(len(values) - 1) // 2] + values[len(values) // 2]) / 2
+
+    groups = {g: [v for h, v in rows if h == g and v is not None] for g, _ in rows}
+    assert {r.g: r.median for r in aggs.medians(df, ["g"], "v").collect()} == {g: middle(v) for g, v in groups.items() if v}
+    assert [r.median for r in aggs.medians(df, [], "v").collect()] == [middle([v for _, v in rows if v is not None])]
+    assert [r.median for r in aggs.medians(df.where("false"), [], "v").collect()] == [None] and aggs.summary(df.where("false"), [], "v").first().median is None
+    filled = aggs.impute_median(df, "v", ["g"]).collect()
+    assert len(filled) == len(rows) and all(r.v is not None for r in filled if r.g != "only null")
+    assert len(aggs.z_score(df.where("false"), "v").collect()) == 0 and {r.z for r in aggs.z_score(df.withColumn("v", F.lit(3)), "v").collect()} == {0.0}
