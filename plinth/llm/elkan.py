@@ -23,7 +23,6 @@ Components whose squared distances could exceed a long are an error.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -203,8 +202,3 @@ def cluster(vectors: DataFrame, k: int, rounds: int, dims: int, scale: int = 64,
 def centroid_digest(centroid: Column) -> Column:
     """Lowercase hex sha256 of the components as decimal integers joined by commas."""
     return F.sha2(F.array_join(F.transform(centroid, lambda c: c.cast("string")), ","), 256)
-
-
-def digest_of(values: list[int]) -> str:
-    """The same digest of a list of integers."""
-    return hashlib.sha256(",".join(map(str, values)).encode()).hexdigest()
