@@ -43,8 +43,8 @@ def row_terms(y: np.ndarray, eta: np.ndarray, family: str, theta: np.ndarray) ->
     return log_l, y - (y + theta) * share, (y + theta) * share * (1 - share)
 
 
-def laplace(y: np.ndarray, offset: np.ndarray, first: np.ndarray, second: np.ndarray, real: np.ndarray, groups: tuple[np.ndarray, np.ndarray], sds: np.ndarray, family: str, theta: np.ndarray) -> np.ndarray:
-    """Approximate marginal log likelihood of each problem.
+def laplace(y: np.ndarray, offset: np.ndarray, first: np.ndarray, second: np.ndarray, real: np.ndarray, groups: tuple[np.ndarray, np.ndarray], sds: np.ndarray, family: str, theta: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Approximate marginal log likelihood of each problem, and the modes of its intercepts (searched for from `start`).
 
     Problems x rows: y, the fixed part of the predictor, each row's group in both factors and whether the row is real.
     `groups` are the numbers of groups, `sds` (problems x 2) the standard deviations. Padded groups get precision 1 and no rows.
@@ -68,7 +68,7 @@ def laplace(y: np.ndarray, offset: np.ndarray, first: np.ndarray, second: np.nda
     def predictor(modes: np.ndarray) -> np.ndarray:
         return offset + np.take_along_axis(modes, one, 1) + np.take_along_axis(modes, two, 1)
 
-    modes = np.zeros((n, m))
+    modes = np.zeros((n, m)) if start is None else start
     for _ in range(60):
         _, slope, bend = row_terms(y, predictor(modes), family, theta)
         gradient = np.bincount(by_group, np.tile((slope * real).ravel(), 2), n * m).reshape(n, m) - precision * modes
@@ -79,7 +79,7 @@ def laplace(y: np.ndarray, offset: np.ndarray, first: np.ndarray, second: np.nda
             break
     log_l, _, bend = row_terms(y, predictor(modes), family, theta)
     half = 0.5 * (np.linalg.slogdet(information(bend))[1] + (np.log(sd**2) * held).sum(axis=1))
-    return (log_l * real).sum(axis=1) - 0.5 * (precision * modes**2).sum(axis=1) - half
+    return (log_l * real).sum(axis=1) - 0.5 * (precision * modes**2).sum(axis=1) - half, modes
 
 
 def gathered(df: DataFrame, outcome: str, covariates: Sequence[str], first: str, second: str, most_groups: int, most_rows: int) -> DataFrame:
@@ -129,19 +129,27 @@ def log_likelihoods(held: DataFrame, vectors: np.ndarray, p: int, family: str) -
 
 
 def _solved(members: list[dict], width: int, vectors: np.ndarray, p: int, family: str) -> np.ndarray:
-    c, k = len(members), len(vectors)
+    c = len(members)
     y, real = np.zeros((c, width)), np.zeros((c, width))
     x, a, b = np.zeros((c, width, p)), np.zeros((c, width), int), np.zeros((c, width), int)
     for i, r in enumerate(members):
         n = len(r["y"])
         y[i, :n], real[i, :n], a[i, :n], b[i, :n] = r["y"], 1, r["a"], r["b"]
         x[i, :n] = np.reshape(r["x"], (n, p))
-    groups = tuple(np.tile([r[f] for r in members], k) for f in ("n_a", "n_b"))
-    offset = np.einsum("crp,kp->kcr", x, vectors[:, :p]).reshape(k * c, width)
-    sds = np.repeat(np.exp(vectors[:, p : p + 2]), c, axis=0)
-    theta = np.repeat(np.exp(vectors[:, p + 2]), c)[:, None] if family == "negative_binomial" else np.ones((k * c, 1))
-    wide = lambda v: np.tile(v, (k, 1))
-    return laplace(wide(y), offset, wide(a), wide(b), wide(real), groups, sds, family, theta).reshape(k, c).sum(axis=1)
+    sizes = [np.array([r[f] for r in members]) for f in ("n_a", "n_b")]
+
+    def some(own: np.ndarray, start: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        k = len(own)
+        wide = lambda v: np.tile(v, (k, 1))
+        offset = np.einsum("crp,kp->kcr", x, own[:, :p]).reshape(k * c, width)
+        sds = np.repeat(np.exp(own[:, p : p + 2]), c, axis=0)
+        theta = np.repeat(np.exp(own[:, p + 2]), c)[:, None] if family == "negative_binomial" else np.ones((k * c, 1))
+        values, modes = laplace(wide(y), offset, wide(a), wide(b), wide(real), tuple(np.tile(s, k) for s in sizes), sds, family, theta, start)
+        return values.reshape(k, c).sum(axis=1), modes
+
+    # The first vector's modes are near those of the others, which differ from it by little.
+    value, modes = some(vectors[:1], None)
+    return np.concatenate([value, some(vectors[1:], np.tile(modes, (len(vectors) - 1, 1)))[0]]) if len(vectors) > 1 else value
 
 
 def maximise(evaluate: Callable[[np.ndarray], np.ndarray], v: np.ndarray, least: np.ndarray, rounds: int = 30, h: float = 1e-3, tolerance: float = 1e-5) -> tuple[np.ndarray, float, np.ndarray, bool]:
