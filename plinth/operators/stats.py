@@ -155,10 +155,13 @@ def ks_distance(df: DataFrame, value: str, cdf) -> DataFrame:
 
 
 def ks_p(d: float, n: int) -> float:
-    """Kolmogorov's series with the usual small-sample scaling."""
+    """Kolmogorov's series with the usual small-sample scaling; near 0, where it does not converge, the one of its theta function."""
     if n <= 0 or d <= 0:
         return 1.0
     t = (math.sqrt(n) + 0.12 + 0.11 / math.sqrt(n)) * d
+    if t < 1:
+        below = sum(math.exp(-(((2 * k - 1) * math.pi) ** 2) / (8 * t * t)) for k in range(1, 6)) if t > 0.05 else 0.0
+        return 1 - math.sqrt(2 * math.pi) / t * below
     return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * t * t) for k in range(1, 101))))
 
 

@@ -377,3 +377,13 @@ def test_practices_and_roster(spark):
     ids = spark.createDataFrame([("/1", "Ann Lee", "CO", "11"), ("/2", "Bo Ray", "NV", "22"), ("/5", "Di Poe", "NV", "55"), ("/6", "Di Poe", "NV", "66"), ("/7", None, None, None)], "provider_url string, provider_name string, state string, npi string")
     out = {r.provider_url: (r.origin, r.npi, r.id_via) for r in refresh_roster(old, new, ids).collect()}
     assert out == {"/1": ("retained", "11", "url"), "/9": ("rebuilt", "22", "name"), "/7": ("rebuilt", None, None)}
+
+
+def test_ks_p_of_a_perfect_fit_of_many_rows():
+    from plinth.operators.stats import ks_p
+
+    assert ks_p(0.5 / 9_000_000, 9_000_000) == 1 and ks_p(1e-300, 10**12) == 1
+    # both series where they meet, and published values of Kolmogorov's distribution
+    at = lambda t: ks_p(t / (1e6 + 0.12 + 0.11e-6), 10**12)
+    assert abs(at(1 - 1e-9) - at(1 + 1e-9)) < 1e-8
+    assert abs(at(0.5) - 0.9639) < 1e-4 and abs(at(0.8276) - 0.5) < 1e-3 and abs(at(1.3581) - 0.05) < 1e-4
