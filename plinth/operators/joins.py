@@ -134,6 +134,24 @@ def best_candidate(pairs: DataFrame, key: Sequence[str], score: Column, tiebreak
     return keep_first(scored, key, ["score", *tiebreak])
 
 
+def best_by_gap(left: DataFrame, right: DataFrame, block: Sequence[str], left_key: str, left_score: str, right_key: str, right_score: str) -> DataFrame:
+    """left_key, right_key, gap: `best_candidate` of all pairs of a block by the difference of their scores, without the pairs.
+
+    Ties go to the lower right key. A pair with an unknown score has a null gap and comes after all others; keys of
+    the left side can repeat. Rows with a null block, and blocks without a row of `right`, give nothing.
+    """
+    own = left.select(*block, left_key, left_score).dropna(subset=list(block)).distinct()
+    rows = own.withColumn("_row", F.struct(*own.columns))
+    offered = right.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(block)], F.col(right_key).alias("_k"), F.col(right_score).alias("_v"))
+    named = offered.select(*[F.col(f"_o{i}").alias(c) for i, c in enumerate(block)], "_k", "_v")
+    near = nearest(rows, named, block, "_row", left_score, "_k", "_v").drop("_row")
+    first = named.dropna(subset=list(block)).groupBy(*block).agg(F.min("_k").alias("_first"))
+    gap = F.abs(F.col(left_score) - F.col("_v"))
+    found = near.join(first, list(block)).select(F.col(left_key), F.struct(gap.isNull().alias("unknown"), gap.alias("gap"), F.coalesce("_k", "_first").alias("k")).alias("_best"))
+    best = found.groupBy(left_key).agg(F.min("_best").alias("_best"))
+    return best.select(left_key, F.col("_best.k").alias(right_key), F.col("_best.gap").alias("gap"))
+
+
 def backup_score(gender: tuple[Column, Column], credential: tuple[Column, Column], years: tuple[Column, Column]) -> Column:
     """2 for each of gender and credential that differs, 0.1 for each year between; unknown years count as 15."""
     differs = lambda a, b: F.when(a.eqNullSafe(b), 0.0).otherwise(2.0)

@@ -94,9 +94,9 @@ def joi_11_keyed_join(spark: Spark, d: str) -> DataFrame:
 @query("""WITH p AS (SELECT s_suppkey, c_custkey, abs(s_acctbal - c_acctbal) AS gap, row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(s_acctbal - c_acctbal), c_custkey) AS r FROM supplier JOIN customer ON s_nationkey = c_nationkey)
 SELECT s_suppkey, c_custkey, round(gap, 2) AS gap FROM p WHERE r = 1""")
 def joi_14_best_candidate(spark: Spark, d: str) -> DataFrame:
-    pairs = t(spark, d, "supplier").join(t(spark, d, "customer"), F.col("s_nationkey") == F.col("c_nationkey")).select("s_suppkey", "c_custkey", "s_acctbal", "c_acctbal")
-    best = joins.best_candidate(pairs, ["s_suppkey"], F.abs(F.col("s_acctbal") - F.col("c_acctbal")), ["c_custkey"])
-    return best.select("s_suppkey", "c_custkey", F.round("score", 2).alias("gap"))
+    s, c = (t(spark, d, name).withColumnRenamed(f"{name[0]}_nationkey", "nation") for name in ("supplier", "customer"))
+    best = joins.best_by_gap(s, c, ["nation"], "s_suppkey", "s_acctbal", "c_custkey", "c_acctbal")
+    return best.select("s_suppkey", "c_custkey", F.round("gap", 2).alias("gap"))
 
 
 @query("SELECT DISTINCT a.s_suppkey AS left_id, b.s_suppkey AS right_id FROM supplier a JOIN supplier b ON a.s_suppkey <> b.s_suppkey AND (floor(a.s_acctbal / 100) = floor(b.s_acctbal / 100) OR (a.s_nationkey = b.s_nationkey AND a.s_suppkey % 3 = b.s_suppkey % 3))")

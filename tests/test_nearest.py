@@ -57,3 +57,22 @@ def test_medians_equal_the_plain_ones(spark):
     filled = aggs.impute_median(df, "v", ["g"]).collect()
     assert len(filled) == len(rows) and all(r.v is not None for r in filled if r.g != "only null")
     assert len(aggs.z_score(df.where("false"), "v").collect()) == 0 and {r.z for r in aggs.z_score(df.withColumn("v", F.lit(3)), "v").collect()} == {0.0}
+
+
+def test_best_by_gap_equals_best_candidate_of_all_pairs(spark):
+    """Repeated and unknown keys and scores included; no pair is made."""
+    rng = random.Random(9)
+    left = [(rng.randint(0, 120), rng.choice(["a", "a", "b", "c", "d", None]), rng.choice([None, *range(9)])) for _ in range(200)]
+    right = [(i, rng.choice(["a", "a", "b", None]), rng.choice([None, *range(0, 20, 2)])) for i in range(60)] + [(70, "c", None), (71, "c", None)]
+    want = {}
+    for u, b, s in left:
+        for c, x, v in right:
+            if b is not None and b == x:
+                gap = None if s is None or v is None else float(abs(s - v))
+                pair = (gap is None, gap or 0.0, c, gap)
+                want[u] = min(want.get(u, pair), pair)
+    l, r = spark.createDataFrame(left, "u long, block string, s int"), spark.createDataFrame(right, "c long, block string, v int")
+    l, r = l.withColumn("s", F.col("s").cast("double")), r.withColumn("v", F.col("v").cast("double"))
+    plan = joins.best_by_gap(l, r, ["block"], "u", "s", "c", "v")
+    assert {x.u: (x.c, x.gap) for x in plan.collect()} == {u: (p[2], p[3]) for u, p in want.items()}
+    assert "CartesianProduct" not in plan._jdf.queryExecution().executedPlan().toString()
