@@ -13,6 +13,9 @@ from plinth.sources.io import ContractError
 
 KeyFun = Callable[[Column], Column]
 
+#: Tasks that share the rows of one key in `either_key`.
+PARTS_OF_A_KEY = 8
+
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that more than one row has; null keys never join and don't count."""
@@ -117,15 +120,36 @@ def lookup_join(left: DataFrame, table: DataFrame, key: str, value: str, default
 def either_key(left: DataFrame, right: DataFrame, alternatives: Sequence[Sequence[str]], left_id: str, right_id: str) -> DataFrame:
     """Distinct (left_id, right_id) pairs that agree on all keys of at least one alternative.
 
-    One equi-join for each alternative, then a union; an OR-condition would be a nested loop.
+    One equi-join for each alternative, then a union; an OR-condition would be a nested loop. A pair counts for the
+    first alternative that it agrees on, so where ids are unique no pair comes twice, and pairs, of which there can be
+    many more than rows, are neither shuffled nor held. The rows of a key are dealt to several tasks.
     """
-    out = None
-    for keys in alternatives:
-        l = left.select(F.col(left_id).alias("left_id"), *keys).dropna(subset=list(keys))
-        r = right.select(F.col(right_id).alias("right_id"), *keys).dropna(subset=list(keys))
-        pairs = l.join(r, list(keys)).select("left_id", "right_id")
+    named = lambda df, i, k: df.select(F.col(i).alias(f"{k}_id"), *[F.col(c).alias(f"_{k}_{c}") for c in dict.fromkeys(c for a in alternatives for c in a)])
+    l, r = named(left, left_id, "left"), named(right, right_id, "right")
+    repeated = any(not duplicate_ids(df, c).isEmpty() for df, c in ((l, "left_id"), (r, "right_id")))
+
+    def agree(keys: Sequence[str]) -> Column:
+        both = F.lit(True)
+        for k in keys:
+            both &= F.col(f"_left_{k}") == F.col(f"_right_{k}")
+        return both
+
+    out, parts = None, F.lit(PARTS_OF_A_KEY)
+    l = l.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "left_id")  # a small file is one task otherwise, whatever its pairs
+    for n, keys in enumerate(alternatives):
+        mine = l.dropna(subset=[f"_left_{k}" for k in keys]).withColumn("_deal", F.pmod(F.xxhash64("left_id"), parts))
+        theirs = r.dropna(subset=[f"_right_{k}" for k in keys]).withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        condition = agree(keys) & (F.col("_deal") == F.col("_part"))
+        for before in alternatives[:n]:
+            condition &= ~F.coalesce(agree(before), F.lit(False))
+        pairs = mine.join(theirs, condition).select("left_id", "right_id")
         out = pairs if out is None else out.unionByName(pairs)
-    return out.distinct()
+    return out.distinct() if repeated else out
+
+
+def duplicate_ids(df: DataFrame, name: str) -> DataFrame:
+    """Values, null included, that more than one row has."""
+    return df.groupBy(name).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
 
 
 def best_candidate(pairs: DataFrame, key: Sequence[str], score: Column, tiebreak: Sequence[str]) -> DataFrame:

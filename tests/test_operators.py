@@ -387,3 +387,20 @@ def test_ks_p_of_a_perfect_fit_of_many_rows():
     at = lambda t: ks_p(t / (1e6 + 0.12 + 0.11e-6), 10**12)
     assert abs(at(1 - 1e-9) - at(1 + 1e-9)) < 1e-8
     assert abs(at(0.5) - 0.9639) < 1e-4 and abs(at(0.8276) - 0.5) < 1e-3 and abs(at(1.3581) - 0.05) < 1e-4
+
+
+def test_either_key_holds_no_pairs(spark):
+    """Each pair once, repeated and null ids and keys included; unique ids need no distinct of pairs."""
+    from plinth.operators import joins
+
+    rows = [(i, i % 5 if i % 7 else None, i % 3, i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, a int, b int, c int")
+    agrees = lambda x, y: (x[1] is not None and x[1] == y[1]) or x[2:] == y[2:]
+    plan = joins.either_key(df, df, [["a"], ["b", "c"]], "id", "id")
+    assert sorted(map(tuple, plan.collect())) == sorted((x[0], y[0]) for x in rows for y in rows if agrees(x, y))
+    assert "HashAggregate" not in plan._jdf.queryExecution().executedPlan().toString()
+    twice = df.unionByName(df.withColumn("a", df["a"] + 1)).unionByName(spark.createDataFrame([(None, 1, 1, 1)] * 2, df.schema))
+    more = [tuple(r) for r in twice.collect()]
+    want = {(x[0], y[0]) for x in more for y in more if agrees(x, y)}
+    got = [tuple(r) for r in joins.either_key(twice, twice, [["a"], ["b", "c"]], "id", "id").collect()]
+    assert len(got) == len(want) and set(got) == want
