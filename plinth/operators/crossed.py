@@ -6,11 +6,16 @@ does not hang on the others, so its rows are gathered once, as arrays in one
 row of a written table; then every round is one pass over components that
 finds the modes of their intercepts by Newton's method for a few parameter
 vectors at once, adds the logarithm of the determinant of their information,
-and takes one number for each vector back. Components of alike size are solved
-together. Fits move by Newton steps from finite differences of these numbers.
-
-A component's information is dense, so its groups and rows are bounded; beyond
-`most_groups` or `most_rows` is an error that names the bound, not a sample.
+and takes one number for each vector back. Fits move by Newton steps from finite
+differences of these numbers. Equal rows of two groups are one row with a count.
+
+Groups of one factor share no rows, so both diagonal blocks of the information
+are diagonal and the larger one is eliminated. A component with a single group
+of one factor (nested groups) leaves one number, and all such components of a
+batch are solved by sums over their rows. The others leave a dense block of the
+smaller factor, those of alike size together. So groups and rows of a component
+are bounded; beyond `most_groups` or `most_rows` is an error that names the
+bound, not a sample.
 Rows with a null in the outcome, a covariate or a factor are left out.
 """
 
@@ -30,78 +35,144 @@ from plinth.operators.lineage import cut
 from plinth.sources.io import ContractError
 
 
-def row_terms(y: np.ndarray, eta: np.ndarray, family: str, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log likelihood, its slope and its observed curvature (positive) in the linear predictor."""
+def slopes(y: np.ndarray, eta: np.ndarray, family: str, theta: float | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slope and observed curvature (positive) of the log likelihood in the linear predictor."""
     if family == "binomial":
         mu = 1 / (1 + np.exp(-eta))
-        return y * eta - np.logaddexp(0, eta), y - mu, mu * (1 - mu)
+        return y - mu, mu * (1 - mu)
     mu = np.exp(np.minimum(eta, 50))
     if family == "poisson":
-        return y * eta - mu - log_gamma(y + 1), y - mu, mu
+        return y - mu, mu
     share = mu / (theta + mu)
-    log_l = log_gamma(y + theta) - log_gamma(theta) - log_gamma(y + 1) - theta * np.log1p(mu / theta) + y * np.log(share + 1e-300)
-    return log_l, y - (y + theta) * share, (y + theta) * share * (1 - share)
+    return y - (y + theta) * share, (y + theta) * share * (1 - share)
+
+
+def constants(y: np.ndarray, family: str, theta: float) -> np.ndarray:
+    """The part of the log likelihood that does not hang on the predictor."""
+    if family == "binomial":
+        return np.zeros_like(y)
+    return -log_gamma(y + 1) if family == "poisson" else log_gamma(y + theta) - log_gamma(np.array(theta)) - log_gamma(y + 1)
+
 
+def log_terms(y: np.ndarray, eta: np.ndarray, family: str, theta: float) -> np.ndarray:
+    """The part of the log likelihood that hangs on the predictor."""
+    if family == "binomial":
+        return y * eta - np.logaddexp(0, eta)
+    mu = np.exp(np.minimum(eta, 50))
+    return y * eta - mu if family == "poisson" else -theta * np.log1p(mu / theta) + y * np.log(mu / (theta + mu) + 1e-300)
 
-def laplace(y: np.ndarray, offset: np.ndarray, first: np.ndarray, second: np.ndarray, real: np.ndarray, groups: tuple[np.ndarray, np.ndarray], sds: np.ndarray, family: str, theta: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Approximate marginal log likelihood of each problem, and the modes of its intercepts (searched for from `start`).
 
-    Problems x rows: y, the fixed part of the predictor, each row's group in both factors and whether the row is real.
-    `groups` are the numbers of groups, `sds` (problems x 2) the standard deviations. Padded groups get precision 1 and no rows.
+def row_terms(y: np.ndarray, eta: np.ndarray, family: str, theta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log likelihood, its slope and its observed curvature (positive) in the linear predictor."""
+    return (log_terms(y, eta, family, theta) + constants(y, family, theta), *slopes(y, eta, family, theta))
+
+
+#: Newton's steps end below this: the error left is of the order of its square.
+SMALL = 1e-6
+
+
+def nested_laplace(y: np.ndarray, w: np.ndarray, offset: np.ndarray, outer: np.ndarray, inner: np.ndarray, firsts: np.ndarray, owner: np.ndarray, sds: tuple[float, float], family: str, theta: float, start: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[float, tuple[np.ndarray, np.ndarray]]:
+    """Sum over components with one outer group each of their approximate marginal log likelihoods (without `constants`), and the modes.
+
+    Rows: y, count, fixed part of the predictor, outer and inner group. Inner groups: their owner, which rises; `firsts` is each owner's first.
     """
-    n, width = y.shape
+    k, m = len(firsts), len(owner)
+    p, q = 1 / sds[0] ** 2, 1 / sds[1] ** 2
+    u, v = start if start is not None else (np.zeros(k), np.zeros(m))
+
+    def blocks(bend: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        c = np.bincount(inner, w * bend, m)
+        return c, c + q, p + np.bincount(owner, c * q / (c + q), k)
+
+    for _ in range(60):
+        slope, bend = slopes(y, offset + u[outer] + v[inner], family, theta)
+        c, d, s = blocks(bend)
+        g = np.bincount(inner, w * slope, m)
+        top, g = np.bincount(owner, g, k) - p * u, g - q * v
+        du = (top - np.bincount(owner, c / d * g, k)) / s
+        dv = (g - c * du[owner]) / d
+        scale = np.minimum(1, 3 / np.maximum(np.maximum(np.abs(du), np.maximum.reduceat(np.abs(dv), firsts)), 1e-12))
+        du, dv = du * scale, dv * scale[owner]
+        u, v = u + du, v + dv
+        if max(np.abs(du).max(), np.abs(dv).max()) < SMALL:
+            break
+    eta = offset + u[outer] + v[inner]
+    _, d, s = blocks(slopes(y, eta, family, theta)[1])
+    spread = np.log(d).sum() + np.log(s).sum() + 2 * (k * math.log(sds[0]) + m * math.log(sds[1])) + p * (u**2).sum() + q * (v**2).sum()
+    return float(w @ log_terms(y, eta, family, theta)) - 0.5 * float(spread), (u, v)
+
+
+def laplace(y: np.ndarray, w: np.ndarray, offset: np.ndarray, few: np.ndarray, many: np.ndarray, groups: tuple[np.ndarray, np.ndarray], sds: tuple[float, float], family: str, theta: float, start: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[float, tuple[np.ndarray, np.ndarray]]:
+    """The same of any components, padded (components x rows): the block of the second factor is eliminated, that of the first solved densely.
+
+    Padded rows have the count 0; padded groups get precision 1 and no rows. `groups` are the numbers of groups.
+    """
+    n = len(y)
     k1, k2 = int(groups[0].max()), int(groups[1].max())
-    m = k1 + k2
+    held = [np.arange(k)[None, :] < g[:, None] for k, g in zip((k1, k2), groups)]
+    p, q = (np.where(h, 1 / sd**2, 1.0) for h, sd in zip(held, sds))
     at = np.arange(n)[:, None]
-    one, two = first, k1 + second  # places of a row's groups among all
-    held = np.concatenate([np.arange(k1)[None, :] < groups[0][:, None], np.arange(k2)[None, :] < groups[1][:, None]], axis=1)
-    sd = np.repeat(sds, [k1, k2], axis=1)
-    precision = np.where(held, 1 / sd**2, 1.0)
-    by_group = np.concatenate([(at * m + g).ravel() for g in (one, two)])
-    by_pair = np.concatenate([((at * m + g) * m + h).ravel() for g, h in ((one, one), (two, two), (one, two), (two, one))])
-
-    def information(bend: np.ndarray) -> np.ndarray:
-        info = np.bincount(by_pair, np.tile((bend * real).ravel(), 4), n * m * m).reshape(n, m, m)
-        info[:, np.arange(m), np.arange(m)] += precision
-        return info
-
-    def predictor(modes: np.ndarray) -> np.ndarray:
-        return offset + np.take_along_axis(modes, one, 1) + np.take_along_axis(modes, two, 1)
-
-    modes = np.zeros((n, m)) if start is None else start
+    by_few, by_many, by_both = (at * k1 + few).ravel(), (at * k2 + many).ravel(), ((at * k1 + few) * k2 + many).ravel()
+    u, v = start if start is not None else (np.zeros((n, k1)), np.zeros((n, k2)))
+
+    def predictor() -> np.ndarray:
+        return offset + np.take_along_axis(u, few, 1) + np.take_along_axis(v, many, 1)
+
+    def blocks(bend: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        c = np.bincount(by_both, (bend * w).ravel(), n * k1 * k2).reshape(n, k1, k2)
+        d = c.sum(axis=1) + q
+        s = -(c / d[:, None, :]) @ c.transpose(0, 2, 1)
+        s[:, np.arange(k1), np.arange(k1)] += c.sum(axis=2) + p
+        return c, d, s
+
     for _ in range(60):
-        _, slope, bend = row_terms(y, predictor(modes), family, theta)
-        gradient = np.bincount(by_group, np.tile((slope * real).ravel(), 2), n * m).reshape(n, m) - precision * modes
-        step = np.linalg.solve(information(bend), gradient[:, :, None])[:, :, 0]
-        step *= np.minimum(1, 3 / np.maximum(np.abs(step).max(axis=1, keepdims=True), 1e-12))
-        modes = modes + step
-        if np.abs(step).max() < 1e-9:
+        slope, bend = slopes(y, predictor(), family, theta)
+        c, d, s = blocks(bend)
+        g = np.bincount(by_few, (slope * w).ravel(), n * k1).reshape(n, k1) - p * u
+        h = np.bincount(by_many, (slope * w).ravel(), n * k2).reshape(n, k2) - q * v
+        du = np.linalg.solve(s, g[:, :, None] - c @ (h / d)[:, :, None])[:, :, 0]
+        dv = (h - (du[:, None, :] @ c)[:, 0, :]) / d
+        scale = np.minimum(1, 3 / np.maximum(np.maximum(np.abs(du).max(axis=1, keepdims=True), np.abs(dv).max(axis=1, keepdims=True)), 1e-12))
+        du, dv = du * scale, dv * scale
+        u, v = u + du, v + dv
+        if max(np.abs(du).max(), np.abs(dv).max()) < SMALL:
             break
-    log_l, _, bend = row_terms(y, predictor(modes), family, theta)
-    half = 0.5 * (np.linalg.slogdet(information(bend))[1] + (np.log(sd**2) * held).sum(axis=1))
-    return (log_l * real).sum(axis=1) - 0.5 * (precision * modes**2).sum(axis=1) - half, modes
+    eta = predictor()
+    _, d, s = blocks(slopes(y, eta, family, theta)[1])
+    spread = np.log(d).sum() + np.linalg.slogdet(s)[1].sum() + 2 * sum(h.sum() * math.log(sd) for h, sd in zip(held, sds)) + (p * u**2).sum() + (q * v**2).sum()
+    return float((w * log_terms(y, eta, family, theta)).sum()) - 0.5 * float(spread), (u, v)
 
 
 def gathered(df: DataFrame, outcome: str, covariates: Sequence[str], first: str, second: str, most_groups: int, most_rows: int) -> DataFrame:
-    """One row for each component: y, x (rows x columns, flat), a and b (codes from 0), n_a, n_b."""
+    """One row for each component: y, w (count), x (rows x columns, flat), a and b (codes from 0), n_a, n_b."""
     q = lambda c: F.col(f"`{c}`")
     x = F.array(F.lit(1.0), *[q(c).cast("double") for c in covariates])
     rows = df.dropna(subset=[outcome, *covariates, first, second])
     rows = cut(rows.select(q(outcome).cast("double").alias("y"), x.alias("x"), F.concat(F.lit("a"), q(first).cast("string")).alias("a"), F.concat(F.lit("b"), q(second).cast("string")).alias("b")))
-    of = components(rows.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    placed = rows.join(of.select(F.col("node").alias("a"), "component"), "a")
-    sizes = placed.groupBy("component").agg(F.count("*").alias("n"), F.count_distinct("a").alias("n_a"), F.count_distinct("b").alias("n_b"))
-    worst = sizes.agg(F.max("n"), F.max(F.col("n_a") + F.col("n_b"))).first()
-    if worst[0] is None:
+    # Where each group of one factor lies in a single group of the other, the latter are the components.
+    alone = lambda group, of: rows.groupBy(group).agg(F.min(of).alias("l"), F.max(of).alias("h")).where("l <> h").isEmpty()
+    owner = "a" if alone("b", "a") else "b" if alone("a", "b") else None
+    if owner:
+        placed = rows.withColumn("component", F.col(owner))
+    else:
+        of = components(rows.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        placed = rows.join(of.select(F.col("node").alias("a"), "component"), "a")
+    most = placed.groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if most is None:
         raise ContractError("no complete rows to fit")
-    if worst[0] > most_rows or worst[1] > most_groups:
-        raise ContractError(f"a component has {worst[0]} rows and {worst[1]} groups; at most {most_rows} and {most_groups} are solved densely")
-    lists = placed.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("a", "b", "x", "y"))).alias("r"))
+    if most > most_rows:
+        raise ContractError(f"a component has {most} rows; at most {most_rows} rows and {most_groups} groups are solved densely")
+    counted = placed.repartition("component").groupBy("component", "a", "b", "x", "y").agg(F.count("*").cast("double").alias("w"))
+    lists = counted.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("a", "b", "x", "y", "w"))).alias("r"))
     codes = lists.withColumn("as_", F.array_distinct("r.a")).withColumn("bs", F.array_sort(F.array_distinct("r.b")))
-    return cut(codes.select(
-        F.col("r.y").alias("y"), F.flatten("r.x").alias("x"), F.size("as_").alias("n_a"), F.size("bs").alias("n_b"),
+    held = cut(codes.select(
+        F.col("r.y").alias("y"), F.col("r.w").alias("w"), F.flatten("r.x").alias("x"), F.size("as_").alias("n_a"), F.size("bs").alias("n_b"),
         F.transform("r.a", lambda v: (F.array_position("as_", v) - 1).cast("int")).alias("a"), F.transform("r.b", lambda v: (F.array_position("bs", v) - 1).cast("int")).alias("b"),
     ))
+    groups = held.agg(F.max(F.col("n_a") + F.col("n_b"))).first()[0]
+    if groups > most_groups:
+        raise ContractError(f"a component has {groups} groups; at most {most_groups} are solved densely")
+    return held
 
 
 def log_likelihoods(held: DataFrame, vectors: np.ndarray, p: int, family: str) -> np.ndarray:
@@ -110,15 +181,25 @@ def log_likelihoods(held: DataFrame, vectors: np.ndarray, p: int, family: str) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(vectors))
         for batch in batches:
-            problems = batch.to_pylist()
-            classes: dict[tuple[int, int, int], list[dict]] = {}
-            for r in problems:
-                key = tuple(1 << (v - 1).bit_length() for v in (len(r["y"]), r["n_a"], r["n_b"]))
-                classes.setdefault(key, []).append(r)
+            if not batch.num_rows:
+                continue
+            flat = {c: batch[c].flatten().to_numpy(zero_copy_only=False) for c in ("y", "w", "x", "a", "b")}
+            rows = np.diff(batch["y"].offsets.to_numpy())
+            parts = {"x": flat["x"].reshape(-1, p), **{c: flat[c] for c in ("y", "w", "a", "b")}}
+            n_a, n_b = (batch[c].to_numpy() for c in ("n_a", "n_b"))
+            inner = np.where(n_a == 1, 1, np.where(n_b == 1, 0, -1))  # the factor with many groups, where the other has one
+            for kind in (0, 1):
+                if (inner == kind).any():
+                    total += _nested(parts, rows, inner == kind, (n_a, n_b)[kind], kind, vectors, p, family)
+            classes: dict[tuple[int, int, int], list[int]] = {}
+            for i in np.flatnonzero(inner < 0):
+                classes.setdefault(tuple(1 << (int(v) - 1).bit_length() for v in (rows[i], n_a[i], n_b[i])), []).append(i)
+            ends = np.cumsum(rows)
             for (width, k1, k2), members in classes.items():
-                most = max(1, (1 << 22) // (width * (k1 + k2) + (k1 + k2) ** 2) // len(vectors))
+                most = max(1, (1 << 22) // (width * 4 + k1 * k2 + min(k1, k2) ** 2))
                 for i in range(0, len(members), most):
-                    total += _solved(members[i : i + most], width, vectors, p, family)
+                    some = np.array(members[i : i + most])
+                    total += _padded(parts, ends[some] - rows[some], rows[some], n_a[some], n_b[some], vectors, p, family)
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["s"])
 
     sums = held.mapInArrow(run, "s array<double>").select(F.posexplode("s").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v"))
@@ -128,28 +209,37 @@ def log_likelihoods(held: DataFrame, vectors: np.ndarray, p: int, family: str) -
     return out
 
 
-def _solved(members: list[dict], width: int, vectors: np.ndarray, p: int, family: str) -> np.ndarray:
-    c = len(members)
-    y, real = np.zeros((c, width)), np.zeros((c, width))
-    x, a, b = np.zeros((c, width, p)), np.zeros((c, width), int), np.zeros((c, width), int)
-    for i, r in enumerate(members):
-        n = len(r["y"])
-        y[i, :n], real[i, :n], a[i, :n], b[i, :n] = r["y"], 1, r["a"], r["b"]
-        x[i, :n] = np.reshape(r["x"], (n, p))
-    sizes = [np.array([r[f] for r in members]) for f in ("n_a", "n_b")]
-
-    def some(own: np.ndarray, start: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        k = len(own)
-        wide = lambda v: np.tile(v, (k, 1))
-        offset = np.einsum("crp,kp->kcr", x, own[:, :p]).reshape(k * c, width)
-        sds = np.repeat(np.exp(own[:, p : p + 2]), c, axis=0)
-        theta = np.repeat(np.exp(own[:, p + 2]), c)[:, None] if family == "negative_binomial" else np.ones((k * c, 1))
-        values, modes = laplace(wide(y), offset, wide(a), wide(b), wide(real), tuple(np.tile(s, k) for s in sizes), sds, family, theta, start)
-        return values.reshape(k, c).sum(axis=1), modes
-
-    # The first vector's modes are near those of the others, which differ from it by little.
-    value, modes = some(vectors[:1], None)
-    return np.concatenate([value, some(vectors[1:], np.tile(modes, (len(vectors) - 1, 1)))[0]]) if len(vectors) > 1 else value
+def _each(vectors: np.ndarray, p: int, family: str, y: np.ndarray, w: np.ndarray, solve: Callable) -> np.ndarray:
+    """A value for each vector by `solve(vector, sds, theta, start)`; the first one's modes are near those of the others, which differ from it by little."""
+    values, ways = np.unique(y, return_inverse=True)
+    counts = np.bincount(ways.ravel(), w.ravel(), len(values))
+    out, start = np.zeros(len(vectors)), None
+    for i, vector in enumerate(vectors):
+        theta = math.exp(vector[p + 2]) if family == "negative_binomial" else 1.0
+        value, modes = solve(vector[:p], np.exp(vector[p : p + 2]), theta, start)
+        start = modes if start is None else start
+        out[i] = value + float(counts @ constants(values, family, theta))
+    return out
+
+
+def _nested(parts: Mapping[str, np.ndarray], rows: np.ndarray, own: np.ndarray, groups: np.ndarray, kind: int, vectors: np.ndarray, p: int, family: str) -> np.ndarray:
+    """Components `own`, whose factor `kind` (0: a, 1: b) has `groups` groups and whose other one has one."""
+    keep = np.repeat(own, rows)
+    y, w, x = (parts[c][keep] for c in ("y", "w", "x"))
+    outer, firsts = np.repeat(np.arange(own.sum()), rows[own]), np.cumsum(groups[own]) - groups[own]
+    inner, owner = firsts[outer] + parts["ab"[kind]][keep], np.repeat(np.arange(own.sum()), groups[own])
+    order = (1 - kind, kind)  # sds of the outer and the inner factor
+    return _each(vectors, p, family, y, w, lambda beta, sds, theta, start: nested_laplace(y, w, x @ beta, outer, inner, firsts, owner, (sds[order[0]], sds[order[1]]), family, theta, start))
+
+
+def _padded(parts: Mapping[str, np.ndarray], begins: np.ndarray, rows: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, vectors: np.ndarray, p: int, family: str) -> np.ndarray:
+    at = np.arange(rows.max())[None, :]
+    real = at < rows[:, None]
+    place = np.where(real, begins[:, None] + at, begins[:, None])
+    y, w, x, a, b = (parts[c][place] for c in ("y", "w", "x", "a", "b"))
+    w = w * real
+    few, many, groups, order = (a, b, (n_a, n_b), (0, 1)) if n_a.max() <= n_b.max() else (b, a, (n_b, n_a), (1, 0))
+    return _each(vectors, p, family, y, w, lambda beta, sds, theta, start: laplace(y, w, x @ beta, few, many, groups, (sds[order[0]], sds[order[1]]), family, theta, start))
 
 
 def maximise(evaluate: Callable[[np.ndarray], np.ndarray], v: np.ndarray, least: np.ndarray, rounds: int = 30, h: float = 1e-3, tolerance: float = 1e-5) -> tuple[np.ndarray, float, np.ndarray, bool]:

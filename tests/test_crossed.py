@@ -98,3 +98,17 @@ def test_no_variance_and_bounds(spark):
         crossed.fit_crossed(spark.createDataFrame([], KIND), "y", ["x"], "pair", "npi")
     with pytest.raises(ValueError):
         crossed.fit_crossed(spark.createDataFrame(flat, KIND), "y", ["x"], "pair", "npi", "gaussian")
+
+
+def test_nested_groups_need_no_dense_algebra_and_no_search_for_components(spark, monkeypatch):
+    """A pair with many clinicians, either factor outside, and equal rows counted once."""
+    rows = made(8, 3, 60, 5, (0.7, 0.5), "poisson")
+    monkeypatch.setattr(crossed, "components", None)
+    monkeypatch.setattr(crossed, "laplace", None)
+    x, vector = np.array([[1.0, r[2]] for r in rows]), np.array([0.4, 0.9, math.log(0.7), math.log(0.4)])
+    want = dense(rows, x, vector[:2], np.exp(vector[2:]), "poisson", 1.0)
+    df = spark.createDataFrame(rows, KIND)
+    for first, second, own in (("pair", "npi", vector), ("npi", "pair", vector[[0, 1, 3, 2]])):
+        held = crossed.gathered(df, "y", ["x"], first, second, 100, 1000)
+        assert held.count() == 3 and sum(len(r.y) for r in held.collect()) < len(rows)
+        assert crossed.log_likelihoods(held, own[None, :], 2, "poisson")[0] == pytest.approx(want, abs=1e-6)
