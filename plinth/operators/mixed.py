@@ -1,10 +1,13 @@
 """Mixed models with a random intercept: binomial (logit) and negative binomial (log).
 
 The marginal likelihood of a group is a Gauss-Hermite sum over the intercept.
-Each round sends a few parameter vectors to the rows, sums the rows' log
-likelihoods by group and node with partial sums, and takes one number for each
-vector back; so a large group is no task's burden and no data are gathered.
-Newton steps use finite differences of these numbers.
+Equal rows of a group become one row with a count, and these are written once,
+dealt by group. Each round sends a few parameter vectors to them, finishes the
+groups that are whole in a task there and takes one number for each vector
+back, so no round shuffles rows or groups. Only groups of more than `PIECE`
+distinct rows are dealt in pieces, so that none is one task's burden; their
+sums by node, one row for each piece and task, are added by a shuffle. Newton
+steps use finite differences of these numbers.
 """
 
 from __future__ import annotations
@@ -13,10 +16,11 @@ import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plinth.operators.lineage import cut
 from plinth.operators.stats import fit_glm
 from plinth.sources.io import ContractError
 
@@ -32,42 +36,86 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + series - shift
 
 
-def _row_terms(y: np.ndarray, eta: np.ndarray, family: str, theta: float) -> np.ndarray:
-    if family == "binomial":
-        return y * eta - np.logaddexp(0, eta)
-    mu = np.exp(np.minimum(eta, 50))
-    return log_gamma(y + theta) - log_gamma(np.array(theta)) - log_gamma(y + 1) + theta * np.log(theta / (theta + mu)) + y * np.log(mu / (theta + mu) + 1e-300)
+#: Distinct rows of a group beyond which it is dealt in pieces.
+PIECE = 50_000
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """g, y, x, n (count of equal rows), large: written once, a group that is not large in one partition and one run of it."""
+    counted = rows.groupBy("g", "y", "x").agg(F.count("*").alias("n"))
+    sizes = counted.groupBy("g").agg(F.count("*").alias("k")).where(F.col("k") > PIECE).select(F.col("g").alias("_big"))
+    placed = counted.join(sizes, F.col("g") == F.col("_big"), "left").withColumn("large", F.col("_big").isNotNull()).drop("_big")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    piece = F.when(F.col("large"), F.pmod(F.xxhash64("y", "x"), F.lit(1 << 20))).otherwise(0)
+    return cut(placed.repartition(parts, "g", piece).sortWithinPartitions("g"))
 
 
 def log_likelihoods(rows: DataFrame, vectors: np.ndarray, p: int, family: str, nodes: int) -> np.ndarray:
-    """Marginal log likelihood of each parameter vector (coefficients, log sd, log theta)."""
+    """Marginal log likelihood of each parameter vector (coefficients, log sd, log theta) over what `dealt` gives."""
     at, weight = np.polynomial.hermite_e.hermegauss(nodes)
     log_w = np.log(weight / math.sqrt(2 * math.pi))
     n = len(vectors)
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            y, x = pdf["y"].to_numpy(float), np.stack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, p))
-            terms = np.empty((len(pdf), n * nodes))
-            for i, v in enumerate(vectors):
-                eta = (x @ v[:p])[:, None] + math.exp(v[p]) * at[None, :]
-                terms[:, i * nodes : (i + 1) * nodes] = _row_terms(y[:, None], eta, family, math.exp(v[p + 1]) if family != "binomial" else 1.0)
-            codes, groups = pd.factorize(pdf["g"])
-            sums = np.zeros((len(groups), n * nodes))
-            np.add.at(sums, codes, terms)
-            yield pd.DataFrame({"g": groups, "s": list(sums)})
-
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            s = pdf.drop(columns="g").to_numpy(float).reshape(len(pdf), n, nodes) + log_w
-            top = s.max(axis=2)
-            yield pd.DataFrame((top + np.log(np.exp(s - top[:, :, None]).sum(axis=2))).sum(axis=0)[None, :], columns=[f"l{i}" for i in range(n)])
-
-    parts = rows.mapInPandas(partial, "g string, s array<double>")
-    by_group = parts.groupBy("g").agg(*[F.sum(F.get("s", F.lit(k))).alias(f"s{k}") for k in range(n * nodes)])
-    totals = by_group.mapInPandas(whole, ", ".join(f"l{i} double" for i in range(n)))
-    got = totals.agg(*[F.sum(f"l{i}") for i in range(n)]).first()
-    return np.array([x if x is not None else 0.0 for x in got])
+    def marginal(sums: np.ndarray) -> np.ndarray:
+        """Vectors: sum over groups; `sums` are groups x vectors x nodes."""
+        s = sums + log_w
+        top = s.max(axis=2)
+        return (top + np.log(np.exp(s - top[:, :, None]).sum(axis=2))).sum(axis=0)
+
+    def group_sums(y: np.ndarray, x: np.ndarray, count: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        values, ways = np.unique(y, return_inverse=True)
+        out = np.empty((len(firsts), n, nodes))
+        for i, v in enumerate(vectors):
+            eta = (x @ v[:p])[:, None] + math.exp(v[p]) * at[None, :]
+            if family == "binomial":
+                terms = y[:, None] * eta - np.logaddexp(0, eta)
+            else:
+                theta, mu = math.exp(v[p + 1]), np.exp(np.minimum(eta, 50))
+                fixed = log_gamma(values + theta) - log_gamma(np.array(theta)) - log_gamma(values + 1)
+                terms = fixed[ways.ravel()][:, None] + theta * np.log(theta / (theta + mu)) + y[:, None] * np.log(mu / (theta + mu) + 1e-300)
+            out[:, i] = np.add.reduceat(terms * count[:, None], firsts, axis=0)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, waiting, last = np.zeros(n), np.zeros((1, n, nodes)), None  # the group that a batch's end may have cut
+        pieces: dict[str, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = batch["g"].dictionary_encode()
+            g, large = codes.indices.to_numpy(), batch["large"].to_numpy(zero_copy_only=False)
+            firsts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            x = batch["x"].flatten().to_numpy().reshape(-1, p)
+            sums = group_sums(batch["y"].to_numpy(), x, batch["n"].to_numpy().astype(float), firsts)
+            names, kinds = codes.dictionary.take(pa.array(g[firsts])).to_pylist(), large[firsts]
+            for i in np.flatnonzero(kinds):
+                pieces[names[i]] = pieces.get(names[i], 0) + sums[i]
+            small = np.flatnonzero(~kinds)
+            if not len(small):
+                continue
+            if last is not None and names[small[0]] == last:
+                sums[small[0]] += waiting[0]
+            elif last is not None:
+                total += marginal(waiting)
+            last, waiting = names[small[-1]], sums[small[-1:]]
+            total += marginal(sums[small[:-1]]) if len(small) > 1 else 0.0
+        total += marginal(waiting) if last is not None else 0.0
+        out = [(None, total.tolist()), *[(k, v.ravel().tolist()) for k, v in pieces.items()]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.list_(pa.float64()))], names=["g", "s"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g, s in zip(batch["g"].to_pylist(), batch["s"].to_pylist()):
+                done = np.array(s) if g is None else marginal(np.reshape(s, (1, n, nodes)))
+                yield pa.RecordBatch.from_arrays([pa.array([done.tolist()], pa.list_(pa.float64()))], names=["s"])
+
+    parts = rows.mapInArrow(run, "g string, s array<double>").select("g", F.posexplode("s").alias("at", "v")).groupBy("g", "at").agg(F.sum("v").alias("v"))
+    joined = parts.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda c: c["v"]).alias("s"))
+    totals = joined.mapInArrow(whole, "s array<double>").select(F.posexplode("s").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v"))
+    out = np.zeros(n)
+    for r in totals.collect():  # a number for each vector
+        out[r["at"]] = r["v"]
+    return out
 
 
 def fit_mixed(df: DataFrame, outcome: str, covariates: Sequence[str], group: str, family: str = "binomial", nodes: int = 9, rounds: int = 25, tolerance: float = 1e-5) -> dict[str, object]:
@@ -79,7 +127,7 @@ def fit_mixed(df: DataFrame, outcome: str, covariates: Sequence[str], group: str
     known = df.dropna(subset=[outcome, group, *covariates])
     start = fit_glm(known, outcome, covariates, "binomial" if family == "binomial" else "poisson")
     x = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in covariates])
-    rows = known.select(F.col(group).cast("string").alias("g"), F.col(outcome).cast("double").alias("y"), x.alias("x"))
+    rows = dealt(known.select(F.col(group).cast("string").alias("g"), F.col(outcome).cast("double").alias("y"), x.alias("x")))
     p = len(covariates) + 1
     v = np.array([*start["coefficients"], math.log(0.5), *([math.log(2.0)] if family != "binomial" else [])])
     q, h = len(v), 1e-3

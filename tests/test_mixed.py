@@ -82,3 +82,30 @@ def test_negative_binomial_by_maximum_likelihood(spark):
         assert r.a == pytest.approx(math.lgamma(v), abs=1e-9)
         assert r.b == pytest.approx((math.lgamma(v + h) - math.lgamma(v - h)) / (2 * h), abs=1e-5)
         assert r.c == pytest.approx((math.lgamma(v + h) - 2 * math.lgamma(v) + math.lgamma(v - h)) / h**2, rel=1e-4, abs=1e-5)
+
+
+@pytest.mark.parametrize("family", ["binomial", "negative_binomial"])
+@pytest.mark.parametrize("piece", [3, 50_000])
+def test_groups_are_finished_where_they_lie(spark, monkeypatch, family, piece):
+    """Equal to the sum over all groups done by hand, with groups in pieces and across batches; whole groups are not shuffled."""
+    monkeypatch.setattr(mixed, "PIECE", piece)
+    rows = [(r.g, r.y, [1.0, r.x]) for r in simulate(spark, family, groups=40, each=15).collect()]
+    held = mixed.dealt(spark.createDataFrame(rows, "g string, y double, x array<double>").repartition(5))
+    assert held.count() < len(rows) and held.where("large").isEmpty() == (piece > 3)
+    vectors = np.array([[0.2, 0.6, -0.3, 0.9], [-0.1, 0.4, 0.2, 0.1]])
+    at, weight = np.polynomial.hermite_e.hermegauss(5)
+    want = []
+    for v in vectors:
+        theta, by = math.exp(v[3]), {}
+        for g, y, x in rows:
+            eta = v[0] + v[1] * x[1] + math.exp(v[2]) * at
+            mu = np.exp(eta)
+            nb = math.lgamma(y + theta) - math.lgamma(theta) - math.lgamma(y + 1) + theta * np.log(theta / (theta + mu)) + y * np.log(mu / (theta + mu))
+            by[g] = by.get(g, 0) + (y * eta - np.log1p(np.exp(eta)) if family == "binomial" else nb)
+        want.append(sum(math.log((weight / math.sqrt(2 * math.pi) * np.exp(s)).sum()) for s in by.values()))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert mixed.log_likelihoods(held, vectors, 2, family, 5) == pytest.approx(want, rel=1e-10)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
