@@ -353,6 +353,14 @@ def nested_test(df: DataFrame, small: dict[str, object], large: dict[str, object
     return df.sparkSession.createDataFrame([(x, k, chi2_tail(x, k))], "chi2 double, df int, p_value double")
 
 
+def nested_counts_test(df: DataFrame, outcome: str, large: Sequence[str], small: Sequence[str], family: str = "poisson") -> DataFrame:
+    """`nested_test` of two fits over the rows complete for the larger one, which are counted by pattern first and share their scans."""
+    counted = df.dropna(subset=[outcome, *large]).groupBy(*[F.col(f"`{c}`") for c in (outcome, *large)]).agg(F.count("*").alias("_n"))
+    fits = fit_many(counted, outcome, [Request(F.col("_n"), tuple(large)), Request(F.col("_n"), tuple(small))], family)
+    x, k = max(0.0, 2 * (fits[0]["log_likelihood"] - fits[1]["log_likelihood"])), len(large) - len(small)
+    return df.sparkSession.createDataFrame([(x, k, chi2_tail(x, k))], "chi2 double, df int, p_value double")
+
+
 def compare_families(df: DataFrame, outcome: str, covariates: Sequence[str]) -> DataFrame:
     """family, log_likelihood, aic, dispersion and the expected and observed share of zeros of count models."""
     rows = df.dropna(subset=[outcome, *covariates])
@@ -522,16 +530,24 @@ def drawn(keys: Sequence[str], draws: int) -> Column:
     return F.transform(u, lambda v: sum(((v > p).cast("int") for p in _POISSON_ONE), F.lit(0)).cast("tinyint"))
 
 
+def with_draws(df: DataFrame, keys: Sequence[str], draws: int) -> DataFrame:
+    """`df` plus `_draws`, the weights of all draws, hashed once for each cluster and not for each of its rows."""
+    names = [f"_d{i}" for i in range(len(keys))]
+    text = {n: F.coalesce(F.col(k).cast("string"), F.lit("\\N")) for n, k in zip(names, keys)}
+    rows = df.withColumns(text)
+    return rows.join(rows.select(*names).distinct().withColumn("_draws", drawn(names, draws)), names).drop(*names)
+
+
 def bootstrap(df: DataFrame, outcome: str, covariates: Sequence[str], keys: Sequence[str], draws: int, family: str = "binomial") -> DataFrame:
     """draw, term, estimate: fits under Poisson weights of the rows' clusters `keys`; all draws share their scans."""
-    fits = fit_many(df, outcome, [Request(None, tuple(covariates))] * draws, family, draws=drawn(keys, draws))
+    fits = fit_many(with_draws(df, keys, draws), outcome, [Request(None, tuple(covariates))] * draws, family, draws=F.col("_draws"))
     out = [(draw, name, b) for draw, fit in enumerate(fits) for name, b in zip(fit["names"], fit["coefficients"])]
     return df.sparkSession.createDataFrame(out, "draw int, term string, estimate double")
 
 
 def retention(df: DataFrame, outcome: str, covariates: Sequence[str], keys: Sequence[str], draws: int = 50, below: float = 0.1, family: str = "binomial") -> DataFrame:
     """term, n_draws, n_kept, share: draws in which a covariate's p stays under `below`, of those that converged."""
-    every = fit_many(df, outcome, [Request(None, tuple(covariates))] * draws, family, draws=drawn(keys, draws))
+    every = fit_many(with_draws(df, keys, draws), outcome, [Request(None, tuple(covariates))] * draws, family, draws=F.col("_draws"))
     fits = [f for f in every if f["converged"]]
     kept = {name: sum(normal_tail(f["coefficients"][i] / f["errors"][i]) < below for f in fits if f["errors"][i]) for i, name in enumerate(covariates, 1)}
     rows = [(name, len(fits), n, n / len(fits) if fits else None) for name, n in kept.items()]

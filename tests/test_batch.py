@@ -77,3 +77,28 @@ def test_no_rows_and_no_family(table):
         batch.fit_one(table, "y", ["a"], "gamma")
     some, none = batch.fit_many(table, "y", [Request(None, ("a",)), Request((F.col("i") < 0).cast("int"), ("a",))])
     assert some["converged"] and none["n"] == 0 and none["coefficients"] == [None, None] and not none["converged"]
+
+
+def test_draws_are_hashed_once_a_cluster(spark):
+    from pyspark.sql import functions as F
+
+    from plinth.operators import stats
+
+    rows = [(i, None if i % 11 == 0 else i % 7, "u" if i % 3 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "i int, a int, b string")
+    got = stats.with_draws(df, ["a", "b"], 6)
+    assert got.columns == ["i", "a", "b", "_draws"]
+    assert {r.i: r._draws for r in got.collect()} == {r.i: r.d for r in df.select("i", stats.drawn(["a", "b"], 6).alias("d")).collect()}
+    assert "_draws" in got._jdf.queryExecution().optimizedPlan().toString() and "Join" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nested_counts_test_equals_the_test_of_single_rows(spark):
+    from plinth.operators import stats
+    from plinth.operators.batch import fit_one
+
+    rows = [(i * 7 % 13, i % 3, None if i % 17 == 0 else i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "y int, a int, b int").repartition(3)
+    whole = df.dropna()
+    large, small = (fit_one(whole, "y", names, "poisson") for names in (["a", "b"], ["a"]))
+    want, got = (t.first() for t in (stats.nested_test(df, small, large, "y"), stats.nested_counts_test(df, "y", ["a", "b"], ["a"])))
+    assert abs(want.chi2 - got.chi2) < 1e-8 and want.df == got.df == 1 and abs(want.p_value - got.p_value) < 1e-8
