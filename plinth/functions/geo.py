@@ -29,16 +29,12 @@ def _cells(lat: Column, lon: Column, miles: float) -> tuple[Column, Column, Colu
     return band, F.floor((lon + 180.0) / 360.0 * around), around
 
 
-def within_miles(left: DataFrame, right: DataFrame, miles: float, on: list[str] | None = None, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Pairs at most `miles` apart, with left_/right_ columns and `miles`.
+#: Most rows of one place in one list of `within_miles`.
+ROWS_OF_A_LIST = 256
 
-    Both sides are put into cells by latitude band and longitude; the right side
-    is copied to the cells around its own, so the join is on equal cells. Rows
-    with null coordinates match nothing.
-    """
-    keys = on or []
-    a = left.select(*[F.col(c).alias(f"left_{c}") for c in left.columns]).where(f"left_{lat} is not null and left_{lon} is not null")
-    b = right.select(*[F.col(c).alias(f"right_{c}") for c in right.columns]).where(f"right_{lat} is not null and right_{lon} is not null")
+
+def _near(a: DataFrame, b: DataFrame, miles: float, on: list[str], lat: str, lon: str) -> DataFrame:
+    """Pairs of rows of `a` (left_ columns) and `b` (right_ columns) at most `miles` apart, and `miles`."""
     band, cell, _ = _cells(F.col(f"left_{lat}"), F.col(f"left_{lon}"), miles)
     a = a.withColumn("_band", band).withColumn("_cell", cell)
     degrees = math.degrees(miles / EARTH_MILES) * 1.0001
@@ -50,13 +46,57 @@ def within_miles(left: DataFrame, right: DataFrame, miles: float, on: list[str]
     near = near.withColumn("_cell", F.explode(cells)).drop("_around")
     a = a.withColumn("_cell", F.pmod(F.col("_cell"), _cells(F.col(f"left_{lat}"), F.col(f"left_{lon}"), miles)[2]))
     condition = (a["_band"] == near["_band"]) & (a["_cell"] == near["_cell"])
-    for k in keys:
+    for k in on:
         condition = condition & (F.col(f"left_{k}") == F.col(f"right_{k}"))
     d = haversine_miles(F.col(f"left_{lat}"), F.col(f"left_{lon}"), F.col(f"right_{lat}"), F.col(f"right_{lon}"))
     joined = a.join(near, condition).drop("_band", "_cell").withColumn("miles", d)
     return joined.where(F.col("miles") <= miles)
 
 
+def _side(df: DataFrame, side: str, lat: str, lon: str) -> DataFrame:
+    """Rows with coordinates, their columns marked with the side."""
+    return df.select(*[F.col(f"`{c}`").alias(f"{side}_{c}") for c in df.columns]).where(f"{side}_{lat} is not null and {side}_{lon} is not null")
+
+
+def _listed(df: DataFrame, place: list[str], name: str) -> DataFrame:
+    """Places, each with its rows in lists of at most ROWS_OF_A_LIST; lists are dealt to all tasks, as a small file is one task otherwise."""
+    ordered = df.sortWithinPartitions(*place, F.xxhash64(*df.columns))
+    blocks = ordered.withColumn("_block", F.floor(F.monotonically_increasing_id() / ROWS_OF_A_LIST))
+    dealt = blocks.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *place, "_block")
+    rest = [c for c in df.columns if c not in place]
+    return dealt.groupBy(*place, "_block").agg(F.collect_list(F.struct(*rest)).alias(name)).drop("_block")
+
+
+def within_miles(left: DataFrame, right: DataFrame, miles: float, on: list[str] | None = None, lat: str = "lat", lon: str = "lon", digits: int | None = None) -> DataFrame:
+    """Pairs at most `miles` apart, with left_/right_ columns and `miles` (rounded to `digits` where given).
+
+    Both sides are put into cells by latitude band and longitude; the right side
+    is copied to the cells around its own, so the join is on equal cells. Rows of
+    one place are joined as lists, so a distance is taken once for two places, and
+    pairs, of which there can be many more than rows, are neither shuffled nor
+    held. Rows with null coordinates match nothing.
+    """
+    keys = on or []
+    a, b = _side(left, "left", lat, lon), _side(right, "right", lat, lon)
+    place = lambda side: [f"{side}_{c}" for c in dict.fromkeys([*keys, lat, lon])]
+    near = _near(_listed(a, place("left"), "_left"), _listed(b, place("right"), "_right"), miles, keys, lat, lon)
+    if digits is not None:
+        near = near.withColumn("miles", F.round("miles", digits))
+    pairs = near.withColumn("_left", F.explode("_left")).withColumn("_right", F.explode("_right"))
+    fixed = {*place("left"), *place("right")}
+    columns = [F.col(f"`{c}`") if c in fixed else F.col(side)[c].alias(c) for side, df in (("_left", a), ("_right", b)) for c in df.columns]
+    return pairs.select(*columns, "miles")
+
+
+def count_within_miles(left: DataFrame, right: DataFrame, key: str, miles: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """key, n: rows of `right` at most `miles` from each key's rows; places are paired instead of rows."""
+    places = lambda df, side: _side(df, side, lat, lon).groupBy(f"{side}_{lat}", f"{side}_{lon}").agg(F.count("*").alias(f"{side}_n"))
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = _near(places(left, "left").repartition(parts, f"left_{lat}", f"left_{lon}"), places(right, "right"), miles, [], lat, lon)
+    counts = near.groupBy(F.col(f"left_{lat}").alias(lat), F.col(f"left_{lon}").alias(lon)).agg(F.sum("right_n").alias("_n"))
+    return left.select(key, lat, lon).join(counts, [lat, lon], "left").groupBy(key).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"))
+
+
 def in_box(lat: Column, lon: Column, lat_min: Column, lat_max: Column, lon_min: Column, lon_max: Column) -> Column:
     return lat.between(lat_min, lat_max) & lon.between(lon_min, lon_max)
 

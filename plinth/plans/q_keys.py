@@ -291,8 +291,8 @@ def _points(df: DataFrame, k: str, name: str) -> DataFrame:
 p AS (SELECT s.id AS left_id, c.id AS right_id, pow(sin(radians(c.lat - s.lat) / 2), 2) + cos(radians(s.lat)) * cos(radians(c.lat)) * pow(sin(radians(c.lon - s.lon) / 2), 2) AS h FROM s, c)
 SELECT left_id, right_id, round({_MILES}, 4) AS miles FROM p WHERE {_MILES} <= 60""")
 def joi_12_within_miles(spark: Spark, d: str) -> DataFrame:
-    pairs = geo.within_miles(_points(t(spark, d, "supplier"), "s_suppkey", "id"), _points(t(spark, d, "customer"), "c_custkey", "id"), 60.0)
-    return pairs.select("left_id", "right_id", F.round("miles", 4).alias("miles"))
+    pairs = geo.within_miles(_points(t(spark, d, "supplier"), "s_suppkey", "id"), _points(t(spark, d, "customer"), "c_custkey", "id"), 60.0, digits=4)
+    return pairs.select("left_id", "right_id", "miles")
 
 
 @query("SELECT o_orderkey, round(ln(p / (1 - p)), 6) AS logit, least(greatest(o_totalprice, 1000), 50000) AS clamped, o_totalprice / 60 AS minutes FROM (SELECT *, (1 + o_orderkey % 97) / 100.0 AS p FROM orders)")

@@ -173,8 +173,7 @@ SELECT s_suppkey, count(*) FILTER (2 * 3959.0 * atan2(sqrt(h), sqrt(1 - h)) <= 1
 def mat_04_count_within_miles(spark: Spark, d: str) -> DataFrame:
     s = t(spark, d, "supplier").select("s_suppkey", _lat("s_suppkey").alias("lat"), _lon("s_suppkey").alias("lon"))
     c = t(spark, d, "customer").select("c_custkey", _lat("c_custkey").alias("lat"), _lon("c_custkey").alias("lon"))
-    near = geo.within_miles(s, c, 15.0).groupBy(F.col("left_s_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n"))
-    return s.select("s_suppkey").join(near, "s_suppkey", "left").select("s_suppkey", F.coalesce("n", F.lit(0)).alias("n_near"))
+    return geo.count_within_miles(s, c, "s_suppkey", 15.0).withColumnRenamed("n", "n_near")
 
 
 @query("SELECT p_partkey, round(exp(x), 6) AS estimate, round(exp(x - 1.959963984540054 * 0.1), 6) AS low, round(exp(x + 1.959963984540054 * 0.1), 6) AS high FROM (SELECT p_partkey, p_size / 50.0 AS x FROM part)")
