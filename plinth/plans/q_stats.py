@@ -356,7 +356,7 @@ def _event_stream(spark: Spark, d: str) -> DataFrame:
     cuts = events.agg(F.percentile_approx("ts", [0.25, 0.5, 0.75])).first()[0]
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = twice.where(F.lit(True) if low is None else F.col("ts") > F.lit(low)).where(F.lit(True) if high is None else F.col("ts") <= F.lit(high))
-        part.coalesce(1).write.mode("append").parquet(folder)
+        part.repartition(1).write.mode("append").parquet(folder)
     schema = ", ".join(f"{n} {k}" for n, k in events.dtypes)
     return ev.read_events(spark, folder, schema, files_each=2)
 

@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Groups into which the keys of a stream with state are hashed; a stream that goes on from a checkpoint needs the same number.
+BUCKETS = 1024
+
+#: The bucket of null keys.
+NO_KEY = -1
+
 
 def read_events(spark: SparkSession, path: str, schema: str, files_each: int = 1, ts: str = "ts") -> DataFrame:
     """A stream of parquet files under a declared schema; a time without zone is read in the session's, as watermarks need."""
@@ -33,22 +40,49 @@ def sessions(events: DataFrame, gap: str, key: str = "user_id", ts: str = "ts",
     return rows.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
+def bucketed(events: DataFrame, key: str) -> DataFrame:
+    """`events` plus `_bucket`, the group of keys that shares one call of Python and one row of state; null keys have a bucket of their own.
+
+    There a whole number stands in for the null, as pandas would make floats of all keys beside it.
+    """
+    bucket = F.when(F.col(key).isNull(), NO_KEY).otherwise(F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+    kind = events.schema[key].dataType.simpleString()
+    known = F.coalesce(F.col(key), F.lit(0).cast(kind)) if kind in ("tinyint", "smallint", "int", "bigint") else F.col(key)
+    return events.withColumn("_bucket", bucket).withColumn(key, known)
+
+
+def key_codes(bucket: int, keys: pd.Series) -> tuple[np.ndarray, list]:
+    """Each row's number among the different keys of a bucket, and these keys."""
+    if bucket == NO_KEY:
+        return np.zeros(len(keys), "int64"), keys.head(1).tolist()
+    codes, found = pd.factorize(keys)
+    return codes, found.tolist()
+
+
 def second_attempts(events: DataFrame, key: str = "user_id", ts: str = "ts", late: str = "1 hour") -> DataFrame:
     """key, attempt, ts: each row numbered within its key by time, on a stream, by state that outlives batches.
 
     Rows of a batch are put in order of time; a row that comes in a later batch is a later attempt. State is one
-    counter for each key.
+    counter for each key, held by buckets of keys: a call for each key would cost more than its rows.
     """
 
-    def number(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = state.get[0] if state.exists else 0
-        rows = pd.concat([b for b in batches if len(b)]).sort_values(ts, kind="stable")
-        state.update((seen + len(rows),))
-        yield pd.DataFrame({key: [keys[0]] * len(rows), "attempt": range(seen + 1, seen + len(rows) + 1), ts: rows[ts].to_numpy()})
+    def number(bucket: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([b for b in batches if len(b)], ignore_index=True).sort_values(ts, kind="stable", ignore_index=True)
+        who, seen = state.get if state.exists else ([], [])
+        held = pd.Series(who, dtype=rows[key].dtype)
+        codes, keys = key_codes(bucket[0], pd.concat([held, rows[key]], ignore_index=True))
+        counts = np.zeros(len(keys), "int64")
+        counts[codes[: len(held)]] = seen
+        mine = pd.Series(codes[len(held) :])
+        attempt = counts[mine] + mine.groupby(mine).cumcount().to_numpy() + 1
+        counts += np.bincount(mine, minlength=len(keys))
+        state.update((keys, counts.tolist()))
+        yield pd.DataFrame({"_known": bucket[0] != NO_KEY, key: rows[key], "attempt": attempt, ts: rows[ts]})
 
     kind = events.schema[key].dataType.simpleString()
-    marked = events.withWatermark(ts, late).select(key, ts)
-    return marked.groupBy(key).applyInPandasWithState(number, f"{key} {kind}, attempt long, {ts} timestamp", "seen long", "append", GroupStateTimeout.NoTimeout)
+    marked = bucketed(events.withWatermark(ts, late).select(key, ts), key)
+    out = marked.groupBy("_bucket").applyInPandasWithState(number, f"_known boolean, `{key}` {kind}, attempt long, `{ts}` timestamp", f"who array<{kind}>, seen array<long>", "append", GroupStateTimeout.NoTimeout)
+    return out.select(F.when(F.col("_known"), F.col(key)).alias(key), "attempt", ts)
 
 
 def collected(stream: DataFrame, folder: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
