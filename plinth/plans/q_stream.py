@@ -32,7 +32,7 @@ def _jumbled_stream(spark: Spark, d: str, tag: str) -> tuple[DataFrame, str]:
     late = (F.col("event_id") % 97 == 0) & (seconds < F.lit(t0) + 0.4 * F.lit(t1 - t0))
     filed = events.withColumn("_file", F.when(late, FILES - 1).otherwise(place))
     for k in range(FILES):  # one write after the other: a stream takes files in the order in which they came
-        filed.where(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(folder)
+        filed.where(F.col("_file") == k).drop("_file").repartition(1).write.mode("append").parquet(folder)
     ordered.closing_row(spark, kinds, "2200-01-01 00:00:00").coalesce(1).write.mode("append").parquet(folder)
     return ev.read_events(spark, folder, kinds), scratch_path(spark, f"{tag}-out")
 
