@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plinth.operators.lineage import cut
-from plinth.operators.reshape import sequential_id
 from plinth.operators.windows import seeded
 from plinth.sources.io import ContractError
 
@@ -140,30 +139,46 @@ def _serial_selection(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"n": out}) if out else pd.DataFrame({"n": pdf["n"].iloc[:0]})
 
 
-def blinded_slots(df: DataFrame, pair: str, arm: str, seed: int = 0, max_tries: int = 1000) -> DataFrame:
+def _places(rows: DataFrame, group: Sequence[str], pair: str, name: str) -> DataFrame:
+    """`rows` plus `name`, their place from 0 on by `_h` and pair in each group. Digests are even, so their first digits cut ranges and none is sampled."""
+    cut_up = rows.withColumn("_range", F.conv(F.substring("_h", 1, 2), 16, 10).cast("int"))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most 256 rows of a group
+    bases = cut_up.groupBy(*group, "_range").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    within = Window.partitionBy(*group, "_range").orderBy("_h", pair)
+    return cut_up.withColumn("_in", F.row_number().over(within)).join(bases, [*group, "_range"]).withColumn(name, F.col("_base") + F.col("_in") - 1).drop("_h", "_range", "_base", "_in")
+
+
+def blinded_slots(df: DataFrame, pair: str, arm: str, seed: int = 0, max_tries: int = 1000, tries_at_once: int = 8) -> DataFrame:
     """A slot 1..n for each row that tells nothing of its arm.
 
     Each arm has exactly half odd and half even slots, and no pair sits on
     neighbouring slots. Pairs are dealt half and half to two parities by a
     seeded order, and each parity's slots are given out by another; a seed whose
-    slots put a pair side by side is tried again with the next salt.
+    slots put a pair side by side is tried again with the next salt (about one in
+    seven keeps them apart, however many pairs there are). A pair's two slots do
+    not hang on the deal, so several salts are tried in one job before it is made.
     """
     arms = sorted(r[0] for r in df.select(arm).distinct().limit(3).collect())
     sizes = df.groupBy(pair).agg(F.count("*").alias("n"), F.count_distinct(arm).alias("a"))
     n_pairs, bad = sizes.agg(F.count("*"), F.count_if(F.expr("n <> 2 or a <> 2"))).first()
     if len(arms) != 2 or bad or n_pairs % 2 or n_pairs < 4:
         raise ContractError("slots need two arms, one row each in an even number of at least four pairs")
-    for salt in range(max_tries):
-        dealt = sequential_id(df.select(pair).distinct().withColumn("_h", seeded(seed, F.lit(salt), F.col(pair))), ["_h", pair], "_i").drop("_h")
-        odd_first = F.col("_i") % 2 == 1
-        rows = df.join(dealt, pair).withColumn("_odd", odd_first == (F.col(arm) == arms[0]))
-        halves = []
-        for odd in (True, False):
-            half = rows.where(F.col("_odd") == odd).withColumn("_h", seeded(seed, F.lit(salt), F.lit(int(odd)), F.col(pair)))
-            half = sequential_id(half, ["_h", pair], "_k", first=0)
-            halves.append(half.withColumn("slot", F.col("_k") * 2 + (1 if odd else 2)).select(*df.columns, "slot"))
-        slots = cut(halves[0].unionByName(halves[1]))
-        near = slots.groupBy(pair).agg((F.max("slot") - F.min("slot")).alias("gap")).where("gap = 1")
-        if near.isEmpty():
-            return slots
+    pairs = cut(df.select(pair).distinct().dropna())
+
+    def halves(salts: Sequence[int]) -> DataFrame:
+        """_salt, _odd, pair, slot."""
+        rows = pairs.withColumn("_salt", F.explode(F.array(*map(F.lit, salts)))).withColumn("_odd", F.explode(F.array(F.lit(1), F.lit(0))))
+        placed = _places(rows.withColumn("_h", seeded(seed, F.col("_salt"), F.col("_odd"), F.col(pair))), ["_salt", "_odd"], pair, "_k")
+        return placed.withColumn("slot", F.col("_k") * 2 + 2 - F.col("_odd")).drop("_k")
+
+    for first in range(0, max_tries, tries_at_once):
+        salts = range(first, min(first + tries_at_once, max_tries))
+        gaps = halves(salts).groupBy("_salt", pair).agg((F.max("slot") - F.min("slot")).alias("gap"))
+        near = {r[0] for r in gaps.where("gap = 1").select("_salt").distinct().collect()}  # at most tries_at_once rows
+        salt = next((s for s in salts if s not in near), None)
+        if salt is not None:
+            one = pairs.withColumn("_salt", F.lit(salt))
+            dealt = _places(one.withColumn("_h", seeded(seed, F.col("_salt"), F.col(pair))), ["_salt"], pair, "_i").drop("_salt")
+            rows = df.join(dealt, pair).withColumn("_odd", ((F.col("_i") % 2 == 0) == (F.col(arm) == arms[0])).cast("int"))
+            return rows.join(halves([salt]).drop("_salt"), [pair, "_odd"]).select(*df.columns, "slot")
     raise ContractError("no seed keeps pairs apart")
