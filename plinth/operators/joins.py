@@ -16,6 +16,9 @@ KeyFun = Callable[[Column], Column]
 #: Tasks that share the rows of one key in `either_key`.
 PARTS_OF_A_KEY = 8
 
+#: Rows of a part in `dealt`.
+ROWS_OF_A_PART = 250_000
+
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that more than one row has; null keys never join and don't count."""
@@ -39,6 +42,12 @@ def join_report(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFra
     return both.select("n_left", "n_matched", share("n_matched", "n_left").alias("coverage"), "n_right_keys", "n_repeated_keys", share("_out", "n_left").alias("growth"))
 
 
+def dealt(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`df` dealt by keys into as many parts as its rows need, so that a task's memory does not grow with the table; groups and joins on the keys keep the parts."""
+    parts = max(-(-df.count() // ROWS_OF_A_PART), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(parts, *keys)
+
+
 def safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", min_coverage: float = 0.0, unique: bool = True, max_growth: float | None = None) -> DataFrame:
     """A join whose right side must be unique on its keys and cover a share of the left rows.
 

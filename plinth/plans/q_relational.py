@@ -23,7 +23,7 @@ def joi_01_left_unique(spark: Spark, d: str) -> DataFrame:
 
 @query("SELECT l.l_orderkey, l.l_linenumber, s.low FROM lineitem l LEFT JOIN (SELECT l_partkey, l_suppkey, min(l_extendedprice) AS low FROM lineitem GROUP BY ALL) s USING (l_partkey, l_suppkey)")
 def joi_02_left_composite(spark: Spark, d: str) -> DataFrame:
-    li = t(spark, d, "lineitem")
+    li = joins.dealt(t(spark, d, "lineitem"), ["l_partkey", "l_suppkey"])
     low = li.groupBy("l_partkey", "l_suppkey").agg(F.min("l_extendedprice").alias("low"))
     return joins.safe_join(li, low, ["l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber", "low")
 
